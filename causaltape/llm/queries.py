@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causaltape.llm import bpe, simhash, token_counts
+from causaltape.llm import bpe, simhash, substring_dedup, token_counts
 from causaltape.llm.shared import read
 
 
@@ -16,6 +16,11 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, radius=2)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.repeated_passages(read(spark, sf_dir, "documents"), size=13)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     coded = bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), path), path)
@@ -27,7 +32,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_bpe_round_trip, op9_token_counts)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op3_bpe_round_trip, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
