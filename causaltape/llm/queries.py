@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causaltape.llm import bpe, chat, embeddings, language_id, simhash, substring_dedup, token_counts
+from causaltape.llm import bpe, chat, embeddings, language_id, simhash, substring_dedup, token_counts, toxicity
 from causaltape.llm.shared import read
 
 
@@ -50,6 +50,19 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """Learns from the labelled documents that are not held out."""
+    known = labels.select(F.col("doc_id").alias("labelled"), "toxic").where("labelled is not null and toxic is not null").groupBy("labelled").agg(F.max("toxic").alias("toxic"))
+    kept = docs.select("doc_id", "text").where(~toxicity.held_out(F.col("doc_id")))
+    return toxicity.train(kept.join(known, kept.doc_id == known.labelled))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity_model(docs, read(spark, sf_dir, "labels")), threshold=0.3)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 OP6_SQL = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -72,7 +85,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op3_bpe_round_trip, op4_embedding_near_dedup, op5_language_id, op6_chat_formatting, op9_token_counts)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op3_bpe_round_trip, op4_embedding_near_dedup, op5_language_id, op6_chat_formatting, op9_token_counts, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
