@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causaltape.llm import bpe, chat, embeddings, language_id, simhash, substring_dedup, token_counts, toxicity
+from causaltape.llm import bpe, chat, decontamination, embeddings, language_id, pii, simhash, substring_dedup, token_counts, toxicity
 from causaltape.llm.shared import read
 
 
@@ -80,12 +80,25 @@ FROM turns GROUP BY conv_id
 """
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), shingle=5, least=0.8)
+
+
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(read(spark, sf_dir, "documents"))
+    kinds = F.transform("spans", lambda s: s.kind)
+    number = [F.size(F.array_remove(kinds, k)) for k in pii.BASE]
+    number = [(F.size("spans") - n).cast("long").alias(f"n_{k}") for n, k in zip(number, pii.BASE, strict=True)]
+    base = F.filter("spans", lambda s: s.kind.isin(*pii.BASE))
+    return found.select("doc_id", *number, F.sha2(pii.joined(base).cast("binary"), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), budget=4096)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op3_bpe_round_trip, op4_embedding_near_dedup, op5_language_id, op6_chat_formatting, op9_token_counts, op10_toxicity)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op3_bpe_round_trip, op4_embedding_near_dedup, op5_language_id, op6_chat_formatting, op7_benchmark_decontamination, op8_personal_data, op9_token_counts, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
