@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 #: Fixed value: the public split pattern of byte-level BPE vocabularies of this family.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 #: Pieces kept by a Python worker; when full it starts anew. Longer pieces are not kept.
-CACHE, CACHED_BYTES = 700_000, 64
+CACHE, CACHED_BYTES = 250_000, 64
 #: Characters of text whose pieces are encoded together.
-TOGETHER = 4_000_000
+TOGETHER = 1_500_000
+#: Pieces that one set of trees holds.
+TREES = 1 << 14
 
 
 def byte_chars() -> list[str]:
@@ -163,7 +165,9 @@ class Vocabulary:
             else:
                 classes.setdefault(max(2, 1 << (len(raw) - 1).bit_length()), []).append((piece, raw))
         for width, members in classes.items():
-            self.cache.update(zip([p for p, _ in members], self.merge_many([r for _, r in members], width), strict=True))
+            for at in range(0, len(members), TREES):
+                some = members[at : at + TREES]
+                self.cache.update(zip([p for p, _ in some], self.merge_many([r for _, r in some], width), strict=True))
         return long
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
@@ -194,16 +198,22 @@ class Vocabulary:
             at = end
         return out
 
-    def decode(self, packed: bytes) -> str:
-        table = self.table
-        return b"".join([table[i] for i in np.frombuffer(packed, "<u4").tolist()]).decode("utf-8", "replace")
-
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@lru_cache(maxsize=2)
+def byte_table(path: str) -> list[bytes]:
+    """The bytes of each id: all that decoding needs to keep in memory."""
+    return Vocabulary(path).table
+
+
+def text_of(packed: bytes, table: list[bytes]) -> str:
+    return b"".join([table[i] for i in np.frombuffer(packed, "<u4").tolist()]).decode("utf-8", "replace")
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, ids, n_tokens), one per input row, in map tasks only; ids is binary, little-endian unsigned 32 bit.
 
@@ -225,9 +235,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """`encode`'s rows with a further column `decoded`, the text that the ids stand for; null ids give null."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary(path)
+        table = byte_table(path)
         for batch in batches:
-            texts = [None if (b := x.as_py()) is None else known.decode(b) for x in batch.column(1)]
+            texts = [None if (b := x.as_py()) is None else text_of(b, table) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     return encoded.select("doc_id", "ids", "n_tokens").mapInArrow(of, "doc_id long, ids binary, n_tokens long, decoded string")
