@@ -11,7 +11,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
+CODED = StructType([StructField("doc_id", LongType()), StructField("ids", BinaryType()), StructField("n_tokens", LongType())])
 #: Fixed value: the public split pattern of byte-level BPE vocabularies of this family.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 #: Pieces kept by a Python worker; when full it starts anew. Longer pieces are not kept.
@@ -214,8 +216,9 @@ def text_of(packed: bytes, table: list[bytes]) -> str:
     return b"".join([table[i] for i in np.frombuffer(packed, "<u4").tolist()]).decode("utf-8", "replace")
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, ids, n_tokens), one per input row, in map tasks only; ids is binary, little-endian unsigned 32 bit.
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (doc_id, ids, n_tokens) and the columns `keep`, one per input row, in map tasks only; ids is binary,
+    little-endian unsigned 32 bit.
 
     Null text counts as empty and gives no ids. Ids may be null or repeat; an empty table gives an empty result;
     other columns are ignored. A piece without white space of any length costs n log n. `path` must be readable on
@@ -226,21 +229,24 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         known = vocabulary(path)
         for batch in batches:
             packed = known.encode(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array([len(p) // 4 for p in packed], pa.int64())], ["doc_id", "ids", "n_tokens"])
+            columns = [batch.column(0), pa.array(packed, pa.binary()), pa.array([len(p) // 4 for p in packed], pa.int64()), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "n_tokens", *keep])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(of, "doc_id long, ids binary, n_tokens long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("__text"), *keep)
+    return rows.mapInArrow(of, StructType([*CODED.fields, *rows.schema.fields[2:]]))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """`encode`'s rows with a further column `decoded`, the text that the ids stand for; null ids give null."""
+    at = encoded.columns.index("ids")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = byte_table(path)
         for batch in batches:
-            texts = [None if (b := x.as_py()) is None else text_of(b, table) for x in batch.column(1)]
+            texts = [None if (b := x.as_py()) is None else text_of(b, table) for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
-    return encoded.select("doc_id", "ids", "n_tokens").mapInArrow(of, "doc_id long, ids binary, n_tokens long, decoded string")
+    return encoded.mapInArrow(of, StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
 
 
 def id_list(encoded: DataFrame) -> DataFrame:

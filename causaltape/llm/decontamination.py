@@ -161,11 +161,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, least:
     give an empty result; other columns are ignored.
     """
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    wanted = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("item_text")).where("item is not null and item_text is not null")
-    blocks = max(1, -(-wanted.count() // ITEMS))
     found = None
-    for block in range(blocks):
-        items = [(r["item"], r["item_text"]) for r in wanted.where(F.pmod(F.xxhash64("item", "item_text"), F.lit(blocks)) == block).sort("item", "item_text").collect()]
+    for items in item_blocks(benchmark, item_col, item_text_col):
 
         def of(batches: Iterator[pa.RecordBatch], items: list = items) -> Iterator[pa.RecordBatch]:
             held = Benchmark(items, shingle, least)
@@ -178,3 +175,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, least:
         got = text.mapInArrow(of, "doc_id long, item_id long, similarity double, first_word long, n_words long")
         found = got if found is None else found.unionByName(got)
     return found
+
+
+def item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of about ITEMS rows at most; a single empty block if there are none."""
+    wanted = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("item_text")).where("item is not null and item_text is not null")
+    blocks = max(1, -(-wanted.count() // ITEMS))
+    for block in range(blocks):
+        rows = wanted.where(F.pmod(F.xxhash64("item", "item_text"), F.lit(blocks)) == block).sort("item", "item_text").collect()
+        yield [(r["item"], r["item_text"]) for r in rows]
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, least: float = 0.8, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """`docs` without the rows in which `contaminated` would find an item. In map tasks only, one per item block."""
+    at = docs.columns.index(text_col)
+    for items in item_blocks(benchmark, item_col, item_text_col):
+
+        def of(batches: Iterator[pa.RecordBatch], items: list = items) -> Iterator[pa.RecordBatch]:
+            held = Benchmark(items, shingle, least)
+            for batch in batches:
+                yield batch.filter(pa.array([not held.matches(t) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(of, docs.schema)
+    return docs

@@ -188,3 +188,16 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(found, pa.string())], ["doc_id", "score", "predicted", "matches"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(of, "doc_id long, score double, predicted int, matches string")
+
+
+def keep_harmless(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """`docs` without the rows scored at or above `threshold`; null text is scored as empty. In map tasks only."""
+    at = docs.columns.index(text_col)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grammar = Grammar(model.insults)
+        for batch in batches:
+            x = np.array([grammar.features(t or "") for t in batch.column(at).to_pylist()], float).reshape(-1, N_FEATURES)
+            yield batch.filter(pa.array(model.scores(x) < threshold))
+
+    return docs.mapInArrow(of, docs.schema)
