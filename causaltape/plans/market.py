@@ -145,7 +145,7 @@ def w8_right_censoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH seen AS (SELECT instrument, eid, source_sequence, sha256(concat_ws(':', eid, event_ts_ns // 1800000000000)) AS h FROM snapshots WHERE state = 'DYING'),
   p AS (SELECT *, lag(h) OVER (PARTITION BY instrument, eid ORDER BY source_sequence) AS q FROM seen)
-  SELECT instrument, eid, min(source_sequence) AS first_seen, count(*) AS sightings, CAST(count_if(q = h) AS BIGINT) AS duplicates, CAST(count_if(q <> h) AS BIGINT) AS mutations, min(source_sequence) = 1 AS baseline FROM p GROUP BY ALL""", "snapshots")
+  SELECT instrument, eid, min(source_sequence) AS first_seen, count(*) AS sightings, count(*) FILTER (q = h) AS duplicates, count(*) FILTER (q <> h) AS mutations, min(source_sequence) = 1 AS baseline FROM p GROUP BY ALL""", "snapshots")
 def w9_emitted_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from causaltape.functions.clock import floor_div
 

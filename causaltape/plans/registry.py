@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causaltape.plans import market
+from causaltape.plans import market, statistics
 
-MODULES = (market,)
+MODULES = (market, statistics)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
