@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causaltape.plans import market, statistics
+from causaltape.plans import gates, market, reports, statistics
 
-MODULES = (market, statistics)
+MODULES = (market, statistics, reports, gates)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
