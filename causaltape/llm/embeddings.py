@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +13,8 @@ from pyspark.sql import functions as F
 from causaltape.llm.components import connected_components
 from causaltape.llm.shared import cut
 
-#: Independent codes, and the filters a vector is expected to pass in each.
-CODES, PASSED = 3, 32
+#: Independent codes, the filters a vector is expected to pass in each, and those that nearly all pass.
+CODES, PASSED, LEAST_PASSED = 3, 32, 8
 LEAST_WORDS, MOST_WORDS = 32, 4096
 
 
@@ -30,6 +29,22 @@ def product_code(dims: int, words: int, code: int) -> tuple[np.ndarray, np.ndarr
     return rotation, first, second
 
 
+@lru_cache(maxsize=8)
+def cap_height(dims: int, words: int, code: int) -> float:
+    """The inner product that PASSED of the words^2 filters reach for a random direction, by the share of a sphere's
+    surface in a cap; lower where a twentieth of 256 drawn directions would pass fewer than LEAST_PASSED, as in few
+    dimensions, where a product code has few directions."""
+    angle = np.linspace(0, np.pi, 200_001)
+    surface = np.cumsum(np.sin(angle) ** (max(dims, 2) - 2))
+    height = float(np.cos(angle[np.searchsorted(surface, surface[-1] * min(0.5, PASSED / words**2))]))
+    rotation, first, second = product_code(dims, words, code)
+    drawn = np.random.default_rng([dims, 1]).standard_normal((256, dims))
+    turned, half = drawn / np.linalg.norm(drawn, axis=1, keepdims=True) @ rotation, dims // 2
+    top = [-np.sort(-(turned[:, cut] @ block.T), axis=1)[:, :LEAST_PASSED] for cut, block in ((slice(half), first), (slice(half, None), second))]
+    sums = np.sort((top[0][:, :, None] + top[1][:, None, :]).reshape(256, -1), axis=1)
+    return min(height, float(np.quantile(sums[:, -LEAST_PASSED], 0.05)))
+
+
 def passed_filters(unit: np.ndarray, words: int, code: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, filter) of each filter whose direction's inner product with a unit vector exceeds the cap's height.
 
@@ -39,7 +54,7 @@ def passed_filters(unit: np.ndarray, words: int, code: int) -> tuple[np.ndarray,
     """
     dims = unit.shape[1]
     rotation, first, second = product_code(dims, words, code)
-    height = NormalDist().inv_cdf(1 - min(0.5, PASSED / words**2)) / np.sqrt(dims)
+    height = cap_height(dims, words, code)
     turned, half = unit @ rotation, dims // 2
     a, b = turned[:, :half] @ first.T, turned[:, half:] @ second.T
     row, i = np.nonzero(a >= height - b.max(axis=1, keepdims=True))
