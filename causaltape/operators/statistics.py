@@ -16,7 +16,7 @@ def pearson(x: Column, y: Column) -> Column:
     """Correlation of the pairs in which both are present; null below two pairs or for a constant side."""
     both = x.isNotNull() & y.isNotNull()
     a, b = F.when(both, x), F.when(both, y)
-    return F.when((F.count(a) >= 2) & (F.min(a) < F.max(a)) & (F.min(b) < F.max(b)), F.corr(a, b))
+    return F.when((F.count(a) >= 2) & (F.min(a) < F.max(a)) & (F.min(b) < F.max(b)), F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
 
 
 def concordance(x: Column, y: Column) -> Column:
@@ -121,11 +121,11 @@ def circular_shift(values: DataFrame, group: str, position: str, x: str, y: str,
     """One row: the correlation of x and y, and how often it is reached when y turns by a random step inside groups.
 
     `position` counts from 0 in each group. A row joins y of position (position + shift) mod size of its group."""
-    observed = values.agg(F.corr(x, y).alias("observed"))
+    observed = values.agg(pearson(F.col(x), F.col(y)).alias("observed"))
     sized = values.join(values.groupBy(group).agg(F.count("*").alias("size")), group)
     reps = sized.select(group, position, x, "size").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     moved = reps.withColumn(position, (F.col(position) + draw(seed, F.col("rep"), F.col(group)) % F.col("size")) % F.col("size"))
-    stats = moved.join(values.select(group, position, y), [group, position]).groupBy("rep").agg(F.corr(x, y).alias("r"))
+    stats = moved.join(values.select(group, position, y), [group, position]).groupBy("rep").agg(pearson(F.col(x), F.col(y)).alias("r"))
     out = stats.join(F.broadcast(observed)).agg(F.first("observed").alias("observed"), F.count_if(F.abs("r") >= F.abs("observed")).alias("exceedances"))
     return out.select("observed", "exceedances", F.lit(replicates).alias("draws"), p_value(F.col("exceedances"), replicates).alias("p_value"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from causaltape.functions import clock, scalars
-from causaltape.operators import population, quality
+from causaltape.operators import population, quality, statistics
 from causaltape.plans import fixtures as fx
 from causaltape.plans import market
 from causaltape.plans.fixtures import sql, table
@@ -196,7 +196,7 @@ def q7_unique_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH m AS (SELECT event_type AS detector, count(*) AS observations, round(corr(value, k), 9) AS metric FROM ticks GROUP BY ALL) SELECT detector, observations, metric, coalesce(observations >= s AND abs(metric) >= a, false) AS eligible,
   CASE WHEN s IS NULL THEN 'NO_PREDECLARED_GATE' WHEN observations >= s AND abs(metric) >= a THEN 'PREDECLARED_GATE_PASSED' ELSE 'PREDECLARED_GATE_NOT_PASSED' END AS reason FROM m LEFT JOIN (VALUES ('click', 10, 0.0), ('view', 10, 0.9), ('signup', 1000000, 0.0)) g(detector, s, a) USING (detector)""", "ticks")
 def q8_candidate_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    metrics = fx.ticks(spark, sf_dir).groupBy(F.col("event_type").alias("detector")).agg(F.count("*").alias("observations"), F.round(F.corr("value", "k"), 9).alias("metric"))
+    metrics = fx.ticks(spark, sf_dir).groupBy(F.col("event_type").alias("detector")).agg(F.count("*").alias("observations"), F.round(statistics.pearson(F.col("value"), F.col("k")), 9).alias("metric"))
     gates = spark.createDataFrame([("click", 10, 0.0), ("view", 10, 0.9), ("signup", 1000000, 0.0)], "detector string, min_support long, min_abs_metric double")
     return population.candidate_gate(metrics, gates, ["detector"], "metric").drop("min_support", "min_abs_metric")
 
