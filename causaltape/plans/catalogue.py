@@ -32,7 +32,7 @@ H, D = fx.HOUR, fx.DAY
 # Populations
 
 
-@query(f"""WITH {st.DISCOVERY}, m AS (SELECT detector, count(*) AS population, count(*) FILTER ({st.OK_PAIR} AND value <> 0 AND context_value <> 0) AS observations, round(corr(value, context_value) FILTER ({st.OK_PAIR}), 9) AS pearson FROM disc GROUP BY ALL)
+@query(f"""WITH {st.DISCOVERY}, m AS (SELECT detector, count(*) AS population, count(*) FILTER ({st.OK_PAIR} AND value <> 0 AND context_value <> 0) AS observations, round(nullif(corr(value, context_value) FILTER ({st.OK_PAIR}), 'nan'::DOUBLE), 9) AS pearson FROM disc GROUP BY ALL)
   SELECT detector, population, observations, pearson, coalesce(observations >= s AND abs(pearson) >= a, false) AS eligible, CASE WHEN s IS NULL THEN 'NO_PREDECLARED_GATE' WHEN observations >= s AND abs(pearson) >= a THEN 'PREDECLARED_GATE_PASSED' ELSE 'PREDECLARED_GATE_NOT_PASSED' END AS reason,
     CASE WHEN population = 0 THEN 'UNKNOWN' WHEN observations = 0 OR pearson IS NULL THEN 'INCONCLUSIVE' ELSE 'PARTIAL' END AS status
   FROM m LEFT JOIN (VALUES ('purchase', 10, 0.0), ('view', 10, 0.99)) g(detector, s, a) USING (detector)""", "anchors", "contexts")

@@ -37,13 +37,13 @@ def j9_same_index_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portfolio.correlations(_paired(spark, sf_dir)).select("a_strategy_id", "b_strategy_id", "observations")
 
 
-@query(f"""WITH {PAIRED} SELECT a_strategy_id, b_strategy_id, count(*) FILTER (a_ret IS NOT NULL AND b_ret IS NOT NULL) AS observations, round(corr(a_ret, b_ret), 8) AS correlation,
-  CASE WHEN corr(a_ret, b_ret) IS NULL THEN CASE WHEN count(*) FILTER (a_ret IS NOT NULL AND b_ret IS NOT NULL) = 0 THEN 'UNKNOWN' ELSE 'FAILED' END WHEN count(*) FILTER (a_ret IS NOT NULL AND b_ret IS NOT NULL) < count(*) THEN 'PARTIAL' ELSE 'KNOWN' END AS status FROM p GROUP BY ALL""", "streams")
+@query(f"""WITH {PAIRED} SELECT a_strategy_id, b_strategy_id, count(*) FILTER (a_ret IS NOT NULL AND b_ret IS NOT NULL) AS observations, round(nullif(corr(a_ret, b_ret), 'nan'::DOUBLE), 8) AS correlation,
+  CASE WHEN nullif(corr(a_ret, b_ret), 'nan'::DOUBLE) IS NULL THEN CASE WHEN count(*) FILTER (a_ret IS NOT NULL AND b_ret IS NOT NULL) = 0 THEN 'UNKNOWN' ELSE 'FAILED' END WHEN count(*) FILTER (a_ret IS NOT NULL AND b_ret IS NOT NULL) < count(*) THEN 'PARTIAL' ELSE 'KNOWN' END AS status FROM p GROUP BY ALL""", "streams")
 def b5_return_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(portfolio.correlations(_paired(spark, sf_dir)).drop("total"), "correlation", digits=8)
 
 
-@query(f"""WITH {PAIRED}, t AS (SELECT a_strategy_id, b_strategy_id, count(*) AS total FROM p GROUP BY ALL) SELECT a_strategy_id, b_strategy_id, a_regime AS regime, count(*) AS observations, round(corr(a_ret, b_ret), 8) AS correlation, any_value(total) - count(*) AS excluded
+@query(f"""WITH {PAIRED}, t AS (SELECT a_strategy_id, b_strategy_id, count(*) AS total FROM p GROUP BY ALL) SELECT a_strategy_id, b_strategy_id, a_regime AS regime, count(*) AS observations, round(nullif(corr(a_ret, b_ret), 'nan'::DOUBLE), 8) AS correlation, any_value(total) - count(*) AS excluded
   FROM p JOIN t USING (a_strategy_id, b_strategy_id) WHERE a_regime = b_regime AND a_ret IS NOT NULL AND b_ret IS NOT NULL GROUP BY a_strategy_id, b_strategy_id, a_regime""", "streams")
 def b6_conditional_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(portfolio.conditional_correlations(_paired(spark, sf_dir)), "correlation", digits=8)
@@ -148,7 +148,7 @@ def b17_equal_weight_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {PAIRED}, {PORTFOLIO}, sd AS ({DRAWDOWN.format(by="strategy_id, ", part="strategy_id", src="streams", group="GROUP BY strategy_id")}), pd AS ({DRAWDOWN.format(by="", part="1", src="pr", group="")}), tv AS ({TURNOVER})
   SELECT metric, subject, round(value, 7) AS value FROM (
-  SELECT 'correlation' AS metric, a_strategy_id || '|' || b_strategy_id AS subject, corr(a_ret, b_ret) AS value FROM p GROUP BY a_strategy_id, b_strategy_id
+  SELECT 'correlation' AS metric, a_strategy_id || '|' || b_strategy_id AS subject, nullif(corr(a_ret, b_ret), 'nan'::DOUBLE) AS value FROM p GROUP BY a_strategy_id, b_strategy_id
   UNION ALL SELECT 'overlap', a_strategy_id || '|' || b_strategy_id, coalesce(count(*) FILTER (a_signal <> 0 AND b_signal <> 0) / nullif(count(*) FILTER (a_signal IS NOT NULL AND b_signal IS NOT NULL AND (a_signal <> 0 OR b_signal <> 0)), 0), 0) FROM p GROUP BY a_strategy_id, b_strategy_id
   UNION ALL SELECT 'capital_share', strategy_id, capital / sum(capital) OVER () FROM capital UNION ALL SELECT 'risk_share', strategy_id, risk_budget / sum(risk_budget) OVER () FROM capital
   UNION ALL SELECT 'turnover', strategy_id, turnover FROM tv UNION ALL SELECT 'liquidity', strategy_id, avg(liquidity) FROM streams GROUP BY strategy_id

@@ -78,7 +78,7 @@ def j7_requested_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery(spark, sf_dir).groupBy("detector").agg(F.count("*").alias("population"), F.count("available_time").alias("present"), (F.count("*") - F.count("available_time")).alias("missing_context"))
 
 
-@query(f"""WITH {DISCOVERY} SELECT instrument, detector, count(*) FILTER ({OK_PAIR}) AS observations, round(corr(value, context_value) FILTER ({OK_PAIR}), 9) AS pearson FROM disc GROUP BY ALL""", "anchors", "contexts")
+@query(f"""WITH {DISCOVERY} SELECT instrument, detector, count(*) FILTER ({OK_PAIR}) AS observations, round(nullif(corr(value, context_value) FILTER ({OK_PAIR}), 'nan'::DOUBLE), 9) AS pearson FROM disc GROUP BY ALL""", "anchors", "contexts")
 def g5_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = F.col("value"), F.col("context_value")
     return discovery(spark, sf_dir).groupBy("instrument", "detector").agg(F.count_if(x.isNotNull() & y.isNotNull()).alias("observations"), F.round(statistics.pearson(x, y), 9).alias("pearson"))
@@ -97,7 +97,7 @@ def g7_mean_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
 DENOMINATORS = f"""SELECT instrument, detector, count(*) AS population, count(available_time) AS present, count(*) - count(available_time) AS missing_context,
   count(*) FILTER (available_time IS NOT NULL AND value IS NULL) AS missing_anchor_value, count(*) FILTER (available_time IS NOT NULL AND value IS NOT NULL AND context_value IS NULL) AS missing_context_value,
   count(*) FILTER ({OK_PAIR} AND (value = 0 OR context_value = 0)) AS zero_excluded, count(*) FILTER ({OK_PAIR} AND value <> 0 AND context_value <> 0) AS observations,
-  round(avg(anchor_time - available_time) / 1000) AS mean_lag_us, round(corr(value, context_value) FILTER ({OK_PAIR}), 9) AS pearson,
+  round(avg(anchor_time - available_time) / 1000) AS mean_lag_us, round(nullif(corr(value, context_value) FILTER ({OK_PAIR}), 'nan'::DOUBLE), 9) AS pearson,
   round(avg(CASE WHEN sign(value) = sign(context_value) THEN 1.0 ELSE 0 END) FILTER ({OK_PAIR} AND value <> 0 AND context_value <> 0), 9) AS concordance FROM disc GROUP BY ALL"""
 
 
