@@ -13,14 +13,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causaltape.llm.shared import rolling
+from causaltape.llm.shared import bounded, rolling
 
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 #: Fingerprint bits, blocks of the multi-index, and the radius. At similarity 0.8 two fingerprints differ in 19.3 of
 #: 128 bits on average with a deviation of 4.1, so the radius is four deviations above; unrelated ones differ in 64.
 BITS, BLOCKS, RADIUS = 128, 8, 36
 #: Items that one pass over the documents holds, and window starts fingerprinted together.
-ITEMS, STARTS = 20_000, 8192
+ITEMS, STARTS = 2000, 8192
 
 
 def words_of(text: str | None) -> list[str]:
@@ -62,13 +62,13 @@ class MultiIndex:
     def __init__(self, prints: np.ndarray):
         self.prints = prints
         width = BITS // BLOCKS
-        flips = np.array([sum(1 << b for b in c) for k in range(RADIUS // BLOCKS + 1) for c in combinations(range(width), k)], np.int64)
+        flips = np.array([sum(1 << b for b in c) for k in range(RADIUS // BLOCKS + 1) for c in combinations(range(width), k)], np.uint16)
         self.tables = []
-        for values in prints.view("<u2").reshape(len(prints), BLOCKS).T.astype(np.int64):
+        for values in prints.view("<u2").reshape(len(prints), BLOCKS).T:
             near = (values[:, None] ^ flips).ravel()
             order = np.argsort(near, kind="stable")
-            begin = np.searchsorted(near[order], np.arange(2**width + 1))
-            self.tables.append((begin, (order // len(flips)).astype(np.int32)))
+            begin = np.concatenate(([0], np.cumsum(np.bincount(near, minlength=2**width))))
+            self.tables.append((begin.astype(np.int32), (order // len(flips)).astype(np.int16)))
 
     def search(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, item) of every pair within the radius."""
@@ -84,24 +84,19 @@ class MultiIndex:
 
 
 class Benchmark:
-    """The items of one pass, by number of words."""
+    """The items of one pass, with one index of their fingerprints."""
 
     def __init__(self, items: list[tuple[int, str]], shingle: int, least: float):
         self.least, self.shingle = least, shingle
-        sized: dict[int, list[tuple[int, list[str]]]] = {}
+        self.items, prints, owners = [], [], {}
         for item, text in items:
             if words := words_of(text):
-                sized.setdefault(len(words), []).append((item, words))
-        self.sizes, owners = {}, {}
-        for n, members in sorted(sized.items()):
-            q = min(shingle, n)
-            prints = []
-            for _, words in members:
-                hashes = hashes_of(words)
+                n, q, hashes = len(words), min(shingle, len(words)), hashes_of(words)
+                self.items.append((item, n, shingles(words, q)))
                 prints.append(fingerprints(bits_of(hashes, q), np.array([0]), n - q + 1)[0])
                 for h in np.unique(rolling(np.ascontiguousarray(hashes[:, 0]), q)).tolist():
                     owners.setdefault(q, {}).setdefault(h, set()).add(n)
-            self.sizes[n] = (MultiIndex(np.array(prints)), [(item, shingles(words, q)) for item, words in members])
+        self.index = MultiIndex(np.array(prints, np.uint8).reshape(-1, BITS // 8))
         #: For each shingle length the items' shingles, sorted, and the item sizes that each stands in.
         self.known = {q: (np.array(sorted(of), np.uint64), [sorted(of[h]) for h in sorted(of)]) for q, of in owners.items()}
 
@@ -128,7 +123,6 @@ class Benchmark:
         return [(item, *found) for item, found in sorted(best.items())]
 
     def search(self, words: list[str], hashes: np.ndarray, q: int, n: int, found: np.ndarray, best: dict) -> None:
-        index, items = self.sizes[n]
         take = min(n, len(words))
         k = take - q + 1
         edge = np.zeros(len(words) + 2, np.int64)
@@ -140,8 +134,10 @@ class Benchmark:
             high = int(np.searchsorted(starts, starts[low] + STARTS))
             some = starts[low:high]
             prints = fingerprints(bits_of(hashes[some[0] : some[-1] + take], q), some - some[0], k)
-            for row, member in zip(*(x.tolist() for x in index.search(prints)), strict=True):
-                item, wanted = items[member]
+            for row, member in zip(*(x.tolist() for x in self.index.search(prints)), strict=True):
+                item, size, wanted = self.items[member]
+                if size != n:
+                    continue
                 start = int(some[row])
                 got = similarity(shingles(words[start : start + take], q), wanted)
                 if got >= self.least and got > best.get(item, (0.0,))[0]:
@@ -160,7 +156,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, least:
     or repeated document ids are searched like any other; an item id that repeats keeps its best match. Empty tables
     give an empty result; other columns are ignored.
     """
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = None
     for items in item_blocks(benchmark, item_col, item_text_col):
 
@@ -196,5 +192,5 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, least: f
             for batch in batches:
                 yield batch.filter(pa.array([not held.matches(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(of, docs.schema)
+        docs = bounded(docs).mapInArrow(of, docs.schema)
     return docs
