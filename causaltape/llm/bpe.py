@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
+from causaltape.llm.shared import bounded
+
 CODED = StructType([StructField("doc_id", LongType()), StructField("ids", BinaryType()), StructField("n_tokens", LongType())])
 #: Fixed value: the public split pattern of byte-level BPE vocabularies of this family.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
@@ -232,7 +234,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             columns = [batch.column(0), pa.array(packed, pa.binary()), pa.array([len(p) // 4 for p in packed], pa.int64()), *batch.columns[2:]]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "n_tokens", *keep])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("__text"), *keep)
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("__text"), *keep)
     return rows.mapInArrow(of, StructType([*CODED.fields, *rows.schema.fields[2:]]))
 
 
@@ -246,7 +248,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             texts = [None if (b := x.as_py()) is None else text_of(b, table) for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
-    return encoded.mapInArrow(of, StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
+    return bounded(encoded).mapInArrow(of, StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
 
 
 def id_list(encoded: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from causaltape.llm.shared import bounded
+
 SPACE = "▁"
 WORD = regex.compile(r"\p{L}+")
 #: Log-probability of a character that no piece covers, and what a piece gets besides its expected count.
@@ -212,4 +214,4 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 at = end
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(of, "doc_id long, lang_pred string, score double")
+    return bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(of, "doc_id long, lang_pred string, score double")

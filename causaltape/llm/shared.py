@@ -13,6 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 ROLL, MIX1, MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """`df`, once the session hands Python workers batches of 8 MB and not of up to 64, so that long texts in a batch
+    of many rows don't add up. The setting stays for the session."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    return df
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

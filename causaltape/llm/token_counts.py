@@ -11,6 +11,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from causaltape.llm.shared import bounded
+
 SPACE = "▁"
 #: Segments and checked pairs a Python worker keeps; when full it starts anew.
 SEGMENTS, PAIRS, KEPT_CHARS = 700_000, 1_000_000, 32
@@ -221,7 +223,7 @@ def token_counts(docs: DataFrame, path: str, budget: int = 4096, id_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fits, pa.int64()), batch.column(2)], ["doc_id", "n_tokens", "fitting_chars", "n_bytes"])
 
     text = F.col(text_col).cast("string")
-    counted = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
+    counted = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
     return counted.mapInArrow(of, "doc_id long, n_tokens long, fitting_chars long, n_bytes long").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > budget).alias("over_limit"), "fitting_chars"
     )

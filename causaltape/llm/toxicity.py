@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from causaltape.llm.shared import bounded
+
 #: Word lists of the grammar's classes in English, French, German and Spanish.
 TARGET = "you your yours you're he she they them him tu te toi vous votre vos il elle ils du dich dir ihr euch er sie tú ti usted ustedes él ella ellos".split()
 THREAT = "kill hurt destroy beat burn stab shoot crush tuer frapper détruire brûler écraser töten schlagen zerstören verletzen verbrennen matar golpear destruir quemar herir".split()
@@ -187,7 +189,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "
             found = [", ".join(f"{n} {v:.2f}" for n, v in zip(names, row, strict=False) if v) for row in x.tolist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(found, pa.string())], ["doc_id", "score", "predicted", "matches"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(of, "doc_id long, score double, predicted int, matches string")
+    return bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(of, "doc_id long, score double, predicted int, matches string")
 
 
 def keep_harmless(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
@@ -200,4 +202,4 @@ def keep_harmless(docs: DataFrame, model: Model, threshold: float = 0.3, text_co
             x = np.array([grammar.features(t or "") for t in batch.column(at).to_pylist()], float).reshape(-1, N_FEATURES)
             yield batch.filter(pa.array(model.scores(x) < threshold))
 
-    return docs.mapInArrow(of, docs.schema)
+    return bounded(docs).mapInArrow(of, docs.schema)
