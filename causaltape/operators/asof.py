@@ -17,13 +17,14 @@ DAY_NS = 86_400_000_000_000
 def carry_last(df: DataFrame, keys: list[str], order: list[Column], value: str, bucket: str, out: str, include_current: bool = True) -> DataFrame:
     """Adds `out`: the last non-null `value` at or before (or only before) each row of its key, in the order given.
 
-    `bucket` must not fall along the order. Rows of a key with no such value get null."""
+    `bucket` must not fall along the order. Rows of a key with no such value get null. A bucket's last value is an
+    aggregate with a partial step before its exchange; only rows themselves meet in the window."""
     here = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
-    inside = df.withColumn("__in", F.last(value, ignorenulls=True).over(here)).withColumn("__rn", F.row_number().over(Window.partitionBy(*keys, bucket).orderBy(*order)))
-    latest = inside.groupBy(*keys, bucket).agg(F.max_by(F.when(F.col(value).isNotNull(), F.col(value)), F.when(F.col(value).isNotNull(), F.col("__rn"))).alias("__last"))
+    latest = df.groupBy(*keys, bucket).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("__last"))
     before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     carried = latest.select(*keys, bucket, F.last("__last", ignorenulls=True).over(before).alias("__carry"))
-    return inside.join(carried, [*keys, bucket]).withColumn(out, F.coalesce("__in", "__carry")).drop("__in", "__carry", "__rn")
+    inside = df.withColumn("__in", F.last(value, ignorenulls=True).over(here))
+    return inside.join(carried, [*keys, bucket]).withColumn(out, F.coalesce("__in", "__carry")).drop("__in", "__carry")
 
 
 def carry_sum(df: DataFrame, keys: list[str], order: list[Column], value: Column, bucket: str, out: str) -> DataFrame:
@@ -31,7 +32,7 @@ def carry_sum(df: DataFrame, keys: list[str], order: list[Column], value: Column
     here = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     inside = df.withColumn("__v", value).withColumn("__in", F.sum("__v").over(here))
     before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    totals = inside.groupBy(*keys, bucket).agg(F.sum("__v").alias("__t")).select(*keys, bucket, F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__carry"))
+    totals = df.withColumn("__v", value).groupBy(*keys, bucket).agg(F.sum("__v").alias("__t")).select(*keys, bucket, F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__carry"))
     return inside.join(totals, [*keys, bucket]).withColumn(out, F.col("__in") + F.col("__carry")).drop("__v", "__in", "__carry")
 
 
