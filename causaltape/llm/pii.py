@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from causaltape.llm.shared import bounded
+
 BASE, TAGS = ("email", "ip", "card", "phone"), ("", "person", "secret")
 KINDS = (*BASE, *TAGS[1:])
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -18,12 +19,13 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TOKEN = regex.compile(r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]")
-SENTENCE = regex.compile(r"[^\n]+")
+TOKEN = re.compile(r"\w+|[^\w\s]|\n")
 #: Characters of text whose sentences are decoded together.
 TOGETHER = 1_000_000
 
 Span = tuple[int, int, int]
+#: Stands for the end of a line among word classes.
+BORDER = -2
 
 
 def luhn(digits: str) -> bool:
@@ -125,6 +127,11 @@ def labelled() -> list[tuple[str, list[tuple[int, int, int]]]]:
 
 def shape(word: str) -> str:
     """Runs of capitals, small letters, digits and others, each as one mark; what alternates often is `mixed`."""
+    if word.isalpha():
+        if word.islower():
+            return "x"
+        if word.isupper():
+            return "X"
     marks = re.sub(r"(.)\1+", r"\1", "".join("X" if c.isupper() else "9" if c.isdigit() else "x" if c.isalpha() else c for c in word[:64]))
     return marks if len(marks) <= 3 else "mixed"
 
@@ -136,7 +143,7 @@ class Field:
     """The field's weights: by feature, offset and tag, and by pair of tags."""
 
     def __init__(self, cues: frozenset[str]):
-        self.cues, self.features, self.of_word = cues, {}, {}
+        self.cues, self.features, self.of_word = cues, {}, {"\n": BORDER}
         self.emit, self.move = np.zeros((1, len(OFFSETS), len(TAGS))), np.zeros((len(TAGS), len(TAGS)))
         self.classes: dict[tuple, int] = {}
         self.scores = np.zeros((0, len(OFFSETS), len(TAGS)))
@@ -156,8 +163,9 @@ class Field:
             if found == len(self.scores):
                 rows = [self.features[f] for f in signature if f in self.features]
                 self.scores = np.concatenate([self.scores, self.emit[rows].sum(axis=0, keepdims=True)])
-            if len(self.of_word) > 200_000:
+            if len(self.of_word) > 300_000:
                 self.of_word.clear()
+                self.of_word["\n"] = BORDER
             self.of_word[word] = found
         return found
 
@@ -196,6 +204,21 @@ class Field:
                 seen += slope**2
                 weights += rate * slope / np.sqrt(seen)
 
+    def doubtful(self, classes: np.ndarray, border: np.ndarray) -> np.ndarray:
+        """Numbers of the lines that may hold a tag; `classes` is a row of lines with a `border` entry after each.
+
+        Against no tags at all, a run of tags gains its tokens' scores over the untagged ones and at most the best
+        move at each end and between. A line in which every token loses more than two such moves has no tag."""
+        line = np.cumsum(border) - border
+        reach = max(map(abs, OFFSETS))
+        place = np.arange(len(classes)) + reach * line + reach
+        spread = np.full(len(classes) + reach * (int(line[-1]) + 3), len(self.scores))
+        spread[place[~border]] = classes[~border]
+        lead = np.concatenate([self.scores[:, :, 1:] - self.scores[:, :, :1], np.zeros((1, len(OFFSETS), len(TAGS) - 1))])
+        gain = sum(lead[:, o][spread[place + off]] for o, off in enumerate(OFFSETS)).max(axis=1)
+        best = max(0.0, float((self.move - self.move[0, 0]).max()))
+        return np.unique(line[~border & (gain + 2 * best >= 0)])
+
     def decode(self, sentences: list[np.ndarray]) -> list[np.ndarray]:
         """Viterbi for many sentences of word classes: all take a step at once, the longest first in order."""
         order = sorted(range(len(sentences)), key=lambda k: -len(sentences[k]))
@@ -255,29 +278,50 @@ class Finder:
         self.field = field
 
     def find(self, texts: list[str]) -> list[list[Span]]:
-        """All spans of each text: the base ones, and the field's that overlap none of them."""
+        """All spans of each text: the base ones, and the field's that overlap none of them.
+
+        Every line is scored; those whose scores leave a tag possible are decoded."""
         found = [base_spans(t) for t in texts]
-        class_of = self.field.class_of
-        sentences, places = [], []
-        for k, text in enumerate(texts):
-            for line in SENTENCE.finditer(text):
-                sentences.append(np.array([class_of(w) for w in TOKEN.findall(line.group())], np.int64))
-                places.append((k, line.start(), line.end()))
-        for (k, start, end), tags in zip(places, self.field.decode(sentences), strict=True):
+        field, ids, lengths = self.field, [], []
+        get = field.of_word.get
+        for text in texts:
+            tokens = [*TOKEN.findall(text), "\n"]
+            some = [get(t) for t in tokens]
+            ids += some if None not in some else [BORDER if t == "\n" else field.class_of(t) for t in tokens]
+            lengths.append(len(tokens))
+        classes = np.array(ids, np.int64)
+        border = classes == BORDER
+        if not len(classes):
+            return found
+        lines = field.doubtful(classes, border)
+        ends = np.flatnonzero(border)
+        starts = np.concatenate(([0], ends[:-1] + 1))
+        owner = np.searchsorted(np.cumsum(lengths), starts, side="right")
+        first = np.cumsum(lengths) - lengths
+        places: dict[int, list[tuple[int, int]]] = {}
+        for line, tags in zip(lines.tolist(), field.decode([classes[starts[k] : ends[k]] for k in lines.tolist()]), strict=True):
             if tags.any():
-                spans = [m.span() for m in TOKEN.finditer(texts[k], start, end)]
-                base = [(s, e) for kind, s, e in found[k] if kind < len(BASE)]
-                at = 0
-                while at < len(tags):
-                    stop = at
-                    while stop < len(tags) and tags[stop] == tags[at]:
-                        stop += 1
-                    s, e = spans[at][0], spans[stop - 1][1]
-                    if tags[at] and not any(s < y and x < e for x, y in base):
-                        found[k].append((len(BASE) + int(tags[at]) - 1, s, e))
-                    at = stop
+                k = int(owner[line])
+                if k not in places:
+                    places[k] = [m.span() for m in TOKEN.finditer(texts[k])]
+                begin = int(starts[line] - first[k])
+                found[k] += self.runs(tags, places[k][begin : begin + len(tags)], found[k])
         return [sorted(spans) for spans in found]
 
+    @staticmethod
+    def runs(tags: np.ndarray, spans: list[tuple[int, int]], known: list[Span]) -> list[Span]:
+        """Runs of one tag as spans, without those that overlap a base span."""
+        base, out, at = [(s, e) for kind, s, e in known if kind < len(BASE)], [], 0
+        while at < len(tags):
+            stop = at
+            while stop < len(tags) and tags[stop] == tags[at]:
+                stop += 1
+            s, e = spans[at][0], spans[stop - 1][1]
+            if tags[at] and not any(s < y and x < e for x, y in base):
+                out.append((len(BASE) + int(tags[at]) - 1, s, e))
+            at = stop
+        return out
+
 
 def personal_data(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, spans), one per input row; spans is an array of (kind, start, end) by kind in KINDS' order, then
@@ -303,7 +347,7 @@ def personal_data(docs: DataFrame, field: Field | None = None, id_col: str = "do
             spans = [[{"kind": KINDS[k], "start": s, "end": e} for k, s, e in found] for found in got]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, struct)], ["doc_id", "spans"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(of, "doc_id long, spans array<struct<kind:string,start:int,end:int>>")
+    return bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(of, "doc_id long, spans array<struct<kind:string,start:int,end:int>>")
 
 
 def joined(spans: Column) -> Column:
@@ -340,4 +384,4 @@ def mask(docs: DataFrame, field: Field | None = None, text_col: str = "text") ->
                 k = end
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == at else column for c, column in enumerate(batch.columns)], names)
 
-    return docs.mapInArrow(of, docs.schema)
+    return bounded(docs).mapInArrow(of, docs.schema)
