@@ -15,7 +15,7 @@ from causaltape.llm.shared import cut
 
 #: Independent codes, the filters a vector is expected to pass in each, and those that nearly all pass.
 CODES, PASSED, LEAST_PASSED = 3, 32, 8
-LEAST_WORDS, MOST_WORDS = 32, 4096
+LEAST_WORDS, MOST_WORDS, MANY_DIMS = 32, 4096, 16
 
 
 @lru_cache(maxsize=8)
@@ -32,11 +32,13 @@ def product_code(dims: int, words: int, code: int) -> tuple[np.ndarray, np.ndarr
 @lru_cache(maxsize=8)
 def cap_height(dims: int, words: int, code: int) -> float:
     """The inner product that PASSED of the words^2 filters reach for a random direction, by the share of a sphere's
-    surface in a cap; lower where a twentieth of 256 drawn directions would pass fewer than LEAST_PASSED, as in few
-    dimensions, where a product code has few directions."""
+    surface in a cap. In few dimensions a product code has few directions; there it is lower if a twentieth of 256
+    drawn directions would pass fewer than LEAST_PASSED."""
     angle = np.linspace(0, np.pi, 200_001)
     surface = np.cumsum(np.sin(angle) ** (max(dims, 2) - 2))
     height = float(np.cos(angle[np.searchsorted(surface, surface[-1] * min(0.5, PASSED / words**2))]))
+    if dims >= MANY_DIMS:
+        return height
     rotation, first, second = product_code(dims, words, code)
     drawn = np.random.default_rng([dims, 1]).standard_normal((256, dims))
     turned, half = drawn / np.linalg.norm(drawn, axis=1, keepdims=True) @ rotation, dims // 2
