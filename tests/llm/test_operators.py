@@ -395,6 +395,15 @@ def test_clusters_of_many_blocks_lose_no_link(spark, monkeypatch):
     assert got == plain_groups(rows)
 
 
+def test_pairs_at_the_threshold_are_all_found(spark):
+    rows = []
+    for i in range(1000):  # 40 shared shingles of 50
+        shared = " ".join(f"s{i}x{j}" for j in range(44))
+        rows += [(2 * i + side, f"{shared} " + " ".join(f"e{i}x{side}x{j}" for j in range(5))) for side in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert similar_documents.keep_one(docs).count() == 1000
+
+
 def test_queries_derive_the_contract_columns(spark):
     from causaltape.llm import queries
 
