@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import xxhash
@@ -404,6 +405,21 @@ def test_pairs_at_the_threshold_are_all_found(spark):
     assert similar_documents.keep_one(docs).count() == 1000
 
 
+@pytest.mark.parametrize("rows_a_batch", [7, 1000])
+def test_buckets_over_the_cap_keep_the_pairs_of_every_group(monkeypatch, rows_a_batch):
+    monkeypatch.setattr(similar_documents, "PIECE", 20)
+    sketch = {0: (0, 0), 1: (-1, -1)}
+    rows = [(k, 1000 * k + r, *sketch[r % 2]) for k in (1, 2) for r in range(150)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[s : s + rows_a_batch], strict=True)], ["key", "rep", "f1", "f2"]) for s in range(0, len(rows), rows_a_batch)]
+    root = {r[1]: r[1] for r in rows}
+    for batch in similar_documents.propose(iter(batches), 31):
+        for a, b in zip(*batch.to_pydict().values(), strict=True):
+            old, new = root[a], root[b]
+            root = {k: new if v == old else v for k, v in root.items()}
+    assert all(root[1000 * k + r] == root[1000 * k + r % 2] for k in (1, 2) for r in range(150))
+    assert root[1000] != root[2000]
+
+
 def test_queries_derive_the_contract_columns(spark):
     from causaltape.llm import queries
 
