@@ -356,12 +356,13 @@ def joined(spans: Column) -> Column:
 
 
 def masked(text: str, spans: list[Span]) -> str:
-    """The text with each span replaced by <kind>; of overlapping spans the leftmost and then longest counts."""
+    """The text with each span replaced by <kind>. Spans that overlap are masked as one, up to the last end of them, by
+    the kind of the leftmost and then longest."""
     out, at = [], 0
-    for s, e, kind in sorted((s, e, k) for k, s, e in spans):
+    for s, e, kind in sorted(((s, e, k) for k, s, e in spans), key=lambda x: (x[0], -x[1], x[2])):
         if s >= at:
             out += [text[at:s], f"<{KINDS[kind]}>"]
-            at = e
+        at = max(at, e)
     return "".join([*out, text[at:]])
 
 

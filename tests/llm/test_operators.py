@@ -298,6 +298,14 @@ def test_pii_field_finds_secrets_and_persons(spark, edge, empty):
     assert [tuple(r) for r in masked] == [(1, "mail <email> or <ip>", 5), (2, None, 6)]
 
 
+def test_masks_cover_the_union_of_overlapping_spans():
+    email, phone = pii.KINDS.index("email"), pii.KINDS.index("phone")
+    text = "call +14875557209bob.smith@example.com now"
+    assert pii.masked(text, [(email, 6, 38), (phone, 5, 17)]) == "call <phone> now"
+    assert pii.masked(text, [(phone, 5, 17), (email, 5, 38)]) == "call <email> now"
+    assert pii.masked(text, [(phone, 5, 17), (email, 17, 38)]) == "call <phone><email> now"
+
+
 def test_viterbi_equals_search_over_all_paths():
     field, rnd = pii.train(), random.Random(2)
     words = ["token", "=", '"', "a1b2c3d4e5f6a7b8", "the", ".", "Dr", "Ada", "name", ":"]
