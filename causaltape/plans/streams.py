@@ -24,13 +24,16 @@ def query(text: str | None = None, *views: str):
     return add
 
 
-def replay(spark: SparkSession, rows: DataFrame, batches: int = 3) -> DataFrame:
-    """The rows as a stream of as many micro-batches, each a span of receipt time; spans are written one by one."""
+def replay(spark: SparkSession, rows: DataFrame, batches: int = 3, ahead: int = 0) -> DataFrame:
+    """The rows as a stream of as many micro-batches, each a span of receipt time; spans are written one by one.
+    With `ahead`, one more row follows so many nanoseconds after the last, all null but its time."""
     path = shared(spark, "replay")
     low, high = rows.agg(F.min("received_ts_ns"), F.max("received_ts_ns")).first()
     width = (high - low) // batches + 1
     for b in range(batches):
         rows.where((F.col("received_ts_ns") >= low + b * width) & (F.col("received_ts_ns") < low + (b + 1) * width)).coalesce(1).write.mode("append").parquet(path)
+    if ahead:
+        rows.limit(0).unionByName(spark.range(1).select(F.lit(high + ahead).alias("received_ts_ns")), allowMissingColumns=True).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -80,6 +83,6 @@ def r6_sliding_lookback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def r8_incident_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions of error events that are final; the last ones of the stream stay open."""
-    fired = replay(spark, fx.ticks(spark, sf_dir).where("event_type = 'error'"))
+    """Sessions of error events. A last row far ahead closes those that are open at the end; its own stays open."""
+    fired = replay(spark, fx.ticks(spark, sf_dir).where("event_type = 'error'"), ahead=fx.DAY)
     return jobs.drain(jobs.incident_stream(fired, ["instrument"], "received_ts_ns", "1 hour"), shared(spark, "r8")).drop("w")

@@ -38,6 +38,23 @@ def test_query_without_sql_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_incident_sessions_equal_a_plain_loop(spark):
+    from causaltape.plans import fixtures as fx
+
+    times, want = {}, []
+    for r in fx.ticks(spark, SF).where("event_type = 'error'").collect():
+        times.setdefault(r["instrument"], []).append(r["received_ts_ns"])
+    for instrument, seen in times.items():
+        seen.sort()
+        first = 0
+        for k in range(1, len(seen) + 1):
+            if k == len(seen) or seen[k] // 1000 - seen[k - 1] // 1000 >= fx.HOUR // 1000:
+                want.append((instrument, k - first, seen[first], seen[k - 1]))
+                first = k
+    got = QUERIES["r8_incident_sessions"](spark, SF).collect()
+    assert sorted((r["instrument"], r["firings"], r["start_ns"], r["end_ns"]) for r in got) == sorted(want)
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__
 
