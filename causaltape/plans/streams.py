@@ -24,22 +24,27 @@ def query(text: str | None = None, *views: str):
     return add
 
 
-def replay(spark: SparkSession, rows: DataFrame, batches: int = 3, ahead: int = 0) -> DataFrame:
-    """The rows as a stream of as many micro-batches, each a span of receipt time; spans are written one by one.
-    With `ahead`, one more row follows so many nanoseconds after the last, all null but its time."""
-    path = shared(spark, "replay")
-    low, high = rows.agg(F.min("received_ts_ns"), F.max("received_ts_ns")).first()
-    width = (high - low) // batches + 1
-    for b in range(batches):
-        rows.where((F.col("received_ts_ns") >= low + b * width) & (F.col("received_ts_ns") < low + (b + 1) * width)).coalesce(1).write.mode("append").parquet(path)
-    if ahead:
+#: Rows of a micro-batch, about; no task of a stream gets more at a time, even of one key.
+BATCH_ROWS = 100_000
+
+
+def replay(spark: SparkSession, rows: DataFrame, order: str = "received_ts_ns", ahead: int = 0) -> DataFrame:
+    """The rows as a stream of micro-batches, three or as many as BATCH_ROWS asks for, each a span of `order`. Spans are
+    cut in parallel, by their number of rows, and then handed on one file at a time, as the stream takes files by age.
+    With `ahead`, one more row follows so many nanoseconds of receipt after the last, all null but its time."""
+    path, parts = shared(spark, "replay"), shared(spark, "replay-parts")
+    count, high = rows.agg(F.count("*"), F.max("received_ts_ns")).first()
+    rows.repartitionByRange(max(3, -(-count // BATCH_ROWS)), order).write.parquet(parts)
+    for part in sorted(spark.read.schema(rows.schema).parquet(parts).inputFiles()):
+        spark.read.schema(rows.schema).parquet(part).coalesce(1).write.mode("append").parquet(path)
+    if ahead and count:
         rows.limit(0).unionByName(spark.range(1).select(F.lit(high + ahead).alias("received_ts_ns")), allowMissingColumns=True).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 @query(f"WITH {market.AVAILABLE} SELECT instrument, timeframe, bar_open_ns, bar_close_ns, available_time_ns, trigger_sequence FROM avail", "ticks", "frames")
 def r1_availability_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ticks = replay(spark, fx.ticks(spark, sf_dir))
+    ticks = replay(spark, fx.ticks(spark, sf_dir), "source_sequence")
     return jobs.drain(jobs.availability_stream(ticks, fx.BAR_FRAMES), shared(spark, "r1")).where("not violation").drop("violation")
 
 
@@ -47,7 +52,7 @@ def r1_availability_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def r2_order_enforcement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every 50th tick sent back two hours: the stream emits just those as violations."""
     t = fx.ticks(spark, sf_dir).withColumn("event_ts_ns", F.when(F.col("source_sequence") % 50 == 7, F.col("event_ts_ns") - 400 * fx.DAY).otherwise(F.col("event_ts_ns")))
-    got = jobs.drain(jobs.availability_stream(replay(spark, t), {"1h": fx.HOUR}), shared(spark, "r2"))
+    got = jobs.drain(jobs.availability_stream(replay(spark, t, "source_sequence"), {"1h": fx.HOUR}), shared(spark, "r2"))
     return got.where("violation").select("instrument", "timeframe", "trigger_sequence")
 
 

@@ -55,6 +55,19 @@ def test_incident_sessions_equal_a_plain_loop(spark):
     assert sorted((r["instrument"], r["firings"], r["start_ns"], r["end_ns"]) for r in got) == sorted(want)
 
 
+def test_replay_bounds_the_rows_of_a_batch(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from causaltape.plans import streams
+
+    monkeypatch.setattr(streams, "BATCH_ROWS", 100, raising=False)
+    rows = spark.range(2000).select("id", (F.col("id") + F.when(F.col("id") > 1990, 10**9).otherwise(0)).alias("received_ts_ns"))
+    seen = []
+    streams.replay(spark, rows).writeStream.foreachBatch(lambda b, _: seen.append([r["id"] for r in b.collect()])).trigger(availableNow=True).start().awaitTermination()
+    seen = [sorted(b) for b in seen if b]
+    assert max(map(len, seen)) <= 200 and sum(seen, []) == list(range(2000))
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__
 
