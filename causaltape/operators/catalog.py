@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from causaltape.functions.clock import rfc3339_ns
+from causaltape.sources.lake import cut
 
 
 def faceted(records: DataFrame, wanted: dict[str, str]) -> DataFrame:
@@ -57,20 +58,22 @@ def illegal_transitions(observed: DataFrame, allowed: DataFrame) -> DataFrame:
     return observed.join(allowed, ["from_state", "to_state"], "left_anti")
 
 
-def ancestors(edges: DataFrame, child: str = "child", parent: str = "parent", most_levels: int = 64) -> DataFrame:
-    """All (node, ancestor, distance) of a lineage, by joining the frontier to the edges level by level. A node on a
-    cycle reaches itself and is then not followed again, so cycles end; `most_levels` bounds the depth.
-
-    Edges are declarations of detectors and objects; the frontier shrinks as known pairs leave it."""
-    edge = edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).distinct().persist()
-    step = edge.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("next"))
-    known, frontier = edge.withColumn("distance", F.lit(1)), edge.withColumn("distance", F.lit(1))
-    for level in range(2, most_levels + 1):
-        frontier = frontier.join(step, "ancestor").select("node", F.col("next").alias("ancestor"), F.lit(level).alias("distance")).distinct().join(known.select("node", "ancestor"), ["node", "ancestor"], "left_anti").persist()
-        if frontier.isEmpty():
-            break
-        known = known.unionByName(frontier)
-    return known.groupBy("node", "ancestor").agg(F.min("distance").alias("distance"))
+def ancestors(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
+    """All (node, ancestor, distance) of a lineage, of any depth, by path doubling: each round joins the known paths to
+    themselves, so paths of up to 2^k edges are known after k rounds. A node on a cycle reaches itself at the length of
+    the shortest one, and rounds end once no distance is new. A round's paths are written to the shared folder, so the
+    plan stays one join deep and a lost executor costs its running tasks alone."""
+    known = edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).alias("distance")).where("node is not null and ancestor is not null").distinct()
+    state = None
+    while True:
+        known = cut(known, "lineage")
+        now = known.agg(F.count("*"), F.sum("distance")).first()
+        if now == state:
+            return known
+        state = now
+        step = known.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("next"), F.col("distance").alias("more"))
+        longer = known.join(step, "ancestor").select("node", F.col("next").alias("ancestor"), (F.col("distance") + F.col("more")).alias("distance"))
+        known = known.unionByName(longer).groupBy("node", "ancestor").agg(F.min("distance").alias("distance"))
 
 
 def lineage_faults(nodes: DataFrame, edges: DataFrame, node: str = "node", child: str = "child", parent: str = "parent") -> DataFrame:

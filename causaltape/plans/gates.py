@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from causaltape.functions import clock, scalars
 from causaltape.operators import population, quality, statistics
+from causaltape.operators.asof import carry_sum
 from causaltape.plans import fixtures as fx
 from causaltape.plans import market
 from causaltape.plans.fixtures import sql, table
 from causaltape.sources import lake
+from causaltape.sources.lake import shared
 
 QUERIES, SQL = {}, {}
 
@@ -50,9 +52,9 @@ def s3_multi_part_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).groupBy("origin").agg(F.count("*").alias("rows"))
 
 
-@query("SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS row_index FROM events WHERE event_id % 100 = 0 OR true QUALIFY event_id % 100 = 0")
+@query("SELECT event_id, 'events.parquet' AS part, row_number() OVER (ORDER BY event_id) - 1 AS row_index FROM events")
 def s4_row_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lake.with_source(table(spark, sf_dir, "events")).where("event_id % 100 = 0").select("event_id", "row_index")
+    return lake.with_source(table(spark, sf_dir, "events")).select("event_id", "part", "row_index")
 
 
 @query("SELECT count(*) AS rows, min(o_orderkey) AS min_o_orderkey, max(o_orderkey) AS max_o_orderkey FROM orders")
@@ -67,15 +69,6 @@ def s6_cutoff_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").where("o_orderdate < timestamp_ntz'1995-03-01 00:00:00'").select("o_orderkey", "o_totalprice")
 
 
-def shared(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share, or in a temporary one where none is set (tests)."""
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-tables-")
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 @query(f"WITH {market.AVAILABLE} SELECT timeframe, count(*) AS records, max(available_time_ns) AS last_ns FROM avail WHERE available_time_ns < {B} GROUP BY ALL", "ticks", "frames")
 def s7_json_availability_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Availability records written as JSON lines and read back below the cutoff."""
@@ -223,11 +216,11 @@ def q11_numeric_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Scalar functions
 
 
-@query("SELECT source_sequence, state, eid FROM snapshots WHERE source_sequence % 3 = 0", "snapshots")
+@query("SELECT source_sequence, state, eid FROM snapshots", "snapshots")
 def f1_payload_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.to_json(F.struct(F.struct("state", F.col("eid").alias("event_id")).alias("drift_burst_state")))
     parsed = scalars.parse_payload(text).getField("drift_burst_state")
-    return fx.snapshots(spark, sf_dir).where("source_sequence % 3 = 0").select("source_sequence", parsed.state.alias("state"), parsed.event_id.alias("eid"))
+    return fx.snapshots(spark, sf_dir).select("source_sequence", parsed.state.alias("state"), parsed.event_id.alias("eid"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
@@ -318,10 +311,12 @@ def w16_attribute_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Sorts, limits, sets
 
 
-@query("SELECT anchor_id, row_number() OVER (ORDER BY anchor_time, anchor_seq, anchor_id) AS place FROM anchors QUALIFY row_number() OVER (ORDER BY anchor_time, anchor_seq, anchor_id) <= 100", "anchors")
+@query("SELECT anchor_id, row_number() OVER (ORDER BY anchor_time, anchor_seq, anchor_id) AS place FROM anchors", "anchors")
 def t1_deterministic_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = fx.anchors(spark, sf_dir).orderBy(F.asc_nulls_last("anchor_time"), F.asc_nulls_last("anchor_seq"), "anchor_id").limit(100)
-    return first.select("anchor_id", F.row_number().over(Window.orderBy("anchor_time", "anchor_seq", "anchor_id")).cast("long").alias("place"))
+    """The place of every anchor. Places count on from the day buckets before, so no task sorts all anchors."""
+    a = fx.anchors(spark, sf_dir).select("anchor_id", "anchor_time", "anchor_seq").withColumn("day", clock.floor_div(F.coalesce("anchor_time", F.lit(2**62)), fx.DAY))
+    placed = carry_sum(a, [], [F.asc_nulls_last("anchor_time"), F.asc_nulls_last("anchor_seq"), F.col("anchor_id")], F.lit(1), "day", "place")
+    return placed.select("anchor_id", F.col("place").cast("long").alias("place"))
 
 
 @query("SELECT p_brand, p_partkey, CASE WHEN row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) > 3 THEN 'BOUNDED_OUT' END AS reason FROM part")

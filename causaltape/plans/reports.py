@@ -193,11 +193,11 @@ def j12_leaf_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leafed(spark, sf_dir).groupBy("leaf", "instrument").agg(F.count("*").alias("n"))
 
 
-@query("""WITH refs AS (SELECT source_sequence AS row_id, event_ts_ns, unnest([source_sequence - 1, source_sequence + 1]) AS input_id FROM ticks WHERE source_sequence % 9 = 0)
+@query("""WITH refs AS (SELECT source_sequence AS row_id, event_ts_ns, unnest([source_sequence - 1, source_sequence + 1]) AS input_id FROM ticks)
   SELECT row_id, input_id, CASE WHEN t.source_sequence IS NULL THEN 'UNKNOWN_INPUT' ELSE 'FUTURE_INPUT' END AS reason FROM refs r LEFT JOIN ticks t ON t.source_sequence = input_id WHERE t.source_sequence IS NULL OR t.received_ts_ns > r.event_ts_ns""", "ticks")
 def j13_input_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = fx.ticks(spark, sf_dir)
-    rows = t.where("source_sequence % 9 = 0").select(F.col("source_sequence").alias("row_id"), "event_ts_ns", F.array(F.col("source_sequence") - 1, F.col("source_sequence") + 1).alias("input_ids"))
+    rows = t.select(F.col("source_sequence").alias("row_id"), "event_ts_ns", F.array(F.col("source_sequence") - 1, F.col("source_sequence") + 1).alias("input_ids"))
     return evaluation.unavailable_inputs(rows, t.select(F.col("source_sequence").alias("input_id"), F.col("received_ts_ns").alias("available_time_ns")), "row_id", "event_ts_ns")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from causaltape.plans import fixtures as fx
 from causaltape.plans import market
 from causaltape.plans.fixtures import sql
-from causaltape.plans.gates import shared
+from causaltape.sources.lake import shared
 from causaltape.streaming import jobs
 
 QUERIES, SQL = {}, {}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -9,6 +12,26 @@ from pyspark.sql.types import StructType
 from causaltape.functions.scalars import parse_payload
 
 
+def shared(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that driver and executors share, spark.checkpoint.dir. Where that is unset, a local
+    session (tests) takes a temporary one and a cluster is refused, as each executor would write to its own disk."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "local[*]").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="spark-tables-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, label: str) -> DataFrame:
+    """`df` written as Parquet in the shared folder and read back: its plan ends here, it is worked out once however
+    often it is used, and a lost executor costs its running tasks alone."""
+    path = shared(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scan(spark: SparkSession, path: str, columns: list[str], schema: StructType | None = None) -> DataFrame:
     """Only the named columns; an unknown name is an error. Order of parts never matters: clocks give the order."""
     reader = spark.read.schema(schema) if schema else spark.read
