@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import xxhash
@@ -25,14 +26,21 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session (tests)
+    takes a new one and a cluster is refused, as each executor would write to its own disk."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local[*]").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Where the tables that `cut` wrote lie, while they are in use.
+WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Writes `df` as Parquet in the shared folder and reads it back: lineage ends here, and a lost executor costs
     nothing but its running tasks. Reading back also forgets the partitioning, so that a later join on a hot key
@@ -40,16 +48,18 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    WRITTEN[back] = path
+    return back
 
 
 def drop_table(df: DataFrame) -> None:
-    """Deletes the files of a table that `cut` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if path.rstrip("/").startswith(shared_dir(spark).removeprefix("file://")) or path.startswith(shared_dir(spark)):
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    """Deletes the files of a table that `cut` wrote, once nothing reads it any more. A session without access to
+    Hadoop's file system leaves them for whoever clears the shared folder."""
+    spark, path = df.sparkSession, WRITTEN.pop(df, None)
+    if path and hasattr(spark, "_jvm"):
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def words_of(text: str | None) -> list[bytes]:

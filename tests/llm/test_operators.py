@@ -404,6 +404,16 @@ def test_clusters_of_many_blocks_lose_no_link(spark, monkeypatch):
     assert got == plain_groups(rows)
 
 
+def test_members_outside_the_largest_component_meet_every_block(spark, monkeypatch):
+    monkeypatch.setattr(similar_documents, "BLOCK_SHINGLES", 300)
+    monkeypatch.setattr(similar_documents, "PIECE", 6)
+    base = [f"c{i}" for i in range(60)]  # a chain: neighbours are similar, far ends are not, so stars link too much
+    rows = [(i, " ".join(base[:44] + [f"t{j}" for j in range(i, i + 16)])) for i in range(40)]
+    rows += [(100 + i, " ".join([*base[:40], *(f"z{i % 3}x{j}" for j in range(20))])) for i in range(12)]
+    got = {r["doc_id"]: r["component_id"] for r in similar_documents.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_groups(rows)
+
+
 def test_pairs_at_the_threshold_are_all_found(spark):
     rows = []
     for i in range(1000):  # 40 shared shingles of 50
