@@ -167,6 +167,57 @@ def test_embeddings_find_all_links_above_the_threshold(spark):
     assert got[704] == (1, 704, True) and got[705] == (1, 704, False)
 
 
+def plain_links(rows, threshold=0.93):
+    """{row number: (n_links, component_id)} of (id, vector, label) rows, all good."""
+    x = np.array([np.array(v) / np.linalg.norm(v) for _, v, _ in rows])
+    label = np.array([l for *_, l in rows])
+    near = (x @ x.T >= threshold) & (label[:, None] == label)
+    np.fill_diagonal(near, False)
+    group = np.arange(len(rows))
+    while (new := np.array([min(group[k], *group[near[k]], group[k]) for k in range(len(rows))])).tolist() != group.tolist():
+        group = new
+    ids = np.array([i for i, *_ in rows])
+    return [(int(i), int(near[k].sum()), int(ids[group == group[k]].min())) for k, i in enumerate(ids)]
+
+
+def test_embeddings_repeated_ids_and_extra_columns(spark):
+    turn = lambda d: [float(np.cos(np.radians(d))), float(np.sin(np.radians(d)))]
+    rows = [(1, turn(0), 0), (3, turn(5), 0), (3, turn(90), 0), (7, turn(95), 0), (7, turn(200), 0)]
+    frame = spark.createDataFrame([(*r, 9, "n", 0.5) for r in rows], "vec_id long, embedding array<float>, label int, pid long, ball string, copies double")
+    got = [tuple(r)[:3] for r in embeddings.near_duplicates(frame).collect()]
+    assert sorted(got) == sorted(plain_links(rows)) == [(1, 1, 1), (3, 1, 1), (3, 1, 3), (7, 0, 7), (7, 1, 3)]
+    assert embeddings.near_duplicates(frame.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("dims", [2, 3, 8, 64])
+def test_balls_of_many_widths_count_every_link(spark, dims):
+    """Groups tighter than a ball, wider than one, and chains, in few and many dimensions."""
+    rng = np.random.default_rng(dims)
+    rows = []
+    for g, spread in enumerate((0.02, 0.1, 0.2, 0.3, 0.45) * 3):
+        centre = rng.standard_normal(dims)
+        centre /= np.linalg.norm(centre)
+        rows += [(len(rows) + i, (centre + rng.standard_normal(dims) * spread / np.sqrt(dims)).tolist(), g % 2) for i in range(30)]
+    got = sorted(tuple(r)[:3] for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    want = sorted(plain_links(rows))
+    assert sum(abs(a[1] - b[1]) for a, b in zip(got, want, strict=True)) <= 0.001 * sum(b[1] for b in want)
+    assert sum(a[2] != b[2] for a, b in zip(got, want, strict=True)) <= 1
+
+
+@pytest.mark.parametrize(("words", "pairs"), [(32, 4000), (512, 4000), (4096, 1500)])
+def test_filters_miss_few_pairs_at_the_threshold_at_any_size(words, pairs):
+    rng, hit = np.random.default_rng(1), np.zeros(pairs, bool)
+    x, y = rng.standard_normal((2, pairs, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = 0.93 * x + np.sqrt(1 - 0.93**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    for code in range(embeddings.CODES):
+        for at in range(0, pairs, 500):
+            one, two = (set(zip(*(k.tolist() for k in embeddings.passed_filters(z[at : at + 500], words, code)), strict=True)) for z in (x, y))
+            hit[[at + r for r, _ in one & two]] = True
+    assert 1 - hit.mean() <= 0.002
+
+
 def test_language_id_held_out_accuracy(spark, edge, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = language_id.held_out(docs.doc_id)
