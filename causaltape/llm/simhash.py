@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from causaltape.llm.components import connected_components
-from causaltape.llm.shared import bounded, cut
+from causaltape.llm.shared import bounded, cut, drop_table
 
 BITS = 64
 #: Shingles whose bits are counted at once; bounds memory for very long texts.
@@ -69,26 +69,25 @@ def signed(x: int) -> int:
 
 
 def near_links(points: DataFrame, radius: int = 2) -> DataFrame:
-    """Edges (a, b) whose components are those of "differs in at most `radius` bits", from distinct rows (rep, fp).
+    """Edges (a, b) whose components are those of "differs in at most `radius` bits", from distinct rows (fp).
 
-    Every pair within the radius shares a bucket (table, masked fingerprint) of the covering masks. Inside shared
-    buckets pairs are never listed: each member names the points within radius/2 flips of bits its bucket's mask
-    leaves out. Two members that name one point are at most `radius` apart, and any two that close name a common
-    one, so linking each point's members to the smallest is exact. A point is named by a bounded number of distinct
-    fingerprints however large a bucket is. The radius must be even.
+    Every pair within the radius shares a bucket (table, masked fingerprint) of the covering masks, and only members of
+    shared buckets go on. Inside a bucket pairs are never listed: each member names the points within radius/2 flips of
+    the bits that the bucket's own mask leaves out. Two members that name one point are at most `radius` apart, and any
+    two that close name a common one in the bucket they share, so linking each point's members to the smallest is exact.
+    A point is named by a bounded number of distinct fingerprints however large a bucket is. The radius must be even.
     """
     if radius % 2 or not 0 <= radius <= 4:
         raise ValueError("radius must be 0, 2 or 4")
-    masks = [signed(m) for m in covering_masks(radius)]
-    tables = F.array(*[F.struct(F.lit(i).alias("t"), F.lit(m).alias("mask")) for i, m in enumerate(masks)])
-    dealt = points.select("rep", "fp", F.inline(tables)).select("rep", "fp", "t", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
+    masks = covering_masks(radius)
+    flips = [[signed(sum(1 << b for b in c)) for k in range(radius // 2 + 1) for c in combinations([b for b in range(BITS) if not m >> b & 1], k)] for m in masks]
+    tables = F.array(*[F.struct(F.lit(i).alias("t"), F.lit(signed(m)).alias("mask")) for i, m in enumerate(masks)])
+    dealt = points.select("fp", F.inline(tables)).select("fp", "t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
     shared = cut(dealt.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").select("t", "key"), "buckets")
-    members = dealt.join(shared, ["t", "key"], "left_semi").groupBy("rep", "fp").agg(F.bit_or(F.bitwise_not("mask")).alias("free"))
-    flips = [0, *(sum(1 << b for b in c) for k in range(1, radius // 2 + 1) for c in combinations(range(BITS), k))]
-    near = F.filter(F.array(*[F.lit(signed(f)) for f in flips]), lambda f: f.bitwiseAND(F.bitwise_not(F.col("free"))) == 0)
-    named = members.select("rep", F.explode(F.transform(near, lambda f: f.bitwiseXOR(F.col("fp")))).alias("point"))
-    groups = named.groupBy("point").agg(F.collect_set("rep").alias("reps")).where(F.size("reps") > 1)
-    return groups.select(F.array_min("reps").alias("a"), F.explode("reps").alias("b")).where("a != b").distinct()
+    free = F.element_at(F.array(*[F.array(*[F.lit(f) for f in some]) for some in flips]), F.col("t") + 1)
+    named = dealt.join(shared, ["t", "key"], "left_semi").select("fp", F.explode(F.transform(free, lambda f: f.bitwiseXOR(F.col("fp")))).alias("point"))
+    groups = named.groupBy("point").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
+    return groups.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a != b")
 
 
 def hex_of(fp: Column) -> Column:
@@ -101,13 +100,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id is the smallest id reachable by links between fingerprints that differ in at most `radius` bits.
     Rows with equal fingerprints are one point from the start, so a huge group of copies costs one row per map task.
     Null or empty text has fingerprint 0 and is linked like any other. A row with a null id links with nothing and
-    has a null component. Rows with equal ids are kept; they share what either is linked to only through their
-    fingerprints. An empty table gives an empty result. Other columns are ignored.
+    has a null component. Rows with equal ids are kept; each is linked through its own fingerprint alone. An empty
+    table gives an empty result. Other columns are ignored.
     """
     fps = cut(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    points = cut(fps.where("id is not null").groupBy("fp").agg(F.min("id").alias("rep")), "points")
-    joined = connected_components(near_links(points, radius))
-    classes = cut(points.join(joined, points.rep == joined.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "classes")
+    points = cut(fps.where("id is not null").groupBy("fp").agg(F.min("id").alias("least")), "points")
+    joined = connected_components(near_links(points.select("fp"), radius))
+    rooted = cut(points.join(joined, points.fp == joined.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root")), "rooted")
+    classes = cut(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id"), "classes")
+    for done in (points, rooted):
+        drop_table(done)
     return fps.join(classes, "fp", "left").select(
         F.col("id").alias("doc_id"), hex_of(F.col("fp")).alias("fingerprint"), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id")
     )

@@ -90,10 +90,21 @@ def test_simhash_matches_brute_force(spark, texts, edge, empty):
 def test_simhash_links_dense_groups_without_pairs(spark):
     points = [(i, random.Random(3).getrandbits(60) ^ (1 << (i % 20)) ^ (1 << (i // 20))) for i in range(200)]
     points = list({p: i for i, p in reversed(points)}.items())
-    df = spark.createDataFrame([(i, p) for p, i in points], "rep long, fp long")
+    df = spark.createDataFrame([(p,) for p, _ in points], "fp long")
     got = {r["node"]: r["component"] for r in connected_components(simhash.near_links(df)).collect()}
-    links = [(a, b) for p, a in points for q, b in points if a < b and (p ^ q).bit_count() <= 2]
-    assert got == {n: c for n, c in components([i for _, i in points], links).items() if any(n in e for e in links)}
+    links = [(p, q) for p, _ in points for q, _ in points if p < q and (p ^ q).bit_count() <= 2]
+    assert got == {n: c for n, c in components([p for p, _ in points], links).items() if any(n in e for e in links)}
+
+
+def test_simhash_keeps_rows_of_one_id_apart(spark, monkeypatch):
+    near = lambda fp, *bits: fp ^ sum(1 << b for b in bits)
+    one, two = 0x1234_5678_9ABC_DEF0, 0x0FED_CBA9_8765_4321
+    prints = {"a": near(one, 3), "b": one, "c": two, "d": two, "e": near(two, 9, 60)}
+    rows = [(1, "a"), (3, "b"), (3, "c"), (7, "d"), (8, "e")]
+    fake = spark.createDataFrame([(i, prints[t]) for i, t in rows], "id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: fake)
+    got = sorted((r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(fake).collect())
+    assert got == sorted((i, format(prints[t], "016x"), c) for (i, t), c in zip(rows, (1, 1, 3, 3, 3), strict=True))
 
 
 def plain_removal(rows, size=13):
