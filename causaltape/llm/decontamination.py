@@ -68,7 +68,7 @@ class MultiIndex:
             near = (values[:, None] ^ flips).ravel()
             order = np.argsort(near, kind="stable")
             begin = np.concatenate(([0], np.cumsum(np.bincount(near, minlength=2**width))))
-            self.tables.append((begin.astype(np.int32), (order // len(flips)).astype(np.int16)))
+            self.tables.append((begin.astype(np.int32), (order // len(flips)).astype(np.int16 if len(prints) < 1 << 15 else np.int32)))
 
     def search(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, item) of every pair within the radius."""
@@ -175,7 +175,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, least:
 
 def item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of about ITEMS rows at most; a single empty block if there are none."""
-    wanted = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("item_text")).where("item is not null and item_text is not null")
+    wanted = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("item_text")).where("item is not null and item_text is not null").distinct()
     blocks = max(1, -(-wanted.count() // ITEMS))
     for block in range(blocks):
         rows = wanted.where(F.pmod(F.xxhash64("item", "item_text"), F.lit(blocks)) == block).sort("item", "item_text").collect()

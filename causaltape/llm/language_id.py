@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from causaltape.llm.shared import bounded
+from causaltape.llm.shared import bounded, drawn
 
 SPACE = "▁"
 WORD = regex.compile(r"\p{L}+")
@@ -121,14 +121,12 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, path: str, most: int = 8000, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fits piece probabilities per language by expectation-maximisation on a sample of about `most` labelled rows.
 
-    The sample is drawn by a hash of the id, so it doesn't depend on partitioning. Words are counted per language in
-    Spark; each round sums expected piece counts over partitions. What reaches the driver is one row per piece of the
+    The sample is drawn by a hash of id and text, so it doesn't depend on partitioning; repeated rows count once. Words
+    are counted per language in Spark; each round sums expected piece counts over partitions. What reaches the driver is one row per piece of the
     fixed vocabulary and language. Rows with null text or language are left out.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    n = rows.count()
-    share = min(1.0, most / max(1, n))
-    sample = rows.where(F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    sample = rows.where(drawn(rows.count(), most, 5, "id", "text")).distinct()
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("word"))
     counted = words.groupBy("lang", "word").count().persist()
     totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("count").alias("n")).collect()}

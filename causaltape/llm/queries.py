@@ -52,9 +52,7 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
     """Learns from the labelled documents that are not held out."""
-    known = labels.select(F.col("doc_id").alias("labelled"), "toxic").where("labelled is not null and toxic is not null").groupBy("labelled").agg(F.max("toxic").alias("toxic"))
-    kept = docs.select("doc_id", "text").where(~toxicity.held_out(F.col("doc_id")))
-    return toxicity.train(kept.join(known, kept.doc_id == known.labelled))
+    return toxicity.train(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

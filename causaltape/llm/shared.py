@@ -8,7 +8,8 @@ from weakref import WeakKeyDictionary
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Odd multiplier of the rolling window hash and the two multipliers of its finalizer.
 ROLL, MIX1, MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -62,6 +63,18 @@ def drop_table(df: DataFrame) -> None:
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def threshold(rows: int, most: int) -> int | None:
+    """The signed 64-bit number that about `most` of `rows` 64-bit hashes lie below; None if all may stay."""
+    return None if rows <= most else (most << 64) // rows - (1 << 63)
+
+
+def drawn(rows: int, most: int, seed: int, *key: str | Column) -> Column:
+    """Whether a row is in a sample of about `most` of so many rows: by a full-width hash of its key, so that the sample
+    doesn't depend on partitioning and is never empty for want of digits. Rows of equal keys stay or go together."""
+    below = threshold(rows, most)
+    return F.lit(True) if below is None else F.xxhash64(F.lit(seed), *key) < F.lit(below)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Maximal runs of bytes other than the six ASCII white-space characters."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

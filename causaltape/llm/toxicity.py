@@ -3,7 +3,8 @@
 Five small transducers read the word classes of a clause side by side: insults, threats (a violent verb near its
 target), targets (somebody is addressed), negation (within a few words before) and reported speech (a verb of saying
 or an open quotation before). Their composition is one table of states; each match it emits carries what the others
-say about it. A document's features are the weighted matches of its clauses, not its words alone.
+say about it. A sentence's end puts all of them back to their start, but an open quotation lasts to the end of its
+paragraph. A document's features are the weighted matches of its clauses, not its words alone.
 """
 
 from __future__ import annotations
@@ -17,16 +18,17 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from causaltape.llm.shared import bounded
+from causaltape.llm.shared import bounded, drawn
 
 #: Word lists of the grammar's classes in English, French, German and Spanish.
 TARGET = "you your yours you're he she they them him tu te toi vous votre vos il elle ils du dich dir ihr euch er sie tú ti usted ustedes él ella ellos".split()
 THREAT = "kill hurt destroy beat burn stab shoot crush tuer frapper détruire brûler écraser töten schlagen zerstören verletzen verbrennen matar golpear destruir quemar herir".split()
 NEGATION = "not no never neither nor isn't aren't don't won't ne pas jamais aucun nicht kein keine nie niemals nunca jamás ningún".split()
 REPORT = "said says wrote writes quoted called reported claimed dit écrit déclare rapporte sagte sagt schrieb berichtet dijo dice escribió afirma".split()
-OTHER, INSULT, IS_TARGET, IS_THREAT, NEGATES, REPORTS, QUOTE = range(7)
+OTHER, INSULT, IS_TARGET, IS_THREAT, NEGATES, REPORTS, QUOTE, STOP = range(8)
 TOKEN = regex.compile(r"[\p{L}']+|[\"“”«»]|[.!?;\n|]")
-ENDS, QUOTES = frozenset(".!?;\n|"), frozenset("\"“”«»")
+#: What ends a sentence, what ends a paragraph as well, and quotation marks.
+STOPS, BREAKS, QUOTES = frozenset(".!?;"), frozenset("\n|"), frozenset("\"“”«»")
 #: How many words a negation reaches forward, and how far apart a threat and its target may stand.
 REACH, NEAR = 3, 4
 #: Features: insults and threats, each plain or directed, negated or not, reported or not.
@@ -35,20 +37,22 @@ MATCHES = [*product(("insult", "threat"), (False, True), (False, True), (False,
 
 def machines() -> list[tuple[int, callable]]:
     """(start, step) of each transducer; step(state, class) gives the next state and what the state says of a match."""
-    insult = (0, lambda s, c: (0, c == INSULT))
-
     def threat(s: int, c: int) -> tuple[int, bool]:
         # positive: words since a violent verb that awaits its target; negative: words since a target
         if c == IS_THREAT:
             return (0, True) if s < 0 else (NEAR, False)
         if c == IS_TARGET:
             return (0, True) if s > 0 else (-NEAR, False)
-        return (s - (s > 0) + (s < 0), False)
+        return (0 if c == STOP else s - (s > 0) + (s < 0), False)
 
-    target = (0, lambda s, c: (int(s or c == IS_TARGET), bool(s)))
-    negation = (0, lambda s, c: (REACH, s > 0) if c == NEGATES else (max(0, s - 1), s > 0))
-    report = (0, lambda s, c: (2 if c == REPORTS else 1 - s if c == QUOTE and s < 2 else s, s > 0))
-    return [insult, (0, threat), target, negation, report]
+    def report(s: int, c: int) -> tuple[int, bool]:
+        # 1: a quotation is open; 2: a verb of saying stood in this sentence
+        return (s & 1 if c == STOP else s ^ 1 if c == QUOTE else s | 2 if c == REPORTS else s, s > 0)
+
+    insult = (0, lambda s, c: (0, c == INSULT))
+    target = (0, lambda s, c: (int(c != STOP and (s or c == IS_TARGET)), bool(s)))
+    negation = (0, lambda s, c: (REACH, s > 0) if c == NEGATES else (0 if c == STOP else max(0, s - 1), s > 0))
+    return [insult, (0, threat), target, negation, (0, report)]
 
 
 def compose() -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +63,7 @@ def compose() -> tuple[np.ndarray, np.ndarray]:
     at = {m: i for i, m in enumerate(MATCHES)}
     while k < len(order):
         row, out = [], []
-        for c in range(QUOTE + 1):
+        for c in range(STOP + 1):
             stepped = [step(s, c) for s, (_, step) in zip(order[k], parts, strict=True)]
             new = tuple(s for s, _ in stepped)
             if new not in number:
@@ -78,7 +82,7 @@ class Grammar:
     def __init__(self, insults: dict[str, float]):
         self.insults = insults
         self.kind = {w: c for c, words in ((REPORTS, REPORT), (NEGATES, NEGATION), (IS_TARGET, TARGET), (IS_THREAT, THREAT)) for w in words}
-        self.kind |= dict.fromkeys(insults, INSULT) | dict.fromkeys(QUOTES, QUOTE)
+        self.kind |= dict.fromkeys(insults, INSULT) | dict.fromkeys(QUOTES, QUOTE) | dict.fromkeys(STOPS, STOP)
         self.marked = frozenset(insults) | frozenset(THREAT)
         following, emitted = compose()
         self.following, self.emitted = following.tolist(), emitted.tolist()
@@ -89,9 +93,11 @@ class Grammar:
         sums, heaviest, clause, state = [0.0] * len(MATCHES), 0.0, 0.0, 0
         if not self.marked.isdisjoint(tokens):
             for token in tokens:
-                if token in ENDS:
+                if token in BREAKS:
                     heaviest, clause, state = max(heaviest, clause), 0.0, 0
                     continue
+                if token in STOPS:
+                    heaviest, clause = max(heaviest, clause), 0.0
                 c = self.kind.get(token, OTHER)
                 match, state = self.emitted[state][c], self.following[state][c]
                 if match >= 0:
@@ -142,22 +148,24 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(labelled: DataFrame, most: int = 12_000, most_words: int = 5000, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id") -> Model:
-    """Learns insult words and the grammar's weights from a sample of about `most` labelled rows.
+def train(docs: DataFrame, labels: DataFrame, most: int = 12_000, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id") -> Model:
+    """Learns insult words and the grammar's weights from the texts of a sample of about `most` labels.
 
-    The sample is drawn by a hash of the id and then of distinct texts. A word is an insult if it stands in enough
-    toxic texts and six times as often in toxic ones as in others; at most `most_words` reach the driver, and with
-    them the sample's features. Rows with null text or label are left out. Without rows the prior weights stay.
+    The sample is drawn from the labels by a hash of the id before any text is read, and then of distinct texts. A word
+    is an insult if it stands in enough toxic texts and six times as often in toxic ones as in others; these words and
+    the sample's features reach the driver, both bounded by the sample. Of several labels of an id the largest counts.
+    Labels without an id or a value and null texts are left out. Without rows the prior weights stay.
     """
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("y")).where("text is not null and y is not null")
-    share = min(1.0, most / max(1, rows.count()))
-    sample = rows.where(F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1_000_000)) < int(share * 1_000_000)).groupBy("text").agg(F.max("y").alias("y")).persist()
+    known = labels.select(F.col(id_col).alias("labelled"), F.col(label_col).cast("int").alias("y")).where("labelled is not null and y is not null").groupBy("labelled").agg(F.max("y").alias("y"))
+    chosen = known.where(drawn(known.count(), most, 11, "labelled"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    sample = rows.join(chosen, rows.id == chosen.labelled).groupBy("text").agg(F.max("y").alias("y")).persist()
     n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     words = sample.select("y", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}']+)"), 1))).alias("word"))
     a, b = F.col("a") + 0.5, F.col("n") - F.col("a") + 0.5
     weight = F.log(a / (toxic + 1)) - F.log(b / (n - toxic + 1))
     found = words.groupBy("word").agg(F.sum("y").alias("a"), F.count("*").alias("n")).where(F.col("a") >= max(3, 0.008 * toxic)).withColumn("w", weight).where(F.col("w") > np.log(6))
-    insults = {r["word"]: float(r["w"]) for r in found.orderBy(F.desc("w"), "word").limit(most_words).collect()}
+    insults = {r["word"]: float(r["w"]) for r in found.collect()}
     grammar = Grammar(insults)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
