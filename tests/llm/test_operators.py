@@ -136,6 +136,18 @@ def test_substring_dedup_matches_brute_force(spark, texts, edge, empty):
     assert substring_dedup.repeated_passages(empty).count() == 0
 
 
+@pytest.mark.parametrize(("fan", "most"), [(4, 2), (8, 8), (2, 4)])
+def test_substring_dedup_merges_over_many_levels(spark, texts, fan, most):
+    """Blocks of chunks over several levels, hot rows of null and equal ids, in many small chunks."""
+    rnd = random.Random(fan)
+    passage = " ".join(f"p{k}" for k in range(30))
+    rows = [(d, " ".join([*(f"w{rnd.randrange(40)}" for _ in range(rnd.randint(0, 60))), *([passage] * (d % 3 == 0))])) for d in range(150)]
+    rows += [(None, passage)] * 80 + [(7, passage)] * 40 + [(1, None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = substring_dedup.repeated_passages(docs, chunk_bytes=500, fan=fan, most=most)
+    assert collections.Counter(tuple(r) for r in got.collect()) == plain_removal(rows)
+
+
 def test_bpe_equals_the_library_and_goes_back(spark, texts, edge, empty):
     from tokenizers import Tokenizer
 
