@@ -68,8 +68,9 @@ def passed_filters(unit: np.ndarray, words: int, code: int) -> tuple[np.ndarray,
 
 
 def words_for(total: int) -> int:
-    """Words of a block, so that the number of filters follows the number of vectors, at any number of them."""
-    return max(LEAST_WORDS, 1 << int(np.ceil(np.log2(max(1, 4 * total)) / 2)))
+    """Words of a block, so that a code has about 16 filters a vector, at any number of vectors, and few vectors that are
+    not alike share one."""
+    return max(LEAST_WORDS, 1 << int(np.ceil(np.log2(max(1, 16 * total)) / 2)))
 
 
 def matrices(lists: pa.ListArray, *more: pa.ListArray) -> Iterator[tuple[np.ndarray, ...]]:
