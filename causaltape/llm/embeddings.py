@@ -24,7 +24,7 @@ CODES, LEAST_PASSED = 3, 32
 #: Words of a code's block at least; a vector of fewer dimensions is filled up with zeros, which leaves its angles alone.
 LEAST_WORDS, LEAST_DIMS = 32, 32
 #: Cells of the tables of inner products held at a time, vectors of a block, and what angles may be off by rounding.
-CELLS, BLOCK, SLACK = 1 << 22, 256, 1e-7
+CELLS, BLOCK, SLACK = 1 << 18, 256, 1e-7
 
 
 @lru_cache(maxsize=8)
