@@ -218,9 +218,10 @@ def text_of(packed: bytes, table: list[bytes]) -> str:
     return b"".join([table[i] for i in np.frombuffer(packed, "<u4").tolist()]).decode("utf-8", "replace")
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), decoded: bool = False) -> DataFrame:
     """Rows (doc_id, ids, n_tokens) and the columns `keep`, one per input row, in map tasks only; ids is binary,
-    little-endian unsigned 32 bit.
+    little-endian unsigned 32 bit. With `decoded` the text that the ids stand for follows, as `decode` gives it, from
+    the same workers, which then hold one vocabulary and not two.
 
     Null text counts as empty and gives no ids. Ids may be null or repeat; an empty table gives an empty result;
     other columns are ignored. A piece without white space of any length costs n log n. `path` must be readable on
@@ -232,10 +233,13 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             packed = known.encode(batch.column(1).to_pylist())
             columns = [batch.column(0), pa.array(packed, pa.binary()), pa.array([len(p) // 4 for p in packed], pa.int64()), *batch.columns[2:]]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "n_tokens", *keep])
+            if decoded:
+                columns.append(pa.array([text_of(p, known.table) for p in packed], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("__text"), *keep)
-    return rows.mapInArrow(of, StructType([*CODED.fields, *rows.schema.fields[2:]]))
+    schema = StructType([*CODED.fields, *rows.schema.fields[2:], *([StructField("decoded", StringType())] if decoded else [])])
+    return rows.mapInArrow(of, schema)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -49,17 +49,17 @@ def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit()
 
 
-def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", reduced: bool = False) -> DataFrame:
     """Rows (node, component): each node that has an edge to another node, with the smallest node it can reach.
 
     Edges with a null end and self-loops are ignored; repeated edges count once; an empty table gives an empty one.
-    Each map task first replaces its edges by a forest. Each half step is a join and an aggregation on tables in the
+    Each map task first replaces its edges by a forest, unless they are `reduced` so already. Each half step is a join and an aggregation on tables in the
     shared folder; only two counts of a round reach the driver. The minimum per node is aggregated before it is joined
     back, so a node with very many neighbours is never gathered in one task, and adaptive execution can split its rows
     in the join. Rounds end when no node has two smaller neighbours, or one that is smaller and one that is larger.
     """
     e = edges.select(F.greatest(src, dst).cast("long").alias("u"), F.least(src, dst).cast("long").alias("v")).where("u > v")
-    e = cut(e.mapInArrow(contracted, "u long, v long"), "edges")
+    e = cut(e if reduced else e.mapInArrow(contracted, "u long, v long"), "edges")
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         below, above = F.when(F.col("v") < F.col("u"), F.col("v")), F.when(F.col("v") > F.col("u"), F.col("v"))

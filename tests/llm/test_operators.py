@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -155,6 +156,8 @@ def test_bpe_equals_the_library_and_goes_back(spark, texts, edge, empty):
     for docs in (spark.createDataFrame(texts[:80], "doc_id long, text string"), edge):
         want = {(r["doc_id"], r["text"] or "") for r in docs.collect()}
         got = bpe.decode(bpe.encode(docs, BPE, keep=("text",)), BPE).collect()
+        again = bpe.encode(docs, BPE, keep=("text",), decoded=True).collect()
+        assert sorted(map(repr, again)) == sorted(map(repr, got))
         assert {(r["doc_id"], r["text"] or "") for r in got} == want and len(got) == docs.count()
         for r in got:
             ids = library.encode(r["text"] or "", add_special_tokens=False).ids
@@ -612,5 +615,22 @@ def test_queries_derive_the_contract_columns(spark):
 
     found = queries.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in found) == list(range(1, 11))
+    from tokenizers import Tokenizer
+
+    library, docs = Tokenizer.from_file(BPE), spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    got = {r["doc_id"]: tuple(r)[1:] for r in found["op3_bpe_round_trip"](spark, SF).collect()}
+    for d, text in docs:
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        assert got[d] == (len(ids), digest(np.array(ids, "<u4").tobytes()), digest(library.decode(ids, skip_special_tokens=False).encode()))
+    columns = {1: "doc_id fingerprint component_id", 5: "doc_id held_out lang_pred score", 9: "doc_id n_bytes n_tokens over_limit", 10: "doc_id held_out score predicted"}
+    for number, names in columns.items():
+        rows = found[next(n for n in found if n.startswith(f"op{number}_"))](spark, SF).collect()
+        assert set(names.split()) <= set(rows[0].asDict()) and sorted(r["doc_id"] for r in rows) == sorted(d for d, _ in docs)
+        if number in (5, 10):
+            assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1 for r in rows)
+        if number == 9:
+            sizes = {d: len((t or "").encode()) for d, t in docs}
+            assert all(r["n_bytes"] == sizes[r["doc_id"]] and r["over_limit"] == (r["n_tokens"] > 4096) for r in rows)
     row = found["op8_personal_data"](spark, SF).where("n_email = 0 and n_ip = 0 and n_card = 0 and n_phone = 0").first()
     assert row["base_sha256"] == hashlib.sha256(b"").hexdigest()
