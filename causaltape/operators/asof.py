@@ -54,7 +54,9 @@ def asof_latest(anchors: DataFrame, contexts: DataFrame, by: list[str], anchor_t
     names = anchors.columns
     ctx = contexts.where(F.col(context_time).isNotNull()).select(*by, F.col(context_time).alias("__t"), F.col(context_seq).alias("__s"), F.lit(1 if strict else 0).alias("__kind"), F.struct(*fields).alias("__ctx"))
     anc = anchors.select(*by, F.col(anchor_time).alias("__t"), F.col(anchor_seq).alias("__s"), F.lit(0 if strict else 1).alias("__kind"), F.struct(*names).alias("__anchor"))
-    both = ctx.unionByName(anc, allowMissingColumns=True).withColumn("__b", floor_div(F.col("__t"), bucket_ns))
+    # dealt anew: a union may claim to be dealt by key as its two sides are, though their partitions do not match, and
+    # a key and time bucket would then stand in two tasks
+    both = ctx.unionByName(anc, allowMissingColumns=True).withColumn("__b", floor_div(F.col("__t"), bucket_ns)).repartition(*by, "__b")
     order = [F.col("__t"), F.col("__s"), F.col("__kind")] if strict or by_sequence else [F.col("__t"), F.col("__kind"), F.col("__s")]
     got = carry_last(both, by, order, "__ctx", "__b", "__found").where("__anchor is not null")
     return got.select("__anchor.*", *[F.col(f"__found.{f}").alias(f"ctx_{f}") for f in fields])

@@ -81,18 +81,19 @@ def paired_firings(firings: DataFrame, by: list[str], time: str, side: str, orde
     return out.withColumn("gap_ns", near).withColumn("class", kind).drop(*[c for c in out.columns if c.startswith("__")])
 
 
-def feed_anomalies(ticks: DataFrame, by: list[str], latency_ns: int, gap_ns: int) -> DataFrame:
+def feed_anomalies(ticks: DataFrame, by: list[str], latency_ns: int, gap_ns: int, closure_ns: int, jump: int) -> DataFrame:
     """Ticks with flags recomputed from their clocks in receipt order: clock inversion, latency spike, event-time gap
-    and regression, sequence duplicate, gap and regression."""
+    and regression, expected market closure (an event-time gap of `closure_ns` and more), sequence duplicate, gap (of
+    more than `jump`) and regression."""
     from causaltape.functions.clock import floor_div
     from causaltape.operators.asof import DAY_NS, carry_lag
 
     days = ticks.withColumn("__day", floor_div(F.col("received_ts_ns"), DAY_NS))
     t = carry_lag(days, by, [F.col("received_ts_ns"), F.col("source_sequence")], ["event_ts_ns", "source_sequence"], "__day").drop("__day")
-    step, jump = F.col("event_ts_ns") - F.col("prev_event_ts_ns"), F.col("source_sequence") - F.col("prev_source_sequence")
+    step, ahead = F.col("event_ts_ns") - F.col("prev_event_ts_ns"), F.col("source_sequence") - F.col("prev_source_sequence")
     flags = {
         "CLOCK_INVERSION": F.col("received_ts_ns") < F.col("event_ts_ns"), "LATENCY_SPIKE": F.col("received_ts_ns") - F.col("event_ts_ns") > latency_ns, "EVENT_TIME_GAP": step > gap_ns,
-        "EVENT_TIME_REGRESSION": step < 0, "SEQUENCE_DUPLICATE": jump == 0, "SEQUENCE_REGRESSION": jump < 0,
+        "EVENT_TIME_REGRESSION": step < 0, "EXPECTED_MARKET_CLOSURE": step >= closure_ns, "SEQUENCE_DUPLICATE": ahead == 0, "SEQUENCE_GAP": ahead > jump, "SEQUENCE_REGRESSION": ahead < 0,
     }
     return t.withColumn("anomalies", F.filter(F.array(*[F.when(v, n) for n, v in flags.items()]), lambda a: a.isNotNull()))
 

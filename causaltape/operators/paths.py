@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from causaltape.functions.clock import NS_PER_MS, NS_PER_S, floor_div
 from causaltape.operators.asof import DAY_NS, asof_latest, carry_lag, carry_sum, forward
+from causaltape.sources.lake import cut
 
 
 def with_steps(ticks: DataFrame, by: list[str]) -> DataFrame:
@@ -67,11 +68,12 @@ def bar_outcomes(anchors: DataFrame, bars: DataFrame, by: list[str], counts: lis
     """Per anchor, scale and number of bars: outcomes over the first bars that lie fully after the anchor.
 
     The first bar opens after the anchor's event time and is known after the anchor's (received, sequence) and before
-    the cutoff. Both conditions hold from some bar on, so its number follows from two as-of joins, and later bars are
-    found by number. Bars have columns open_ns, close_ns, open, high, low, close, available_time_ns, trigger_sequence.
+    the cutoff. Both conditions hold from some bar on, so its number (first_bar, counted from 1 per key and scale)
+    follows from two as-of joins, and later bars are found by number. Bars have columns open_ns, close_ns, open, high, low, close, available_time_ns, trigger_sequence.
     """
     w = Window.partitionBy(*by, "scale").orderBy("open_ns")
     known = F.col("available_time_ns").isNotNull() & (F.col("available_time_ns") < cutoff)
+    bars = cut(bars, "bars")  # read by every join below
     numbered = bars.withColumn("bar_no", F.row_number().over(w).cast("long")).withColumn("prev_close", F.lag("close").over(w)).withColumn("known", known)
     numbered = numbered.withColumn("next_known", F.first(F.when(F.col("known"), F.col("bar_no")), ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
     a = anchors.join(bars.select(*by, "scale").distinct(), by)
@@ -85,11 +87,11 @@ def bar_outcomes(anchors: DataFrame, bars: DataFrame, by: list[str], counts: lis
     got = every.join(numbered.select(*by, "scale", "bar_no", "high", "low", "close", "prev_close", "known"), [*by, "scale", "bar_no"], "left")
     base = F.when(F.col("bar_no") == F.col("first_bar"), F.col("anchor_mid")).otherwise(F.col("prev_close"))
     out = got.groupBy(*by, "anchor_id", "scale", "bars").agg(
-        F.count("close").alias("found"), F.count_if(F.col("known")).alias("known"), F.max_by("close", "bar_no").alias("last_close"), F.first("anchor_mid").alias("m"), F.first("direction").alias("d"),
+        F.first("first_bar").alias("first_bar"), F.count("close").alias("found"), F.count_if(F.col("known")).alias("known"), F.max_by("close", "bar_no").alias("last_close"), F.first("anchor_mid").alias("m"), F.first("direction").alias("d"),
         F.max(F.col("direction") * F.ln(F.col("high") / F.col("anchor_mid"))).alias("hi"), F.min(F.col("direction") * F.ln(F.col("low") / F.col("anchor_mid"))).alias("lo"), F.sum(F.pow(F.ln(F.col("close") / base), F.lit(2.0))).alias("rv"),
     )
     complete = (F.col("found") == F.col("bars")) & (F.col("known") == F.col("bars"))
     ret = F.ln(F.col("last_close") / F.col("m"))
     reason = F.when(F.col("found") < F.col("bars"), "NO_FULLY_POST_ANCHOR_BAR").when(F.col("known") < F.col("bars"), "UNRESOLVED_AVAILABILITY")
     done = lambda c: F.when(complete, c)
-    return out.select(*by, "anchor_id", "scale", "bars", done(ret).alias("bar_return"), done(F.col("d") * ret).alias("signed_return"), done(F.greatest("hi", F.lit(0.0))).alias("mfe"), done(F.greatest(-F.col("lo"), F.lit(0.0))).alias("mae"), done(F.col("rv")).alias("realized_volatility"), complete.alias("complete"), reason.alias("censor_reason"))
+    return out.select(*by, "anchor_id", "scale", "bars", "first_bar", done(ret).alias("bar_return"), done(F.col("d") * ret).alias("signed_return"), done(F.greatest("hi", F.lit(0.0))).alias("mfe"), done(F.greatest(-F.col("lo"), F.lit(0.0))).alias("mae"), done(F.col("rv")).alias("realized_volatility"), complete.alias("complete"), reason.alias("censor_reason"))

@@ -57,3 +57,42 @@ def comparison_grid(anchors: DataFrame, contexts: DataFrame, operators: DataFram
     judged = grid.withColumn("reason", reason)
     place = F.row_number().over(Window.partitionBy(F.col("reason").isNull()).orderBy("anchor", "context", "operator"))
     return judged.withColumn("reason", F.when(F.col("reason").isNull() & (place > limit), "BOUNDED_OUT").otherwise(F.col("reason"))).select("anchor", "context", "operator", "reason")
+
+
+#: The names of the thirteen checks.
+CHECKS = (
+    "lookahead", "population_conditioning", "denominator_errors", "selection_bias", "lineage_duplication", "false_confluence", "bad_controls",
+    "temporal_dependence", "multiple_testing", "normalization_leakage", "fragility", "sample_concentration", "alternative_explanations",
+)
+
+
+def challenge_facts(rows: DataFrame, by: list[str], source: str, block: str, family: str) -> DataFrame:
+    """Per subject: sample size, sources in order, the largest source's share of the sample, blocks and families.
+    Rows are counted per source first, so a large source is not gathered."""
+    per = rows.groupBy(*by, source).agg(F.count("*").alias("c"))
+    sources = per.groupBy(*by).agg(F.sum("c").alias("sample_size"), F.array_sort(F.collect_set(source)).alias("source_ids"), (F.max("c") / F.sum("c")).alias("max_sample_share"))
+    counts = rows.groupBy(*by).agg(F.count_distinct(block).alias("block_count"), F.count_distinct(family).alias("family_count"))
+    renamed = counts.select(*[F.col(c).alias(f"__{c}") for c in by], "block_count", "family_count")
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    return sources.join(renamed, same).drop(*[f"__{c}" for c in by])
+
+
+def scorecard(evidence: DataFrame) -> DataFrame:
+    """Rows (kind, evidence, verdict, complete) for each of the CHECKS: PASSED if all its evidence passes, FAILED if
+    some does not, INCONCLUSIVE without any. complete: every check has evidence exactly once.
+
+    Evidence without an id, a sample or a finite metric fails. Other kinds than the CHECKS are ignored."""
+    kind, clean, n = F.col("kind"), F.col("violations") == 0, F.size("source_ids")
+    rule = (
+        F.when(kind.isin(*CHECKS[:3]), clean & (F.col("denominator") > 0)).when(kind == "selection_bias", n >= 2).when(kind.isin("lineage_duplication", "false_confluence"), (n >= 2) & (F.size(F.array_distinct("source_ids")) == n))
+        .when(kind == "bad_controls", F.length("control_identity") > 0).when(kind == "temporal_dependence", F.col("block_count") >= 2).when(kind == "multiple_testing", F.col("family_count") > 0)
+        .when(kind == "normalization_leakage", F.col("fit_end_ns") <= F.col("evaluation_start_ns")).when(kind == "fragility", (F.col("perturbation_count") >= 2) & clean)
+        .when(kind == "sample_concentration", F.col("max_sample_share").between(0, 1) & (F.col("max_sample_share") < 0.5)).when(kind == "alternative_explanations", F.size("alternatives") > 0)
+    )
+    sound = (F.length("evidence_id") > 0) & (F.col("sample_size") > 0) & ~F.isnan("metric") & (F.abs("metric") != float("inf"))
+    judged = evidence.select("kind", F.coalesce(sound & rule, F.lit(False)).alias("ok"))
+    names = evidence.sparkSession.createDataFrame([(c,) for c in CHECKS], "kind string")
+    per = names.join(judged, "kind", "left").groupBy("kind").agg(F.count("ok").alias("evidence"), F.min("ok").alias("all_ok"))
+    verdict = F.when(F.col("evidence") == 0, "INCONCLUSIVE").when(F.col("all_ok"), "PASSED").otherwise("FAILED")
+    whole = per.agg((F.count_if(F.col("evidence") == 1) == len(CHECKS)).alias("complete"))
+    return per.select("kind", "evidence", verdict.alias("verdict")).join(F.broadcast(whole))

@@ -3,10 +3,13 @@ declarations per strategy (capital, capacity, risk_budget)."""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causaltape.operators.statistics import pearson
+from causaltape.sources.lake import cut
 
 #: States of evidence by severity, the worst last.
 SEVERITY = ("KNOWN", "PARTIAL", "INCONCLUSIVE", "UNKNOWN", "NULL", "ABSTAINED", "CONTRADICTORY", "REJECTED", "FAILED")
@@ -125,8 +128,29 @@ def constraint_status(value: Column, most: Column, least: Column) -> Column:
 
 
 def constraints(metrics: DataFrame, limits: DataFrame) -> DataFrame:
-    """Metrics (kind, value) against limits (constraint_id, kind, most, least)."""
-    return limits.join(metrics, "kind", "left").withColumn("status", constraint_status(F.col("value"), F.col("most"), F.col("least")))
+    """Metrics (kind, subject, value) against limits (constraint_id, kind, subject, most, least), with the status of
+    each and, as `overall`, the most severe of all."""
+    named = metrics.select(F.col("kind").alias("__kind"), F.col("subject").alias("__subject"), "value")
+    joined = limits.join(named, (F.col("kind") == F.col("__kind")) & F.col("subject").eqNullSafe(F.col("__subject")), "left").drop("__kind", "__subject")
+    judged = joined.withColumn("status", constraint_status(F.col("value"), F.col("most"), F.col("least")))
+    return judged.join(F.broadcast(judged.agg(F.max_by("status", severity(F.col("status"))).alias("overall"))))
+
+
+def constraint_metrics(streams: DataFrame, declared: DataFrame, scenarios: DataFrame, time: str = "day") -> DataFrame:
+    """What the ten kinds of constraint are held against, as rows (kind, subject, value); the subject of correlation and
+    overlap is the pair, of all others null. Streams and declarations are worked out once."""
+    streams, declared = cut(streams, "streams"), cut(declared, "declared")
+    paired = pairs(streams, time)
+    two, none = F.concat_ws("|", "a_strategy_id", "b_strategy_id"), F.lit(None).cast("string")
+    row = lambda df, kind, value, subject=none: df.select(F.lit(kind).alias("kind"), subject.alias("subject"), F.col(value).cast("double").alias("value"))
+    sums = declared.agg(F.sum("capital").alias("capital"), F.sum("risk_budget").alias("risk_budget"))
+    parts = [
+        row(correlations(paired), "correlation", "correlation", two), row(overlaps(paired), "overlap", "jaccard", two), row(sums, "capital_allocation", "capital"), row(sums, "risk_budget", "risk_budget"),
+        row(portfolio_drawdown(streams, declared, time), "drawdown", "max_drawdown"), row(capacity(declared), "capacity", "bottleneck"), row(liquidity(streams)[1], "liquidity", "minimum"),
+        row(concentration(declared), "concentration", "herfindahl"), row(turnover(streams, time).agg(F.sum("turnover").alias("t")), "turnover", "t"),
+        row(stress(declared, scenarios).agg(F.min("portfolio_return").alias("r")), "stress", "r"),
+    ]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def stress(declared: DataFrame, scenarios: DataFrame) -> DataFrame:
@@ -144,7 +168,8 @@ def equal_weight_score(streams: DataFrame, declared: DataFrame) -> DataFrame:
 
 
 def report(streams: DataFrame, declared: DataFrame, time: str = "day") -> DataFrame:
-    """All metrics as rows (metric, subject, value)."""
+    """All metrics as rows (metric, subject, value). Streams and declarations are worked out once."""
+    streams, declared = cut(streams, "streams"), cut(declared, "declared")
     paired = pairs(streams, time)
     two = F.concat_ws("|", "a_strategy_id", "b_strategy_id")
     row = lambda df, metric, subject, value: df.select(F.lit(metric).alias("metric"), subject.alias("subject"), F.col(value).cast("double").alias("value"))
@@ -155,7 +180,4 @@ def report(streams: DataFrame, declared: DataFrame, time: str = "day") -> DataFr
         row(drawdown(streams, ["strategy_id"], time, "ret"), "drawdown", one, "max_drawdown"), row(portfolio_drawdown(streams, declared, time), "drawdown", whole, "max_drawdown"),
         row(concentration(declared), "herfindahl", whole, "herfindahl"), row(capacity(declared), "capacity_bottleneck", whole, "bottleneck"), row(equal_weight_score(streams, declared), "equal_weight_score", whole, "score"),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return functools.reduce(DataFrame.unionByName, parts)

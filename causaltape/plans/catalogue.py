@@ -11,6 +11,7 @@ from causaltape.plans import fixtures as fx
 from causaltape.plans import market
 from causaltape.plans import statistics as st
 from causaltape.plans.fixtures import sql, table
+from causaltape.sources.lake import cut
 
 QUERIES, SQL = {}, {}
 
@@ -94,22 +95,39 @@ def u4_shared_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.shares_ancestor(catalog.ancestors(_edges(spark, sf_dir)).where("node like 'n%'").select("node", "ancestor"))
 
 
-CHECKS = [(f"CHECK_{k:02d}", k) for k in range(13)]
+KINDS_SQL = "[" + ", ".join(f"'{k}'" for k in population.CHECKS) + "]"
+EVIDENCE = f"""ev AS (SELECT {KINDS_SQL}[1 + user_id % 13] AS kind, * FROM events WHERE user_id % 13 <> 12 UNION ALL SELECT 'lookahead', * FROM events WHERE user_id % 13 = 12 AND event_type = 'error'),
+  per AS (SELECT kind, event_type = 'error' AS late, event_type, count(*) AS c FROM ev GROUP BY ALL),
+  facts AS (SELECT kind, late, CAST(sum(c) AS BIGINT) AS sample_size, count(DISTINCT event_type) AS sources, max(c) / sum(c) AS max_share FROM per GROUP BY kind, late),
+  rest AS (SELECT kind, event_type = 'error' AS late, round(avg(value), 9) AS metric, count(*) FILTER (value > 99.5) AS violations, count(DISTINCT CAST(ts AS DATE)) AS blocks, count(DISTINCT user_id) AS families FROM ev GROUP BY ALL)"""
 
 
-@query("""WITH f AS (SELECT user_id % 13 AS k, count(*) AS n, max(event_id) - min(event_id) AS span FROM events GROUP BY 1), c AS (SELECT k, CASE WHEN n < 60 THEN 'INCONCLUSIVE' WHEN n % 3 = 0 THEN 'FAILED' ELSE 'PASSED' END AS v FROM f)
-  SELECT 'CHECK_' || lpad(k::VARCHAR, 2, '0') AS kind, v AS verdict, count(*) OVER () = 13 AS all_checked FROM c""")
+@query(f"""WITH {EVIDENCE}, e AS (SELECT * FROM facts JOIN rest USING (kind, late) WHERE NOT late OR kind = 'lookahead'),
+  j AS (SELECT kind, CASE WHEN kind IN ('lookahead', 'population_conditioning', 'denominator_errors') THEN violations = 0 WHEN kind IN ('selection_bias', 'lineage_duplication', 'false_confluence') THEN sources >= 2 WHEN kind = 'bad_controls' THEN true
+    WHEN kind = 'temporal_dependence' THEN blocks >= 2 WHEN kind = 'multiple_testing' THEN families > 0 WHEN kind = 'normalization_leakage' THEN true WHEN kind = 'fragility' THEN violations = 0 AND sources >= 2 WHEN kind = 'sample_concentration' THEN max_share < 0.5 ELSE true END AS ok FROM e),
+  k AS (SELECT unnest({KINDS_SQL}) AS kind), v AS (SELECT kind, count(ok) AS evidence, CASE WHEN count(ok) = 0 THEN 'INCONCLUSIVE' WHEN bool_and(ok) THEN 'PASSED' ELSE 'FAILED' END AS verdict FROM k LEFT JOIN j USING (kind) GROUP BY kind)
+  SELECT kind, evidence, verdict, bool_and(evidence = 1) OVER () AS complete FROM v""")
 def p8_challenge_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 13).alias("k")).agg(F.count("*").alias("n"))
-    verdict = F.when(F.col("n") < 60, "INCONCLUSIVE").when(F.col("n") % 3 == 0, "FAILED").otherwise("PASSED")
-    judged = facts.select(F.concat(F.lit("CHECK_"), F.lpad(F.col("k").cast("string"), 2, "0")).alias("kind"), verdict.alias("verdict"))
-    return judged.join(F.broadcast(judged.agg((F.count_distinct("kind") == len(CHECKS)).alias("all_checked"))))
-
-
-@query("SELECT lang, count(*) AS n, count(DISTINCT source) AS sources, round(max(c) / sum(c), 9) AS largest_source_share FROM (SELECT lang, source, count(*) AS c FROM documents GROUP BY ALL) GROUP BY lang".replace("count(*) AS n, count(DISTINCT", "CAST(sum(c) AS BIGINT) AS n, count(DISTINCT"))
+    """Thirteen checks on evidence drawn from the events: one has none, one has two records."""
+    e = table(spark, sf_dir, "events")
+    kind = F.element_at(F.array(*[F.lit(k) for k in population.CHECKS]), (1 + F.col("user_id") % 13).cast("int"))
+    rows = e.where("user_id % 13 <> 12").select(kind.alias("kind"), "*").unionByName(e.where("user_id % 13 = 12 and event_type = 'error'").select(F.lit("lookahead").alias("kind"), "*"))
+    rows = rows.withColumn("late", F.col("event_type") == "error").withColumn("day", F.to_date("ts"))
+    facts = population.challenge_facts(rows, ["kind", "late"], "event_type", "day", "user_id").where("not late or kind = 'lookahead'")
+    metrics = rows.groupBy("kind", "late").agg(F.round(F.avg("value"), 9).alias("metric"), F.count_if(F.col("value") > 99.5).alias("violations"))
+    evidence = facts.join(metrics, ["kind", "late"]).select(
+        "kind", F.concat_ws(":", "kind", "late").alias("evidence_id"), "sample_size", "metric", "violations", F.col("sample_size").alias("denominator"), "source_ids", F.lit("control").alias("control_identity"), "block_count", "family_count",
+        F.lit(1).cast("long").alias("fit_end_ns"), F.lit(2).cast("long").alias("evaluation_start_ns"), F.size("source_ids").cast("long").alias("perturbation_count"), "max_sample_share", F.array(F.lit("chance")).alias("alternatives"),
+    )
+    return population.scorecard(evidence)
+
+
+@query("""WITH per AS (SELECT lang, source, count(*) AS c FROM documents GROUP BY ALL) SELECT p.lang, n, sources, largest_source_share, block_count, family_count FROM (SELECT lang, CAST(sum(c) AS BIGINT) AS n, count(DISTINCT source) AS sources, round(max(c) / sum(c), 9) AS largest_source_share FROM per GROUP BY lang) p
+  JOIN (SELECT lang, count(DISTINCT doc_id // 100) AS block_count, count(DISTINCT doc_id % 7) AS family_count FROM documents GROUP BY lang) b ON b.lang IS NOT DISTINCT FROM p.lang""")
 def p9_challenge_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per = table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("c"))
-    return per.groupBy("lang").agg(F.sum("c").alias("n"), F.count("*").alias("sources"), F.round(F.max("c") / F.sum("c"), 9).alias("largest_source_share"))
+    d = table(spark, sf_dir, "documents").select("lang", "source", floor_div(F.col("doc_id"), 100).alias("block"), (F.col("doc_id") % 7).alias("family"))
+    got = population.challenge_facts(d, ["lang"], "source", "block", "family")
+    return got.select("lang", F.col("sample_size").alias("n"), F.size("source_ids").cast("long").alias("sources"), F.round("max_sample_share", 9).alias("largest_source_share"), "block_count", "family_count")
 
 
 # Catalogue: documents as versioned records
@@ -250,17 +268,34 @@ def x13_extreme_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ahead.groupBy("instrument", "scale", "bar_open_ts").agg(order.alias("extreme_order"), F.count("*").alias("bars"))
 
 
-@query("""SELECT anchor_id, horizon_bars, count(b) AS bars FROM (SELECT bar_no AS anchor_id, instrument, scale, unnest([1, 2, 3, 5, 10]) AS horizon_bars, n FROM (SELECT *, row_number() OVER (PARTITION BY instrument, scale ORDER BY bar_open_ts) AS bar_no, count(*) OVER (PARTITION BY instrument, scale) AS n FROM bars) WHERE scale = '1d' AND instrument = 0) x
-  LEFT JOIN range(1, 100000) r(b) ON b > anchor_id AND b <= least(anchor_id + horizon_bars, n) GROUP BY ALL""", "ticks", "frames", "bars")
+@query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY instrument, scale ORDER BY bar_open_ts) AS no, count(*) OVER (PARTITION BY instrument, scale) AS total FROM bars), e AS (SELECT *, unnest([1, 2, 3, 5, 10]) AS horizon_bars FROM n)
+  SELECT e.instrument, e.scale, e.bar_open_ts, e.horizon_bars, least(e.horizon_bars, e.total - e.no) AS bars, round(ln(t.close / e.close), 9) AS bar_return FROM e LEFT JOIN n t ON t.instrument = e.instrument AND t.scale = e.scale AND t.no = e.no + e.horizon_bars""", "ticks", "frames", "bars")
 def x12_native_bar_horizons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars as anchors: how many of the next 1, 2, 3, 5 and 10 bars of the scale exist."""
+    """Every bar as an anchor: how many of the next 1, 2, 3, 5 and 10 bars of its scale exist, and the return over them."""
     from pyspark.sql import Window
 
-    day = fx.bars(spark, sf_dir).where("scale = '1d' and instrument = 0")
-    n = day.select(F.row_number().over(Window.partitionBy("instrument").orderBy("bar_open_ts")).cast("long").alias("anchor_id"))
-    total = n.agg(F.max("anchor_id").alias("n"))
-    every = n.withColumn("horizon_bars", F.explode(F.array(*[F.lit(k) for k in (1, 2, 3, 5, 10)]))).join(F.broadcast(total))
-    return every.select("anchor_id", "horizon_bars", F.least(F.col("horizon_bars").cast("long"), F.col("n") - F.col("anchor_id")).alias("bars"))
+    keys = ["instrument", "scale"]
+    n = cut(fx.bars(spark, sf_dir).select(*keys, "bar_open_ts", "close", F.row_number().over(Window.partitionBy(*keys).orderBy("bar_open_ts")).cast("long").alias("no")), "bars")
+    total = n.groupBy(*keys).agg(F.max("no").alias("total"))
+    every = n.join(total, keys).withColumn("horizon_bars", F.explode(F.array(*[F.lit(k) for k in (1, 2, 3, 5, 10)])))
+    later = n.select(*keys, F.col("no").alias("target"), F.col("close").alias("then"))
+    got = every.withColumn("target", F.col("no") + F.col("horizon_bars")).join(later, [*keys, "target"], "left")
+    return got.select(*keys, "bar_open_ts", "horizon_bars", F.least(F.col("horizon_bars").cast("long"), F.col("total") - F.col("no")).alias("bars"), F.round(F.ln(F.col("then") / F.col("close")), 9).alias("bar_return"))
+
+
+@query("""WITH h(seconds) AS (VALUES (5), (15), (30), (60)), p AS (SELECT b.instrument, b.scale, b.bar_open_ts, b.close, seconds, t.received_ts_ns, t.source_sequence, t.mid FROM bars b CROSS JOIN h LEFT JOIN ticks t ON t.instrument = b.instrument
+  AND t.received_ts_ns > b.bar_close_ts * 1000000 AND t.received_ts_ns <= b.bar_close_ts * 1000000 + seconds * 1000000000::BIGINT)
+  SELECT instrument, scale, bar_open_ts, seconds, count(mid) AS ticks, round(ln(arg_max(mid, (received_ts_ns, source_sequence)) / any_value(close)), 9) AS reaction FROM p GROUP BY instrument, scale, bar_open_ts, seconds""", "ticks", "frames", "bars")
+def x12_tick_micro_reaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every bar as an anchor: ticks and return in the 5, 15, 30 and 60 seconds after its close."""
+    every = F.explode(F.array(*[F.lit(k) for k in (5, 15, 30, 60)])).alias("seconds")
+    b = fx.bars(spark, sf_dir).select("instrument", "scale", "bar_open_ts", "close", (F.col("bar_close_ts") * 1_000_000).alias("at"), F.lit(2**62).alias("last"))
+    t = fx.ticks(spark, sf_dir).select("instrument", "received_ts_ns", "source_sequence", "mid")
+    pairs = asof.forward(b, t, ["instrument"], ("at", "last"), ("received_ts_ns", "source_sequence"), 60 * 10**9)
+    got = pairs.select("*", every).where(F.col("received_ts_ns") - F.col("at") <= F.col("seconds").cast("long") * F.lit(10**9))
+    reaction = F.ln(F.max_by("mid", F.struct("received_ts_ns", "source_sequence")) / F.first("close"))
+    got = got.groupBy("instrument", "scale", "bar_open_ts", "seconds").agg(F.count("*").alias("ticks"), F.round(reaction, 9).alias("reaction"))
+    return b.select("instrument", "scale", "bar_open_ts", every).join(got, ["instrument", "scale", "bar_open_ts", "seconds"], "left").fillna(0, ["ticks"])
 
 
 @query("""SELECT instrument, coalesce(max_by(scale, width) FILTER (n >= 300), max_by(scale, width) FILTER (n >= 150)) AS primary_scale FROM (SELECT instrument, scale, any_value(width) AS width, count(*) AS n FROM bars JOIN frames USING (scale) GROUP BY instrument, scale) GROUP BY instrument""", "ticks", "frames", "bars")
@@ -329,17 +364,21 @@ def x19_paired_firings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ANOMALY = """o AS (SELECT *, lag(event_ts_ns) OVER w AS pe, lag(source_sequence) OVER w AS ps FROM ticks WINDOW w AS (PARTITION BY instrument ORDER BY received_ts_ns, source_sequence)),
   an AS (SELECT instrument, source_sequence, received_ts_ns, unnest(list_filter([CASE WHEN received_ts_ns < event_ts_ns THEN 'CLOCK_INVERSION' END, CASE WHEN received_ts_ns - event_ts_ns > 900000000 THEN 'LATENCY_SPIKE' END, CASE WHEN event_ts_ns - pe > 7200000000000 THEN 'EVENT_TIME_GAP' END,
-  CASE WHEN event_ts_ns < pe THEN 'EVENT_TIME_REGRESSION' END, CASE WHEN source_sequence = ps THEN 'SEQUENCE_DUPLICATE' END, CASE WHEN source_sequence < ps THEN 'SEQUENCE_REGRESSION' END], lambda x: x IS NOT NULL)) AS anomaly FROM o)"""
+  CASE WHEN event_ts_ns < pe THEN 'EVENT_TIME_REGRESSION' END, CASE WHEN source_sequence = ps THEN 'SEQUENCE_DUPLICATE' END, CASE WHEN source_sequence < ps THEN 'SEQUENCE_REGRESSION' END, CASE WHEN event_ts_ns - pe >= 14400000000000 THEN 'EXPECTED_MARKET_CLOSURE' END, CASE WHEN source_sequence - ps > 20 THEN 'SEQUENCE_GAP' END], lambda x: x IS NOT NULL)) AS anomaly FROM o)"""
 
 
 def _anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = context.feed_anomalies(fx.ticks(spark, sf_dir), ["instrument"], 900_000_000, 2 * H)
-    return got.select("instrument", "source_sequence", "received_ts_ns", F.explode("anomalies").alias("anomaly"))
+    got = context.feed_anomalies(fx.ticks(spark, sf_dir), ["instrument"], 900_000_000, 2 * H, 4 * H, 20)
+    return got.select("instrument", "source_sequence", "received_ts_ns", (F.size("anomalies") > 1).alias("together"), F.explode("anomalies").alias("anomaly"))
 
 
-@query(f"WITH {ANOMALY} SELECT instrument, anomaly, count(*) AS n FROM an GROUP BY ALL", "ticks")
+@query(f"""WITH {ANOMALY} SELECT instrument, anomaly, count(*) AS n, round((max(received_ts_ns) - min(received_ts_ns)) / nullif(count(*) - 1, 0) / 1e9, 6) AS mean_interval_s, round(avg(CASE WHEN together THEN 1.0 ELSE 0.0 END), 9) AS co_firing
+  FROM (SELECT *, count(*) OVER (PARTITION BY instrument, source_sequence) > 1 AS together FROM an) GROUP BY ALL""", "ticks")
 def x20_feed_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _anomalies(spark, sf_dir).groupBy("instrument", "anomaly").agg(F.count("*").alias("n"))
+    """Per instrument and type: incidence, mean time between firings, and the share that fires with another type."""
+    t = F.col("received_ts_ns")
+    interval = F.when(F.count("*") > 1, (F.max(t) - F.min(t)) / (F.count("*") - 1) / 1e9)
+    return _anomalies(spark, sf_dir).groupBy("instrument", "anomaly").agg(F.count("*").alias("n"), F.round(interval, 6).alias("mean_interval_s"), F.round(F.avg(F.col("together").cast("double")), 9).alias("co_firing"))
 
 
 @query(f"""WITH {ANOMALY}, d AS (SELECT DISTINCT instrument, received_ts_ns AS t FROM an), m AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY instrument ORDER BY t) <= 3600000000000 THEN 0 ELSE 1 END AS fresh FROM d), n AS (SELECT *, sum(fresh) OVER (PARTITION BY instrument ORDER BY t) AS i FROM m)

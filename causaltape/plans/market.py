@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from causaltape.operators import asof, availability, lifecycle, paths
 from causaltape.plans import fixtures as fx
 from causaltape.plans.fixtures import sql
+from causaltape.sources.lake import cut
 
 QUERIES, SQL = {}, {}
 LAST_NS = 4 * fx.HOLDOUT_END
@@ -246,13 +247,16 @@ def _bars_known(spark: SparkSession, sf_dir: str) -> DataFrame:
     sum(ln(k.close / CASE WHEN k.bar_no = f.n THEN a.anchor_mid ELSE k.prev_close END) ** 2) AS rv FROM known k WHERE k.instrument = a.instrument AND k.scale = f.scale AND k.bar_no BETWEEN f.n AND f.n + c.bars - 1) x ON true""", "ticks", "frames", "bars", "anchors")
 def w13_bar_bridge_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = paths.bar_outcomes(fx.anchors(spark, sf_dir), _bars_known(spark, sf_dir), ["instrument"], [1, 2, 3, 5], LAST_NS)
-    return rounded(out.drop("instrument", "signed_return"), "bar_return", "mfe", "mae", "realized_volatility")
+    return rounded(out.drop("instrument", "signed_return", "first_bar"), "bar_return", "mfe", "mae", "realized_volatility")
 
 
-@query(f"""WITH {BARS} SELECT a.anchor_id, f.scale, f.n IS NOT NULL AS has_bar FROM anchors a JOIN first_bar f USING (anchor_id)""", "ticks", "frames", "bars", "anchors")
+@query(f"""WITH {BARS} SELECT a.anchor_id, f.scale, f.n AS bar_no, k.open_ns, f.n IS NOT NULL AS has_bar FROM anchors a JOIN first_bar f USING (anchor_id) LEFT JOIN known k ON k.instrument = a.instrument AND k.scale = f.scale AND k.bar_no = f.n""", "ticks", "frames", "bars", "anchors")
 def j5_first_post_anchor_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = paths.bar_outcomes(fx.anchors(spark, sf_dir), _bars_known(spark, sf_dir), ["instrument"], [1], LAST_NS)
-    return out.select("anchor_id", "scale", "complete").withColumnRenamed("complete", "has_bar")
+    """Which bar comes first after each anchor, by its number and opening time."""
+    bars = cut(_bars_known(spark, sf_dir), "bars")
+    out = paths.bar_outcomes(fx.anchors(spark, sf_dir), bars, ["instrument"], [1], LAST_NS)
+    numbered = bars.select("instrument", "scale", "open_ns", F.row_number().over(Window.partitionBy("instrument", "scale").orderBy("open_ns")).cast("long").alias("first_bar"))
+    return out.join(numbered, ["instrument", "scale", "first_bar"], "left").select("anchor_id", "scale", F.col("first_bar").alias("bar_no"), "open_ns", F.col("complete").alias("has_bar"))
 
 
 @query("""WITH lagged AS (SELECT state, lag(state) OVER (PARTITION BY instrument ORDER BY received_ts_ns, source_sequence) AS prev FROM snapshots)

@@ -119,18 +119,31 @@ def b13_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(portfolio.concentration(fx.capital(spark, sf_dir)), "herfindahl", "largest_fraction")
 
 
-LIMITS = [("c1", "concentration", 0.5, None), ("c2", "capacity", None, 1e9), ("c3", "capacity", None, 1.0), ("c4", "turnover", 10.0, None), ("c5", "drawdown", 1.0, None), ("c6", "stress", None, None)]
-
-
-@query(f"""WITH m AS (SELECT 'concentration' AS kind, sum(f * f) AS value FROM (SELECT capital / sum(capital) OVER () AS f FROM capital) UNION ALL SELECT 'capacity', min(capacity) FROM capital UNION ALL SELECT 'turnover', sum(turnover) FROM ({TURNOVER})),
-  l(constraint_id, kind, most, least) AS (VALUES ('c1', 'concentration', 0.5, NULL), ('c2', 'capacity', NULL, 1e9), ('c3', 'capacity', NULL, 1.0), ('c4', 'turnover', 10.0, NULL), ('c5', 'drawdown', 1.0, NULL), ('c6', 'stress', NULL, NULL))
-  SELECT constraint_id, kind, round(value, 9) AS value, CASE WHEN value <= most OR value >= least THEN 'KNOWN' WHEN value IS NOT NULL AND (most IS NOT NULL OR least IS NOT NULL) THEN 'ABSTAINED' ELSE 'UNKNOWN' END AS status FROM l LEFT JOIN m USING (kind)""", "streams", "capital")
+PAIR = "AUTOMOBILE|BUILDING"
+LIMITS = [
+    ("c01", "concentration", None, 0.5, None), ("c02", "capacity", None, None, 1e9), ("c03", "capacity", None, None, 1.0), ("c04", "turnover", None, 10.0, None), ("c05", "drawdown", None, 1.0, None),
+    ("c06", "stress", None, None, -0.01), ("c07", "correlation", PAIR, 0.9, None), ("c08", "overlap", PAIR, 0.5, None), ("c09", "capital_allocation", None, None, 1.0), ("c10", "liquidity", None, None, 1.0),
+    ("c11", "risk_budget", None, 1.0, None), ("c12", "correlation", "none|such", 1.0, None), ("c13", "stress", None, None, None),
+]
+SCENARIOS = [("crash", {"BUILDING": -0.5, "MACHINERY": -0.2}), ("mild", dict.fromkeys(("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"), 0.01))]
+LIMITS_SQL = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{v}::DOUBLE" for v in limit) + ")" for limit in LIMITS)
+SCENARIOS_SQL = ", ".join(f"('{name}', '{strategy}', {r}::DOUBLE)" for name, given in SCENARIOS for strategy, r in given.items())
+
+
+@query(f"""WITH {PAIRED}, {PORTFOLIO}, s(scenario_id, strategy_id, r) AS (VALUES {SCENARIOS_SQL}), sh AS (SELECT strategy_id, capital / sum(capital) OVER () AS f FROM capital), o AS ({OVERLAP.split("FROM p")[0].split(PAIRED)[1]} FROM p GROUP BY a_strategy_id, b_strategy_id),
+  m AS (SELECT 'concentration' AS kind, NULL AS subject, sum(f * f) AS value FROM sh UNION ALL SELECT 'capacity', NULL, min(capacity) FROM capital UNION ALL SELECT 'turnover', NULL, sum(turnover) FROM ({TURNOVER})
+    UNION ALL SELECT 'drawdown', NULL, max_drawdown FROM ({DRAWDOWN.format(by="", part="1", src="pr", group="")}) UNION ALL SELECT 'stress', NULL, min(x) FROM (SELECT scenario_id, coalesce(sum(f * r), 0) AS x FROM s JOIN sh USING (strategy_id) GROUP BY scenario_id)
+    UNION ALL SELECT 'correlation', a_strategy_id || '|' || b_strategy_id, nullif(corr(a_ret, b_ret), 'nan'::DOUBLE) FROM p GROUP BY a_strategy_id, b_strategy_id
+    UNION ALL SELECT 'overlap', a_strategy_id || '|' || b_strategy_id, CASE WHEN "union" = 0 THEN 0 ELSE intersection / "union" END FROM o UNION ALL SELECT 'capital_allocation', NULL, sum(capital) FROM capital
+    UNION ALL SELECT 'liquidity', NULL, min(liquidity) FROM streams UNION ALL SELECT 'risk_budget', NULL, sum(risk_budget) FROM capital),
+  l(constraint_id, kind, subject, most, least) AS (VALUES {LIMITS_SQL}),
+  j AS (SELECT constraint_id, l.kind, l.subject, value, CASE WHEN value <= most OR value >= least THEN 'KNOWN' WHEN value IS NOT NULL AND (most IS NOT NULL OR least IS NOT NULL) THEN 'ABSTAINED' ELSE 'UNKNOWN' END AS status FROM l LEFT JOIN m ON m.kind = l.kind AND m.subject IS NOT DISTINCT FROM l.subject)
+  SELECT constraint_id, kind, subject, round(value, 7) AS value, status, max_by(status, list_position(['KNOWN', 'PARTIAL', 'INCONCLUSIVE', 'UNKNOWN', 'NULL', 'ABSTAINED'], status)) OVER () AS overall FROM j""", "streams", "capital")
 def b15_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, s = fx.capital(spark, sf_dir), fx.streams(spark, sf_dir)
-    kind = lambda df, k, v: df.select(F.lit(k).alias("kind"), F.col(v).cast("double").alias("value"))
-    metrics = kind(portfolio.concentration(c), "concentration", "herfindahl").unionByName(kind(portfolio.capacity(c), "capacity", "bottleneck")).unionByName(kind(portfolio.turnover(s).agg(F.sum("turnover").alias("t")), "turnover", "t"))
-    limits = spark.createDataFrame(LIMITS, "constraint_id string, kind string, most double, least double")
-    return rounded(portfolio.constraints(metrics, limits).select("constraint_id", "kind", "value", "status"), "value")
+    scenarios = spark.createDataFrame(SCENARIOS, "scenario_id string, returns map<string,double>")
+    metrics = portfolio.constraint_metrics(fx.streams(spark, sf_dir), fx.capital(spark, sf_dir), scenarios)
+    limits = spark.createDataFrame(LIMITS, "constraint_id string, kind string, subject string, most double, least double")
+    return rounded(portfolio.constraints(metrics, limits).select("constraint_id", "kind", "subject", "value", "status", "overall"), "value", digits=7)
 
 
 @query("""WITH s(scenario_id, strategy_id, r) AS (VALUES ('crash', 'BUILDING', -0.5), ('crash', 'MACHINERY', -0.2), ('mild', 'AUTOMOBILE', 0.01), ('mild', 'BUILDING', 0.01), ('mild', 'FURNITURE', 0.01), ('mild', 'HOUSEHOLD', 0.01), ('mild', 'MACHINERY', 0.01)),

@@ -86,3 +86,17 @@ def test_paths_keep_anchors_without_ticks(spark):
     assert (one["ticks"], one["mfe_offset_ms"], one["mae_offset_ms"], one["favorable_first"], one["complete"]) == (2, 1000, 2000, True, True)
     assert got[2, "60s"]["complete"] and got[2, "60s"]["endpoint_return"] is None and got[2, "60s"]["realized_variance"] == 0
     assert not got[3, "60s"]["complete"] and got[3, "60s"]["censor_reason"] == "DEVELOPMENT_BOUNDARY"
+
+
+def test_asof_of_sides_that_are_dealt_by_key_alike(spark):
+    """Both sides come out of exchanges by the key, of unlike sizes: each anchor still has one context."""
+    from pyspark.sql import functions as F
+
+    from causaltape.operators import asof
+
+    a = spark.range(20_000).select((F.col("id") % 3).alias("k"), F.col("id").alias("s"), (F.col("id") * 10**10).alias("t")).repartition(7, "k")
+    c = spark.range(50).select((F.col("id") % 3).alias("k"), F.col("id").alias("s"), (F.col("id") * 4 * 10**12).alias("u"), F.col("id").alias("v")).groupBy("k", "s", "u", "v").count().repartition("k")
+    got = asof.asof_latest(a, c, ["k"], "t", "u", "s", "s", ["v"])
+    assert got.count() == 20_000
+    best = {r["s"]: r["ctx_v"] for r in got.collect()}
+    assert best == {s: max((v for v in range(50) if v % 3 == s % 3 and v * 4 * 10**12 <= s * 10**10), default=None) for s in range(20_000)}
