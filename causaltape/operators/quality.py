@@ -69,3 +69,12 @@ def numeric_faults(finite: list[str], probabilities: list[str]) -> Column:
     bad = [F.when(F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf")), c) for c in finite]
     bad += [F.when(~F.coalesce(F.col(c).between(0, 1), F.lit(False)), c) for c in probabilities]
     return F.filter(F.array(*bad), lambda b: b.isNotNull())
+
+
+def require_rising(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
+    """`df`, if along `order` the `value` of each key always rises; else an error that names a key."""
+    w = Window.partitionBy(*by).orderBy(order)
+    fallen = df.withColumn("__before", F.lag(value).over(w)).where(F.col(value) <= F.col("__before")).select(*by, order).first()
+    if fallen is not None:
+        raise ValueError(f"{value} does not rise at {fallen.asDict()}")
+    return df

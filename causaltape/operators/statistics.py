@@ -78,7 +78,7 @@ def draw(*parts: Column | int | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
-def p_value(exceed: Column, draws: int) -> Column:
+def p_value(exceed: Column, draws: int | Column) -> Column:
     return (exceed + 1) / F.lit(draws + 1)
 
 
@@ -86,15 +86,23 @@ def block_bootstrap(values: DataFrame, block: str, value: str, replicates: int,
     """One row: the mean, how many block-bootstrap means reach it in size, and the two-sided p-value.
 
     Values are centred at their mean and whole blocks are drawn with replacement until a replicate has at least as
-    many values as the sample. Blocks are reduced to (count, sum) first; draws are rows of a small table, and every
-    replicate's running count is a window of its own."""
-    sums = values.groupBy(block).agg(F.count(value).alias("n"), F.sum(value).alias("s"))
+    many values as the sample. Blocks are reduced to (count, sum) first, those without a value are left out; draws are
+    rows of a small table, and every replicate's running count is a window of its own. Draws a replicate are twice the
+    number of blocks, doubled for as long as a replicate falls short, so one tiny block does not multiply them."""
+    sums = values.groupBy(block).agg(F.count(value).alias("n"), F.sum(value).alias("s")).where("n > 0")
     total = sums.agg(F.sum("n").alias("total_n"), (F.sum("s") / F.sum("n")).alias("observed"), F.count("*").alias("blocks"), F.min("n").alias("least"))
     numbered = sums.withColumn("no", F.row_number().over(Window.orderBy(block)) - 1)
-    spark = values.sparkSession
-    reps = spark.range(replicates).select(F.col("id").alias("rep")).join(F.broadcast(total))
-    draws = reps.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("total_n") / F.col("least")) - 1)))
-    draws = draws.withColumn("no", draw(seed, F.col("rep"), F.col("k")) % F.col("blocks")).join(F.broadcast(numbered), "no")
+    reps = values.sparkSession.range(replicates).select(F.col("id").alias("rep")).join(F.broadcast(total))
+    enough = F.ceil(F.col("total_n") / F.col("least"))
+
+    def drawn(rounds: int) -> DataFrame:
+        every = F.sequence(F.lit(0).cast("long"), F.least(enough, rounds * F.col("blocks")) - 1)
+        return reps.withColumn("k", F.explode(every)).withColumn("no", draw(seed, F.col("rep"), F.col("k")) % F.col("blocks")).join(numbered, "no")
+
+    rounds = 2
+    while not drawn(rounds).groupBy("rep", "total_n").agg(F.sum("n").alias("n")).where("n < total_n").isEmpty():
+        rounds *= 2
+    draws = drawn(rounds)
     w = Window.partitionBy("rep").orderBy("k")
     before = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     means = draws.withColumn("before", before).where("before < total_n").groupBy("rep").agg((F.sum(F.col("s") - F.col("n") * F.col("observed")) / F.sum("n")).alias("m"), F.first("observed").alias("observed"))
@@ -161,6 +169,14 @@ def max_statistic(observed: DataFrame, worlds: DataFrame, world: str, name: str,
     return counted.withColumn("p_value", (F.col("exceedances") + 1) / (F.col("worlds") + 1))
 
 
+def max_statistic_running(observed: DataFrame, worlds: DataFrame, world: str, name: str, stat: str) -> DataFrame:
+    """The accumulator of `max_statistic` after each world, in order of `world`: exceedances and p-value so far."""
+    tops = worlds.groupBy(world).agg(F.max(F.abs(stat)).alias("__top"))
+    w = Window.partitionBy(name).orderBy(world).rowsBetween(Window.unboundedPreceding, 0)
+    met = observed.join(tops).withColumn("exceedances", F.sum((F.col("__top") >= F.abs(stat)).cast("long")).over(w)).withColumn("worlds", F.count("*").over(w))
+    return met.select(name, world, stat, "exceedances", "worlds", ((F.col("exceedances") + 1) / (F.col("worlds") + 1)).alias("p_value"))
+
+
 def survival(observations: DataFrame, time: str, event: str, by: list[str] | None = None) -> DataFrame:
     """Kaplan-Meier and Nelson-Aalen per distinct time: ties share the set at risk. Windows run over the distinct
     times of each group; the product is a sum of logarithms, with an explicit zero once a hazard is 1."""
@@ -177,6 +193,8 @@ def survival(observations: DataFrame, time: str, event: str, by: list[str] | Non
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:
-    """An order-insensitive fingerprint: row count and three combinations of the rows' hashes."""
-    row = F.xxhash64(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}))
-    return df.select(row.alias("h")).agg(F.count("*").alias("rows"), F.bit_xor("h").alias("xor"), F.sum(F.col("h").cast("decimal(20,0)")).cast("string").alias("sum"))
+    """An order-insensitive fingerprint: row count, exclusive or and sum of 60 bits of each row's SHA-256, taken over the
+    row as JSON with its columns in order of name and nulls kept. Repeated rows cancel in the first but not in the sum."""
+    row = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
+    h = F.conv(F.substring(row, 1, 15), 16, 10).cast("long")
+    return df.select(h.alias("h")).agg(F.count("*").alias("rows"), F.bit_xor("h").alias("xor"), F.sum(F.col("h").cast("decimal(20,0)")).cast("string").alias("sum"))

@@ -114,3 +114,10 @@ def sql(body: str, *views: str) -> str:
     known = ", ".join(f"{v} AS ({SQL[v]})" for v in order)
     body = body.strip()
     return f"WITH {known}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {known} {body}"
+
+
+def fingerprint_sql(source: str, *columns: str) -> str:
+    """The table fingerprint of `source` in SQL; columns in order of name."""
+    row = "to_json({" + ", ".join(f"'{c}': {c}" for c in columns) + "})"
+    h = f"('0x' || substr(sha256({row}), 1, 15))::BIGINT"
+    return f"SELECT count(*) AS rows, bit_xor({h}) AS xor, CAST(sum({h}) AS VARCHAR) AS sum FROM {source}"

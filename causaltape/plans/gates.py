@@ -12,7 +12,7 @@ from causaltape.plans import fixtures as fx
 from causaltape.plans import market
 from causaltape.plans.fixtures import sql, table
 from causaltape.sources import lake
-from causaltape.sources.lake import shared
+from causaltape.sources.lake import cut, shared
 
 QUERIES, SQL = {}, {}
 
@@ -39,17 +39,19 @@ def s1_projected_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lake.scan(spark, f"{sf_dir}/lineitem.parquet", ["l_orderkey", "l_quantity"]).where("l_quantity > 49")
 
 
-@query("SELECT count(*) AS rows, count(DISTINCT l_orderkey) AS orders FROM lineitem")
+@query("SELECT count(*) AS rows, CAST(ceil(count(*) / 65536) AS BIGINT) AS batches, true AS has_bytes, CAST(1 AS BIGINT) AS parts, true AS timed FROM lineitem")
 def s2_scan_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen, _ = lake.counted(lake.scan(spark, f"{sf_dir}/lineitem.parquet", ["l_orderkey"]), "lineitem")
-    return seen.agg(F.count("*").alias("rows"), F.count_distinct("l_orderkey").alias("orders"))
+    """SQL knows no file size and no time, so the query returns whether they were taken."""
+    seen = lake.scan_report(table(spark, sf_dir, "lineitem"))
+    return seen.select("rows", "batches", (F.col("bytes") > 0).alias("has_bytes"), "parts", (F.col("elapsed_s") > 0).alias("timed"))
 
 
-@query("SELECT 'events' AS origin, count(*) AS rows FROM events UNION ALL SELECT 'orders', count(*) FROM orders")
+@query("""WITH p AS (SELECT event_ts_ns // 86400000000000 AS day, count(*) AS rows, min(received_ts_ns * 1000000000::HUGEINT + source_sequence) AS a, max(received_ts_ns * 1000000000::HUGEINT + source_sequence) AS z FROM ticks GROUP BY ALL)
+  SELECT day, rows, CAST(coalesce(sum(rows) OVER w, 0) AS BIGINT) AS rows_before, coalesce(a > max(z) OVER w, true) AS follows FROM p WINDOW w AS (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""", "ticks")
 def s3_multi_part_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One DataFrame over several parts; each keeps the name of its origin."""
-    parts = [table(spark, sf_dir, n).select(F.lit(n).alias("origin")) for n in ("events", "orders")]
-    return parts[0].unionByName(parts[1]).groupBy("origin").agg(F.count("*").alias("rows"))
+    """Parts of a day each: the running count and the last key are carried over their borders, where late rows show."""
+    t = fx.ticks(spark, sf_dir).withColumn("day", clock.floor_div(F.col("event_ts_ns"), fx.DAY))
+    return lake.ordered_parts(t, "day", ["received_ts_ns", "source_sequence"])
 
 
 @query("SELECT event_id, 'events.parquet' AS part, row_number() OVER (ORDER BY event_id) - 1 AS row_index FROM events")
@@ -57,10 +59,10 @@ def s4_row_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lake.with_source(table(spark, sf_dir, "events")).select("event_id", "part", "row_index")
 
 
-@query("SELECT count(*) AS rows, min(o_orderkey) AS min_o_orderkey, max(o_orderkey) AS max_o_orderkey FROM orders")
+@query("SELECT 'orders.parquet' AS part, count(*) AS rows, true AS has_bytes, min(o_orderkey) AS min_o_orderkey, max(o_orderkey) AS max_o_orderkey, min(o_orderdate) AS min_o_orderdate, max(o_orderdate) AS max_o_orderdate FROM orders")
 def s5_part_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inventory = lake.part_inventory(table(spark, sf_dir, "orders"), ["o_orderkey"])
-    return inventory.agg(F.sum("rows").alias("rows"), F.min("min_o_orderkey").alias("min_o_orderkey"), F.max("max_o_orderkey").alias("max_o_orderkey"))
+    inventory = lake.part_inventory(table(spark, sf_dir, "orders"), ["o_orderkey", "o_orderdate"])
+    return inventory.withColumn("has_bytes", F.col("bytes") > 0).drop("bytes")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderdate < TIMESTAMP '1995-03-01' ")
@@ -79,16 +81,14 @@ def s7_json_availability_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.groupBy("timeframe").agg(F.count("*").alias("records"), F.max("available_time_ns").alias("last_ns"))
 
 
-@query(f"WITH {market.AVAILABLE} SELECT count(*) AS rows FROM avail", "ticks", "frames")
+@query(f"""WITH {market.AVAILABLE} {fx.fingerprint_sql("avail", "available_time_ns", "bar_close_ns", "bar_open_ns", "instrument", "timeframe", "trigger_sequence")}""", "ticks", "frames")
 def s8_json_sink_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written once, never over an existing path, and read back with the same fingerprint."""
-    from causaltape.operators.statistics import table_fingerprint
-
     records = market._availability(spark, sf_dir)
     path = shared(spark, "availability")
     lake.write_new(records, path, "json")
-    both = table_fingerprint(records).unionByName(table_fingerprint(spark.read.schema(records.schema).json(path)))
-    return both.groupBy("rows", "xor", "sum").agg(F.count("*").alias("n")).where("n = 2").select("rows")
+    both = statistics.table_fingerprint(records).unionByName(statistics.table_fingerprint(spark.read.schema(records.schema).json(path)))
+    return both.groupBy("rows", "xor", "sum").agg(F.count("*").alias("n")).where("n = 2").drop("n")
 
 
 @query(f"SELECT count(*) AS rows, max(received_ts_ns) AS last_ns FROM ticks WHERE event_ts_ns < {B} AND received_ts_ns < {B}", "ticks")
@@ -109,9 +109,11 @@ def s10_path_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("horizon").agg(F.count("*").alias("paths"), F.count_if("complete").alias("complete"))
 
 
-@query("SELECT instrument, scale, count(*) AS anchors, min(bar_close_ts) AS first_ms, max(bar_close_ts) AS last_ms FROM bars GROUP BY ALL", "bars")
+@query("SELECT instrument, scale, bar_close_ts AS anchor_ms, close AS anchor_close FROM bars", "bars")
 def s11_completed_bar_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.bars(spark, sf_dir).groupBy("instrument", "scale").agg(F.count("*").alias("anchors"), F.min("bar_close_ts").alias("first_ms"), F.max("bar_close_ts").alias("last_ms"))
+    """Every completed bar as an anchor at its close; bars whose closes do not rise are refused."""
+    bars = quality.require_rising(cut(fx.bars(spark, sf_dir), "bars"), ["instrument", "scale"], "bar_open_ts", "bar_close_ts")
+    return bars.select("instrument", "scale", F.col("bar_close_ts").alias("anchor_ms"), F.col("close").alias("anchor_close"))
 
 
 @query("""SELECT part, declared, found, CASE WHEN found IS NULL THEN 'MISSING' WHEN declared IS NULL THEN 'UNDECLARED' WHEN declared = found THEN 'OK' ELSE 'ROW_COUNT_DIFFERS' END AS status FROM

@@ -123,13 +123,9 @@ def g10_support_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.join(F.broadcast(counted.agg(F.sum("n").alias("total")))).select("lang", "source", "n", F.round(F.col("n") / F.col("total"), 9).alias("share"))
 
 
-@query("SELECT count(*) AS rows, count(DISTINCT sha256(concat_ws('|', anchor_id, anchor_time, direction))) AS distinct_rows FROM anchors", "anchors")
+@query(fx.fingerprint_sql("anchors", "anchor_id", "anchor_time", "direction"), "anchors")
 def g13_output_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from causaltape.functions.scalars import content_hash
-
-    a = fx.anchors(spark, sf_dir).select("anchor_id", "anchor_time", "direction")
-    rows = statistics.table_fingerprint(a).select("rows")
-    return rows.join(a.agg(F.count_distinct(content_hash("anchor_id", "anchor_time", "direction")).alias("distinct_rows")))
+    return statistics.table_fingerprint(fx.anchors(spark, sf_dir).select("anchor_id", "anchor_time", "direction"))
 
 
 EFFECT = """SELECT p_brand, n_a, n_b, round(ma - mb, 9) AS difference, round(CASE WHEN pooled > 0 THEN (ma - mb) / pooled END, 9) AS cohen_d, round(CASE WHEN pooled > 0 THEN (ma - mb) / pooled * (1 - 3.0 / (4 * (n_a + n_b - 2) - 1)) END, 9) AS hedges_g
@@ -294,13 +290,29 @@ def n8_holm(spark: SparkSession, sf_dir: str) -> DataFrame:
 WORLDS = f"""obs AS (SELECT instrument, round(avg(value) - 50, 9) AS stat FROM ticks GROUP BY ALL), worlds AS (SELECT w, instrument, round(avg(CASE WHEN {DRAW.format("'5:' || w || ':' || source_sequence")} % 2 = 0 THEN value - 50 ELSE 50 - value END), 9) AS stat FROM ticks, range(29) q(w) GROUP BY ALL)"""
 
 
-@query(f"""WITH {WORLDS}, tops AS (SELECT w, max(abs(stat)) AS top FROM worlds GROUP BY w) SELECT instrument, stat, count(*) FILTER (top >= abs(stat)) AS exceedances, count(*) AS worlds, round((count(*) FILTER (top >= abs(stat)) + 1) / (count(*) + 1), 9) AS p_value FROM obs, tops GROUP BY instrument, stat""", "ticks")
-def n6_max_statistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _worlds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     t = fx.ticks(spark, sf_dir).select("instrument", "source_sequence", "value")
     obs = t.groupBy("instrument").agg(F.round(F.avg("value") - 50, 9).alias("stat"))
     flipped = t.withColumn("w", F.explode(F.sequence(F.lit(0), F.lit(28)))).withColumn("v", F.when(statistics.draw(5, F.col("w"), F.col("source_sequence")) % 2 == 0, F.col("value") - 50).otherwise(50 - F.col("value")))
-    worlds = flipped.groupBy("w", "instrument").agg(F.round(F.avg("v"), 9).alias("stat"))
-    return rounded(statistics.max_statistic(obs, worlds, "w", "instrument", "stat"), "p_value")
+    return obs, flipped.groupBy("w", "instrument").agg(F.round(F.avg("v"), 9).alias("stat"))
+
+
+@query(f"""WITH {WORLDS}, tops AS (SELECT w, max(abs(stat)) AS top FROM worlds GROUP BY w) SELECT instrument, stat, count(*) FILTER (top >= abs(stat)) AS exceedances, count(*) AS worlds, round((count(*) FILTER (top >= abs(stat)) + 1) / (count(*) + 1), 9) AS p_value FROM obs, tops GROUP BY instrument, stat""", "ticks")
+def n6_max_statistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(statistics.max_statistic(*_worlds(spark, sf_dir), "w", "instrument", "stat"), "p_value")
+
+
+@query(f"""WITH {WORLDS}, tops AS (SELECT w, max(abs(stat)) AS top FROM worlds GROUP BY w) SELECT instrument, CAST(w AS INTEGER) AS w, stat, CAST(sum(CASE WHEN top >= abs(stat) THEN 1 ELSE 0 END) OVER q AS BIGINT) AS exceedances, count(*) OVER q AS worlds,
+  round((sum(CASE WHEN top >= abs(stat) THEN 1 ELSE 0 END) OVER q + 1) / (count(*) OVER q + 1), 9) AS p_value FROM obs, tops WINDOW q AS (PARTITION BY instrument ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""", "ticks")
+def r7_max_statistic_running(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same accumulator world by world."""
+    return rounded(statistics.max_statistic_running(*_worlds(spark, sf_dir), "w", "instrument", "stat"), "p_value")
+
+
+@query("SELECT event_type, count(*) FILTER (value >= 99) AS exceedances, count(*) AS draws, round((count(*) FILTER (value >= 99) + 1) / (count(*) + 1), 9) AS p_value FROM ticks GROUP BY event_type", "ticks")
+def n5_finite_sample_p_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = fx.ticks(spark, sf_dir).groupBy("event_type").agg(F.count_if(F.col("value") >= 99).alias("exceedances"), F.count("*").alias("draws"))
+    return rounded(counted.withColumn("p_value", statistics.p_value(F.col("exceedances"), F.col("draws"))), "p_value")
 
 
 @query("SELECT instrument, source_sequence, " + DRAW.format("'3:' || source_sequence") + " AS draw, round((" + DRAW.format("'3:' || source_sequence") + " % 100 + 1) / 101.0, 9) AS p FROM ticks", "ticks")

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -44,6 +45,30 @@ def counted(df: DataFrame, name: str = "scan") -> tuple[DataFrame, Observation]:
     return df.observe(seen, F.count("*").alias("rows")), seen
 
 
+def scan_counters(df: DataFrame, batch_rows: int = 65_536) -> DataFrame:
+    """Per part of a plain scan: rows, batches of at most `batch_rows` rows, and bytes of the file."""
+    parted = df.select(F.col("_metadata.file_path").alias("part"), F.col("_metadata.file_size").alias("bytes"))
+    counted = parted.groupBy("part").agg(F.count("*").alias("rows"), F.max("bytes").alias("bytes"))
+    return counted.withColumn("batches", F.ceil(F.col("rows") / batch_rows).cast("long"))
+
+
+def scan_report(df: DataFrame, batch_rows: int = 65_536) -> DataFrame:
+    """One row: rows, batches, bytes and parts of a plain scan, and the seconds that reading it took."""
+    began = time.monotonic()
+    totals = scan_counters(df, batch_rows).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("rows", "batches", "bytes")], F.count("*").alias("parts"))
+    return df.sparkSession.createDataFrame([(*totals.first(), time.monotonic() - began)], "rows long, batches long, bytes long, parts long, elapsed_s double")
+
+
+def ordered_parts(df: DataFrame, part: str, order: list[str]) -> DataFrame:
+    """Per part, in order of `part`: its rows, the rows of all parts before, and whether its first key comes after the
+    last of all those before. What a part hands on is one row, so the windows run over parts and not over rows."""
+    key = F.struct(*order)
+    per = df.groupBy(part).agg(F.count("*").alias("rows"), F.min(key).alias("__first"), F.max(key).alias("__last"))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    follows = F.coalesce(F.col("__first") > F.max("__last").over(before), F.lit(True))
+    return per.select(part, "rows", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before"), follows.alias("follows"))
+
+
 def with_source(df: DataFrame) -> DataFrame:
     """Adds the part and the row inside it that each row comes from. `df` must be a plain scan."""
     return df.select("*", F.col("_metadata.file_name").alias("part"), F.col("_metadata.row_index").alias("row_index"))

@@ -90,3 +90,26 @@ def test_stress_with_missing_returns(spark):
     s = spark.createDataFrame([("x", {"a": -0.4}), ("y", {"a": 0.1, "b": 0.1})], "scenario_id string, returns map<string,double>")
     got = {r["scenario_id"]: (round(r["portfolio_return"], 9), r["status"]) for r in portfolio.stress(d, s).collect()}
     assert got == {"x": (-0.3, "PARTIAL"), "y": (0.1, "KNOWN")} and math.isclose(sum(r["fraction"] for r in portfolio.shares(d, "capital").collect()), 1)
+
+
+def test_bootstrap_survives_a_tiny_block_and_one_without_values(spark):
+    rows = [("a", 1.0)] * 500 + [("b", 3.0)] * 500 + [("c", 2.0), ("d", None)]
+    got = statistics.block_bootstrap(spark.createDataFrame(rows, "block string, v double"), "block", "v", 19, 3).first()
+    assert round(got["observed"], 6) == 2.0 and got["draws"] == 19 and 0 < got["p_value"] <= 1
+
+
+def test_closes_that_do_not_rise_are_refused(spark):
+    from causaltape.operators import quality
+
+    bars = spark.createDataFrame([("x", 1, 2), ("x", 2, 3), ("y", 1, 5)], "k string, open long, close long")
+    assert quality.require_rising(bars, ["k"], "open", "close").count() == 3
+    with pytest.raises(ValueError, match="close does not rise"):
+        quality.require_rising(bars.unionByName(spark.createDataFrame([("y", 2, 5)], bars.schema)), ["k"], "open", "close")
+
+
+def test_parts_hand_on_their_count_and_last_key(spark):
+    from causaltape.sources import lake
+
+    df = spark.createDataFrame([(0, 1, 1), (0, 5, 2), (1, 4, 3), (2, 6, 4)], "part long, t long, s long")
+    got = sorted((r["part"], r["rows"], r["rows_before"], r["follows"]) for r in lake.ordered_parts(df, "part", ["t", "s"]).collect())
+    assert got == [(0, 2, 0, True), (1, 1, 2, False), (2, 1, 3, True)]
