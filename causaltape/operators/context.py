@@ -19,13 +19,51 @@ def support_by_month(cells: DataFrame, by: list[str], month: str, value: str) ->
     return got.withColumn("support", label).withColumn("dominated", F.col("largest_share") > 0.5)
 
 
-def event_sequences(events: DataFrame, anchor: str, order: list[str], label: str, longest: int = 4) -> DataFrame:
-    """Runs of up to `longest` neighbouring event labels before or after an anchor, with the anchors they occur at."""
-    w = Window.partitionBy(anchor).orderBy(*order)
-    ahead = [F.lead(label, k).over(w) for k in range(longest)]
-    runs = events.select(anchor, *[a.alias(f"__{k}") for k, a in enumerate(ahead)])
+def event_sequences(events: DataFrame, anchor: str, order: list[str], label: str, month: str, time: str, longest: int = 4, block: int = 10_000) -> DataFrame:
+    """Runs of up to `longest` neighbouring event labels of an anchor: how often they occur, at how many anchors, and
+    in how many months (that of their first event).
+
+    Events are numbered in day buckets with a carry and then stand in blocks of `block`; the first few of a block are
+    also put at the end of the block before, so that no window holds more."""
+    from causaltape.functions.clock import floor_div
+    from causaltape.operators.asof import DAY_NS, carry_sum
+
+    days = events.withColumn("__day", floor_div(F.col(time), DAY_NS))
+    n = carry_sum(days, [anchor], [F.col(c) for c in order], F.lit(1), "__day", "__n").withColumn("__n", F.col("__n") - 1)
+    own = floor_div(F.col("__n"), block)
+    guests = (F.col("__n") % block < longest - 1) & (own > 0)
+    placed = n.select(anchor, month, F.col(label).alias("__label"), "__n", F.explode(F.when(guests, F.array(own, own - 1)).otherwise(F.array(own))).alias("__block"))
+    w = Window.partitionBy(anchor, "__block").orderBy("__n")
+    runs = placed.select(anchor, month, "__n", "__block", *[F.lead("__label", k).over(w).alias(f"__{k}") for k in range(longest)]).where(floor_div(F.col("__n"), block) == F.col("__block"))
     grams = F.array(*[F.when(F.col(f"__{k}").isNotNull(), F.concat_ws(">", *[f"__{j}" for j in range(k + 1)])) for k in range(longest)])
-    return runs.select(anchor, F.explode(grams).alias("sequence")).where("sequence is not null").groupBy("sequence").agg(F.count("*").alias("n"), F.count_distinct(anchor).alias("anchors"))
+    counted = runs.select(anchor, month, F.explode(grams).alias("sequence")).where("sequence is not null").groupBy("sequence", anchor, month).agg(F.count("*").alias("n"))
+    return counted.groupBy("sequence").agg(F.sum("n").alias("n"), F.count_distinct(anchor).alias("anchors"), F.count_distinct(month).alias("months"))
+
+
+def named_pairs(events: DataFrame, pairs: DataFrame, by: list[str], label: str, time: str) -> DataFrame:
+    """Per named pair (a, b): rows of `a`, those that had a `b` of their key at or before them, the status of the pair
+    and the worst status of all. UNKNOWN: no row of `a`, or no `b` before any; PARTIAL: before some; KNOWN: before all.
+    `pairs` is a declared list."""
+    from causaltape.operators.portfolio import severity
+
+    first = events.groupBy(*by, F.col(label).alias("b")).agg(F.min(time).alias("__first"))
+    rows = events.join(F.broadcast(pairs), F.col(label) == F.col("a")).select(*by, "a", "b", time).join(first, [*by, "b"], "left")
+    met = rows.groupBy("a", "b").agg(F.count("*").alias("rows"), F.count_if(F.col("__first") <= F.col(time)).alias("matched"))
+    full = pairs.join(met, ["a", "b"], "left").fillna(0, ["rows", "matched"])
+    status = F.when(F.col("matched") == 0, "UNKNOWN").when(F.col("matched") < F.col("rows"), "PARTIAL").otherwise("KNOWN")
+    judged = full.withColumn("status", status)
+    return judged.join(F.broadcast(judged.agg(F.max_by("status", severity(F.col("status"))).alias("overall"))))
+
+
+def exposure_verdict(effects: DataFrame, least_pairs: int, material: float) -> DataFrame:
+    """One row from effects (domain, pairs, effect), domains TICK and BAR: where firings move the outcome. INCONCLUSIVE
+    if a domain has fewer pairs than `least_pairs`; else by which effects reach `material` in size."""
+    of = lambda domain, column: F.max(F.when(F.col("domain") == domain, F.col(column)))
+    one = effects.agg(*[of(d, c).alias(f"{d.lower()}_{c}") for d in ("TICK", "BAR") for c in ("pairs", "effect")])
+    few = lambda d: F.coalesce(F.col(f"{d}_pairs"), F.lit(0)) < least_pairs
+    tick, bar = (F.abs(f"{d}_effect") >= material for d in ("tick", "bar"))
+    verdict = F.when(few("tick") | few("bar"), "INCONCLUSIVE").when(tick & bar, "BOTH").when(tick, "TICK_DOMAIN_ONLY").when(bar, "BAR_DOMAIN_ONLY").otherwise("NONE")
+    return one.withColumn("verdict", verdict)
 
 
 def primary_scale(counts: DataFrame, by: list[str], scale: str, width: str, n: str = "n") -> DataFrame:

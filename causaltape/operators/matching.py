@@ -19,9 +19,10 @@ def candidate_pairs(treated: DataFrame, controls: DataFrame, caliper: float, str
     return t.join(c, [stratum, "__cell"]).withColumn("distance", euclidean(F.col("__x"), F.col("__y"))).where(F.col("distance") <= caliper).drop("__x", "__y", "__cell")
 
 
-def nearest_with_reuse(pairs: DataFrame) -> DataFrame:
-    """The nearest control of each treated row, ties by the lowest control id; a control may serve often."""
-    w = Window.partitionBy("treated_id").orderBy("distance", "control_id")
+def nearest_with_reuse(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The nearest control of each treated row (in each group of `by`), ties by the lowest control id; a control may
+    serve often."""
+    w = Window.partitionBy(*(by or []), "treated_id").orderBy("distance", "control_id")
     return pairs.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 

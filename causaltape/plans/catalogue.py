@@ -210,11 +210,21 @@ def x6_conditioning_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.join(F.broadcast(whole)).select("band", "n", F.round("mean", 9).alias("mean"), F.round(F.col("mean") - F.col("all"), 9).alias("effect"))
 
 
-@query("""SELECT a.anchor_id, min(c.available_time - a.anchor_time) AS latency_ns, arg_min(c.detector, (c.available_time, c.context_seq)) AS first_detector FROM anchors a JOIN contexts c ON c.instrument = a.instrument AND c.available_time > a.anchor_time AND c.available_time <= a.anchor_time + 21600000000000 GROUP BY a.anchor_id""", "anchors", "contexts")
+@query(f"""WITH {market.PATHS}, co AS (SELECT a.anchor_id, min(c.available_time - a.anchor_time) AS latency_ns, arg_min(c.detector, (c.available_time, c.context_seq)) AS first_detector FROM anchors a JOIN contexts c ON c.instrument = a.instrument AND c.available_time > a.anchor_time AND c.available_time <= a.anchor_time + 21600000000000 GROUP BY a.anchor_id)
+  SELECT anchor_id, latency_ns, first_detector, CASE WHEN mfe_offset_ms IS NULL THEN 'NO_PATH' WHEN latency_ns // 1000000 < mfe_offset_ms THEN 'BEFORE' WHEN latency_ns // 1000000 = mfe_offset_ms THEN 'SAME' ELSE 'AFTER' END AS vs_mfe,
+    CASE WHEN mae_offset_ms IS NULL THEN 'NO_PATH' WHEN latency_ns // 1000000 < mae_offset_ms THEN 'BEFORE' WHEN latency_ns // 1000000 = mae_offset_ms THEN 'SAME' ELSE 'AFTER' END AS vs_mae FROM co LEFT JOIN (SELECT * FROM paths WHERE horizon = '6h') USING (anchor_id)""", "ticks", "anchors", "contexts", "horizons")
 def x7_co_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = fx.anchors(spark, sf_dir).select("instrument", "anchor_id", "anchor_time", F.lit(2**62).alias("last_seq"))
+    """The first context after each anchor, and whether it came before the best and the worst price of six hours."""
+    from causaltape.operators import paths
+
+    anchors = fx.anchors(spark, sf_dir)
+    a = anchors.select("instrument", "anchor_id", "anchor_time", F.lit(2**62).alias("last_seq"))
     pairs = asof.forward(a, fx.contexts(spark, sf_dir), ["instrument"], ("anchor_time", "last_seq"), ("available_time", "context_seq"), 6 * H)
-    return pairs.groupBy("anchor_id").agg(F.min(F.col("available_time") - F.col("anchor_time")).alias("latency_ns"), F.min_by("detector", F.struct("available_time", "context_seq")).alias("first_detector"))
+    first = pairs.groupBy("anchor_id").agg(F.min(F.col("available_time") - F.col("anchor_time")).alias("latency_ns"), F.min_by("detector", F.struct("available_time", "context_seq")).alias("first_detector"))
+    path = paths.forward_paths(anchors, fx.ticks(spark, sf_dir), ["instrument"], {"6h": 6 * H}).select("anchor_id", "mfe_offset_ms", "mae_offset_ms")
+    ms = floor_div(F.col("latency_ns"), 1_000_000)
+    order = lambda at: F.when(F.col(at).isNull(), "NO_PATH").when(ms < F.col(at), "BEFORE").when(ms == F.col(at), "SAME").otherwise("AFTER")
+    return first.join(path, "anchor_id", "left").select("anchor_id", "latency_ns", "first_detector", order("mfe_offset_ms").alias("vs_mfe"), order("mae_offset_ms").alias("vs_mae"))
 
 
 @query(f"""WITH {market.BARS} SELECT a.anchor_id, s.scale, round(k.close, 9) AS close FROM anchors a CROSS JOIN (SELECT scale FROM frames) s LEFT JOIN LATERAL (SELECT * FROM known k WHERE k.instrument = a.instrument AND k.scale = s.scale AND (k.av < a.anchor_time OR (k.av = a.anchor_time AND k.sq < a.anchor_seq)) ORDER BY k.av DESC, k.sq DESC LIMIT 1) k ON true""", "ticks", "frames", "bars", "anchors")
@@ -227,19 +237,22 @@ def x8_structural_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("anchor_id", "scale", F.round("ctx_close", 9).alias("close"))
 
 
-SEQ = """l AS (SELECT instrument, event_type AS a, lead(event_type, 1) OVER w AS b, lead(event_type, 2) OVER w AS c, lead(event_type, 3) OVER w AS d FROM ticks WINDOW w AS (PARTITION BY instrument ORDER BY received_ts_ns, source_sequence))"""
+SEQ = """l AS (SELECT instrument, received_ts_ns // 864000000000000 AS month, event_type AS a, lead(event_type, 1) OVER w AS b, lead(event_type, 2) OVER w AS c, lead(event_type, 3) OVER w AS d FROM ticks WINDOW w AS (PARTITION BY instrument ORDER BY received_ts_ns, source_sequence))"""
 
 
-@query(f"""WITH {SEQ} SELECT sequence, count(*) AS n, count(DISTINCT instrument) AS anchors FROM (SELECT instrument, a AS sequence FROM l UNION ALL SELECT instrument, a || '>' || b FROM l WHERE b IS NOT NULL UNION ALL SELECT instrument, a || '>' || b || '>' || c FROM l WHERE c IS NOT NULL UNION ALL SELECT instrument, a || '>' || b || '>' || c || '>' || d FROM l WHERE d IS NOT NULL) GROUP BY ALL""", "ticks")
+@query(f"""WITH {SEQ} SELECT sequence, count(*) AS n, count(DISTINCT instrument) AS anchors, count(DISTINCT month) AS months FROM (SELECT instrument, month, a AS sequence FROM l UNION ALL SELECT instrument, month, a || '>' || b FROM l WHERE b IS NOT NULL UNION ALL SELECT instrument, month, a || '>' || b || '>' || c FROM l WHERE c IS NOT NULL UNION ALL SELECT instrument, month, a || '>' || b || '>' || c || '>' || d FROM l WHERE d IS NOT NULL) GROUP BY sequence""", "ticks")
 def x9_sequence_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context.event_sequences(fx.ticks(spark, sf_dir), "instrument", ["received_ts_ns", "source_sequence"], "event_type")
+    """The tape spans one month, so spans of ten days stand for months."""
+    t = fx.ticks(spark, sf_dir).withColumn("month", floor_div(F.col("received_ts_ns"), 10 * D))
+    return context.event_sequences(t, "instrument", ["received_ts_ns", "source_sequence"], "event_type", "month", "received_ts_ns")
 
 
-@query("SELECT p.a, p.b, CASE WHEN max(CASE WHEN n = 0 THEN 4 ELSE 1 END) = 4 THEN 'UNKNOWN' ELSE 'KNOWN' END AS status FROM (VALUES ('click', 'view'), ('click', 'nothing')) p(a, b) LEFT JOIN LATERAL (SELECT count(*) AS n FROM events WHERE event_type = p.b) x ON true GROUP BY p.a, p.b")
+@query("""WITH p(a, b) AS (VALUES ('click', 'view'), ('click', 'nothing'), ('purchase', 'signup')), f AS (SELECT instrument, event_type AS b, min(received_ts_ns) AS t FROM ticks GROUP BY ALL),
+  m AS (SELECT p.a, p.b, count(t.instrument) AS rows, count(*) FILTER (f.t <= t.received_ts_ns) AS matched FROM p LEFT JOIN ticks t ON t.event_type = p.a LEFT JOIN f ON f.instrument = t.instrument AND f.b = p.b GROUP BY p.a, p.b)
+  SELECT a, b, rows, matched, CASE WHEN matched = 0 THEN 'UNKNOWN' WHEN matched < rows THEN 'PARTIAL' ELSE 'KNOWN' END AS status, CASE WHEN min(matched) OVER () = 0 THEN 'UNKNOWN' WHEN bool_or(matched < rows) OVER () THEN 'PARTIAL' ELSE 'KNOWN' END AS overall FROM m""", "ticks")
 def x10_named_pair_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = spark.createDataFrame([("click", "view"), ("click", "nothing")], "a string, b string")
-    n = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("b")).agg(F.count("*").alias("n"))
-    return pairs.join(n, "b", "left").select("a", "b", F.when(F.col("n").isNull(), "UNKNOWN").otherwise("KNOWN").alias("status"))
+    pairs = spark.createDataFrame([("click", "view"), ("click", "nothing"), ("purchase", "signup")], "a string, b string")
+    return context.named_pairs(fx.ticks(spark, sf_dir), pairs, ["instrument"], "event_type", "received_ts_ns")
 
 
 @query("""SELECT a.anchor_id, w.w AS window_h, count(c.context_seq) AS n FROM anchors a CROSS JOIN (VALUES (1), (3), (6)) w(w) LEFT JOIN contexts c ON c.instrument = a.instrument AND c.available_time BETWEEN a.anchor_time - w.w * 3600000000000 AND a.anchor_time GROUP BY ALL""", "anchors", "contexts")
@@ -251,6 +264,20 @@ def x11_antecedent_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("anchor_id", every).join(counted, ["anchor_id", "window_h"], "left").fillna(0, ["n"])
 
 
+@query(f"""WITH {market.BARS}, l AS (SELECT a.anchor_id, a.instrument, s.scale, (SELECT max(k.bar_no) FROM known k WHERE k.instrument = a.instrument AND k.scale = s.scale AND (k.av < a.anchor_time OR (k.av = a.anchor_time AND k.sq < a.anchor_seq))) AS last_no FROM anchors a CROSS JOIN (SELECT scale FROM frames) s)
+  SELECT l.anchor_id, l.scale, g.lag_bars, k.open_ns, round(k.close, 9) AS close FROM l CROSS JOIN (VALUES (1), (3), (5), (10)) g(lag_bars) LEFT JOIN known k ON k.instrument = l.instrument AND k.scale = l.scale AND k.bar_no = l.last_no - g.lag_bars + 1""", "ticks", "frames", "bars", "anchors")
+def x11_antecedent_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per anchor and scale the first, third, fifth and tenth bar back from the last one known before the anchor."""
+    from pyspark.sql import Window
+
+    keys = ["instrument", "scale"]
+    bars = cut(market._bars_known(spark, sf_dir).withColumn("bar_no", F.row_number().over(Window.partitionBy(*keys).orderBy("open_ns"))), "bars")
+    a = fx.anchors(spark, sf_dir).join(F.broadcast(spark.createDataFrame([(s,) for s in fx.BAR_FRAMES], "scale string")))
+    last = asof.asof_latest(a, bars, keys, "anchor_time", "available_time_ns", "anchor_seq", "trigger_sequence", ["bar_no"], strict=True)
+    back = last.select(*keys, "anchor_id", "ctx_bar_no", F.explode(F.array(*[F.lit(k) for k in (1, 3, 5, 10)])).alias("lag_bars")).withColumn("bar_no", F.col("ctx_bar_no") - F.col("lag_bars") + 1)
+    return back.join(bars.select(*keys, "bar_no", "open_ns", "close"), [*keys, "bar_no"], "left").select("anchor_id", "scale", "lag_bars", "open_ns", F.round("close", 9).alias("close"))
+
+
 EXTREMES = """r AS (SELECT a.instrument, a.scale, a.bar_open_ts, b.n AS n, b.high, b.low FROM (SELECT *, row_number() OVER (PARTITION BY instrument, scale ORDER BY bar_open_ts) AS bar_no FROM bars) a
   JOIN (SELECT instrument, scale, high, low, row_number() OVER (PARTITION BY instrument, scale ORDER BY bar_open_ts) AS n FROM bars) b ON a.instrument = b.instrument AND a.scale = b.scale AND b.n BETWEEN a.bar_no + 1 AND a.bar_no + 5)"""
 
@@ -362,6 +389,19 @@ def x19_paired_firings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.groupBy("side", "class").agg(F.count("*").alias("n"), F.sum("gap_ns").alias("total_gap_ns"))
 
 
+@query("""WITH f AS (SELECT CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 END AS side, received_ts_ns // 86400000000000 AS day, value FROM ticks WHERE event_type IN ('purchase', 'signup')), d AS (SELECT count(DISTINCT received_ts_ns // 86400000000000) AS days FROM ticks),
+  m AS (SELECT side, count(*) AS n, avg(value) AS mean, quantile_cont(value, 0.5) AS median FROM f GROUP BY side) SELECT m.side, m.n, round(m.n / days, 9) AS per_day, round(m.mean, 9) AS mean_magnitude, round(m.median, 9) AS median_magnitude, round(m.mean - o.mean, 9) AS against_other_side FROM d, m LEFT JOIN m o ON o.side = 1 - m.side""", "ticks")
+def x19_firing_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per side: firings a day that has ticks, their magnitude, and its mean against the other side's."""
+    t = fx.ticks(spark, sf_dir)
+    days = t.select(floor_div(F.col("received_ts_ns"), D).alias("day")).distinct().agg(F.count("*").alias("days"))
+    f = t.where("event_type in ('purchase', 'signup')").select(F.when(F.col("event_type") == "purchase", 0).otherwise(1).alias("side"), "value")
+    per = f.groupBy("side").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.percentile("value", 0.5).alias("median"))
+    other = per.select((1 - F.col("side")).alias("side"), F.col("mean").alias("other"))
+    got = per.join(other, "side", "left").join(F.broadcast(days))
+    return got.select("side", "n", F.round(F.col("n") / F.col("days"), 9).alias("per_day"), F.round("mean", 9).alias("mean_magnitude"), F.round("median", 9).alias("median_magnitude"), F.round(F.col("mean") - F.col("other"), 9).alias("against_other_side"))
+
+
 ANOMALY = """o AS (SELECT *, lag(event_ts_ns) OVER w AS pe, lag(source_sequence) OVER w AS ps FROM ticks WINDOW w AS (PARTITION BY instrument ORDER BY received_ts_ns, source_sequence)),
   an AS (SELECT instrument, source_sequence, received_ts_ns, unnest(list_filter([CASE WHEN received_ts_ns < event_ts_ns THEN 'CLOCK_INVERSION' END, CASE WHEN received_ts_ns - event_ts_ns > 900000000 THEN 'LATENCY_SPIKE' END, CASE WHEN event_ts_ns - pe > 7200000000000 THEN 'EVENT_TIME_GAP' END,
   CASE WHEN event_ts_ns < pe THEN 'EVENT_TIME_REGRESSION' END, CASE WHEN source_sequence = ps THEN 'SEQUENCE_DUPLICATE' END, CASE WHEN source_sequence < ps THEN 'SEQUENCE_REGRESSION' END, CASE WHEN event_ts_ns - pe >= 14400000000000 THEN 'EXPECTED_MARKET_CLOSURE' END, CASE WHEN source_sequence - ps > 20 THEN 'SEQUENCE_GAP' END], lambda x: x IS NOT NULL)) AS anomaly FROM o)"""
@@ -396,6 +436,25 @@ def x21_contamination_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(statistics.effect_size(a, F.col("exposed"), "value").select("n_a", "n_b", "difference"), "difference")
 
 
+@query(f"""WITH {ANOMALY}, dom(domain, anomaly) AS (VALUES ('TICK', 'LATENCY_SPIKE'), ('BAR', 'EVENT_TIME_GAP')), e AS (SELECT domain, a.anchor_id AS id, a.instrument, a.direction, a.k, a.value, EXISTS (SELECT 1 FROM an WHERE an.instrument = a.instrument AND an.anomaly = dom.anomaly AND abs(received_ts_ns - a.anchor_time) <= 3600000000000) AS exposed FROM anchors a, dom),
+  pr AS (SELECT t.domain, t.value - c.value AS d FROM e t JOIN e c ON t.domain = c.domain AND t.instrument = c.instrument AND t.direction = c.direction AND t.exposed AND NOT c.exposed AND abs(t.k - c.k) <= 5 QUALIFY row_number() OVER (PARTITION BY t.domain, t.id ORDER BY abs(t.k - c.k), c.id) = 1),
+  x AS (SELECT count(*) FILTER (domain = 'TICK') AS tp, round(avg(d) FILTER (domain = 'TICK'), 9) AS te, count(*) FILTER (domain = 'BAR') AS bp, round(avg(d) FILTER (domain = 'BAR'), 9) AS be FROM pr)
+  SELECT tp AS tick_pairs, te AS tick_effect, bp AS bar_pairs, be AS bar_effect, CASE WHEN tp < 30 OR bp < 30 THEN 'INCONCLUSIVE' WHEN abs(te) >= 1 AND abs(be) >= 1 THEN 'BOTH' WHEN abs(te) >= 1 THEN 'TICK_DOMAIN_ONLY' WHEN abs(be) >= 1 THEN 'BAR_DOMAIN_ONLY' ELSE 'NONE' END AS verdict FROM x""", "ticks", "anchors")
+def x21_contamination_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exposed anchors against their nearest unexposed ones of one instrument and direction, for a tick firing and for
+    one that bars show, and which of the two moves the outcome."""
+    from causaltape.operators import matching
+
+    fired, a = cut(_anomalies(spark, sf_dir), "anomalies"), fx.anchors(spark, sf_dir)
+    effects = []
+    for domain, name in (("TICK", "LATENCY_SPIKE"), ("BAR", "EVENT_TIME_GAP")):
+        e = context.near_firing(a, fired.where(F.col("anomaly") == name), ["instrument"], "anchor_id", "anchor_time", "received_ts_ns", H)
+        units = e.select(F.col("anchor_id").alias("id"), F.concat_ws(":", "instrument", "direction").alias("stratum"), "exposed", F.col("value").alias("outcome"), F.array(F.col("k").cast("double")).alias("covariates"))
+        pairs = matching.nearest_with_reuse(matching.candidate_pairs(units.where("exposed"), units.where("not exposed"), 5.0))
+        effects.append(pairs.agg(F.lit(domain).alias("domain"), F.count("*").alias("pairs"), F.round(F.avg(F.col("treated_outcome") - F.col("control_outcome")), 9).alias("effect")))
+    return context.exposure_verdict(effects[0].unionByName(effects[1]), 30, 1.0)
+
+
 @query(f"""WITH {ANOMALY} SELECT f.source_sequence, CASE WHEN c.context_value IS NULL THEN 'AMBIGUOUS' WHEN c.context_value > 60 THEN 'STRESS' WHEN c.context_value < 40 THEN 'NO_STRESS' ELSE 'AMBIGUOUS' END AS market FROM (SELECT * FROM an WHERE anomaly = 'LATENCY_SPIKE') f
   LEFT JOIN LATERAL (SELECT * FROM contexts c WHERE c.instrument = f.instrument AND c.detector = 'view' AND c.available_time <= f.received_ts_ns ORDER BY c.available_time DESC, c.context_seq DESC LIMIT 1) c ON true""", "ticks", "contexts")
 def x22_market_context_class(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -425,6 +484,32 @@ def x24_matched_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(matching.nearest_with_reuse(pairs).select("treated_id", "control_id", "distance"), "distance")
 
 
+@query("""WITH ep AS (SELECT DISTINCT instrument, event_ts_ns // 86400000000000 AS day FROM ticks WHERE event_type = 'signup'), r AS (SELECT t.instrument, t.event_ts_ns // 3600000000000 AS hour, stddev_samp(mid) AS volatility, avg(ask - bid) AS spread FROM ticks t GROUP BY ALL),
+  u AS (SELECT anchor_id AS id, a.instrument, direction, event_ts_ns // 86400000000000 AS day, (event_ts_ns // 21600000000000) % 4 AS session, k >= 50 AS treated, value, coalesce(volatility, 0) AS x, coalesce(spread, 0) AS y FROM anchors a LEFT JOIN r ON r.instrument = a.instrument AND r.hour = event_ts_ns // 3600000000000 - 1),
+  un AS (SELECT *, unnest(['A', 'B', 'C']) AS variant FROM u WHERE (instrument, day) IN (SELECT (instrument, day) FROM ep)),
+  pr AS (SELECT t.variant, t.value - c.value AS effect, CASE WHEN t.variant = 'C' THEN sqrt((t.x - c.x) ** 2 + (t.y - c.y) ** 2) ELSE 0 END AS d, t.id AS tid, c.id AS cid FROM un t JOIN un c ON t.variant = c.variant AND t.instrument = c.instrument AND t.day = c.day AND t.session = c.session AND (t.variant = 'A' OR t.direction = c.direction)
+    AND t.treated AND NOT c.treated WHERE t.variant <> 'C' OR sqrt((t.x - c.x) ** 2 + (t.y - c.y) ** 2) <= 10),
+  best AS (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY variant, tid ORDER BY d, cid) = 1) SELECT variant, count(*) AS pairs, round(avg(effect), 9) AS effect, round(avg(d), 6) AS mean_distance FROM best GROUP BY variant""", "ticks", "anchors")
+def x24_control_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Controls of one instrument, day and session (A), of one direction too (B), and near in volatility and spread of
+    the hour before as well (C), for anchors of instruments and days with a paired episode."""
+    from causaltape.operators import matching
+
+    t, e = fx.ticks(spark, sf_dir), F.col("event_ts_ns")
+    paired = t.where("event_type = 'signup'").select("instrument", floor_div(e, D).alias("day")).distinct()
+    hours = t.groupBy("instrument", (floor_div(e, H) + 1).alias("hour")).agg(F.stddev_samp("mid").alias("volatility"), F.avg(F.col("ask") - F.col("bid")).alias("spread"))
+    a = fx.anchors(spark, sf_dir).withColumn("day", floor_div(e, D)).withColumn("hour", floor_div(e, H)).join(paired, ["instrument", "day"], "left_semi").join(hours, ["instrument", "hour"], "left")
+    near = F.array(F.coalesce("volatility", F.lit(0.0)), F.coalesce("spread", F.lit(0.0)))
+    place = ("instrument", "day", floor_div(e, 6 * H) % 4)
+    strict = F.concat_ws(":", *place, "direction")
+    variants = [("A", F.concat_ws(":", *place), F.array(F.lit(0.0))), ("B", strict, F.array(F.lit(0.0))), ("C", strict, near)]
+    every = F.array(*[F.struct(F.lit(v).alias("variant"), F.concat_ws("/", F.lit(v), g).alias("stratum"), x.alias("covariates")) for v, g, x in variants])
+    units = a.select(F.col("anchor_id").alias("id"), (F.col("k") >= 50).alias("treated"), F.col("value").alias("outcome"), F.inline(every))
+    pairs = matching.candidate_pairs(units.where("treated"), units.where("not treated"), 10.0).withColumn("variant", F.substring("stratum", 1, 1))
+    w = matching.nearest_with_reuse(pairs, ["variant"])
+    return w.groupBy("variant").agg(F.count("*").alias("pairs"), F.round(F.avg(F.col("treated_outcome") - F.col("control_outcome")), 9).alias("effect"), F.round(F.avg("distance"), 6).alias("mean_distance"))
+
+
 @query(f"""WITH {st.DISCOVERY} SELECT CASE WHEN available_time IS NULL THEN 'NO_CONTEXT' WHEN value IS NULL THEN 'NO_ANCHOR_VALUE' WHEN context_value IS NULL THEN 'NO_CONTEXT_VALUE' WHEN anchor_time - available_time > 86400000000000 THEN 'STALE_CONTEXT' END AS reason, count(*) AS n FROM disc GROUP BY ALL""", "anchors", "contexts")
 def x25_missingness_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     reason = context.missing_reason([(F.col("available_time").isNull(), "NO_CONTEXT"), (F.col("value").isNull(), "NO_ANCHOR_VALUE"), (F.col("context_value").isNull(), "NO_CONTEXT_VALUE"), (F.col("anchor_time") - F.col("available_time") > D, "STALE_CONTEXT")])

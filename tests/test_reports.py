@@ -99,8 +99,6 @@ def test_bootstrap_survives_a_tiny_block_and_one_without_values(spark):
 
 
 def test_closes_that_do_not_rise_are_refused(spark):
-    from causaltape.operators import quality
-
     bars = spark.createDataFrame([("x", 1, 2), ("x", 2, 3), ("y", 1, 5)], "k string, open long, close long")
     assert quality.require_rising(bars, ["k"], "open", "close").count() == 3
     with pytest.raises(ValueError, match="close does not rise"):
@@ -113,3 +111,26 @@ def test_parts_hand_on_their_count_and_last_key(spark):
     df = spark.createDataFrame([(0, 1, 1), (0, 5, 2), (1, 4, 3), (2, 6, 4)], "part long, t long, s long")
     got = sorted((r["part"], r["rows"], r["rows_before"], r["follows"]) for r in lake.ordered_parts(df, "part", ["t", "s"]).collect())
     assert got == [(0, 2, 0, True), (1, 1, 2, False), (2, 1, 3, True)]
+
+
+@pytest.mark.parametrize("block", [4, 5, 1000])
+def test_sequences_do_not_depend_on_blocks(spark, block):
+    from collections import Counter
+
+    from causaltape.operators import context
+
+    day, labels = 86_400_000_000_000, [("ab", "c", "d")[i * 7 % 3] for i in range(23)]
+    rows = [(1, i * day // 5, i, labels[i], i // 10) for i in range(23)] + [(2, 7, 0, "c", 0)]
+    got = context.event_sequences(spark.createDataFrame(rows, "k long, t long, s long, label string, month long"), "k", ["t", "s"], "label", "month", "t", block=block)
+    grams = [(">".join(labels[i : i + n]), 1, i // 10) for n in range(1, 5) for i in range(24 - n)] + [("c", 2, 0)]
+    want = {g: (n, len({k for h, k, _ in grams if h == g}), len({m for h, _, m in grams if h == g})) for g, n in Counter(g for g, _, _ in grams).items()}
+    assert {r["sequence"]: (r["n"], r["anchors"], r["months"]) for r in got.collect()} == want
+
+
+def test_exposure_verdicts(spark):
+    from causaltape.operators import context
+
+    def verdict(tick, bar, pairs=30):
+        return context.exposure_verdict(spark.createDataFrame([("TICK", 40, tick), ("BAR", pairs, bar)], "domain string, pairs long, effect double"), 30, 1.0).first()["verdict"]
+
+    assert [verdict(2.0, 0.0), verdict(0.5, -1.0), verdict(1.0, 1.0), verdict(0.0, 0.9), verdict(2.0, 2.0, 29)] == ["TICK_DOMAIN_ONLY", "BAR_DOMAIN_ONLY", "BOTH", "NONE", "INCONCLUSIVE"]
