@@ -2,58 +2,137 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causaltape.functions.clock import NS_PER_MS, NS_PER_S, floor_div
-from causaltape.operators.asof import DAY_NS, asof_latest, carry_lag, carry_sum, forward
+from causaltape.operators.asof import DAY_NS, asof_latest, carry_lag, carry_last, carry_sum
 from causaltape.sources.lake import cut
 
 
 def with_steps(ticks: DataFrame, by: list[str]) -> DataFrame:
-    """Ticks with the log step from the tick before of the same key."""
-    days = ticks.withColumn("__day", floor_div(F.col("received_ts_ns"), DAY_NS))
-    return carry_lag(days, by, [F.col("received_ts_ns"), F.col("source_sequence")], ["mid"], "__day").withColumn("step", F.ln(F.col("mid") / F.col("prev_mid"))).drop("__day")
+    """Ticks with the log step from the tick before of the same key (0 for the first), and `turn`: time and price of the
+    next tick with another price."""
+    t, s = F.col("received_ts_ns"), F.col("source_sequence")
+    days = ticks.select(*by, t, s, "mid").withColumn("__day", floor_div(t, DAY_NS))
+    stepped = carry_lag(days, by, [t, s], ["mid"], "__day").withColumn("step", F.coalesce(F.ln(F.col("mid") / F.col("prev_mid")), F.lit(0.0)))
+    turns = stepped.withColumn("__turn", F.when(F.col("mid") != F.col("prev_mid"), F.struct(t.alias("at"), F.col("mid").alias("mid")))).withColumn("__back", -F.col("__day"))
+    return carry_last(turns, by, [-t, -s], "__turn", "__back", "turn", include_current=False).drop("__day", "__back", "__turn", "prev_mid")
+
+
+def _units(ticks: DataFrame, keys: list[str]) -> DataFrame:
+    """Ticks of one second each, reduced to what a path needs of them."""
+    t, mid = F.col("received_ts_ns"), F.col("mid")
+    return ticks.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.min(t).alias("first_ns"), F.max(F.struct(t, "source_sequence", mid)).alias("last"), F.max(F.struct(mid.alias("mid"), (-t).alias("neg"))).alias("hi"), F.min(F.struct(mid.alias("mid"), t.alias("at"))).alias("lo"),
+        F.sum("step").alias("first_x"), F.sum(F.abs("step")).alias("abs_sum"),
+    ).withColumn("rv", F.col("first_x") * F.col("first_x"))
+
+
+def _merged(units: DataFrame, keys: list[str]) -> DataFrame:
+    """Units of disjoint seconds as one."""
+    return units.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.min("first_ns").alias("first_ns"), F.max("last").alias("last"), F.max("hi").alias("hi"), F.min("lo").alias("lo"),
+        F.min_by("first_x", "first_ns").alias("first_x"), F.sum("abs_sum").alias("abs_sum"), F.sum("rv").alias("rv"),
+    )
+
+
+def _cover(low: Column, high: Column, branch: int, top: int) -> Column:
+    """The blocks (level, block) that make up the numbers low to high: at each level at most branch - 1 on either side,
+    and at the top what is left. A block of level l holds branch to the power of l numbers."""
+
+    def at(level: int) -> Callable[[Column], Column]:
+        return lambda block: F.struct(F.lit(level).alias("level"), block.alias("block"))
 
+    parts = []
+    for level in range(top + 1):
+        up = F.floor((low + (branch - 1)) / branch).cast("long")
+        left = (low, high if level == top else F.least(high, up * branch - 1))
+        right = (F.greatest(left[1] + 1, F.floor((high + 1) / branch).cast("long") * branch), high)
+        for start, end in (left, right):
+            parts.append(F.when(start <= end, F.transform(F.sequence(start, end), at(level))))
+        low, high = up, F.floor((high + 1) / branch).cast("long") - 1
+    return F.flatten(F.filter(F.array(*parts), lambda p: p.isNotNull()))
 
-def forward_paths(anchors: DataFrame, ticks: DataFrame, by: list[str], horizons: dict[str, int]) -> DataFrame:
+
+def forward_paths(anchors: DataFrame, ticks: DataFrame, by: list[str], horizons: dict[str, int], branch: int = 8) -> DataFrame:
     """A row per anchor and horizon, whether or not ticks follow.
 
     Ticks count if their (received, sequence) is above the anchor's and they are received by the end of the horizon.
     A horizon is complete once a tick at or after its end exists on the tape; else it is censored by the tape's end.
-    Realised variance squares the log step of each one-second bucket, whose opening price is the tick before it.
-    Each tick is joined once per anchor, for the longest horizon, and then counts for every horizon it falls in.
+    Realised variance squares the log step of each one-second bucket, whose opening price is the tick before it; the
+    first tick's step is from the anchor's price. Directions are 1 or -1.
+
+    Anchors never meet the ticks of their horizon. Ticks are reduced to the seconds that have any, these are numbered
+    along each key, and blocks of `branch` seconds, of `branch` blocks and so on are reduced from them. A horizon is then
+    a few dozen blocks by number and the ticks of its first and last second. The first tick, the first of another price
+    than the anchor's and the first of the same price come from as-of joins with clocks turned round.
     """
-    width = max(horizons.values())
+    width_s = max(horizons.values()) // NS_PER_S
+    top = 1
+    while branch ** (top + 1) <= width_s:
+        top += 1
     every = F.array(*[F.struct(F.lit(n).alias("horizon"), F.lit(w).cast("long").alias("h_ns")) for n, w in horizons.items()])
-    steps = with_steps(ticks, by).select(*by, "received_ts_ns", "source_sequence", "mid", "prev_mid")
+    t = F.col("received_ts_ns")
+    steps = cut(with_steps(ticks, by).withColumn("second", floor_div(t, NS_PER_S)), "steps")
+    seconds = _units(steps, [*by, "second"]).withColumn("__day", floor_div(F.col("second"), 86_400))
+    leaf = cut(carry_sum(seconds, by, [F.col("second")], F.lit(1), "__day", "no").withColumn("block", F.col("no") - 1).drop("__day", "no"), "seconds")
+    levels = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.lit(branch**k).cast("long").alias("size")) for k in range(1, top + 1)])).alias("__l")
+    upper = leaf.select("*", levels).withColumn("level", F.col("__l.level")).withColumn("block", floor_div(F.col("block"), F.col("__l.size")))
+    blocks = leaf.drop("second").withColumn("level", F.lit(0)).unionByName(_merged(upper, [*by, "level", "block"]))
+
     slim = anchors.select(*by, "anchor_id", "anchor_time", "anchor_seq", "anchor_mid", "direction")
-    pairs = forward(slim, steps, by, ("anchor_time", "anchor_seq"), ("received_ts_ns", "source_sequence"), width)
-    first = F.struct("received_ts_ns", "source_sequence") == F.min(F.struct("received_ts_ns", "source_sequence")).over(Window.partitionBy("anchor_id"))
-    pairs = pairs.withColumn("step", F.ln(F.col("mid") / F.when(first, F.col("anchor_mid")).otherwise(F.col("prev_mid"))))
-    pairs = pairs.withColumn("ret", F.ln(F.col("mid") / F.col("anchor_mid"))).withColumn("signed", F.col("direction") * F.col("ret"))
-    pairs = pairs.withColumn("offset", floor_div(F.col("received_ts_ns") - F.col("anchor_time"), NS_PER_MS)).withColumn("second", floor_div(F.col("received_ts_ns"), NS_PER_S))
-    reached = pairs.select("*", F.inline(every)).where("received_ts_ns - anchor_time <= h_ns")
-    key = F.struct("received_ts_ns", "source_sequence")
-    best = F.min(F.struct((-F.col("signed")).alias("v"), F.col("offset").alias("at")))
-    worst = F.min(F.struct(F.col("signed").alias("v"), F.col("offset").alias("at")))
-    per_second = reached.groupBy("anchor_id", "horizon", "second").agg(
-        F.max_by("ret", key).alias("ret"), F.max(key).alias("key"), F.sum("step").alias("step"), F.sum(F.abs("step")).alias("abs_step"), best.alias("best"), worst.alias("worst"),
-        F.min(F.when(F.col("signed") > 0, F.col("offset"))).alias("up"), F.min(F.when(F.col("signed") < 0, F.col("offset"))).alias("down"), F.max(F.col("signed") == 0).alias("tie"), F.count("*").alias("ticks"),
-    )
-    path = per_second.groupBy("anchor_id", "horizon").agg(
-        F.max_by("ret", "key").alias("endpoint_return"), F.min("best").alias("best"), F.min("worst").alias("worst"), F.min("up").alias("up"), F.min("down").alias("down"), F.max("tie").alias("tie"),
-        F.sum(F.col("step") * F.col("step")).alias("realized_variance"), F.sum("abs_step").alias("abs_sum"), F.sum("ticks").alias("ticks"),
-    )
+    back = steps.select(*by, t, (-t).alias("__u"), (-F.col("source_sequence")).alias("__v"), "mid", "step", "turn")
+    turned = slim.withColumn("__t", -F.col("anchor_time")).withColumn("__s", -F.col("anchor_seq")).withColumnRenamed("anchor_mid", "mid")
+    first = asof_latest(turned, back, by, "__t", "__u", "__s", "__v", ["received_ts_ns", "mid", "step", "turn"], strict=True)
+    first = first.withColumnsRenamed({f"ctx_{c}": f"first_{c}" for c in ("received_ts_ns", "mid", "step", "turn")})
+    same = asof_latest(first, back, [*by, "mid"], "__t", "__u", "__s", "__v", ["received_ts_ns"], strict=True)
+    turn = F.when(F.col("first_mid") != F.col("mid"), F.struct(F.col("first_received_ts_ns").alias("at"), F.col("first_mid").alias("mid"))).otherwise(F.col("first_turn"))
+    known = cut(same.withColumn("turn", turn).withColumnRenamed("mid", "anchor_mid").withColumnRenamed("ctx_received_ts_ns", "tie_ns").drop("__t", "__s", "first_turn"), "anchors")
+
+    # whether a price on the other side stands in the same millisecond as the first that moved
+    ms, offset = floor_div(F.col("turn.at"), NS_PER_MS), lambda at: floor_div(at - F.col("anchor_time"), NS_PER_MS)
+    moved = known.where("turn is not null").select(*by, "anchor_id", "anchor_time", "anchor_mid", "turn", F.explode(F.array(ms, ms + 1)).alias("__ms"))
+    met = moved.join(steps.select(*by, t, "mid", floor_div(t, NS_PER_MS).alias("__ms")), [*by, "__ms"])
+    other = met.where((offset(t) == offset(F.col("turn.at"))) & (F.signum(F.col("mid") - F.col("anchor_mid")) == -F.signum(F.col("turn.mid") - F.col("anchor_mid"))))
+    other = other.groupBy("anchor_id").agg(F.min(t).alias("other_ns"))
+
+    end = F.col("anchor_time") + F.col("h_ns")
+    probes = slim.select(*by, "anchor_id", "anchor_time", "anchor_seq", F.inline(F.concat(every, F.array(F.struct(F.lit(None).cast("string").alias("horizon"), F.lit(-1).cast("long").alias("h_ns"))))))
+    probes = probes.withColumn("at", F.when(F.col("h_ns") < 0, floor_div(F.col("anchor_time"), NS_PER_S)).otherwise(floor_div(end, NS_PER_S) - 1))
+    found = asof_latest(probes, leaf, by, "at", "second", "anchor_seq", "block", ["block"], bucket_ns=86_400).withColumn("no", F.coalesce("ctx_block", F.lit(-1).cast("long")))
+    spans = found.groupBy(*by, "anchor_id").agg(
+        F.first("anchor_time").alias("anchor_time"), F.first("anchor_seq").alias("anchor_seq"), (F.max(F.when(F.col("h_ns") < 0, F.col("no"))) + 1).alias("low"),
+        F.collect_list(F.when(F.col("h_ns") >= 0, F.struct("horizon", "h_ns", F.col("no").alias("high")))).alias("__spans"),
+    ).select(*by, "anchor_id", "anchor_time", "anchor_seq", "low", F.inline("__spans"))
+    spans = cut(spans, "spans")
+    whole = spans.select(*by, "anchor_id", "horizon", F.inline(_cover(F.col("low"), F.col("high"), branch, top))).join(blocks, [*by, "level", "block"])
+    edges = spans.select(*by, "anchor_id", "horizon", "anchor_time", "anchor_seq", end.alias("end"), F.explode(F.array_distinct(F.array(floor_div(F.col("anchor_time"), NS_PER_S), floor_div(end, NS_PER_S)))).alias("second"))
+    after = (t > F.col("anchor_time")) | ((t == F.col("anchor_time")) & (F.col("source_sequence") > F.col("anchor_seq")))
+    partial = _units(edges.join(steps, [*by, "second"]).where(after & (t <= F.col("end"))), ["anchor_id", "horizon", "second"])
+    path = _merged(whole.select(*[c for c in partial.columns if c != "second"]).unionByName(partial.drop("second")), ["anchor_id", "horizon"])
+
     last = ticks.groupBy(*by).agg(F.max("received_ts_ns").alias("tape_end"))
-    full = slim.join(last, by, "left").select("*", F.inline(every)).join(path, ["anchor_id", "horizon"], "left")
-    complete = F.coalesce(F.col("tape_end") >= F.col("anchor_time") + F.col("h_ns"), F.lit(False))
-    end = F.col("endpoint_return")
+    full = known.join(last, by, "left").join(other, "anchor_id", "left").select("*", F.inline(every)).join(path, ["anchor_id", "horizon"], "left")
+    m, d, some = F.col("anchor_mid"), F.col("direction"), F.col("n").isNotNull()
+    ret = F.ln(F.col("last.mid") / m)
+    start = F.ln(F.col("first_mid") / m)
+    x = F.col("first_x")
+    variance = F.col("rv") - x * x + F.pow(x + start - F.col("first_step"), F.lit(2.0))
+    moves = F.col("abs_sum") - F.abs("first_step") + F.abs(start)
+    rise, fall = (F.col("hi.mid"), -F.col("hi.neg")), (F.col("lo.mid"), F.col("lo.at"))
+    best = [F.when(d < 0, lo).otherwise(hi) for hi, lo in zip(rise, fall, strict=True)]
+    worst = [F.when(d < 0, hi).otherwise(lo) for hi, lo in zip(rise, fall, strict=True)]
+    both = (rise[0] > m) & (fall[0] < m)
+    favorable = (d * (F.col("turn.mid") - m) > 0) & ~F.coalesce(F.col("other_ns") <= end, F.lit(False))
+    complete = F.coalesce(F.col("tape_end") >= end, F.lit(False))
     return full.select(
-        *by, "anchor_id", "horizon", F.coalesce("ticks", F.lit(0)).alias("ticks"), end.alias("endpoint_return"), (F.col("direction") * end).alias("signed_return"),
-        F.when(F.col("best").isNotNull(), F.greatest(-F.col("best.v"), F.lit(0.0))).alias("mfe"), F.when(F.col("worst").isNotNull(), F.greatest(-F.col("worst.v"), F.lit(0.0))).alias("mae"),
-        F.col("best.at").alias("mfe_offset_ms"), F.col("worst.at").alias("mae_offset_ms"), (F.col("up") < F.col("down")).alias("favorable_first"), F.coalesce("tie", F.lit(False)).alias("tie"),
-        F.coalesce("realized_variance", F.lit(0.0)).alias("realized_variance"), F.when(F.col("abs_sum") > 0, end / F.col("abs_sum")).alias("path_efficiency"),
+        *by, "anchor_id", "horizon", F.coalesce("n", F.lit(0)).alias("ticks"), ret.alias("endpoint_return"), (d * ret).alias("signed_return"),
+        F.when(some, F.greatest(d * F.ln(best[0] / m), F.lit(0.0))).alias("mfe"), F.when(some, F.greatest(-d * F.ln(worst[0] / m), F.lit(0.0))).alias("mae"),
+        offset(best[1]).alias("mfe_offset_ms"), offset(worst[1]).alias("mae_offset_ms"), F.when(both, favorable).alias("favorable_first"), F.coalesce(F.col("tie_ns") <= end, F.lit(False)).alias("tie"),
+        F.coalesce(variance, F.lit(0.0)).alias("realized_variance"), F.when(moves > 0, ret / moves).alias("path_efficiency"),
         complete.alias("complete"), F.when(~complete, "DEVELOPMENT_BOUNDARY").alias("censor_reason"),
     )
 

@@ -100,3 +100,46 @@ def test_asof_of_sides_that_are_dealt_by_key_alike(spark):
     assert got.count() == 20_000
     best = {r["s"]: r["ctx_v"] for r in got.collect()}
     assert best == {s: max((v for v in range(50) if v % 3 == s % 3 and v * 4 * 10**12 <= s * 10**10), default=None) for s in range(20_000)}
+
+
+@pytest.mark.parametrize("branch", [2, 8])
+def test_paths_equal_a_plain_loop(spark, branch):
+    import math
+    import random
+
+    draw = random.Random(5)
+    tape, at = [], 0
+    for i in range(160):
+        at += draw.choice([0, 200_000, 1_000_000, 300_000_000, 2 * S, 9 * S])
+        tape.append((draw.randrange(2), at, i, draw.choice([1.0, 1.1, 0.9, 1.05])))
+    anchors = [(k, i, t + draw.choice([-500_000, 0, 0]), s, m, draw.choice([1, -1])) for i, (k, t, s, m) in enumerate(tape) if i % 4 == 0]
+    horizons = {"0s": S // 2, "7s": 7 * S, "90s": 90 * S}
+    got = {
+        (r["anchor_id"], r["horizon"]): r
+        for r in paths.forward_paths(
+            spark.createDataFrame(anchors, "k long, anchor_id long, anchor_time long, anchor_seq long, anchor_mid double, direction int"),
+            spark.createDataFrame(tape, "k long, received_ts_ns long, source_sequence long, mid double"), ["k"], horizons, branch=branch,
+        ).collect()
+    }
+    assert len(got) == 3 * len(anchors)
+    for k, i, t, s, m, d in anchors:
+        mine = [x[1:] for x in tape if x[0] == k]
+        for h, w in horizons.items():
+            r, inside = got[i, h], [x for x in mine if (x[0], x[1]) > (t, s) and x[0] <= t + w]
+            assert r["ticks"] == len(inside) and r["complete"] == (mine[-1][0] >= t + w)
+            if not inside:
+                assert r["mfe"] is None and r["favorable_first"] is None and r["realized_variance"] == 0 and not r["tie"]
+                continue
+            price, steps, by_second, off = m, [], {}, lambda u: (u - t) // 1_000_000
+            for n, (u, _, p) in enumerate(inside):
+                steps.append(math.log(p / (m if n == 0 else price)))
+                by_second[u // S] = by_second.get(u // S, 0.0) + steps[-1]
+                price = p
+            signed = [(d * math.log(p / m), off(u)) for u, _, p in inside]
+            up, down = ([o for v, o in signed if v * side > 0] for side in (1, -1))
+            want = [math.log(price / m), max(max(v for v, _ in signed), 0.0), max(-min(v for v, _ in signed), 0.0), sum(x * x for x in by_second.values())]
+            assert [r[c] for c in ("endpoint_return", "mfe", "mae", "realized_variance")] == pytest.approx(want, abs=1e-12)
+            assert r["mfe_offset_ms"] == min((-v, o) for v, o in signed)[1] and r["mae_offset_ms"] == min(signed)[1]
+            assert r["favorable_first"] == (up[0] < down[0] if up and down else None) and r["tie"] == any(p == m for _, _, p in inside)
+            total = sum(map(abs, steps))
+            assert r["path_efficiency"] == (pytest.approx(want[0] / total, abs=1e-9) if total > 1e-12 else None)
