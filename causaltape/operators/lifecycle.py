@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causaltape.functions.clock import floor_div
-from causaltape.operators.asof import DAY_NS, carry_lag, carry_sum
+from causaltape.operators.asof import DAY_NS
 
 ACTIVE = ("BURST", "DECAY_RISK", "DYING")
 
@@ -16,16 +16,35 @@ def episodes(snapshots: DataFrame, keys: list[str], time: str = "received_ts_ns"
 
     Rows without a state are transparent. IDLE closes an episode. A row that isn't idle starts one if the row before
     is idle or missing, or had an id that this row lacks or differs from; taking on an id keeps the episode. Episode
-    numbers run from 1 along each key, counted in day buckets with a carry, so a single long tape is no single task.
+    numbers run from 1 along each key. Rows are exchanged once, by key and day; what a day inherits (last row, counts)
+    comes from a table of one row per day, so a single long tape is no single task.
     """
-    order = [F.col(time), F.col(seq)]
-    rows = snapshots.where(F.col(state).isNotNull()).withColumn("__day", floor_div(F.col(time), DAY_NS))
-    rows = carry_lag(rows, keys, order, [state, eid], "__day")
-    before, id_before = F.col(f"prev_{state}"), F.col(f"prev_{eid}")
-    fresh = (F.col(state) != "IDLE") & (before.isNull() | (before == "IDLE") | (id_before.isNotNull() & ~id_before.eqNullSafe(F.col(eid))))
-    rows = carry_sum(rows, keys, order, fresh.cast("long"), "__day", "__episode")
-    rows = carry_sum(rows, keys, order, F.lit(1), "__day", "ordinal")
-    return rows.withColumn("starts", fresh).withColumn("episode", F.when(F.col(state) != "IDLE", F.col("__episode"))).drop("__day", "__episode")
+    day = [*keys, "__day"]
+    here = Window.partitionBy(*day).orderBy(time, seq)
+    now = F.struct(F.col(state).alias("state"), F.col(eid).alias("eid"))
+
+    def starts(row: Column, before: Column) -> Column:
+        id_before = before.getField("eid")
+        cut_off = id_before.isNotNull() & ~id_before.eqNullSafe(row.getField("eid"))
+        return (row.getField("state") != "IDLE") & (before.isNull() | (before.getField("state") == "IDLE") | cut_off)
+
+    rows = snapshots.where(F.col(state).isNotNull()).withColumn("__day", floor_div(F.col(time), DAY_NS)).withColumn("__now", now)
+    rows = rows.withColumn("__prev", F.lag("__now").over(here)).withColumn("__n", F.row_number().over(here))
+    rows = rows.withColumn("__starts", (F.col("__n") > 1) & starts(F.col("__now"), F.col("__prev")))
+    rows = rows.withColumn("__sum", F.sum(F.col("__starts").cast("long")).over(here.rowsBetween(Window.unboundedPreceding, 0)))
+    days = rows.groupBy(*day).agg(F.min_by("__now", "__n").alias("first"), F.max_by("__now", "__n").alias("last"), F.count("*").alias("rows"), F.sum(F.col("__starts").cast("long")).alias("started"))
+    along = Window.partitionBy(*keys).orderBy("__day")
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("__before", F.lag("last").over(along)).withColumn("__opens", starts(F.col("first"), F.col("__before")))
+    days = days.withColumn("__all", F.col("started") + F.col("__opens").cast("long"))
+    days = days.select(*day, "__before", "__opens", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("__rows"), (F.coalesce(F.sum("__all").over(earlier), F.lit(0)) + F.col("__opens").cast("long")).alias("__started"))
+    full, leads = rows.join(days, day), F.col("__n") == 1
+    before = F.when(leads, F.col("__before")).otherwise(F.col("__prev"))
+    out = full.withColumns({
+        f"prev_{state}": before.getField("state"), f"prev_{eid}": before.getField("eid"), "ordinal": F.col("__rows") + F.col("__n"),
+        "starts": F.when(leads, F.col("__opens")).otherwise(F.col("__starts")), "episode": F.when(F.col(state) != "IDLE", F.col("__started") + F.col("__sum")),
+    })
+    return out.drop(*[c for c in out.columns if c.startswith("__")])
 
 
 def summary(rows: DataFrame, keys: list[str], time: str = "received_ts_ns", seq: str = "source_sequence", state: str = "state", eid: str = "eid") -> DataFrame:
