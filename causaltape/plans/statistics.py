@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causaltape.functions.clock import floor_div
 from causaltape.operators import matching, paths, statistics
+from causaltape.operators.asof import carry_sum
 from causaltape.plans import fixtures as fx
 from causaltape.plans import market
 from causaltape.plans.fixtures import sql, table
@@ -253,7 +254,8 @@ SHIFT = """xy AS (SELECT instrument, row_number() OVER (PARTITION BY instrument
   SELECT round(any_value(observed), 9) AS observed, count(*) FILTER (abs(r) >= abs(observed)) AS exceedances, 19 AS draws, round((count(*) FILTER (abs(r) >= abs(observed)) + 1) / 20, 9) AS p_value FROM st, o""", "ticks")
 def n3_circular_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = fx.ticks(spark, sf_dir).select("instrument", "source_sequence", F.col("mid").alias("x"), F.col("k").cast("double").alias("y"))
-    xy = t.withColumn("pos", (F.row_number().over(Window.partitionBy("instrument").orderBy("source_sequence")) - 1).cast("long")).drop("source_sequence")
+    numbered = carry_sum(t.withColumn("span", floor_div(F.col("source_sequence"), 100_000)), ["instrument"], [F.col("source_sequence")], F.lit(1), "span", "no")
+    xy = numbered.select("instrument", (F.col("no") - 1).alias("pos"), "x", "y")
     return rounded(statistics.circular_shift(xy, "instrument", "pos", "x", "y", 19, 13), "observed", "p_value")
 
 
