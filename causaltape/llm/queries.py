@@ -1,4 +1,4 @@
-"""The thin queries op1..op10 and their SQL twins."""
+"""The thin queries op1..op13 and their SQL twins."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causaltape.llm import bpe, chat, decontamination, embeddings, language_id, pii, simhash, substring_dedup, token_counts, toxicity
+from causaltape.llm import bpe, chat, decontamination, embeddings, fingerprints, hard_negatives, language_id, merkle, pii, simhash, substring_dedup, token_counts, toxicity
 from causaltape.llm.shared import read
 
 
@@ -112,9 +112,77 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), budget=4096)
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.edited_likeness(read(spark, sf_dir, "documents"))
+    words = lambda name: fingerprints.hex_of([F.col(f"{name}{i}") for i in range(len(fingerprints.SEEDS))])
+    return found.select("doc_id", "n_chars", "edited_sha256", words("fp").alias("fingerprint"), words("edited").alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(2)) == 0
+    text = F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    rows = merkle.manifest(read(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], changed=text)
+    siblings = F.array_join(F.transform("proof", lambda s: F.concat(s.left, s.right)), "")
+    folded = rows.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(siblings.cast("binary"), 256).alias("proof_sha256"), merkle.fold(F.col("seen"), F.col("proof")).alias("folded_root"))
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return hard_negatives.mine(rows, anchor=F.col("vec_id") % 50 == 0, positives=5, negatives=3, low=50, high=95, scale=256)
+
+
+OP12_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT doc_id, source, text, row_number() OVER () AS r, lang, n_chars,
+    list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS c
+  FROM documents),
+part AS (SELECT *, coalesce(xor(c, 4294967295) % 2 = 0, false) AS tampered,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+    replace(text, chr(10), '') AS short FROM crc),
+leaf AS (SELECT r, doc_id, coalesce('s' || source, 'n') AS tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(head || CASE WHEN tampered THEN coalesce(strlen(short) || ':' || short, '-') ELSE coalesce(strlen(text) || ':' || text, '-') END) AS seen FROM part),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM leaf),
+node AS (
+  SELECT tree, 0 AS level, i, leaf AS h, count(*) OVER (PARTITION BY tree) AS n FROM placed
+  UNION ALL
+  SELECT tree, level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (max(n) + 2) // 3 FROM node WHERE n > 1 GROUP BY tree, level, i // 3),
+top AS (SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS i FROM node WHERE n = 1),
+upper AS (
+  SELECT 0 AS level, i, subroot AS h, count(*) OVER () AS n FROM top
+  UNION ALL
+  SELECT level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (max(n) + 2) // 3 FROM upper WHERE n > 1 GROUP BY level, i // 3),
+every AS (SELECT tree, level, i, h, n FROM node UNION ALL SELECT NULL, level, i, h, n FROM upper),
+step AS (SELECT a.tree, a.level, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+  FROM every a JOIN every b ON a.tree IS NOT DISTINCT FROM b.tree AND a.level = b.level AND a.i // 3 = b.i // 3 AND a.n > 1 GROUP BY a.tree, a.level, a.i),
+fold AS (
+  SELECT r AS id, tree, 0 AS level, i, seen AS h, '' AS proof FROM placed
+  UNION ALL
+  SELECT f.id, f.tree, f.level + 1, f.i // 3, sha256(s.l || f.h || s.r), f.proof || s.l || s.r FROM fold f JOIN step s ON s.tree = f.tree AND s.level = f.level AND s.i = f.i),
+half AS (SELECT id, tree, arg_max(h, level) AS h, arg_max(proof, level) AS proof FROM fold GROUP BY id, tree),
+rise AS (
+  SELECT id, 0 AS level, top.i, h, proof FROM half JOIN top USING (tree)
+  UNION ALL
+  SELECT f.id, f.level + 1, f.i // 3, sha256(s.l || f.h || s.r), f.proof || s.l || s.r FROM rise f JOIN step s ON s.tree IS NULL AND s.level = f.level AND s.i = f.i),
+done AS (SELECT id, arg_max(h, level) AS folded_root, arg_max(proof, level) AS proof FROM rise GROUP BY id)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM placed JOIN top USING (tree) JOIN done ON done.id = placed.r CROSS JOIN (SELECT h AS root FROM upper WHERE n = 1)
+"""
+OP13_SQL = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r AS a, a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.e, b.e)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.r <> b.r),
+p AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, id) AS j FROM s WHERE same QUALIFY j <= 5)
+SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.j ORDER BY n.score DESC, n.id) AS INTEGER) AS rank, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.a = p.a AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score QUALIFY rank <= 3
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op3_bpe_round_trip, op4_embedding_near_dedup, op5_language_id, op6_chat_formatting, op7_benchmark_decontamination, op8_personal_data, op9_token_counts, op10_toxicity)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op3_bpe_round_trip, op4_embedding_near_dedup, op5_language_id, op6_chat_formatting, op7_benchmark_decontamination, op8_personal_data, op9_token_counts, op10_toxicity, op11_document_fingerprints, op12_merkle_manifest, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL, "op4_embedding_near_dedup": OP4_SQL, "op6_chat_formatting": OP6_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op4_embedding_near_dedup": OP4_SQL, "op6_chat_formatting": OP6_SQL, "op12_merkle_manifest": OP12_SQL, "op13_hard_negatives": OP13_SQL}

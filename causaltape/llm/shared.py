@@ -11,6 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from causaltape.operators.asof import carry_sum
+
 #: Odd multiplier of the rolling window hash and the two multipliers of its finalizer.
 ROLL, MIX1, MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -63,6 +65,26 @@ def drop_table(df: DataFrame) -> None:
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+#: Rows of one range of `positions`, and ranges whose counts are summed in one task.
+RANGE, RANGES = 1 << 15, 1024
+
+
+def positions(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
+    """`df`, a table that `cut` wrote, with `position`, the place of each row in its group from 0 in the given order, and
+    `size`, the group's number of rows. The group column must hold no null and the order must be total.
+
+    Rows are dealt to sorted ranges of about RANGE rows, so that a group of any size spreads over tasks; beyond that only
+    one count per range and group is summed, in two levels. Runs a job and writes two tables in the shared folder."""
+    parts = max(1, -(-df.count() // RANGE))
+    ranged = df.repartitionByRange(parts, group, *order).sortWithinPartitions(group, *order)
+    placed = cut(ranged.withColumn("__place", F.monotonically_increasing_id()), "placed").withColumn("__part", F.shiftright("__place", 33))
+    runs = cut(placed.groupBy(group, "__part").agg(F.min("__place").alias("__first"), F.count("*").alias("__n")), "runs")
+    ends = carry_sum(runs.withColumn("__bucket", F.floor(F.col("__part") / RANGES)), [group], [F.col("__part")], F.col("__n"), "__bucket", "__end")
+    sizes = runs.groupBy(group).agg(F.sum("__n").alias("size"))
+    starts = ends.join(sizes, group).select(group, "__part", (F.col("__end") - F.col("__n") - F.col("__first")).alias("__shift"), "size")
+    return placed.join(starts, [group, "__part"]).withColumn("position", F.col("__place") + F.col("__shift")).drop("__place", "__part", "__shift")
+
+
 def threshold(rows: int, most: int) -> int | None:
     """The signed 64-bit number that about `most` of `rows` 64-bit hashes lie below; None if all may stay."""
     return None if rows <= most else (most << 64) // rows - (1 << 63)
