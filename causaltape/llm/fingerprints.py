@@ -32,9 +32,9 @@ def votes(docs: DataFrame, key: str, text: Column, carried: list[str]) -> DataFr
     a table in the shared folder."""
     split = docs.select(key, *carried, words(text).alias("words"))
     paired = split.select(key, *carried, F.size("words").alias("n"), F.posexplode_outer(F.arrays_zip(F.col("words").alias("a"), F.slice("words", 2, 1 << 30).alias("b"))).alias("nth", "term"))
-    weight = F.least(F.length("term.a") + F.coalesce(F.length("term.b"), F.lit(0)), F.lit(HEAVIEST))
+    weight = F.least(F.coalesce(F.length("term.a"), F.lit(0)) + F.coalesce(F.length("term.b"), F.lit(0)), F.lit(HEAVIEST)).cast("long")
     first = F.xxhash64(F.lit(SEEDS[0]), "term.a", "term.b")
-    hashed = paired.select(key, *carried, F.coalesce(F.col("n") > PART, F.lit(False)).alias("long"), F.coalesce(F.floor(F.col("nth") / PART), F.lit(0)).alias("part"), F.coalesce(weight, F.lit(0)).cast("long").alias("w"), first.alias("h0"))
+    hashed = paired.select(key, *carried, F.coalesce(F.col("n") > PART, F.lit(False)).alias("long"), F.coalesce(F.floor(F.col("nth") / PART), F.lit(0)).alias("part"), weight.alias("w"), first.alias("h0"))
     hashed = hashed.select("*", F.xxhash64(F.lit(SEEDS[1]), "h0").alias("h1"))
     sums = [F.sum(F.shiftrightunsigned(f"h{i}", j).bitwiseAND(F.lit(FOURS)) * F.col("w")).alias(f"s{i}_{j}") for i in range(len(SEEDS)) for j in range(16)]
     counted = hashed.groupBy(key, *carried, "long", "part").agg(F.sum("w").alias("w"), *sums)
