@@ -174,11 +174,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, least:
 
 
 def item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of about ITEMS rows at most; a single empty block if there are none."""
+    """The items in blocks of about ITEMS rows at most, all texts of an item id in one, so that its best match is found in
+    one pass; a single empty block if there are none."""
     wanted = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("item_text")).where("item is not null and item_text is not null").distinct()
     blocks = max(1, -(-wanted.count() // ITEMS))
     for block in range(blocks):
-        rows = wanted.where(F.pmod(F.xxhash64("item", "item_text"), F.lit(blocks)) == block).sort("item", "item_text").collect()
+        rows = wanted.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).sort("item", "item_text").collect()
         yield [(r["item"], r["item_text"]) for r in rows]
 
 

@@ -527,6 +527,16 @@ def test_benchmark_items_that_repeat_count_once(spark, monkeypatch):
     assert sorted(len(b) for b in decontamination.item_blocks(bench, "item_id", "text")) == [2]
 
 
+@pytest.mark.parametrize("block", [1, 2, 2000])
+def test_an_item_id_of_several_texts_gives_one_row_in_any_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(decontamination, "ITEMS", block)
+    texts = ["one two three four five six seven", "one two three four five six eight", "one two three four five nine seven"]
+    for shift in range(3):
+        items = spark.createDataFrame([(7 + shift, t) for t in texts] + [(70 + shift, "other words that stand in no document at all"), (80 + shift, texts[0])], "item_id long, text string")
+        got = decontamination.contaminated(spark.createDataFrame([(1, texts[0] + " tail")], "doc_id long, text string"), items).collect()
+        assert sorted((r["item_id"], r["similarity"]) for r in got) == [(7 + shift, 1.0), (80 + shift, 1.0)]
+
+
 def test_grammar_weighs_matches_by_their_clause():
     grammar = toxicity.Grammar({"idiot": 2.0})
     of = lambda text: {n: v for n, v in zip(toxicity.MATCHES, grammar.features(text), strict=False) if v}
