@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from itertools import product
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from causaltape.functions.scalars import euclidean
+from causaltape.sources.lake import cut
 
 
 def candidate_pairs(treated: DataFrame, controls: DataFrame, caliper: float, stratum: str = "stratum", row_id: str = "id", covariates: str = "covariates") -> DataFrame:
@@ -19,18 +23,68 @@ def candidate_pairs(treated: DataFrame, controls: DataFrame, caliper: float, str
     return t.join(c, [stratum, "__cell"]).withColumn("distance", euclidean(F.col("__x"), F.col("__y"))).where(F.col("distance") <= caliper).drop("__x", "__y", "__cell")
 
 
-def nearest_with_reuse(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """The nearest control of each treated row (in each group of `by`), ties by the lowest control id; a control may
-    serve often."""
-    w = Window.partitionBy(*(by or []), "treated_id").orderBy("distance", "control_id")
-    return pairs.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+def cell_pairs(asked: DataFrame, points: DataFrame, width: float, dims: int, stratum: str) -> DataFrame:
+    """Rows of `asked` (.., __x) with those of `points` (.., __y) in their own cell of the stratum or one beside it."""
+
+    def cell(x: Column) -> Column:
+        return F.transform(x, lambda v: F.floor(v / width).cast("long"))
+
+    steps = F.array(*[F.array(*[F.lit(i).cast("long") for i in s]) for s in product((-1, 0, 1), repeat=dims)])
+    near = asked.select("*", F.explode(F.transform(steps, lambda s: F.zip_with(cell(F.col("__x")), s, lambda c, d: c + d))).alias("__cell"))
+    return near.join(points.withColumn("__cell", cell(F.col("__y"))), [stratum, "__cell"]).withColumn("distance", euclidean(F.col("__x"), F.col("__y"))).drop("__cell")
+
+
+def nearest_control(treated: DataFrame, controls: DataFrame, caliper: float, dims: int, stratum: str = "stratum", row_id: str = "id", covariates: str = "covariates") -> DataFrame:
+    """The nearest control within the caliper of each treated row of its stratum, ties by the lowest control id; a control
+    may serve often. Columns as of `candidate_pairs`, of whose rows these are the nearest.
+
+    Controls of equal covariates stand behind the one of lowest id. The others lie in grids of cells, four times as wide
+    from one to the next, up to the caliper (or, before it, the range of the controls); a treated row looks at its own cell and those around it, and is done once its nearest is no further
+    than a cell is wide, for nothing nearer can lie outside. The finest cells are as many as a quarter of the largest
+    stratum's controls, so the rows met grow with the number of treated rows and not with the pairs of a stratum. `dims` is the
+    number of covariates. Rows with a null stratum or a null covariate match nothing. Writes tables and runs jobs."""
+    known = lambda df: df.where(F.col(stratum).isNotNull() & F.forall(covariates, lambda x: x.isNotNull()))
+    asked = cut(known(treated).select(stratum, F.col(row_id).alias("treated_id"), F.col(covariates).alias("__x"), F.col("outcome").alias("treated_outcome")), "treated")
+    least = F.min(F.struct(F.col(row_id).alias("id"), F.col("outcome").alias("outcome"))).alias("__c")
+    points = cut(known(controls).groupBy(stratum, F.col(covariates).alias("__y")).agg(least), "controls")
+    most = points.groupBy(stratum).count().agg(F.max("count")).first()[0] or 0
+    spans = points.select(F.posexplode("__y").alias("axis", "v")).groupBy("axis").agg((F.max("v") - F.min("v")).alias("span"))
+    widest = min(caliper, spans.agg(F.max("span")).first()[0] or 0.0)
+    finer = min(12, math.ceil(max(0.0, math.log(max(1, most) / 4, 4)) / dims))
+    widths = [w for w in (widest / 4**k for k in range(finer, -1, -1)) if 0 < w < caliper] + [caliper]
+    found = None
+    for width in widths:
+        met = cell_pairs(asked, points, width * (1 + 1e-9), dims, stratum)
+        best = met.where(F.col("distance") <= caliper).groupBy(stratum, "treated_id", "treated_outcome").agg(F.min(F.struct("distance", F.col("__c.id").alias("control_id"), F.col("__c.outcome").alias("control_outcome"))).alias("__b"))
+        best = best.select(stratum, "treated_id", "treated_outcome", "__b.*")
+        if width < caliper:
+            best = cut(best.where(F.col("distance") <= width), "nearest")
+            asked = cut(asked.join(best.select(stratum, "treated_id"), [stratum, "treated_id"], "left_anti"), "treated")
+        found = best if found is None else found.unionByName(best)
+    return found.select(stratum, "treated_id", "treated_outcome", "control_id", "control_outcome", "distance")
+
+
+#: Pairs that one task settles.
+FEW = 200_000
 
 
 def greedy_without_reuse(pairs: DataFrame, stratum: str = "stratum", max_pairs: int | None = None) -> DataFrame:
     """Treated rows in order of id each take the nearest control still free, ties by the lowest control id.
 
-    The order matters, so a stratum is one group; the pairs it holds are already cut by the caliper. `max_pairs` keeps
-    the first pairs in treated order, which is the same as stopping early, as strata share no controls."""
+    Worked out in rounds of joins: a treated row takes its nearest free control once no earlier treated row that is still
+    open stands near that control, as then none can take it first. In every round the first open row of each cluster is
+    settled at least. Pairs of settled rows and of taken controls go, and once no more than FEW are left one task
+    finishes. Ids must be unique in their stratum. `max_pairs` keeps the first pairs in treated order, which is the same
+    as stopping early, as strata share no controls. Writes a table a round and runs jobs."""
+    columns, open_ = pairs.columns, cut(pairs, "pairs")
+    taken = open_.limit(0)
+    while open_.count() > FEW:
+        wish = open_.groupBy(stratum, "treated_id").agg(F.min(F.struct("distance", "control_id")).alias("__w"))
+        first = open_.groupBy(stratum, "control_id").agg(F.min("treated_id").alias("__first"))
+        sure = wish.select(stratum, "treated_id", F.col("__w.control_id").alias("control_id")).join(first, [stratum, "control_id"]).where("treated_id = __first").drop("__first")
+        now = cut(open_.join(sure, [stratum, "treated_id", "control_id"]).select(columns), "taken")
+        open_ = cut(open_.join(now.select(stratum, "treated_id"), [stratum, "treated_id"], "left_anti").join(now.select(stratum, "control_id"), [stratum, "control_id"], "left_anti").select(columns), "pairs")
+        taken = taken.unionByName(now)
 
     def take(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["treated_id", "distance", "control_id"], kind="stable")
@@ -42,5 +96,5 @@ def greedy_without_reuse(pairs: DataFrame, stratum: str = "stratum", max_pairs:
                 used.add(c)
         return pdf[keep]
 
-    out = pairs.groupBy(stratum).applyInPandas(take, pairs.schema)
+    out = taken.unionByName(open_.groupBy(stratum).applyInPandas(take, pairs.schema))
     return out if max_pairs is None else out.orderBy("treated_id").limit(max_pairs)

@@ -450,7 +450,7 @@ def x21_contamination_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     for domain, name in (("TICK", "LATENCY_SPIKE"), ("BAR", "EVENT_TIME_GAP")):
         e = context.near_firing(a, fired.where(F.col("anomaly") == name), ["instrument"], "anchor_id", "anchor_time", "received_ts_ns", H)
         units = e.select(F.col("anchor_id").alias("id"), F.concat_ws(":", "instrument", "direction").alias("stratum"), "exposed", F.col("value").alias("outcome"), F.array(F.col("k").cast("double")).alias("covariates"))
-        pairs = matching.nearest_with_reuse(matching.candidate_pairs(units.where("exposed"), units.where("not exposed"), 5.0))
+        pairs = matching.nearest_control(units.where("exposed"), units.where("not exposed"), 5.0, 1)
         effects.append(pairs.agg(F.lit(domain).alias("domain"), F.count("*").alias("pairs"), F.round(F.avg(F.col("treated_outcome") - F.col("control_outcome")), 9).alias("effect")))
     return context.exposure_verdict(effects[0].unionByName(effects[1]), 30, 1.0)
 
@@ -480,8 +480,7 @@ def x24_matched_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     a = fx.anchors(spark, sf_dir)
     units = a.select(F.col("anchor_id").alias("id"), F.concat_ws(":", "instrument", "direction", floor_div(F.col("event_ts_ns"), D)).alias("stratum"), (F.col("k") >= 50).alias("treated"), F.col("value").alias("outcome"), F.array("value").alias("covariates"))
-    pairs = matching.candidate_pairs(units.where("treated"), units.where("not treated"), 20.0)
-    return rounded(matching.nearest_with_reuse(pairs).select("treated_id", "control_id", "distance"), "distance")
+    return rounded(matching.nearest_control(units.where("treated"), units.where("not treated"), 20.0, 1).select("treated_id", "control_id", "distance"), "distance")
 
 
 @query("""WITH ep AS (SELECT DISTINCT instrument, event_ts_ns // 86400000000000 AS day FROM ticks WHERE event_type = 'signup'), r AS (SELECT t.instrument, t.event_ts_ns // 3600000000000 AS hour, stddev_samp(mid) AS volatility, avg(ask - bid) AS spread FROM ticks t GROUP BY ALL),
@@ -502,11 +501,10 @@ def x24_control_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = F.array(F.coalesce("volatility", F.lit(0.0)), F.coalesce("spread", F.lit(0.0)))
     place = ("instrument", "day", floor_div(e, 6 * H) % 4)
     strict = F.concat_ws(":", *place, "direction")
-    variants = [("A", F.concat_ws(":", *place), F.array(F.lit(0.0))), ("B", strict, F.array(F.lit(0.0))), ("C", strict, near)]
+    variants = [("A", F.concat_ws(":", *place), F.array(F.lit(0.0), F.lit(0.0))), ("B", strict, F.array(F.lit(0.0), F.lit(0.0))), ("C", strict, near)]
     every = F.array(*[F.struct(F.lit(v).alias("variant"), F.concat_ws("/", F.lit(v), g).alias("stratum"), x.alias("covariates")) for v, g, x in variants])
     units = a.select(F.col("anchor_id").alias("id"), (F.col("k") >= 50).alias("treated"), F.col("value").alias("outcome"), F.inline(every))
-    pairs = matching.candidate_pairs(units.where("treated"), units.where("not treated"), 10.0).withColumn("variant", F.substring("stratum", 1, 1))
-    w = matching.nearest_with_reuse(pairs, ["variant"])
+    w = matching.nearest_control(units.where("treated"), units.where("not treated"), 10.0, 2).withColumn("variant", F.substring("stratum", 1, 1))
     return w.groupBy("variant").agg(F.count("*").alias("pairs"), F.round(F.avg(F.col("treated_outcome") - F.col("control_outcome")), 9).alias("effect"), F.round(F.avg("distance"), 6).alias("mean_distance"))
 
 

@@ -197,25 +197,25 @@ MATCHING = """unit AS (SELECT d.doc_id AS id, lang AS stratum, toxic = 1 AS trea
   pairs AS (SELECT t.stratum, t.id AS treated_id, c.id AS control_id, t.outcome AS treated_outcome, c.outcome AS control_outcome, abs(t.x - c.x) AS distance FROM unit t JOIN unit c ON t.stratum = c.stratum AND t.treated AND NOT c.treated AND abs(t.x - c.x) <= 0.25)"""
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _units(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id")
     units = d.select(F.col("doc_id").alias("id"), F.col("lang").alias("stratum"), F.col("toxic"), F.col("quality").cast("double").alias("outcome"), F.array(F.ln("n_chars")).alias("covariates"))
-    return matching.candidate_pairs(units.where("toxic = 1"), units.where("toxic = 0"), 0.25)
+    return units.where("toxic = 1"), units.where("toxic = 0")
 
 
 @query(f"""WITH {MATCHING} SELECT stratum, treated_id, control_id, round(distance, 9) AS distance, treated_outcome, control_outcome FROM (SELECT *, row_number() OVER (PARTITION BY treated_id ORDER BY distance, control_id) AS r FROM pairs) WHERE r = 1""")
 def j8_nearest_control_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(matching.nearest_with_reuse(_pairs(spark, sf_dir)), "distance")
+    return rounded(matching.nearest_control(*_units(spark, sf_dir), 0.25, 1).select("stratum", "treated_id", "control_id", "distance", "treated_outcome", "control_outcome"), "distance")
 
 
 @query()
 def j8_nearest_control_no_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(matching.greedy_without_reuse(_pairs(spark, sf_dir)), "distance")
+    return rounded(matching.greedy_without_reuse(matching.candidate_pairs(*_units(spark, sf_dir), 0.25)), "distance")
 
 
 @query(f"""WITH {MATCHING} SELECT stratum, treated_id, control_id, round(distance, 9) AS distance FROM pairs QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY distance, treated_id, control_id) = 1""")
 def t4_nearest_one_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = _pairs(spark, sf_dir).groupBy("stratum").agg(F.min(F.struct("distance", "treated_id", "control_id")).alias("b"))
+    best = matching.nearest_control(*_units(spark, sf_dir), 0.25, 1).groupBy("stratum").agg(F.min(F.struct("distance", "treated_id", "control_id")).alias("b"))
     return best.select("stratum", F.col("b.treated_id").alias("treated_id"), F.col("b.control_id").alias("control_id"), F.round("b.distance", 9).alias("distance"))
 
 

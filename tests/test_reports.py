@@ -1,6 +1,7 @@
 """Known vectors of statistics, portfolios, gates and catalogues."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,6 +45,50 @@ def test_greedy_matching_equals_a_plain_loop(spark):
     assert matching.greedy_without_reuse(pairs, max_pairs=2).count() == 2
 
 
+@pytest.mark.parametrize("few", [0, 3, 1000])
+def test_greedy_rounds_equal_a_plain_loop(spark, monkeypatch, few):
+    monkeypatch.setattr(matching, "FEW", few)
+    rng = random.Random(few)
+    rows = [(s, t, 1000 + c, 1.0, 0.0, float(rng.randint(0, 4))) for s in ("x", "y") for t in range(12) for c in rng.sample(range(15), 6)]
+    used, done, want = set(), set(), []
+    for s, t, c, *_, d in sorted(rows, key=lambda r: (r[0], r[1], r[5], r[2])):
+        if (s, t) not in done and (s, c) not in used:
+            done.add((s, t))
+            used.add((s, c))
+            want.append((s, t, c))
+    df = spark.createDataFrame(rows, "stratum string, treated_id long, control_id long, treated_outcome double, control_outcome double, distance double")
+    assert sorted((r["stratum"], r["treated_id"], r["control_id"]) for r in matching.greedy_without_reuse(df).collect()) == want
+
+
+@pytest.mark.parametrize("dims", [1, 2, 3])
+def test_nearest_control_equals_brute_force(spark, dims):
+    rng = random.Random(dims)
+    point = lambda: [rng.choice((0.0, 1.0, round(rng.uniform(-9, 9), 2))) for _ in range(dims)]
+    schema = "stratum string, id long, covariates array<double>, outcome double, __cell string"
+    treated = [(rng.choice("ab"), i, point(), 1.0, "x") for i in range(60)] + [(None, 900, [0.0] * dims, 1.0, "x"), ("a", 901, [None] * dims, 1.0, "x"), ("c", 902, [0.0] * dims, 1.0, "x")]
+    controls = [(rng.choice("ab"), 1000 + i, point(), 0.0, "x") for i in range(300)] + [(None, 1900, [0.0] * dims, 0.0, "x"), ("a", 1901, [None] * dims, 0.0, "x")]
+    want = []
+    for s, i, x, *_ in treated:
+        near = [(math.dist(x, y), j) for t, j, y, *_ in controls if s is not None and t == s and None not in x and None not in y and math.dist(x, y) <= 2.5]
+        if near:
+            want.append((i, min(near)[1], pytest.approx(min(near)[0])))
+    got = matching.nearest_control(spark.createDataFrame(treated, schema), spark.createDataFrame(controls, schema), 2.5, dims).collect()
+    assert sorted((r["treated_id"], r["control_id"], r["distance"]) for r in got) == want
+    assert matching.nearest_control(spark.createDataFrame([], schema), spark.createDataFrame(controls, schema), 2.5, dims).count() == 0
+
+
+def test_nearest_control_meets_rows_in_proportion(spark, monkeypatch):
+    met, plain = [], matching.cell_pairs
+    monkeypatch.setattr(matching, "cell_pairs", lambda *a: (met.append(plain(*a).count()), plain(*a))[1])
+    found = {}
+    for n in (400, 4000):
+        met.clear()
+        side = lambda k, n=n: spark.range(n).select(F.lit("s").alias("stratum"), F.col("id"), F.array(*[F.pmod(F.xxhash64("id", F.lit(k + j)), F.lit(1 << 20)) / (1 << 20) for j in range(2)]).alias("covariates"), F.lit(0.0).alias("outcome"))
+        assert matching.nearest_control(side(0), side(10), 10.0, 2).count() == n
+        found[n] = sum(met)
+    assert found[4000] <= 12 * found[400] < 400 * 400
+
+
 def test_null_clock_is_fatal(spark):
     df = spark.createDataFrame([(1, 2), (None, 3)], "a long, b long")
     with pytest.raises(Exception, match="null clock a"):
