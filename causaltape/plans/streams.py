@@ -9,7 +9,7 @@ from causaltape.plans import fixtures as fx
 from causaltape.plans import market
 from causaltape.plans.fixtures import sql
 from causaltape.sources.lake import shared
-from causaltape.streaming import jobs
+from causaltape.streaming import jobs, pending
 
 QUERIES, SQL = {}, {}
 
@@ -65,6 +65,21 @@ def r3_pending_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.groupBy("anchor_id").agg(F.count("*").alias("ticks"), F.max("other_time").alias("last_ns"))
 
 
+OUTCOMES = ("endpoint_return", "signed_return", "mfe", "mae", "realized_variance", "path_efficiency")
+
+
+@query(f"""WITH {market.PATHS} SELECT p.instrument, p.anchor_id, horizon, ticks, {", ".join(f"round({c}, 9) AS {c}" for c in OUTCOMES)}, mfe_offset_ms, mae_offset_ms, favorable_first, tie, complete,
+  tape_end <= a.anchor_time + {fx.DAY} AS drained FROM paths p JOIN anchors a ON a.anchor_id = p.anchor_id JOIN ends e ON e.instrument = p.instrument""", "ticks", "anchors", "horizons")
+def r3_pending_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of all anchors out of the stream; those that a tick of their key completes leave it on the way, the rest when
+    a last row far ahead moves the watermark past all patience."""
+    click = F.col("event_type") == "click"
+    t = fx.ticks(spark, sf_dir).select("instrument", "received_ts_ns", "source_sequence", "mid", F.when(click, F.col("source_sequence")).alias("anchor_id"), F.when(F.col("k") % 2 == 0, 1).otherwise(-1).alias("direction"))
+    got = jobs.drain(pending.pending_paths(replay(spark, t, ahead=1000 * fx.DAY), fx.HORIZONS), shared(spark, "r3"))
+    each = got.where("anchor_id is not null").select("instrument", "anchor_id", "drained", F.inline("outcomes"))
+    return market.rounded(each, *OUTCOMES)
+
+
 @query(market.ASOF.format("c.available_time <= a.anchor_time").replace("c.context_seq AS ctx_seq, c.context_value AS ctx_value", "c.context_seq, c.context_value"), "anchors", "contexts")
 def r4_streaming_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = replay(spark, fx.ticks(spark, sf_dir))
