@@ -125,19 +125,6 @@ def block_permutation(values: DataFrame, block: str, group: str, value: str, row
     return out.select("observed", "exceedances", F.lit(replicates).alias("draws"), p_value(F.col("exceedances"), replicates).alias("p_value"))
 
 
-def circular_shift(values: DataFrame, group: str, position: str, x: str, y: str, replicates: int, seed: int) -> DataFrame:
-    """One row: the correlation of x and y, and how often it is reached when y turns by a random step inside groups.
-
-    `position` counts from 0 in each group. A row joins y of position (position + shift) mod size of its group."""
-    observed = values.agg(pearson(F.col(x), F.col(y)).alias("observed"))
-    sized = values.join(values.groupBy(group).agg(F.count("*").alias("size")), group)
-    reps = sized.select(group, position, x, "size").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    moved = reps.withColumn(position, (F.col(position) + draw(seed, F.col("rep"), F.col(group)) % F.col("size")) % F.col("size"))
-    stats = moved.join(values.select(group, position, y), [group, position]).groupBy("rep").agg(pearson(F.col(x), F.col(y)).alias("r"))
-    out = stats.join(F.broadcast(observed)).agg(F.first("observed").alias("observed"), F.count_if(F.abs("r") >= F.abs("observed")).alias("exceedances"))
-    return out.select("observed", "exceedances", F.lit(replicates).alias("draws"), p_value(F.col("exceedances"), replicates).alias("p_value"))
-
-
 def false_discovery(tests: DataFrame, p: str, q: float = 0.05, dependent: bool = False) -> DataFrame:
     """Adds adjusted p-values and rejections under Benjamini-Hochberg, or Benjamini-Yekutieli if `dependent`.
 
@@ -163,9 +150,19 @@ def holm(tests: DataFrame, p: str, alpha: float = 0.05) -> DataFrame:
 
 
 def max_statistic(observed: DataFrame, worlds: DataFrame, world: str, name: str, stat: str) -> DataFrame:
-    """Joint p-value of each observed statistic: in how many worlds the largest statistic in size reaches it."""
-    tops = worlds.groupBy(world).agg(F.max(F.abs(stat)).alias("__top"))
-    counted = observed.join(tops).groupBy(name).agg(F.first(stat).alias(stat), F.count_if(F.col("__top") >= F.abs(stat)).alias("exceedances"), F.count("*").alias("worlds"))
+    """Joint p-value of each observed statistic: in how many worlds the largest statistic in size reaches it.
+
+    Worlds are reduced to the number that share a top, and tops and statistics are counted up in one falling order, so
+    no statistic meets a world; that order runs over one family and its worlds, not over observations. A null statistic
+    is reached by no world."""
+    tops = worlds.groupBy(world).agg(F.max(F.abs(stat)).alias("__v"))
+    total = tops.agg(F.count("*").alias("worlds"))
+    counts = tops.where("__v is not null").groupBy("__v").agg(F.count("*").alias("__n"))
+    both = counts.unionByName(observed.select(name, stat, F.abs(stat).alias("__v"), F.lit(0).cast("long").alias("__n")), allowMissingColumns=True)
+    # at a tie the worlds come first, as equal counts as reached
+    falling = Window.orderBy(F.col("__v").desc_nulls_last(), F.col("__n").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("__reached", F.sum("__n").over(falling)).where("__n = 0").crossJoin(F.broadcast(total))
+    counted = met.select(name, stat, F.when(F.col(stat).isNull(), 0).otherwise(F.col("__reached")).cast("long").alias("exceedances"), "worlds")
     return counted.withColumn("p_value", (F.col("exceedances") + 1) / (F.col("worlds") + 1))
 
 

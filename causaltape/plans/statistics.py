@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causaltape.functions.clock import floor_div
-from causaltape.operators import matching, paths, statistics
+from causaltape.operators import matching, paths, resampling, statistics
 from causaltape.operators.asof import carry_sum
 from causaltape.plans import fixtures as fx
 from causaltape.plans import market
@@ -236,27 +236,47 @@ def n1_block_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 PERMUTED = """vals AS (SELECT l_orderkey * 10 + l_linenumber AS id, date_trunc('month', l_shipdate)::DATE::VARCHAR AS block, l_discount AS v, l_returnflag = 'R' AS g FROM lineitem)"""
 
 
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = table(spark, sf_dir, "lineitem")
+    return l.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.trunc("l_shipdate", "month").cast("string").alias("block"), F.col("l_discount").alias("v"), (F.col("l_returnflag") == "R").alias("g"))
+
+
+@query(f"""WITH {PERMUTED}, b AS (SELECT block, count(*) AS n, count(*) FILTER (g) AS t, sum(v) AS s, sum(v * v) AS ss, sum(v) FILTER (g) AS st FROM vals GROUP BY block),
+  k AS (SELECT sum(t) AS nt, sum(n) - sum(t) AS nc, sum(s) AS s, sum(st) AS st, sum(t * s / n) AS m, sum(CASE WHEN n > 1 THEN t * (n - t) / (n - 1) * (ss / n - (s / n) ** 2) ELSE 0 END) AS var FROM b)
+  SELECT round(st / nt - (s - st) / nc, 9) AS observed, round(m / nt - (s - m) / nc, 9) AS null_mean, round(sqrt(var) * (1 / nt + 1 / nc), 9) AS null_sd, 4999 AS draws, true AS drawn_like_exact FROM k""")
+def n2_block_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The null of 4,999 shuffles: its exact mean and deviation, and whether those of the draws are within five standard
+    errors of them."""
+    got = resampling.block_permutation_null(_labelled(spark, sf_dir), "block", "g", "v", 4999, 11)
+    near = (F.abs(F.col("drawn_mean") - F.col("null_mean")) <= 5 * F.col("null_sd") / 4999**0.5) & (F.abs(F.col("drawn_sd") / F.col("null_sd") - 1) <= 5 / (2 * 4999) ** 0.5)
+    return rounded(got.select("observed", "null_mean", "null_sd", "draws", near.alias("drawn_like_exact")), "observed", "null_mean", "null_sd")
+
+
+@query()
+def n2_permutation_p_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(resampling.block_permutation_null(_labelled(spark, sf_dir), "block", "g", "v", 4999, 11).select("observed", "exceedances", "draws", "p_value"), "observed", "p_value")
+
+
 @query(f"""WITH {PERMUTED}, o AS (SELECT avg(v) FILTER (g) - avg(v) FILTER (NOT g) AS observed FROM vals), sized AS (SELECT *, count(*) FILTER (g) OVER (PARTITION BY block) AS treated FROM vals),
   shuffled AS (SELECT rep, v, row_number() OVER (PARTITION BY rep, block ORDER BY {DRAW.format("'11:' || rep || ':' || id")}, id) <= treated AS g FROM sized, range(19) r(rep)),
   d AS (SELECT rep, avg(v) FILTER (g) - avg(v) FILTER (NOT g) AS d FROM shuffled GROUP BY rep)
   SELECT round(any_value(observed), 9) AS observed, count(*) FILTER (abs(d) >= abs(observed)) AS exceedances, 19 AS draws, round((count(*) FILTER (abs(d) >= abs(observed)) + 1) / 20, 9) AS p_value FROM d, o""")
-def n2_block_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = table(spark, sf_dir, "lineitem")
-    vals = l.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.trunc("l_shipdate", "month").cast("string").alias("block"), F.col("l_discount").alias("v"), (F.col("l_returnflag") == "R").alias("g"))
-    return rounded(statistics.block_permutation(vals, "block", "g", "v", "id", 19, 11), "observed", "p_value")
+def n2_block_permutation_by_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels dealt row by row, which SQL can follow: rows times replicates, so for few of them."""
+    return rounded(statistics.block_permutation(_labelled(spark, sf_dir), "block", "g", "v", "id", 19, 11), "observed", "p_value")
 
 
 SHIFT = """xy AS (SELECT instrument, row_number() OVER (PARTITION BY instrument ORDER BY source_sequence) - 1 AS pos, mid AS x, k::DOUBLE AS y FROM ticks), sz AS (SELECT instrument, count(*) AS size FROM xy GROUP BY ALL)"""
 
 
-@query(f"""WITH {SHIFT}, o AS (SELECT corr(x, y) AS observed FROM xy), moved AS (SELECT rep, instrument, (pos + {DRAW.format("'13:' || rep || ':' || instrument")} % size) % size AS pos, x FROM xy JOIN sz USING (instrument), range(19) r(rep)),
+@query(f"""WITH {SHIFT}, o AS (SELECT corr(x, y) AS observed FROM xy), moved AS (SELECT rep, instrument, (pos + {DRAW.format("'13:' || rep || ':' || instrument")} % size) % size AS pos, x FROM xy JOIN sz USING (instrument), range(4999) r(rep)),
   st AS (SELECT rep, corr(m.x, v.y) AS r FROM moved m JOIN xy v ON v.instrument = m.instrument AND v.pos = m.pos GROUP BY rep)
-  SELECT round(any_value(observed), 9) AS observed, count(*) FILTER (abs(r) >= abs(observed)) AS exceedances, 19 AS draws, round((count(*) FILTER (abs(r) >= abs(observed)) + 1) / 20, 9) AS p_value FROM st, o""", "ticks")
+  SELECT round(any_value(observed), 9) AS observed, count(*) FILTER (abs(r) >= abs(observed) * (1 - 1e-9)) AS exceedances, 4999 AS draws, round((count(*) FILTER (abs(r) >= abs(observed) * (1 - 1e-9)) + 1) / 5000, 9) AS p_value FROM st, o""", "ticks")
 def n3_circular_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = fx.ticks(spark, sf_dir).select("instrument", "source_sequence", F.col("mid").alias("x"), F.col("k").cast("double").alias("y"))
     numbered = carry_sum(t.withColumn("span", floor_div(F.col("source_sequence"), 100_000)), ["instrument"], [F.col("source_sequence")], F.lit(1), "span", "no")
     xy = numbered.select("instrument", (F.col("no") - 1).alias("pos"), "x", "y")
-    return rounded(statistics.circular_shift(xy, "instrument", "pos", "x", "y", 19, 13), "observed", "p_value")
+    return rounded(resampling.circular_shift_null(xy, "instrument", "pos", "x", "y", 4999, 13), "observed", "p_value")
 
 
 FAMILY = f"""family AS (SELECT p_brand, CASE WHEN n_a + n_b >= 30 THEN round(exp(-abs(cohen_d) * 20), 12) END AS p FROM ({EFFECT}))"""
@@ -289,14 +309,19 @@ def n8_holm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(statistics.holm(_family(spark, sf_dir), "p"), "holm")
 
 
-WORLDS = f"""obs AS (SELECT instrument, round(avg(value) - 50, 9) AS stat FROM ticks GROUP BY ALL), worlds AS (SELECT w, instrument, round(avg(CASE WHEN {DRAW.format("'5:' || w || ':' || source_sequence")} % 2 = 0 THEN value - 50 ELSE 50 - value END), 9) AS stat FROM ticks, range(29) q(w) GROUP BY ALL)"""
+#: Null worlds; one draw of a row flips its sign in 32 of them.
+NULLS = 4999
+WORLDS = f"""obs AS (SELECT instrument, round(avg(value) - 50, 9) AS stat FROM ticks GROUP BY ALL), drawn AS (SELECT instrument, value, c, {DRAW.format("'5:' || c || ':' || source_sequence")} AS d FROM ticks, range({-(-NULLS // 32)}) q(c)),
+  worlds AS (SELECT c * 32 + j AS w, instrument, round(avg(CASE WHEN (d >> j::INTEGER) & 1 = 0 THEN value - 50 ELSE 50 - value END), 9) AS stat FROM drawn, range(32) b(j) WHERE c * 32 + j < {NULLS} GROUP BY ALL)"""
 
 
 def _worlds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     t = fx.ticks(spark, sf_dir).select("instrument", "source_sequence", "value")
     obs = t.groupBy("instrument").agg(F.round(F.avg("value") - 50, 9).alias("stat"))
-    flipped = t.withColumn("w", F.explode(F.sequence(F.lit(0), F.lit(28)))).withColumn("v", F.when(statistics.draw(5, F.col("w"), F.col("source_sequence")) % 2 == 0, F.col("value") - 50).otherwise(50 - F.col("value")))
-    return obs, flipped.groupBy("w", "instrument").agg(F.round(F.avg("v"), 9).alias("stat"))
+    drawn = t.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit((NULLS - 1) // 32)))).select("instrument", "c", (F.col("value") - 50).alias("v"), statistics.draw(5, F.col("c"), F.col("source_sequence")).alias("d"))
+    means = [F.avg(F.when(F.shiftright("d", j).bitwiseAND(F.lit(1)) == 0, F.col("v")).otherwise(-F.col("v"))) for j in range(32)]
+    each = F.array(*[F.struct((F.col("c") * 32 + j).alias("w"), F.round(m, 9).alias("stat")) for j, m in enumerate(means)])
+    return obs, drawn.groupBy("instrument", "c").agg(each.alias("each")).select("instrument", F.inline("each")).where(F.col("w") < NULLS)
 
 
 @query(f"""WITH {WORLDS}, tops AS (SELECT w, max(abs(stat)) AS top FROM worlds GROUP BY w) SELECT instrument, stat, count(*) FILTER (top >= abs(stat)) AS exceedances, count(*) AS worlds, round((count(*) FILTER (top >= abs(stat)) + 1) / (count(*) + 1), 9) AS p_value FROM obs, tops GROUP BY instrument, stat""", "ticks")
