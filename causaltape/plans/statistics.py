@@ -224,13 +224,13 @@ BLOCKS = """vals AS (SELECT date_trunc('month', l_shipdate)::DATE::VARCHAR AS bl
   tot AS (SELECT sum(n) AS total_n, sum(s) / sum(n) AS observed, count(*) AS blocks, min(n) AS least FROM sums), numbered AS (SELECT *, row_number() OVER (ORDER BY block) - 1 AS no FROM sums)"""
 
 
-@query(f"""WITH {BLOCKS}, draws AS (SELECT rep, k, {DRAW.format("'7:' || rep || ':' || k")} % blocks AS no, total_n, observed FROM range(99) r(rep), tot, LATERAL (SELECT unnest(range(CAST(ceil(total_n / least) AS BIGINT))) AS k)),
+@query(f"""WITH {BLOCKS}, draws AS (SELECT rep, k, {DRAW.format("'7:' || rep || ':' || k")} % blocks AS no, total_n, observed FROM range(4999) r(rep), tot, LATERAL (SELECT unnest(range(CAST(ceil(total_n / least) AS BIGINT))) AS k)),
   run AS (SELECT d.*, n, s, coalesce(sum(n) OVER (PARTITION BY rep ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM draws d JOIN numbered USING (no)),
   m AS (SELECT rep, sum(s - n * observed) / sum(n) AS m, any_value(observed) AS observed FROM run WHERE before < total_n GROUP BY rep)
-  SELECT round(any_value(observed), 9) AS observed, count(*) FILTER (abs(m) >= abs(observed)) AS exceedances, 99 AS draws, round((count(*) FILTER (abs(m) >= abs(observed)) + 1) / 100, 9) AS p_value FROM m""")
+  SELECT round(any_value(observed), 9) AS observed, count(*) FILTER (abs(m) >= abs(observed)) AS exceedances, 4999 AS draws, round((count(*) FILTER (abs(m) >= abs(observed)) + 1) / 5000, 9) AS p_value FROM m""")
 def n1_block_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     vals = table(spark, sf_dir, "lineitem").select(F.trunc("l_shipdate", "month").cast("string").alias("block"), (F.col("l_discount") - 0.05).alias("v"))
-    return rounded(statistics.block_bootstrap(vals, "block", "v", 99, 7), "observed", "p_value")
+    return rounded(statistics.block_bootstrap(vals, "block", "v", 4999, 7), "observed", "p_value")
 
 
 PERMUTED = """vals AS (SELECT l_orderkey * 10 + l_linenumber AS id, date_trunc('month', l_shipdate)::DATE::VARCHAR AS block, l_discount AS v, l_returnflag = 'R' AS g FROM lineitem)"""
