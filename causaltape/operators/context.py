@@ -85,18 +85,15 @@ def zone_lifecycle(zones: DataFrame, events: DataFrame, tape_start: int) -> Data
     return full.select("zone_id", "formed_ns", "touch_ns", status.alias("status"), F.least(i, c).alias("end_ns"), (F.col("formed_ns") < tape_start).alias("left_truncated"))
 
 
-def nesting(inner: DataFrame, outer: DataFrame, by: list[str], bucket_ns: int) -> DataFrame:
-    """Zones of one scale against those of a coarser one (start_ns, end_ns, low, high): NESTED, OVERLAP, INDEPENDENT.
-
-    Spans are cut into time buckets and joined bucket by bucket; a pair counts in the bucket of its common start."""
-    spread = lambda df: df.withColumn("__b", F.explode(F.sequence(F.floor(F.col("start_ns") / bucket_ns).cast("long"), F.floor(F.col("end_ns") / bucket_ns).cast("long"))))
-    a = spread(inner)
-    b = spread(outer).select(*by, "__b", *[F.col(c).alias(f"o_{c}") for c in ("zone_id", "start_ns", "end_ns", "low", "high")])
-    met = a.join(b, [*by, "__b"]).where((F.col("start_ns") < F.col("o_end_ns")) & (F.col("o_start_ns") < F.col("end_ns")) & (F.col("low") <= F.col("o_high")) & (F.col("o_low") <= F.col("high")))
-    met = met.where(F.col("__b") == F.floor(F.greatest("start_ns", "o_start_ns") / bucket_ns))
-    inside = (F.col("low") >= F.col("o_low")) & (F.col("high") <= F.col("o_high")) & (F.col("start_ns") >= F.col("o_start_ns")) & (F.col("end_ns") <= F.col("o_end_ns"))
-    found = met.groupBy("zone_id").agg(F.max(inside).alias("__in"))
-    return inner.join(found, "zone_id", "left").withColumn("relation", F.when(F.col("__in"), "NESTED").when(F.col("__in").isNotNull(), "OVERLAP").otherwise("INDEPENDENT")).drop("__in")
+def nesting(inner: DataFrame, outer: DataFrame, by: list[str]) -> DataFrame:
+    """Zones of one scale against those of a coarser one (zone_id, start_ns, end_ns, low, high): NESTED, OVERLAP,
+    INDEPENDENT. A zone that lies inside any coarser one is nested, whatever else it overlaps."""
+    from causaltape.operators.intervals import overlapping_pairs
+
+    met = overlapping_pairs(inner, outer, by).where((F.col("low") <= F.col("r_high")) & (F.col("r_low") <= F.col("high")))
+    inside = (F.col("low") >= F.col("r_low")) & (F.col("high") <= F.col("r_high")) & (F.col("start_ns") >= F.col("r_start_ns")) & (F.col("end_ns") <= F.col("r_end_ns"))
+    found = met.groupBy(*by, "zone_id").agg(F.max(inside).alias("__in"))
+    return inner.join(found, [*by, "zone_id"], "left").withColumn("relation", F.when(F.col("__in"), "NESTED").when(F.col("__in").isNotNull(), "OVERLAP").otherwise("INDEPENDENT")).drop("__in")
 
 
 def paired_firings(firings: DataFrame, by: list[str], time: str, side: str, order: str, window_ns: int) -> DataFrame:

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causaltape.functions.scalars import z_score
+from causaltape.operators.intervals import overlapping_pairs
 
 
-def overlapping(leaves: DataFrame, name: str = "leaf", start: str = "start_ns", end: str = "end_ns") -> DataFrame:
-    """Pairs of half-open intervals that overlap. Leaves are declarations: a table of a few rows."""
-    a, b = (leaves.select(F.col(name).alias(f"{x}_name"), F.col(start).alias(f"{x}_start"), F.col(end).alias(f"{x}_end")) for x in "ab")
-    return a.join(b, (F.col("a_name") < F.col("b_name")) & (F.col("a_start") < F.col("b_end")) & (F.col("b_start") < F.col("a_end")))
+def overlapping(leaves: DataFrame, name: str = "leaf", start: str = "start_ns", end: str = "end_ns", by: list[str] | None = None) -> DataFrame:
+    """Pairs of half-open intervals (of equal `by`) that overlap, the smaller name first."""
+    some = leaves.select(*(by or []), name, start, end)
+    met = overlapping_pairs(some, some, by or [], start, end).where(F.col(name) < F.col(f"r_{name}"))
+    return met.select(*(by or []), *[F.col(f"{side}{c}").alias(f"{x}_{c2}") for x, side in (("a", ""), ("b", "r_")) for c, c2 in ((name, "name"), (start, "start"), (end, "end"))])
 
 
 def assign(df: DataFrame, leaves: DataFrame, time: str) -> DataFrame:
@@ -42,6 +44,27 @@ def contaminated_exposures(exposures: DataFrame, protected: DataFrame) -> DataFr
     return hit.join(first, "leaf").select("exposure", "leaf", (F.col("exposure") != F.col("first_exposure")).alias("repeated"))
 
 
+#: Roles of exposures and leaves, fixed values.
+CONFIRMATION, HOLDOUTS = "detector_confirmation", ("strategy_holdout", "portfolio_holdout")
+
+
+def exposure_history(exposures: DataFrame, leaves: DataFrame, by: list[str]) -> DataFrame:
+    """Each exposure (by, exposure, role, start_ns, end_ns, exposed_ns) with `leaf` and `verdict`, by its turn.
+
+    An exposure must overlap a declared leaf (by, leaf, role, start_ns, end_ns) of its role, else NO_LEAF; the smallest
+    such leaf is named. A strategy or portfolio holdout that overlaps a detector confirmation exposed before it (earlier,
+    or at the same time with a smaller id) is CONTAMINATED; `source` is the first of these. All others are ACCEPTED.
+    Confirmations without a leaf enter no history and contaminate nothing."""
+    named = overlapping_pairs(exposures, leaves, [*by, "role"]).groupBy("exposure").agg(F.min("r_leaf").alias("leaf"))
+    known = exposures.join(named, "exposure", "left")
+    before = known.where((F.col("role") == CONFIRMATION) & F.col("leaf").isNotNull())
+    met = overlapping_pairs(known.where(F.col("role").isin(*HOLDOUTS) & F.col("leaf").isNotNull()), before, by)
+    turn = lambda p: F.struct(F.col(f"{p}exposed_ns").alias("at"), F.col(f"{p}exposure").alias("exposure"))
+    first = met.where(turn("r_") < turn("")).groupBy("exposure").agg(F.min(turn("r_")).alias("__first"))
+    verdict = F.when(F.col("leaf").isNull(), "NO_LEAF").when(F.col("__first").isNotNull(), "CONTAMINATED").otherwise("ACCEPTED")
+    return known.join(first, "exposure", "left").select(*exposures.columns, "leaf", verdict.alias("verdict"), F.col("__first.exposure").alias("source"))
+
+
 def threshold_score(rows: DataFrame, by: list[str], signal: str, outcome: str, threshold: float, cap: float, cost: float) -> DataFrame:
     """Unit scores: a signal at or beyond the threshold acts in its direction. Null signal or outcome abstains; an
     outcome beyond the cap is a breach and abstains, whatever the signal."""

@@ -366,7 +366,24 @@ SPANS = """zb AS (SELECT instrument, scale, instrument * 100000000 + bar_open_ts
 def x16_cross_scale_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = fx.bars(spark, sf_dir).where("ticks > 1")
     zone = b.select("instrument", "scale", (F.col("instrument") * 100000000 + floor_div(F.col("bar_open_ts"), 3600000)).alias("zone_id"), (F.col("bar_open_ts") * 1000000).alias("start_ns"), (F.col("bar_close_ts") * 1000000).alias("end_ns"), "low", "high")
-    return context.nesting(zone.where("scale = '1h'").drop("scale"), zone.where("scale = '1d'").drop("scale"), ["instrument"], D).select("zone_id", "relation")
+    return context.nesting(zone.where("scale = '1h'").drop("scale"), zone.where("scale = '1d'").drop("scale"), ["instrument"]).select("zone_id", "relation")
+
+
+@query("""WITH z AS (SELECT instrument, scale, width, bar_open_ts AS zone_id, bar_open_ts * 1000000 AS start_ns, bar_close_ts * 1000000 AS end_ns, low, high FROM bars JOIN frames USING (scale)), j AS (SELECT i.instrument, i.zone_id, i.scale AS inner_scale, f.scale AS outer_scale, o.zone_id AS o,
+    i.low >= o.low AND i.high <= o.high AND i.start_ns >= o.start_ns AND i.end_ns <= o.end_ns AS inside FROM z i JOIN frames f ON f.width > i.width LEFT JOIN z o ON o.scale = f.scale AND o.instrument = i.instrument AND i.start_ns < o.end_ns AND o.start_ns < i.end_ns AND i.low <= o.high AND o.low <= i.high),
+  r AS (SELECT instrument, zone_id, inner_scale, outer_scale, CASE WHEN bool_or(inside) THEN 'NESTED' WHEN count(o) > 0 THEN 'OVERLAP' ELSE 'INDEPENDENT' END AS relation FROM j GROUP BY ALL)
+  SELECT instrument, inner_scale, outer_scale, relation, count(*) AS zones FROM r GROUP BY ALL""", "ticks", "frames", "bars")
+def x16_nesting_of_all_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every bar as a zone against the bars of each coarser scale."""
+    b = fx.bars(spark, sf_dir)
+    zone = cut(b.select("instrument", "scale", F.col("bar_open_ts").alias("zone_id"), (F.col("bar_open_ts") * 1000000).alias("start_ns"), (F.col("bar_close_ts") * 1000000).alias("end_ns"), "low", "high"), "zones")
+    widths = fx.BAR_FRAMES
+    coarser = F.array(*[F.struct(F.lit(i).alias("scale"), F.lit(o).alias("outer_scale")) for i in widths for o in widths if widths[o] > widths[i]])
+    pairs = spark.range(1).select(F.inline(coarser))
+    inner = zone.join(F.broadcast(pairs), "scale").withColumnRenamed("scale", "inner_scale")
+    outer = zone.join(F.broadcast(pairs.withColumnsRenamed({"scale": "inner_scale", "outer_scale": "scale"})), "scale").withColumnRenamed("scale", "outer_scale")
+    found = context.nesting(inner, outer, ["instrument", "inner_scale", "outer_scale"])
+    return found.groupBy("instrument", "inner_scale", "outer_scale", "relation").agg(F.count("*").alias("zones"))
 
 
 @query("""WITH s AS (SELECT instrument, source_sequence, received_ts_ns AS t, CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END AS side FROM ticks WHERE event_type IN ('purchase', 'error')) SELECT a.source_sequence, (SELECT a.t - max(b.t) FROM s b WHERE b.instrument = a.instrument AND b.side <> a.side AND (b.t, b.source_sequence) < (a.t, a.source_sequence)) AS since_opposing_ns FROM s a""", "ticks")

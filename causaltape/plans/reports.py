@@ -9,6 +9,7 @@ from causaltape.operators import evaluation, portfolio
 from causaltape.plans import fixtures as fx
 from causaltape.plans import market
 from causaltape.plans.fixtures import sql, table
+from causaltape.sources.lake import cut
 
 QUERIES, SQL = {}, {}
 
@@ -194,6 +195,17 @@ def j11_interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.overlapping(l).select("a_name", "b_name").unionByName(touched)
 
 
+SPANNED = """sp AS (SELECT instrument, source_sequence AS leaf, event_ts_ns AS start_ns, event_ts_ns + k * k * 60000000000 AS end_ns FROM ticks WHERE event_type = 'signup')"""
+
+
+@query(f"WITH {SPANNED} SELECT a.instrument, a.leaf AS a_name, b.leaf AS b_name FROM sp a JOIN sp b ON a.instrument = b.instrument AND a.leaf < b.leaf AND a.start_ns < b.end_ns AND b.start_ns < a.end_ns WHERE a.end_ns > a.start_ns AND b.end_ns > b.start_ns", "ticks")
+def j11_overlapping_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps among spans of very unlike lengths, from nothing to a week, that stand in the table."""
+    t = fx.ticks(spark, sf_dir).where("event_type = 'signup'")
+    spans = t.select("instrument", F.col("source_sequence").alias("leaf"), F.col("event_ts_ns").alias("start_ns"), (F.col("event_ts_ns") + F.col("k").cast("long") * F.col("k") * 60_000_000_000).alias("end_ns"))
+    return evaluation.overlapping(spans, by=["instrument"]).select("instrument", "a_name", "b_name")
+
+
 LEAFED = """lt AS (SELECT t.*, l.leaf FROM ticks t LEFT JOIN leaves l ON event_ts_ns >= start_ns AND event_ts_ns < end_ns)"""
 
 
@@ -228,6 +240,22 @@ def j15_exposure_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.contaminated_exposures(e, fx.leaves(spark).where("leaf <> 'development'"))
 
 
+@query("""WITH e AS (SELECT instrument, source_sequence AS exposure, CASE event_type WHEN 'signup' THEN 'detector_confirmation' WHEN 'purchase' THEN 'strategy_holdout' WHEN 'error' THEN 'portfolio_holdout' ELSE 'exploration' END AS role, event_ts_ns AS start_ns, event_ts_ns + (k + 1) * 60000000000 AS end_ns, received_ts_ns AS exposed_ns FROM ticks),
+  lv AS (SELECT leaf || ':' || role AS leaf, role, start_ns, end_ns FROM leaves, (SELECT unnest(['detector_confirmation', 'strategy_holdout', 'portfolio_holdout']) AS role) WHERE leaf <> 'development'),
+  n AS (SELECT e.*, (SELECT min(l.leaf) FROM lv l WHERE l.role = e.role AND e.start_ns < l.end_ns AND l.start_ns < e.end_ns) AS leaf FROM e)
+  SELECT n.exposure, n.role, n.leaf, any_value(CASE WHEN n.leaf IS NULL THEN 'NO_LEAF' WHEN p.exposure IS NOT NULL THEN 'CONTAMINATED' ELSE 'ACCEPTED' END) AS verdict, arg_min(p.exposure, (p.exposed_ns, p.exposure)) AS source
+  FROM n LEFT JOIN n p ON n.leaf IS NOT NULL AND n.role IN ('strategy_holdout', 'portfolio_holdout') AND p.role = 'detector_confirmation' AND p.leaf IS NOT NULL AND p.instrument = n.instrument AND p.start_ns < n.end_ns AND n.start_ns < p.end_ns AND (p.exposed_ns, p.exposure) < (n.exposed_ns, n.exposure) GROUP BY ALL""", "ticks", "leaves")
+def j15_exposure_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tick as an exposure of its role: which leaf it opens, and whether an earlier confirmation has spoilt it."""
+    t = fx.ticks(spark, sf_dir)
+    roles = {"signup": evaluation.CONFIRMATION, "purchase": evaluation.HOLDOUTS[0], "error": evaluation.HOLDOUTS[1]}
+    role = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in roles.items()], F.lit("exploration"))
+    e = t.select("instrument", F.col("source_sequence").alias("exposure"), role.alias("role"), F.col("event_ts_ns").alias("start_ns"), (F.col("event_ts_ns") + (F.col("k").cast("long") + 1) * 60_000_000_000).alias("end_ns"), F.col("received_ts_ns").alias("exposed_ns"))
+    declared = fx.leaves(spark).where("leaf <> 'development'").withColumn("role", F.explode(F.array(*[F.lit(r) for r in roles.values()])))
+    declared = t.select("instrument").distinct().join(F.broadcast(declared)).withColumn("leaf", F.concat_ws(":", "leaf", "role"))
+    return evaluation.exposure_history(cut(e, "exposures"), cut(declared, "leaves"), ["instrument"]).select("exposure", "role", "leaf", "verdict", "source")
+
+
 SCORED = """SELECT {0} count(*) AS observations, count(*) FILTER (acts) AS acted, count(*) FILTER (NOT acts) AS abstentions, count(*) FILTER (breach) AS risk_breaches, round(coalesce(sum(side * o) FILTER (acts), 0), 6) AS gross_score, round(count(*) FILTER (acts) * 0.01::DOUBLE, 6) AS costs,
   round(coalesce(sum(side * o) FILTER (acts), 0) - count(*) FILTER (acts) * 0.01, 6) AS net_score FROM (SELECT *, s IS NOT NULL AND o IS NOT NULL AND NOT breach AND side IS NOT NULL AS acts FROM (SELECT *, s IS NOT NULL AND o IS NOT NULL AND abs(o) > 0.9 AS breach, CASE WHEN s >= {1} THEN 1.0 WHEN s <= -{1} THEN -1.0 END AS side FROM {2})) GROUP BY {3}"""
 SIGNALS = f"""{LEAFED}, sg AS (SELECT leaf, instrument, CASE WHEN k % 7 <> 0 THEN value - 50 END AS s, round(k / 50.0 - 1, 9) AS o FROM lt)"""
