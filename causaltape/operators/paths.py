@@ -63,7 +63,9 @@ def forward_paths(anchors: DataFrame, ticks: DataFrame, by: list[str], horizons:
     Ticks count if their (received, sequence) is above the anchor's and they are received by the end of the horizon.
     A horizon is complete once a tick at or after its end exists on the tape; else it is censored by the tape's end.
     Realised variance squares the log step of each one-second bucket, whose opening price is the tick before it; the
-    first tick's step is from the anchor's price. Directions are 1 or -1.
+    first tick's step is from the anchor's price. Directions are 1 or -1. Favorable and adverse come first by millisecond, so
+    that both may be false. covered_ns is the horizon if it is complete and has a tick, else the time to its last tick;
+    continuation and reversal distances are the excursions under their other names.
 
     Anchors never meet the ticks of their horizon. Ticks are reduced to the seconds that have any, these are numbered
     along each key, and blocks of `branch` seconds, of `branch` blocks and so on are reduced from them. A horizon is then
@@ -126,12 +128,15 @@ def forward_paths(anchors: DataFrame, ticks: DataFrame, by: list[str], horizons:
     best = [F.when(d < 0, lo).otherwise(hi) for hi, lo in zip(rise, fall, strict=True)]
     worst = [F.when(d < 0, hi).otherwise(lo) for hi, lo in zip(rise, fall, strict=True)]
     both = (rise[0] > m) & (fall[0] < m)
-    favorable = (d * (F.col("turn.mid") - m) > 0) & ~F.coalesce(F.col("other_ns") <= end, F.lit(False))
+    apart, side = ~F.coalesce(F.col("other_ns") <= end, F.lit(False)), d * (F.col("turn.mid") - m)
+    favorable, adverse = (side > 0) & apart, (side < 0) & apart
     complete = F.coalesce(F.col("tape_end") >= end, F.lit(False))
     return full.select(
         *by, "anchor_id", "horizon", F.coalesce("n", F.lit(0)).alias("ticks"), ret.alias("endpoint_return"), (d * ret).alias("signed_return"),
         F.when(some, F.greatest(d * F.ln(best[0] / m), F.lit(0.0))).alias("mfe"), F.when(some, F.greatest(-d * F.ln(worst[0] / m), F.lit(0.0))).alias("mae"),
-        offset(best[1]).alias("mfe_offset_ms"), offset(worst[1]).alias("mae_offset_ms"), F.when(both, favorable).alias("favorable_first"), F.coalesce(F.col("tie_ns") <= end, F.lit(False)).alias("tie"),
+        offset(best[1]).alias("mfe_offset_ms"), offset(worst[1]).alias("mae_offset_ms"), F.when(both, favorable).alias("favorable_first"), F.when(both, adverse).alias("adverse_first"),
+        F.when(some, F.greatest(d * F.ln(best[0] / m), F.lit(0.0))).alias("continuation_distance"), F.when(some, F.greatest(-d * F.ln(worst[0] / m), F.lit(0.0))).alias("reversal_distance"),
+        F.when(~some, 0).when(complete, F.col("h_ns")).otherwise(F.col("last.received_ts_ns") - F.col("anchor_time")).cast("long").alias("covered_ns"), F.coalesce(F.col("tie_ns") <= end, F.lit(False)).alias("tie"),
         F.coalesce(variance, F.lit(0.0)).alias("realized_variance"), F.when(moves > 0, ret / moves).alias("path_efficiency"),
         complete.alias("complete"), F.when(~complete, "DEVELOPMENT_BOUNDARY").alias("censor_reason"),
     )

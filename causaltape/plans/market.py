@@ -189,10 +189,10 @@ PATHS = """stepped AS (SELECT *, lag(mid) OVER (PARTITION BY instrument ORDER BY
       AND t.received_ts_ns <= a.anchor_time + h.h_ns),
   rv AS (SELECT anchor_id, horizon, sum(x * x) AS realized_variance FROM (SELECT anchor_id, horizon, sec, sum(step) AS x FROM pairs GROUP BY ALL) GROUP BY ALL),
   agg AS (SELECT anchor_id, horizon, count(*) AS ticks, arg_max(ret, (received_ts_ns, seq)) AS endpoint_return, max(signed) AS hi, min(signed) AS lo, min((-signed, off))[2] AS hi_at, min((signed, off))[2] AS lo_at,
-    min(off) FILTER (signed > 0) AS up, min(off) FILTER (signed < 0) AS down, bool_or(signed = 0) AS tie, sum(abs(step)) AS abs_sum FROM pairs GROUP BY ALL),
+    max(received_ts_ns) AS last_ns, min(off) FILTER (signed > 0) AS up, min(off) FILTER (signed < 0) AS down, bool_or(signed = 0) AS tie, sum(abs(step)) AS abs_sum FROM pairs GROUP BY ALL),
   ends AS (SELECT instrument, max(received_ts_ns) AS tape_end FROM ticks GROUP BY ALL),
   paths AS (SELECT a.instrument, a.anchor_id, h.horizon, coalesce(ticks, 0) AS ticks, endpoint_return, a.direction * endpoint_return AS signed_return, CASE WHEN hi IS NOT NULL THEN greatest(hi, 0) END AS mfe,
-    CASE WHEN lo IS NOT NULL THEN greatest(-lo, 0) END AS mae, hi_at AS mfe_offset_ms, lo_at AS mae_offset_ms, up < down AS favorable_first, coalesce(tie, false) AS tie,
+    CASE WHEN lo IS NOT NULL THEN greatest(-lo, 0) END AS mae, hi_at AS mfe_offset_ms, lo_at AS mae_offset_ms, up < down AS favorable_first, down < up AS adverse_first, CASE WHEN ticks IS NULL THEN 0 WHEN tape_end >= a.anchor_time + h.h_ns THEN h.h_ns ELSE last_ns - a.anchor_time END AS covered_ns, coalesce(tie, false) AS tie,
     coalesce(realized_variance, 0) AS realized_variance, CASE WHEN abs_sum > 0 THEN endpoint_return / abs_sum END AS path_efficiency, tape_end >= a.anchor_time + h.h_ns AS complete
     FROM anchors a CROSS JOIN horizons h JOIN ends USING (instrument) LEFT JOIN agg USING (anchor_id, horizon) LEFT JOIN rv USING (anchor_id, horizon))"""
 
@@ -213,9 +213,9 @@ def j4_forward_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {PATHS} SELECT instrument, anchor_id, horizon, ticks, round(endpoint_return, 9) AS endpoint_return, round(signed_return, 9) AS signed_return, round(mfe, 9) AS mfe, round(mae, 9) AS mae,
-  mfe_offset_ms, mae_offset_ms, favorable_first, tie, round(path_efficiency, 9) AS path_efficiency, complete, CASE WHEN NOT complete THEN 'DEVELOPMENT_BOUNDARY' END AS censor_reason FROM paths""", "ticks", "anchors", "horizons")
+  mfe_offset_ms, mae_offset_ms, favorable_first, adverse_first, round(mfe, 9) AS continuation_distance, round(mae, 9) AS reversal_distance, covered_ns, tie, round(path_efficiency, 9) AS path_efficiency, complete, CASE WHEN NOT complete THEN 'DEVELOPMENT_BOUNDARY' END AS censor_reason FROM paths""", "ticks", "anchors", "horizons")
 def w11_forward_path_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_paths(spark, sf_dir).drop("realized_variance"), "endpoint_return", "signed_return", "mfe", "mae", "path_efficiency")
+    return rounded(_paths(spark, sf_dir).drop("realized_variance"), "endpoint_return", "signed_return", "mfe", "mae", "continuation_distance", "reversal_distance", "path_efficiency")
 
 
 @query(f"WITH {PATHS} SELECT anchor_id, horizon, round(realized_variance, 9) AS realized_variance FROM paths", "ticks", "anchors", "horizons")

@@ -68,7 +68,7 @@ def r3_pending_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 OUTCOMES = ("endpoint_return", "signed_return", "mfe", "mae", "realized_variance", "path_efficiency")
 
 
-@query(f"""WITH {market.PATHS} SELECT p.instrument, p.anchor_id, horizon, ticks, {", ".join(f"round({c}, 9) AS {c}" for c in OUTCOMES)}, mfe_offset_ms, mae_offset_ms, favorable_first, tie, complete,
+@query(f"""WITH {market.PATHS} SELECT p.instrument, p.anchor_id, horizon, ticks, {", ".join(f"round({c}, 9) AS {c}" for c in OUTCOMES)}, mfe_offset_ms, mae_offset_ms, favorable_first, adverse_first, covered_ns, tie, complete,
   tape_end <= a.anchor_time + {fx.DAY} AS drained FROM paths p JOIN anchors a ON a.anchor_id = p.anchor_id JOIN ends e ON e.instrument = p.instrument""", "ticks", "anchors", "horizons")
 def r3_pending_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths of all anchors out of the stream; those that a tick of their key completes leave it on the way, the rest when

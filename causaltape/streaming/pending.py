@@ -13,7 +13,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from causaltape.functions.clock import NS_PER_MS, NS_PER_S
 from causaltape.streaming.jobs import ROCKS, micros_of
 
-OUTCOME = "struct<horizon:string,ticks:bigint,endpoint_return:double,signed_return:double,mfe:double,mae:double,mfe_offset_ms:bigint,mae_offset_ms:bigint,favorable_first:boolean,tie:boolean,realized_variance:double,path_efficiency:double,complete:boolean>"
+OUTCOME = "struct<horizon:string,ticks:bigint,endpoint_return:double,signed_return:double,mfe:double,mae:double,mfe_offset_ms:bigint,mae_offset_ms:bigint,favorable_first:boolean,adverse_first:boolean,covered_ns:bigint,tie:boolean,realized_variance:double,path_efficiency:double,complete:boolean>"
 TICK = np.dtype([("t", "<i8"), ("seq", "<i8"), ("mid", "<f8")])
 ANCHOR = ["anchor_id", "anchor_time", "anchor_seq", "anchor_mid", "direction"]
 
@@ -26,8 +26,8 @@ def outcome(anchor: tuple, ticks: np.ndarray, horizon: str, width: int, tape_end
     low += np.searchsorted(ticks["seq"][low : np.searchsorted(ticks["t"], time, "right")], seq, "right")
     high = np.searchsorted(ticks["t"], time + width, "right")
     t, price = ticks["t"][low:high], ticks["mid"][low:high]
-    out = dict.fromkeys(("endpoint_return", "signed_return", "mfe", "mae", "mfe_offset_ms", "mae_offset_ms", "favorable_first", "path_efficiency"))
-    out |= {"horizon": horizon, "ticks": len(t), "tie": False, "realized_variance": 0.0, "complete": bool(tape_end >= time + width)}
+    out = dict.fromkeys(("endpoint_return", "signed_return", "mfe", "mae", "mfe_offset_ms", "mae_offset_ms", "favorable_first", "adverse_first", "path_efficiency"))
+    out |= {"horizon": horizon, "ticks": len(t), "covered_ns": 0, "tie": False, "realized_variance": 0.0, "complete": bool(tape_end >= time + width)}
     if not len(t):
         return out
     ret, off = np.log(price / mid), (t - time) // NS_PER_MS
@@ -41,6 +41,7 @@ def outcome(anchor: tuple, ticks: np.ndarray, horizon: str, width: int, tape_end
     return out | {
         "endpoint_return": float(ret[-1]), "signed_return": float(signed[-1]), "mfe": max(float(signed[best]), 0.0), "mae": max(float(-signed[worst]), 0.0),
         "mfe_offset_ms": int(off[best]), "mae_offset_ms": int(off[worst]), "favorable_first": bool(up[0] < down[0]) if len(up) and len(down) else None,
+        "adverse_first": bool(down[0] < up[0]) if len(up) and len(down) else None, "covered_ns": width if out["complete"] else int(t[-1]) - time,
         "tie": bool((ret == 0).any()), "realized_variance": float((moved**2).sum()), "path_efficiency": float(ret[-1]) / total if total > 0 else None,
     }
 
