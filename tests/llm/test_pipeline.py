@@ -3,7 +3,7 @@
 import corpus_pipeline
 import pyarrow.parquet as pq
 
-from causaltape.llm import decontamination, queries, toxicity
+from causaltape.llm import decontamination, queries, similar_documents, toxicity
 from causaltape.llm.shared import cut
 from tests.llm.test_operators import SF, plain_contaminated, plain_groups
 
@@ -37,5 +37,11 @@ def test_stages_take_empty_documents_and_nulls(spark):
         assert frame.count() == left
 
 
+def test_keep_one_takes_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f", 9, "x"), (2, "a b c d e f", 8, "y"), (3, "other words here", 7, "z"), (None, "a b c d e f", 6, "n")]
+    kept = similar_documents.keep_one(spark.createDataFrame(rows, "doc_id long, text string, gone long, rep string"))
+    assert kept.columns == ["doc_id", "text", "gone", "rep"] and sorted(r["gone"] for r in kept.collect()) == [6, 7, 9]
+
+
 def test_items_without_words_match_nothing():
     assert decontamination.Benchmark([(1, "..."), (2, "")], 5, 0.8).matches("a b c d e") == []
