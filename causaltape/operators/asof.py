@@ -27,6 +27,18 @@ def carry_last(df: DataFrame, keys: list[str], order: list[Column], value: str,
     return inside.join(carried, [*keys, bucket]).withColumn(out, F.coalesce("__in", "__carry")).drop("__in", "__carry")
 
 
+def carry_many(df: DataFrame, keys: list[str], order: list[Column], values: dict[str, Column], bucket: str, include_current: bool = True) -> DataFrame:
+    """carry_last for several values at once: adds a column per name, with one window, one aggregate of buckets and one
+    join for all of them. `bucket` must not fall along the order."""
+    here = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
+    before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    held = df.withColumns({f"__v_{n}": v for n, v in values.items()})
+    latest = held.groupBy(*keys, bucket).agg(*[F.max_by(f"__v_{n}", F.when(F.col(f"__v_{n}").isNotNull(), F.struct(*order))).alias(f"__l_{n}") for n in values])
+    carried = latest.select(*keys, bucket, *[F.last(f"__l_{n}", ignorenulls=True).over(before).alias(f"__c_{n}") for n in values])
+    inside = held.withColumns({f"__i_{n}": F.last(f"__v_{n}", ignorenulls=True).over(here) for n in values})
+    return inside.join(carried, [*keys, bucket]).select(*df.columns, *[F.coalesce(f"__i_{n}", f"__c_{n}").alias(n) for n in values])
+
+
 def carry_sum(df: DataFrame, keys: list[str], order: list[Column], value: Column, bucket: str, out: str) -> DataFrame:
     """Adds `out`: the running sum of `value` up to and with each row of its key, in the order given."""
     here = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -62,6 +74,23 @@ def asof_latest(anchors: DataFrame, contexts: DataFrame, by: list[str], anchor_t
     return got.select("__anchor.*", *[F.col(f"__found.{f}").alias(f"ctx_{f}") for f in fields])
 
 
+def asof_families(anchors: DataFrame, contexts: DataFrame, by: list[str], family: str, families: list[str], anchor_time: str, context_time: str, anchor_seq: str = "source_sequence", context_seq: str = "source_sequence", fields: list[str] | None = None, strict: bool = True, bucket_ns: int = DAY_NS) -> DataFrame:
+    """Each anchor with the latest context of every declared family of its key: a row per anchor and family, with
+    `family`, ctx_<field> and `known`; a family without any context by then has `known` false and null fields.
+
+    All families travel together: anchors and contexts are exchanged once by key and time bucket, however many families
+    are declared. Strict: a context's (time, sequence) must be below the anchor's; else one at the anchor's own time
+    counts. Contexts of other families, and those without a time, are never used. Every anchor stays, repeats too."""
+    fields = fields or [c for c in contexts.columns if c not in (*by, family)]
+    ctx = contexts.where(F.col(context_time).isNotNull() & F.col(family).isin(families)).select(*by, F.col(context_time).alias("__t"), F.col(context_seq).alias("__s"), F.lit(1 if strict else 0).alias("__kind"), F.col(family).alias("__f"), F.struct(*fields).alias("__ctx"))
+    anc = anchors.select(*by, F.col(anchor_time).alias("__t"), F.col(anchor_seq).alias("__s"), F.lit(0 if strict else 1).alias("__kind"), F.struct(*anchors.columns).alias("__anchor"))
+    both = ctx.unionByName(anc, allowMissingColumns=True).withColumn("__b", floor_div(F.col("__t"), bucket_ns)).repartition(*by, "__b")
+    order = [F.col("__t"), F.col("__s"), F.col("__kind")] if strict else [F.col("__t"), F.col("__kind"), F.col("__s")]
+    got = carry_many(both, by, order, {f"__f{i}": F.when(F.col("__f") == name, F.col("__ctx")) for i, name in enumerate(families)}, "__b").where("__anchor is not null")
+    each = got.select("__anchor", F.explode(F.array(*[F.struct(F.lit(name).alias(family), F.col(f"__f{i}").alias("ctx")) for i, name in enumerate(families)])).alias("__one"))
+    return each.select("__anchor.*", f"__one.{family}", *[F.col(f"__one.ctx.{f}").alias(f"ctx_{f}") for f in fields], F.col("__one.ctx").isNotNull().alias("known"))
+
+
 def lookback(anchors: DataFrame, contexts: DataFrame, by: list[str], anchor_time: str, context_time: str, window_ns: int) -> DataFrame:
     """Pairs of anchors and the contexts of their key available in [t - window, t], both ends included.
 
