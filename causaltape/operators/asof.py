@@ -14,20 +14,21 @@ from causaltape.functions.clock import floor_div
 DAY_NS = 86_400_000_000_000
 
 
-def carry_last(df: DataFrame, keys: list[str], order: list[Column], value: str, bucket: str, out: str, include_current: bool = True) -> DataFrame:
+def carry_last(df: DataFrame, keys: list[str], order: list[Column], value: str, bucket: str, out: str, include_current: bool = True, how: str = "inner") -> DataFrame:
     """Adds `out`: the last non-null `value` at or before (or only before) each row of its key, in the order given.
 
     `bucket` must not fall along the order. Rows of a key with no such value get null. A bucket's last value is an
-    aggregate with a partial step before its exchange; only rows themselves meet in the window."""
+    aggregate with a partial step before its exchange; only rows themselves meet in the window. Rows with a null key or
+    bucket are left out, or with how="left" stay and inherit nothing from other buckets."""
     here = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
     latest = df.groupBy(*keys, bucket).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("__last"))
     before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     carried = latest.select(*keys, bucket, F.last("__last", ignorenulls=True).over(before).alias("__carry"))
     inside = df.withColumn("__in", F.last(value, ignorenulls=True).over(here))
-    return inside.join(carried, [*keys, bucket]).withColumn(out, F.coalesce("__in", "__carry")).drop("__in", "__carry")
+    return inside.join(carried, [*keys, bucket], how).withColumn(out, F.coalesce("__in", "__carry")).drop("__in", "__carry")
 
 
-def carry_many(df: DataFrame, keys: list[str], order: list[Column], values: dict[str, Column], bucket: str, include_current: bool = True) -> DataFrame:
+def carry_many(df: DataFrame, keys: list[str], order: list[Column], values: dict[str, Column], bucket: str, include_current: bool = True, how: str = "inner") -> DataFrame:
     """carry_last for several values at once: adds a column per name, with one window, one aggregate of buckets and one
     join for all of them. `bucket` must not fall along the order."""
     here = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
@@ -36,7 +37,7 @@ def carry_many(df: DataFrame, keys: list[str], order: list[Column], values: dict
     latest = held.groupBy(*keys, bucket).agg(*[F.max_by(f"__v_{n}", F.when(F.col(f"__v_{n}").isNotNull(), F.struct(*order))).alias(f"__l_{n}") for n in values])
     carried = latest.select(*keys, bucket, *[F.last(f"__l_{n}", ignorenulls=True).over(before).alias(f"__c_{n}") for n in values])
     inside = held.withColumns({f"__i_{n}": F.last(f"__v_{n}", ignorenulls=True).over(here) for n in values})
-    return inside.join(carried, [*keys, bucket]).select(*df.columns, *[F.coalesce(f"__i_{n}", f"__c_{n}").alias(n) for n in values])
+    return inside.join(carried, [*keys, bucket], how).select(*df.columns, *[F.coalesce(f"__i_{n}", f"__c_{n}").alias(n) for n in values])
 
 
 def carry_sum(df: DataFrame, keys: list[str], order: list[Column], value: Column, bucket: str, out: str) -> DataFrame:
@@ -59,18 +60,18 @@ def asof_latest(anchors: DataFrame, contexts: DataFrame, by: list[str], anchor_t
 
     Inclusive: a context available at the anchor's own time counts, and of equal times the last sequence wins.
     by_sequence: at equal time only contexts of at most the anchor's sequence count. Strict: the context's (time,
-    sequence) must be below the anchor's. Contexts without a time are never used.
-    Every anchor stays. Anchors and contexts are exchanged once, by key and time bucket.
+    sequence) must be below the anchor's. Contexts without a time or with a null key are never used.
+    Every anchor stays, one with a null time or key without context. Anchors and contexts are exchanged once, by key and time bucket.
     """
     fields = fields or [c for c in contexts.columns if c not in by]
     names = anchors.columns
-    ctx = contexts.where(F.col(context_time).isNotNull()).select(*by, F.col(context_time).alias("__t"), F.col(context_seq).alias("__s"), F.lit(1 if strict else 0).alias("__kind"), F.struct(*fields).alias("__ctx"))
+    ctx = contexts.dropna(subset=[context_time, *by]).select(*by, F.col(context_time).alias("__t"), F.col(context_seq).alias("__s"), F.lit(1 if strict else 0).alias("__kind"), F.struct(*fields).alias("__ctx"))
     anc = anchors.select(*by, F.col(anchor_time).alias("__t"), F.col(anchor_seq).alias("__s"), F.lit(0 if strict else 1).alias("__kind"), F.struct(*names).alias("__anchor"))
     # dealt anew: a union may claim to be dealt by key as its two sides are, though their partitions do not match, and
     # a key and time bucket would then stand in two tasks
     both = ctx.unionByName(anc, allowMissingColumns=True).withColumn("__b", floor_div(F.col("__t"), bucket_ns)).repartition(*by, "__b")
     order = [F.col("__t"), F.col("__s"), F.col("__kind")] if strict or by_sequence else [F.col("__t"), F.col("__kind"), F.col("__s")]
-    got = carry_last(both, by, order, "__ctx", "__b", "__found").where("__anchor is not null")
+    got = carry_last(both, by, order, "__ctx", "__b", "__found", how="left").where("__anchor is not null")
     return got.select("__anchor.*", *[F.col(f"__found.{f}").alias(f"ctx_{f}") for f in fields])
 
 
@@ -80,13 +81,13 @@ def asof_families(anchors: DataFrame, contexts: DataFrame, by: list[str], family
 
     All families travel together: anchors and contexts are exchanged once by key and time bucket, however many families
     are declared. Strict: a context's (time, sequence) must be below the anchor's; else one at the anchor's own time
-    counts. Contexts of other families, and those without a time, are never used. Every anchor stays, repeats too."""
+    counts. Contexts of other families, and those without a time or key, are never used. Every anchor stays, repeats too; one without a time or key knows nothing."""
     fields = fields or [c for c in contexts.columns if c not in (*by, family)]
-    ctx = contexts.where(F.col(context_time).isNotNull() & F.col(family).isin(families)).select(*by, F.col(context_time).alias("__t"), F.col(context_seq).alias("__s"), F.lit(1 if strict else 0).alias("__kind"), F.col(family).alias("__f"), F.struct(*fields).alias("__ctx"))
+    ctx = contexts.dropna(subset=[context_time, *by]).where(F.col(family).isin(families)).select(*by, F.col(context_time).alias("__t"), F.col(context_seq).alias("__s"), F.lit(1 if strict else 0).alias("__kind"), F.col(family).alias("__f"), F.struct(*fields).alias("__ctx"))
     anc = anchors.select(*by, F.col(anchor_time).alias("__t"), F.col(anchor_seq).alias("__s"), F.lit(0 if strict else 1).alias("__kind"), F.struct(*anchors.columns).alias("__anchor"))
     both = ctx.unionByName(anc, allowMissingColumns=True).withColumn("__b", floor_div(F.col("__t"), bucket_ns)).repartition(*by, "__b")
     order = [F.col("__t"), F.col("__s"), F.col("__kind")] if strict else [F.col("__t"), F.col("__kind"), F.col("__s")]
-    got = carry_many(both, by, order, {f"__f{i}": F.when(F.col("__f") == name, F.col("__ctx")) for i, name in enumerate(families)}, "__b").where("__anchor is not null")
+    got = carry_many(both, by, order, {f"__f{i}": F.when(F.col("__f") == name, F.col("__ctx")) for i, name in enumerate(families)}, "__b", how="left").where("__anchor is not null")
     each = got.select("__anchor", F.explode(F.array(*[F.struct(F.lit(name).alias(family), F.col(f"__f{i}").alias("ctx")) for i, name in enumerate(families)])).alias("__one"))
     return each.select("__anchor.*", f"__one.{family}", *[F.col(f"__one.ctx.{f}").alias(f"ctx_{f}") for f in fields], F.col("__one.ctx").isNotNull().alias("known"))
 

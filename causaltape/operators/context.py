@@ -129,6 +129,48 @@ def nesting(inner: DataFrame, outer: DataFrame, by: list[str]) -> DataFrame:
     return inner.join(found, [*by, "zone_id"], "left").withColumn("relation", F.when(F.col("__in"), "NESTED").when(F.col("__in").isNotNull(), "OVERLAP").otherwise("INDEPENDENT")).drop("__in")
 
 
+def scale_agreement(events: DataFrame, by: list[str], scale: str, scales: list[str], time: str, side: str, window_ns: int, horizon_ns: int) -> DataFrame:
+    """Events of several scales (declared from fine to coarse) and two sides (1, -1) with: `since_opposing_ns`, time since
+    the last event of the other side at the same scale; `vs_coarser` and `vs_finer`, whether the nearest event of the next
+    scale within the window has the same time (COINCIDES), came before (FOLLOWS, also if as near as a later one) or comes after
+    (PRECEDES), else NONE; and `contradicted`, whether the next coarser scale has an event of the other side within the
+    horizon, its own time included.
+
+    Times are first reduced to one row per key and time; both directions are then carried over day buckets for all
+    scales and sides at once. Events of other scales or sides, or without a time or key, are left out; repeats stay."""
+    from causaltape.functions.clock import floor_div
+    from causaltape.operators.asof import DAY_NS, carry_many
+
+    known = events.dropna(subset=[time, *by]).where(F.col(scale).isin(scales) & F.col(side).isin(1, -1))
+    cells = {f"{i}_{n}": (F.col(scale) == name) & (F.col(side) == s) for i, name in enumerate(scales) for n, s in (("u", 1), ("d", -1))}
+    rows = known.groupBy(*by, F.col(time).alias("__t")).agg(*[F.max(F.when(test, F.col(time))).alias(f"__h{c}") for c, test in cells.items()])
+    rows = rows.withColumn("__day", floor_div(F.col("__t"), DAY_NS)).withColumn("__nday", -F.col("__day"))
+    rows = carry_many(rows, by, [F.col("__t")], {f"__p{c}": F.col(f"__h{c}") for c in cells}, "__day")
+    rows = carry_many(rows, by, [-F.col("__t")], {f"__n{c}": F.col(f"__h{c}") for c in cells}, "__nday")
+    full = known.withColumn("__t", F.col(time)).join(rows.drop("__day", "__nday"), [*by, "__t"])
+
+    def of(shift: int, pick) -> Column:
+        """`pick` of the scale that is `shift` steps coarser than the row's own."""
+        out = F.lit(None).cast("long")
+        for i, name in enumerate(scales):
+            if 0 <= i + shift < len(scales):
+                out = F.when(F.col(scale) == name, pick(i + shift)).otherwise(out)
+        return out
+
+    other = lambda way: lambda i: F.when(F.col(side) == 1, F.col(f"__{way}{i}_d")).otherwise(F.col(f"__{way}{i}_u"))
+    t = F.col(time)
+
+    def relation(shift: int) -> Column:
+        back = t - of(shift, lambda i: F.greatest(f"__p{i}_u", f"__p{i}_d"))
+        ahead = of(shift, lambda i: F.least(f"__n{i}_u", f"__n{i}_d")) - t
+        near = F.least(back, ahead)
+        return F.when(near.isNull() | (near > window_ns), "NONE").when(near == 0, "COINCIDES").when(back == near, "FOLLOWS").otherwise("PRECEDES")
+
+    against = of(1, other("n"))
+    marked = {"since_opposing_ns": t - of(0, other("p")), "vs_coarser": relation(1), "vs_finer": relation(-1), "contradicted": F.coalesce(against - t <= horizon_ns, F.lit(False))}
+    return full.select(*events.columns, *[v.alias(n) for n, v in marked.items()])
+
+
 def paired_firings(firings: DataFrame, by: list[str], time: str, side: str, order: str, window_ns: int) -> DataFrame:
     """Firings of two sides: TOGETHER if the other side fires at the same time, SEQUENTIAL if within the window, else
     ISOLATED. Neighbours of the other side come from one window per key and day, carried over its borders."""

@@ -116,3 +116,37 @@ def agreement(live: DataFrame, emitted: DataFrame, keys: list[str]) -> DataFrame
     a, b = F.col("live_ms"), F.col("emitted_ms")
     kind = F.when(a.isNull() & b.isNull(), "NULL_AGREEMENT").when(a.isNull(), "MISSING").when(b.isNull(), "SPURIOUS").when(a == b, "MATCHED").otherwise("VALUE_MISMATCH")
     return both.withColumn("class", kind).withColumn("lag_ms", a - b)
+
+
+def agreement_classes(live: DataFrame, emitted: DataFrame, tracks: DataFrame, keys: list[str], track: list[str]) -> DataFrame:
+    """Agreement of live anchors (keys, live_ms, absorbed) with emitted ones (keys, emitted_ms), given tracks (columns
+    `track` of the keys, left_truncated, leaf_first_ms): rows (keys, live_ms, emitted_ms, class, lag_ms).
+
+    What was entered before the leaf began can't be seen live: an absorbed anchor, or a left-truncated track's emitted time
+    before the leaf, is EXCLUDED_LEFT_TRUNCATED; an absorbed anchor emitted at the leaf's very first time is
+    BOUNDARY_AMBIGUOUS, and later than that VALUE_MISMATCH. Otherwise MATCHED, VALUE_MISMATCH, MISSING (emitted alone),
+    SPURIOUS (live alone), NULL_AGREEMENT (both rows without a time). Keys are unique on each side and not null; a key
+    without a track counts as untruncated."""
+    both = live.join(emitted, keys, "full").join(tracks.select(*track, "left_truncated", "leaf_first_ms"), track, "left")
+    a, b, first = F.col("live_ms"), F.col("emitted_ms"), F.col("leaf_first_ms")
+    hidden = F.coalesce(F.col("absorbed"), F.lit(False))
+    kind = F.when(hidden & b.isNotNull() & (b == first), "BOUNDARY_AMBIGUOUS").when(hidden & (b.isNull() | (b < first)), "EXCLUDED_LEFT_TRUNCATED").when(hidden, "VALUE_MISMATCH")
+    kind = kind.when(F.col("left_truncated") & (b < first), "EXCLUDED_LEFT_TRUNCATED").when(a.isNull() & b.isNull(), "NULL_AGREEMENT")
+    kind = kind.when(a.isNull(), "MISSING").when(b.isNull(), "SPURIOUS").when(a == b, "MATCHED").otherwise("VALUE_MISMATCH")
+    return both.select(*keys, "live_ms", "emitted_ms", kind.alias("class"), (a - b).alias("lag_ms"))
+
+
+def terminations(rows: DataFrame, keys: list[str], extra: list[str] | None = None, state: str = "state") -> DataFrame:
+    """Per episode: the state (and `extra` columns) of its first row, its last state, and why it ended: WENT_IDLE,
+    NEW_EPISODE (another one follows without idling) or RIGHT_CENSORED (the tape ends in it)."""
+    first = F.min_by(F.struct(F.col(state).alias("entry_state"), *(extra or [])), "ordinal").alias("__f")
+    inside = rows.where("episode is not null").groupBy(*keys, "episode").agg(first, F.max_by(state, "ordinal").alias("last_state"), F.max("ordinal").alias("__n"))
+    closing = rows.where((F.col(f"prev_{state}") != "IDLE") & ((F.col(state) == "IDLE") | F.col("starts"))).select(*keys, (F.col("ordinal") - 1).alias("__n"), F.when(F.col(state) == "IDLE", "WENT_IDLE").otherwise("NEW_EPISODE").alias("__why"))
+    joined = inside.join(closing, [*keys, "__n"], "left")
+    return joined.select(*keys, "episode", "__f.*", "last_state", F.coalesce("__why", F.lit("RIGHT_CENSORED")).alias("end_reason"))
+
+
+def transition_lists(runs: DataFrame, keys: list[str], state: str = "state") -> DataFrame:
+    """Per episode its states in order, runs collapsed, as `states`, and the number of changes. A row holds one episode."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("run", F.col(state).alias("s")))), lambda r: r["s"])
+    return runs.groupBy(*keys, "episode").agg(listed.alias("states")).withColumn("changes", F.size("states") - 1)

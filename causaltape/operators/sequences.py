@@ -32,11 +32,11 @@ def event_patterns(anchors: DataFrame, events: DataFrame, by: list[str], anchor_
     of each label, which is worked out once for the tape. So anchors are never joined with the events of their horizon: rows
     are anchors times frequent patterns. Patterns at fewer than `least` anchors are not grown, as no longer one can be more
     frequent. Each round is written to the shared folder; making this DataFrame runs jobs. `labels` is a declared list;
-    other labels, null times and null labels are left out. Events equal in key, time, sequence and label count once.
+    other labels and null times, labels or keys are left out. Events equal in key, time, sequence and label count once.
     Anchors need distinct ids. Empty tables give no patterns."""
     place = F.coalesce(*[F.when(F.col(label) == name, F.lit(i)) for i, name in enumerate(labels)])
-    tape = events.where(F.col(event_time).isNotNull()).select(*by, F.col(event_time).alias("__t"), F.lit(0).alias("__kind"), F.col(event_seq).alias("__s"), place.alias("__l")).where("__l is not null").dropDuplicates()
-    marks = anchors.where(F.col(anchor_time).isNotNull()).select(*by, F.col(anchor_time).alias("__t"), F.lit(1).alias("__kind"), F.lit(0).cast("long").alias("__s"), F.lit(0).alias("__l"), F.struct(F.col(anchor_id).alias("id"), F.col(month).alias("month")).alias("__anchor"))
+    tape = events.dropna(subset=[event_time, *by]).select(*by, F.col(event_time).alias("__t"), F.lit(0).alias("__kind"), F.col(event_seq).alias("__s"), place.alias("__l")).where("__l is not null").dropDuplicates()
+    marks = anchors.dropna(subset=[anchor_time, *by]).select(*by, F.col(anchor_time).alias("__t"), F.lit(1).alias("__kind"), F.lit(0).cast("long").alias("__s"), F.lit(0).alias("__l"), F.struct(F.col(anchor_id).alias("id"), F.col(month).alias("month")).alias("__anchor"))
     known = cut(successors(tape.unionByName(marks, allowMissingColumns=True), by, labels), "successors")
     links = known.where("__kind = 0").select(*by, "__t", "__s", "__l", "nexts")
     front = known.where("__kind = 1").select(*by, "__anchor", F.col("__t").alias("__start"), F.lit("").alias("sequence"), F.explode("nexts").alias("__n"))

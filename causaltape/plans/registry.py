@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causaltape.plans import catalogue, gates, market, reports, statistics, streams
+from causaltape.plans import catalogue, conditions, gates, market, reports, statistics, streams
 
-MODULES = (market, statistics, reports, gates, catalogue, streams)
+MODULES = (market, statistics, reports, gates, catalogue, conditions, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

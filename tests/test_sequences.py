@@ -16,17 +16,20 @@ def some_events(rng, n):
 def test_families_equal_a_plain_loop(spark):
     rng = random.Random(3)
     rows = some_events(rng, 60)
-    anchors = [(rng.choice("xyw"), rng.randint(-5, 320), rng.randint(0, 60), i) for i in range(40)]
+    anchors = [(rng.choice("xyw"), rng.randint(-5, 320), rng.randint(0, 60), i) for i in range(38)] + [("x", None, 5, 38), (None, 90, 5, 39)]
+    rows.append((None, 80, 99, "a", 1.0))
     a, c = spark.createDataFrame(anchors, "k string, at long, aseq long, id long"), spark.createDataFrame(rows, EVENTS)
     for strict in (True, False):
         got = asof.asof_families(a, c, ["k"], "l", ["a", "b", "q"], "at", "t", "aseq", "s", ["v", "t"], strict, bucket_ns=50)
         want = []
         for k, at, aseq, i in anchors:
             for family in "abq":
-                near = [(t, s, v) for kk, t, s, f, v in rows if kk == k and f == family and t is not None and ((t, s) < (at, aseq) if strict else t <= at)]
+                near = [(t, s, v) for kk, t, s, f, v in rows if at is not None and kk == k is not None and f == family and t is not None and ((t, s) < (at, aseq) if strict else t <= at)]
                 best = max(near, default=(None, None, None))
                 want.append((i, family, best[2], best[0], bool(near)))
         assert sorted(map(tuple, got.select("id", "l", "ctx_v", "ctx_t", "known").collect()), key=repr) == sorted(want, key=repr)
+        latest = asof.asof_latest(a, c.where("l = 'a'"), ["k"], "at", "t", "aseq", "s", ["v"], strict, bucket_ns=50).select("id", "ctx_v")
+        assert sorted(map(tuple, latest.collect()), key=repr) == sorted(((i, v) for i, f, v, *_ in want if f == "a"), key=repr)
         assert asof.asof_families(a, c.where("false"), ["k"], "l", ["a"], "at", "t", "aseq", "s", ["v"], strict).where("not known").count() == 40
         assert asof.asof_families(a.where("false"), c, ["k"], "l", ["a"], "at", "t", "aseq", "s", ["v"], strict).count() == 0
 
