@@ -10,7 +10,8 @@ from causaltape.operators import asof, context, lifecycle, paths, sequences, sta
 from causaltape.plans import fixtures as fx
 from causaltape.plans import market
 from causaltape.plans.fixtures import sql
-from causaltape.sources.lake import cut
+from causaltape.sources import footers, ledger
+from causaltape.sources.lake import cut, shared
 
 QUERIES, SQL = {}, {}
 #: Middle of the tape, 2024-01-16; the tape spans one month, so spans of ten days stand for months.
@@ -194,3 +195,32 @@ def x17_scale_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars that moved, as breaks of three scales, against those of the next coarser and the next finer one."""
     e = fx.bars(spark, sf_dir).where("close <> open").select("instrument", "scale", (F.col("bar_close_ts") * 1000000).alias("t"), F.when(F.col("close") > F.col("open"), 1).otherwise(-1).alias("side"))
     return context.scale_agreement(cut(e, "breaks"), ["instrument"], "scale", list(fx.BAR_FRAMES), "t", "side", 4 * fx.HOUR, fx.DAY)
+
+
+# Parts and records
+
+
+@query("SELECT 'orders.parquet' AS part, count(*) AS rows, true AS has_groups, min(o_orderkey) AS min_o_orderkey, max(o_orderkey) AS max_o_orderkey, true AS known_o_orderkey, min(o_custkey) AS min_o_custkey, max(o_custkey) AS max_o_custkey, true AS known_o_custkey FROM orders")
+def s5_footer_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the footer alone, equal to the scan. SQL can't tell the number of row groups, so the query says whether there are any."""
+    got = footers.footer_inventory(spark, f"{sf_dir}/orders.parquet", ["o_orderkey", "o_custkey"])
+    return got.withColumn("has_groups", F.col("row_groups") > 0).drop("path", "bytes", "row_groups")
+
+
+@query("""SELECT c_custkey % 4 + 1 AS version, count(*) FILTER (c_acctbal >= 0) AS appended, count(*) FILTER (c_acctbal < 0) AS below_zero, CAST(0 AS BIGINT) AS repeated FROM customer GROUP BY ALL
+  UNION ALL SELECT 5, 0, count(*) FILTER (c_acctbal < 0), count(*) FILTER (c_acctbal >= 0) FROM customer WHERE c_custkey % 4 = 1""")
+def k4_ledger_appends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers appended in four batches, one of them tried twice, and a fifth that repeats the second: what each version took in
+    and what it refused."""
+    c = fx.table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    path, refused = shared(spark, "ledger"), None
+    for name, part in (("b0", 0), ("b1", 1), ("b1", 1), ("b2", 2), ("b3", 3), ("again", 1)):
+        lost = ledger.append(spark, path, c.where(F.col("c_custkey") % 4 == part), "c_custkey", {"BELOW_ZERO": F.col("c_acctbal") >= 0}, name)
+        lost = lost.select(F.lit(name).alias("batch"), "rejects")
+        refused = lost if refused is None else refused.unionByName(lost)
+    # the second try of a batch refuses the same rows again
+    twice = F.when(F.col("batch") == "b1", 2).otherwise(1)
+    low = F.array_contains("rejects", "BELOW_ZERO")
+    per = refused.groupBy("batch").agg((F.count_if(low) / F.first(twice)).cast("long").alias("below_zero"), F.count_if(~low).alias("repeated"))
+    versions = spark.createDataFrame([(v["version"], v["batch"], v["rows"]) for v in ledger.history(spark, path)], "version long, batch string, appended long")
+    return versions.join(per, "batch", "left").fillna(0).select("version", "appended", "below_zero", "repeated")
