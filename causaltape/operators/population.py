@@ -96,3 +96,53 @@ def scorecard(evidence: DataFrame) -> DataFrame:
     verdict = F.when(F.col("evidence") == 0, "INCONCLUSIVE").when(F.col("all_ok"), "PASSED").otherwise("FAILED")
     whole = per.agg((F.count_if(F.col("evidence") == 1) == len(CHECKS)).alias("complete"))
     return per.select("kind", "evidence", verdict.alias("verdict")).join(F.broadcast(whole))
+
+
+def run_report(anchors: DataFrame, joined: DataFrame, gates: DataFrame, by: str, states: list[str], identity: str, anchor_time: str = "anchor_time", known_at: str = "known_at", available: str = "available_time", value: str = "value", context_value: str = "context_value", digits: int = 9) -> DataFrame:
+    """A population run as one tidy table (section, item, measure, number, verdict).
+
+    validation: anchors checked, those that break a rule, and the count per rule (`causal_violations`; a missing value breaks
+    none). phenotype: per group of `states` the anchors, values, mean, least, greatest and sample deviation. discovery:
+    the denominators and metrics of each requested context (`discover`) with its status. gate: whether a discovery passes
+    its declared gate, with the reason; a passing one is named as a candidate by its identity. scope: distinct identities, first and
+    last anchor time. status: REJECTED if any anchor breaks a rule, UNKNOWN without anchors, INCONCLUSIVE if no discovery
+    concludes, KNOWN if none was asked for, else PARTIAL.
+
+    anchors holds each anchor once, joined each anchor once per request (left-joined to its context). Sections are
+    aggregates of two inputs; only rows of the report are combined. Empty tables give validation, scope and status alone."""
+    none = F.lit(None).cast("string")
+
+    def tidy(df: DataFrame, section: str, item: Column, numbers: dict[str, Column], verdict: Column = none) -> DataFrame:
+        cells = F.array(*[F.struct(F.lit(n).alias("measure"), F.round(c.cast("double"), digits).alias("number")) for n, c in numbers.items()])
+        return df.select(F.lit(section).alias("section"), item.cast("string").alias("item"), F.inline(cells), verdict.alias("verdict")).select("section", "item", "measure", "number", "verdict")
+
+    times = [F.col(anchor_time), F.col(known_at), F.coalesce(F.col(value), F.lit(0.0)), F.col(identity).cast("string")]
+    checked = anchors.withColumn("__bad", causal_violations(*times))
+    rules = ("BAD_TIME", "NO_AVAILABILITY", "NOT_YET_KNOWN", "NOT_FINITE", "NO_IDENTITY")
+    valid = checked.agg(
+        F.count("*").alias("records"), F.count_if(F.size("__bad") > 0).alias("invalid"), *[F.count_if(F.array_contains("__bad", r)).alias(r) for r in rules],
+        F.count_distinct(identity).alias("identities"), F.min(anchor_time).alias("first_ns"), F.max(anchor_time).alias("last_ns"),
+    )
+    shapes = anchors.groupBy(*states).agg(F.count("*").alias("anchors"), F.count(value).alias("samples"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("greatest"), F.stddev_samp(value).alias("deviation"))
+    found = discover(joined, [by], anchor_time, available, value, context_value)
+    status = F.when(F.col("population") == 0, "UNKNOWN").when((F.col("observations") == 0) | F.col("pearson").isNull(), "INCONCLUSIVE").otherwise("PARTIAL")
+    found = found.withColumn("status", status)
+    gated = candidate_gate(found.withColumn("pearson", F.round("pearson", digits)), gates, [by], "pearson")
+    name = F.when(F.col("eligible"), F.concat(F.lit("candidate-"), F.substring(F.sha2(F.concat_ws("|", by, F.col("population").cast("string"), F.col("observations").cast("string")), 256), 1, 16)))
+    tally = found.agg(F.count("*").alias("asked"), F.count_if(F.col("status") == "PARTIAL").alias("concluded"))
+    whole = valid.join(tally)  # one row each
+    overall = F.when(F.col("invalid") > 0, "REJECTED").when(F.col("records") == 0, "UNKNOWN").when(F.col("asked") == 0, "KNOWN").when(F.col("concluded") == 0, "INCONCLUSIVE").otherwise("PARTIAL")
+    metrics = ["population", "present", "missing_context", "missing_anchor_value", "missing_context_value", "zero_excluded", "observations", "pearson", "concordance"]
+    parts = [
+        tidy(valid, "validation", none, {n: F.col(n) for n in ("records", "invalid", *rules)}),
+        tidy(shapes, "phenotype", F.concat_ws("|", *[F.col(c).cast("string") for c in states]), {n: F.col(n) for n in ("anchors", "samples", "mean", "least", "greatest", "deviation")}),
+        tidy(found, "discovery", F.col(by), {n: F.col(n) for n in metrics} | {"mean_lag_s": F.round(F.col("mean_lag_ns") / 1e9, 3)}, F.col("status")),
+        tidy(gated, "gate", F.col(by), {"eligible": F.col("eligible").cast("int")}, F.col("reason")),
+        tidy(gated.where("eligible"), "candidate", F.col(by), {"observations": F.col("observations")}, name),
+        tidy(valid, "scope", none, {n: F.col(n) for n in ("identities", "first_ns", "last_ns")}),
+        tidy(whole, "status", none, {"requests": F.col("asked"), "concluded": F.col("concluded")}, overall),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causaltape.functions.clock import floor_div
-from causaltape.operators import asof, context, lifecycle, paths, sequences, statistics
+from causaltape.operators import asof, context, lifecycle, paths, population, sequences, statistics
 from causaltape.plans import fixtures as fx
 from causaltape.plans import market
+from causaltape.plans import statistics as st
 from causaltape.plans.fixtures import sql
 from causaltape.sources import footers, ledger
 from causaltape.sources.lake import cut, shared
@@ -224,3 +225,34 @@ def k4_ledger_appends(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = refused.groupBy("batch").agg((F.count_if(low) / F.first(twice)).cast("long").alias("below_zero"), F.count_if(~low).alias("repeated"))
     versions = spark.createDataFrame([(v["version"], v["batch"], v["rows"]) for v in ledger.history(spark, path)], "version long, batch string, appended long")
     return versions.join(per, "batch", "left").fillna(0).select("version", "appended", "below_zero", "repeated")
+
+
+def _longs(section: str, item: str, verdict: str, measures: dict[str, str], source: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{section}' AS section, {item} AS item, '{m}' AS measure, round(CAST({c} AS DOUBLE), 9) AS number, {verdict} AS verdict FROM {source}" for m, c in measures.items())
+
+
+METRICS = {m: m for m in ("population", "present", "missing_context", "missing_anchor_value", "missing_context_value", "zero_excluded", "observations", "pearson", "concordance", "mean_lag_s")}
+RUN = f"""WITH {st.DISCOVERY}, a AS (SELECT instrument, k % 3 AS band, anchor_time, event_ts_ns, CASE WHEN k % 7 <> 0 THEN value - 50 END AS value FROM anchors),
+  v AS (SELECT count(*) AS records, 0 AS zero, count(DISTINCT instrument) AS identities, min(anchor_time) AS first_ns, max(anchor_time) AS last_ns FROM a),
+  shapes AS (SELECT concat_ws('|', instrument, band) AS item, count(*) AS anchors, count(value) AS samples, avg(value) AS mean, min(value) AS least, max(value) AS greatest, stddev_samp(value) AS deviation FROM a GROUP BY ALL),
+  f AS (SELECT detector, count(*) AS population, count(available_time) AS present, count(*) - count(available_time) AS missing_context, count(*) FILTER (available_time IS NOT NULL AND value IS NULL) AS missing_anchor_value,
+    count(*) FILTER (available_time IS NOT NULL AND value IS NOT NULL AND context_value IS NULL) AS missing_context_value, count(*) FILTER ({st.OK_PAIR} AND (value = 0 OR context_value = 0)) AS zero_excluded, count(*) FILTER ({st.OK_PAIR} AND value <> 0 AND context_value <> 0) AS observations,
+    nullif(corr(value, context_value) FILTER ({st.OK_PAIR}), 'nan'::DOUBLE) AS pearson, avg(CASE WHEN sign(value) = sign(context_value) THEN 1.0 ELSE 0 END) FILTER ({st.OK_PAIR} AND value <> 0 AND context_value <> 0) AS concordance, round(avg(anchor_time - available_time) / 1e9, 3) AS mean_lag_s FROM disc GROUP BY ALL),
+  s AS (SELECT *, CASE WHEN observations = 0 OR pearson IS NULL THEN 'INCONCLUSIVE' ELSE 'PARTIAL' END AS status FROM f),
+  g AS (SELECT s.*, coalesce(observations >= q.n AND abs(round(pearson, 9)) >= q.m, false) AS eligible, CASE WHEN q.n IS NULL THEN 'NO_PREDECLARED_GATE' WHEN observations >= q.n AND abs(round(pearson, 9)) >= q.m THEN 'PREDECLARED_GATE_PASSED' ELSE 'PREDECLARED_GATE_NOT_PASSED' END AS reason
+    FROM s LEFT JOIN (VALUES ('purchase', 10, 0.0), ('view', 10, 0.99)) q(detector, n, m) USING (detector)),
+  w AS (SELECT count(*) AS asked, count(*) FILTER (status = 'PARTIAL') AS concluded FROM s)
+  {_longs("validation", "NULL", "NULL", {"records": "records"} | {m: "zero" for m in ("invalid", "BAD_TIME", "NO_AVAILABILITY", "NOT_YET_KNOWN", "NOT_FINITE", "NO_IDENTITY")}, "v")}
+  UNION ALL {_longs("phenotype", "item", "NULL", {m: m for m in ("anchors", "samples", "mean", "least", "greatest", "deviation")}, "shapes")}
+  UNION ALL {_longs("discovery", "detector", "status", METRICS, "s")} UNION ALL {_longs("gate", "detector", "reason", {"eligible": "eligible::INT"}, "g")}
+  UNION ALL {_longs("candidate", "detector", "'candidate-' || substr(sha256(concat_ws('|', detector, population, observations)), 1, 16)", {"observations": "observations"}, "g WHERE eligible")}
+  UNION ALL {_longs("scope", "NULL", "NULL", {m: m for m in ("identities", "first_ns", "last_ns")}, "v")}
+  UNION ALL {_longs("status", "NULL", "CASE WHEN concluded = 0 THEN 'INCONCLUSIVE' ELSE 'PARTIAL' END", {"requests": "asked", "concluded": "concluded"}, "w")}"""
+
+
+@query(RUN, "anchors", "contexts")
+def p1_population_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole run as one report: validation, phenotypes, discoveries, gates, candidates, scope, status."""
+    a = fx.anchors(spark, sf_dir).select("instrument", (F.col("k") % 3).alias("band"), "anchor_time", F.col("anchor_time").alias("known_at"), F.when(F.col("k") % 7 != 0, F.col("value") - 50).alias("value"))
+    gates = spark.createDataFrame([("purchase", 10, 0.0), ("view", 10, 0.99)], "detector string, min_support long, min_abs_metric double")
+    return population.run_report(cut(a, "anchors"), cut(st.discovery(spark, sf_dir), "discovery"), gates, "detector", ["instrument", "band"], "instrument")
