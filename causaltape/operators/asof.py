@@ -18,7 +18,7 @@ def carry_last(df: DataFrame, keys: list[str], order: list[Column], value: str,
     """Adds `out`: the last non-null `value` at or before (or only before) each row of its key, in the order given.
 
     `bucket` must not fall along the order. Rows of a key with no such value get null. A bucket's last value is an
-    aggregate with a partial step before its exchange; only rows themselves meet in the window. Rows with a null key or
+    aggregate, with a partial step before its exchange unless `df` is already dealt by key and bucket. Rows with a null key or
     bucket are left out, or with how="left" stay and inherit nothing from other buckets."""
     here = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
     latest = df.groupBy(*keys, bucket).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("__last"))
@@ -61,7 +61,8 @@ def asof_latest(anchors: DataFrame, contexts: DataFrame, by: list[str], anchor_t
     Inclusive: a context available at the anchor's own time counts, and of equal times the last sequence wins.
     by_sequence: at equal time only contexts of at most the anchor's sequence count. Strict: the context's (time,
     sequence) must be below the anchor's. Contexts without a time or with a null key are never used.
-    Every anchor stays, one with a null time or key without context. Anchors and contexts are exchanged once, by key and time bucket.
+    Every anchor stays, one with a null time or key without context. Anchors and contexts are exchanged by key and time bucket twice: whole for the window, and without the
+    anchors' columns for what buckets hand on.
     """
     fields = fields or [c for c in contexts.columns if c not in by]
     names = anchors.columns
@@ -79,8 +80,8 @@ def asof_families(anchors: DataFrame, contexts: DataFrame, by: list[str], family
     """Each anchor with the latest context of every declared family of its key: a row per anchor and family, with
     `family`, ctx_<field> and `known`; a family without any context by then has `known` false and null fields.
 
-    All families travel together: anchors and contexts are exchanged once by key and time bucket, however many families
-    are declared. Strict: a context's (time, sequence) must be below the anchor's; else one at the anchor's own time
+    All families travel together. However many are declared, anchors and contexts are read and exchanged by key and time
+    bucket twice: whole for the window, and without the anchors' columns for what buckets hand on. Strict: a context's (time, sequence) must be below the anchor's; else one at the anchor's own time
     counts. Contexts of other families, and those without a time or key, are never used. Every anchor stays, repeats too; one without a time or key knows nothing."""
     fields = fields or [c for c in contexts.columns if c not in (*by, family)]
     ctx = contexts.dropna(subset=[context_time, *by]).where(F.col(family).isin(families)).select(*by, F.col(context_time).alias("__t"), F.col(context_seq).alias("__s"), F.lit(1 if strict else 0).alias("__kind"), F.col(family).alias("__f"), F.struct(*fields).alias("__ctx"))
