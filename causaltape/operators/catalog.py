@@ -46,11 +46,36 @@ def append_checked(existing: DataFrame, new: DataFrame, record_id: str, rules: d
     return joined.withColumn("rejects", F.filter(F.array(*bad), lambda b: b.isNotNull())).drop("__k", "__n")
 
 
-def version_delta(before: DataFrame, after: DataFrame, key: str, surfaces: list[str]) -> DataFrame:
-    """(key, surface, expected, actual) of each surface that two snapshots of a record show differently."""
-    long = lambda df, name: df.select(key, *[F.col(s).cast("string").alias(s) for s in surfaces]).unpivot(key, surfaces, "surface", name)
+#: Fixed value: the surface under which a change of instrument or dataset is reported.
+SCOPE = "instrument_or_dataset_identity"
+
+
+def version_delta(before: DataFrame, after: DataFrame, key: str, surfaces: list[str], scope: tuple[str, str] | None = None) -> DataFrame:
+    """(key, surface, expected, actual) of each surface that two snapshots of a record show differently.
+
+    `scope` names the columns of instrument and dataset: if either differs, both are one more surface, "instrument:dataset".
+    Null is a value that equals null; in a scope it is shown as nothing. Arrays are compared whole. A record that only one
+    snapshot has differs in every surface that is not null, and in its scope. Both tables hold a key once; empty ones
+    give the differences to nothing; other columns are ignored."""
+    def long(df: DataFrame, name: str) -> DataFrame:
+        cells = [F.struct(F.lit(s).alias("surface"), F.col(s).cast("string").alias(name), F.lit(None).cast("string").alias("__id")) for s in surfaces]
+        if scope:
+            both = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in scope]
+            cells.append(F.struct(F.lit(SCOPE).alias("surface"), F.concat_ws(":", *both).alias(name), F.to_json(F.array(*[F.col(c).cast("string") for c in scope])).alias("__id")))
+        return df.select(key, F.inline(F.array(*cells))).withColumnRenamed("__id", f"__{name}")
+
     both = long(before, "expected").join(long(after, "actual"), [key, "surface"], "full")
-    return both.where(~F.col("expected").eqNullSafe(F.col("actual")))
+    changed = ~F.col("expected").eqNullSafe(F.col("actual")) | ~F.col("__expected").eqNullSafe(F.col("__actual"))
+    return both.where(changed).select(key, "surface", "expected", "actual")
+
+
+def compatibility(before: DataFrame, after: DataFrame, key: str, surfaces: list[str], scope: tuple[str, str] | None = None) -> DataFrame:
+    """(key, verdict, changed) of every record of either snapshot: COMPATIBLE, or DELTA_REQUIRED with the surfaces that
+    `version_delta` finds, in order of name."""
+    found = version_delta(before, after, key, surfaces, scope).groupBy(key).agg(F.array_sort(F.collect_set("surface")).alias("changed"))
+    every = before.select(key).unionByName(after.select(key)).distinct()
+    got = every.join(found, key, "left")
+    return got.select(key, F.when(F.col("changed").isNull(), "COMPATIBLE").otherwise("DELTA_REQUIRED").alias("verdict"), F.coalesce("changed", F.array().cast("array<string>")).alias("changed"))
 
 
 def illegal_transitions(observed: DataFrame, allowed: DataFrame) -> DataFrame:

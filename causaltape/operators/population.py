@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causaltape.operators.statistics import concordance, pearson
@@ -38,25 +38,59 @@ def causal_violations(time: Column, available: Column, value: Column, identity:
     return F.filter(F.array(*[F.when(F.coalesce(bad, F.lit(False)), name) for bad, name in rules]), lambda r: r.isNotNull())
 
 
-def comparison_grid(anchors: DataFrame, contexts: DataFrame, operators: DataFrame, lineage: DataFrame, limit: int) -> DataFrame:
-    """All comparisons of anchors, contexts and operators with the reason a comparison is rejected, or null.
+def comparison_grid(anchors: DataFrame, contexts: DataFrame, operators: DataFrame, lineage: DataFrame, allowed_scales: list[str], limit: int) -> DataFrame:
+    """All comparisons (anchor, context, operator, anchor_scale, context_scale, direction, same_scale, reason).
 
     anchors (anchor, role, scales), contexts (context, context_role, context_scales, allowed), operators (operator,
-    roles), lineage (ancestor, descendant). The inputs are declarations, so the grid is small. Accepted comparisons
-    beyond `limit` in order are BOUNDED_OUT."""
-    grid = anchors.join(contexts, F.col("anchor") != F.col("context")).join(operators)
+    roles, directions), lineage (ancestor, descendant; its closure). A context that is rejected as a whole is one row with
+    its reason and no operator, the first that holds of: PERMISSION_DENIED, NO_ALLOWED_CONTEXT_SCALE (none of its scales is
+    in allowed_scales), LINEAGE_DEPENDENT (one is derived from the other, or both from a third), INCOMPATIBLE_OPERATOR (no
+    operator takes its role). Each other context gives a row per operator that takes its role, scale of the anchor,
+    allowed scale of the context and direction of the operator; of an anchor's rows those beyond `limit`, in this order,
+    are BOUNDED_OUT and the others have no reason. Repeated declarations count once. An anchor without scales gives no
+    comparison. Inputs are declarations, so the grid is as large as what was asked for; it is windowed by anchor."""
     related = lineage.select(F.col("ancestor").alias("__a"), F.col("descendant").alias("__d"))
-    pair = related.unionByName(related.select(F.col("__d").alias("__a"), F.col("__a").alias("__d"))).distinct().withColumn("__rel", F.lit(True))
-    grid = grid.join(pair, (F.col("anchor") == F.col("__a")) & (F.col("context") == F.col("__d")), "left")
-    reason = (
-        F.when(~F.col("allowed"), "PERMISSION_DENIED").when(F.size(F.array_intersect("scales", "context_scales")) == 0, "NO_ALLOWED_CONTEXT_SCALE")
-        .when(F.col("__rel"), "LINEAGE_DEPENDENT").when(~F.array_contains("roles", F.col("context_role")), "INCOMPATIBLE_OPERATOR")
+    common = related.select("__a", F.col("__d").alias("x")).join(related.select("__a", F.col("__d").alias("y")), "__a").where("x <> y")
+    pairs = related.select(F.col("__a").alias("x"), F.col("__d").alias("y"))
+    pairs = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))).unionByName(common.select("x", "y")).distinct().withColumn("__rel", F.lit(True))
+    scales = F.array_intersect("context_scales", F.array(*[F.lit(s) for s in allowed_scales]).cast("array<string>"))
+    asked = anchors.distinct().join(contexts.distinct(), F.col("anchor") != F.col("context")).withColumn("__scales", scales)
+    asked = asked.join(pairs, (F.col("anchor") == F.col("x")) & (F.col("context") == F.col("y")), "left").drop("x", "y")
+    judged = asked.withColumn("reason", F.when(~F.coalesce("allowed", F.lit(False)), "PERMISSION_DENIED").when(F.coalesce(F.size("__scales"), F.lit(0)) <= 0, "NO_ALLOWED_CONTEXT_SCALE").when(F.col("__rel"), "LINEAGE_DEPENDENT"))
+    takes = judged.where("reason is null").join(operators.distinct(), F.array_contains("roles", F.col("context_role")))
+    lost = judged.where("reason is null").join(operators, F.array_contains("roles", F.col("context_role")), "left_anti").withColumn("reason", F.lit("INCOMPATIBLE_OPERATOR"))
+    none = F.lit(None).cast("string")
+    whole = judged.where("reason is not null").unionByName(lost).select("anchor", "context", none.alias("operator"), none.alias("anchor_scale"), none.alias("context_scale"), none.alias("direction"), F.lit(None).cast("boolean").alias("same_scale"), "reason")
+    cells = takes.withColumn("anchor_scale", F.explode(F.array_distinct("scales"))).withColumn("context_scale", F.explode("__scales")).withColumn("direction", F.explode(F.array_distinct("directions")))
+    place = F.row_number().over(Window.partitionBy("anchor").orderBy("context", "operator", "anchor_scale", "context_scale", "direction"))
+    rows = cells.select("anchor", "context", "operator", "anchor_scale", "context_scale", "direction", (F.col("anchor_scale") == F.col("context_scale")).alias("same_scale"), F.when(place > limit, "BOUNDED_OUT").alias("reason"))
+    return rows.unionByName(whole)
+
+
+def legacy_run(joined: DataFrame, by: str, direction: str, scale: str, context_scale: str, anchor_time: str = "anchor_time", available: str = "available_time", value: str = "value", context_value: str = "context_value", digits: int = 9) -> DataFrame:
+    """One row per requested context: its domain, discovery, candidate and characterisation.
+
+    same_domain if the context stood at the native scale of some anchor it was known at, else cross_domain. observations
+    and pearson come from anchors with both values; status is UNKNOWN without anchors, INCONCLUSIVE without a correlation,
+    else PARTIAL, and only the last is a candidate. Its identity hashes the context, the direction and the counts. The
+    characterisation of a candidate, null for others: concordant pairs (the product is above 0, below 0 or not 0 as
+    `direction` is positive, negative or bidirectional), discordant ones (all others), least and greatest lag. One aggregate of
+    one input; nothing is gathered. Empty tables give an empty result; other columns are ignored."""
+    x, y, lag = F.col(value), F.col(context_value), F.col(anchor_time) - F.col(available)
+    pair = F.col(available).isNotNull() & x.isNotNull() & y.isNotNull()
+    product = F.signum(x) * F.signum(y)
+    fits = F.when(F.col(direction) == "positive", product > 0).when(F.col(direction) == "negative", product < 0).otherwise(product != 0)
+    got = joined.groupBy(by, direction).agg(
+        F.count("*").alias("population"), F.count_if(F.col(available).isNotNull() & (F.col(scale) == F.col(context_scale))).alias("__same"), F.count_if(pair).alias("observations"),
+        F.round(pearson(F.when(pair, x), F.when(pair, y)), digits).alias("pearson"), F.count_if(pair & fits).alias("c"), F.min(F.when(pair, lag)).alias("low"), F.max(F.when(pair, lag)).alias("high"),
+    )
+    chosen = F.col("pearson").isNotNull()
+    identity = F.concat(F.lit("candidate-"), F.substring(F.sha2(F.concat_ws("|", by, direction, F.col("population").cast("string"), F.col("observations").cast("string")), 256), 1, 16))
+    return got.select(
+        by, direction, F.when(F.col("__same") > 0, "same_domain").otherwise("cross_domain").alias("domain"), "population", "observations", "pearson",
+        F.when(F.col("population") == 0, "UNKNOWN").when(chosen, "PARTIAL").otherwise("INCONCLUSIVE").alias("status"), F.when(chosen, identity).alias("candidate"), F.when(chosen, F.col("c")).alias("concordant"),
+        F.when(chosen, F.col("observations") - F.col("c")).alias("discordant"), F.when(chosen, F.col("low")).alias("min_lag_ns"), F.when(chosen, F.col("high")).alias("max_lag_ns"),
     )
-    from pyspark.sql import Window
-
-    judged = grid.withColumn("reason", reason)
-    place = F.row_number().over(Window.partitionBy(F.col("reason").isNull()).orderBy("anchor", "context", "operator"))
-    return judged.withColumn("reason", F.when(F.col("reason").isNull() & (place > limit), "BOUNDED_OUT").otherwise(F.col("reason"))).select("anchor", "context", "operator", "reason")
 
 
 #: The names of the thirteen checks.

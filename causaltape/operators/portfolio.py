@@ -138,9 +138,12 @@ def constraints(metrics: DataFrame, limits: DataFrame) -> DataFrame:
 
 def constraint_metrics(streams: DataFrame, declared: DataFrame, scenarios: DataFrame, time: str = "day") -> DataFrame:
     """What the ten kinds of constraint are held against, as rows (kind, subject, value); the subject of correlation and
-    overlap is the pair, of all others null. Streams and declarations are worked out once."""
+    overlap is the pair, of all others null. Streams, declarations and pairs are worked out once, by jobs that run here."""
     streams, declared = cut(streams, "streams"), cut(declared, "declared")
-    paired = pairs(streams, time)
+    return held_against(streams, declared, cut(pairs(streams, time), "paired"), scenarios, time)
+
+
+def held_against(streams: DataFrame, declared: DataFrame, paired: DataFrame, scenarios: DataFrame, time: str) -> DataFrame:
     two, none = F.concat_ws("|", "a_strategy_id", "b_strategy_id"), F.lit(None).cast("string")
     row = lambda df, kind, value, subject=none: df.select(F.lit(kind).alias("kind"), subject.alias("subject"), F.col(value).cast("double").alias("value"))
     sums = declared.agg(F.sum("capital").alias("capital"), F.sum("risk_budget").alias("risk_budget"))
@@ -167,17 +170,31 @@ def equal_weight_score(streams: DataFrame, declared: DataFrame) -> DataFrame:
     return streams.agg(F.sum("ret").alias("total")).join(F.broadcast(declared.agg(F.count("*").alias("k")))).select((F.col("total") / F.col("k")).alias("score"), "k")
 
 
-def report(streams: DataFrame, declared: DataFrame, time: str = "day") -> DataFrame:
-    """All metrics as rows (metric, subject, value). Streams and declarations are worked out once."""
+def report(streams: DataFrame, declared: DataFrame, scenarios: DataFrame, limits: DataFrame, time: str = "day") -> DataFrame:
+    """The whole report as rows (metric, subject, value, status); status is null where a metric has none.
+
+    Pairs: correlation, conditional_correlation (subject a|b|regime), overlap. Strategies: capital_share, risk_share,
+    turnover, liquidity, drawdown. The portfolio: drawdown, turnover, liquidity and minimum_liquidity, herfindahl,
+    largest_share, capacity_total (null unless all declare one), capacity_bottleneck, equal_weight_score. Then stress by
+    scenario, constraint by its id with what it was held against, and constraints, the most severe of their states.
+    Streams, declarations, pairs and what constraints are held against are written once, by jobs that run here."""
     streams, declared = cut(streams, "streams"), cut(declared, "declared")
-    paired = pairs(streams, time)
+    paired = cut(pairs(streams, time), "paired")
     two = F.concat_ws("|", "a_strategy_id", "b_strategy_id")
-    row = lambda df, metric, subject, value: df.select(F.lit(metric).alias("metric"), subject.alias("subject"), F.col(value).cast("double").alias("value"))
-    whole, one = F.lit("portfolio"), F.col("strategy_id")
+    none = F.lit(None).cast("string")
+    row = lambda df, metric, subject, value, status=none: df.select(F.lit(metric).alias("metric"), subject.alias("subject"), F.col(value).cast("double").alias("value"), status.alias("status"))
+    whole, one, state = F.lit("portfolio"), F.col("strategy_id"), F.col("status")
+    capitals, capacities, turnovers = cut(shares(declared, "capital"), "shares"), capacity(declared), turnover(streams, time)
+    per, total = liquidity(streams)
+    judged = cut(constraints(cut(held_against(streams, declared, paired, scenarios, time), "held"), limits), "judged")
+    squares = capitals.agg(F.sum(F.col("fraction") * F.col("fraction")).alias("herfindahl"), F.max("fraction").alias("largest"))
     parts = [
-        row(correlations(paired), "correlation", two, "correlation"), row(overlaps(paired), "overlap", two, "jaccard"), row(shares(declared, "capital"), "capital_share", one, "fraction"),
-        row(shares(declared, "risk_budget"), "risk_share", one, "fraction"), row(turnover(streams, time), "turnover", one, "turnover"), row(liquidity(streams)[0], "liquidity", one, "mean_liquidity"),
+        row(correlations(paired), "correlation", two, "correlation", state), row(conditional_correlations(paired), "conditional_correlation", F.concat_ws("|", two, "regime"), "correlation"), row(overlaps(paired), "overlap", two, "jaccard"),
+        row(capitals, "capital_share", one, "fraction"), row(shares(declared, "risk_budget"), "risk_share", one, "fraction"), row(turnovers, "turnover", one, "turnover"), row(per, "liquidity", one, "mean_liquidity"),
         row(drawdown(streams, ["strategy_id"], time, "ret"), "drawdown", one, "max_drawdown"), row(portfolio_drawdown(streams, declared, time), "drawdown", whole, "max_drawdown"),
-        row(concentration(declared), "herfindahl", whole, "herfindahl"), row(capacity(declared), "capacity_bottleneck", whole, "bottleneck"), row(equal_weight_score(streams, declared), "equal_weight_score", whole, "score"),
+        row(turnovers.agg(F.sum("turnover").alias("t")), "turnover", whole, "t"), row(total, "liquidity", whole, "mean"), row(total, "minimum_liquidity", whole, "minimum"), row(squares, "herfindahl", whole, "herfindahl"),
+        row(squares, "largest_share", whole, "largest"), row(capacities, "capacity_total", whole, "total_capacity"), row(capacities, "capacity_bottleneck", whole, "bottleneck"),
+        row(equal_weight_score(streams, declared), "equal_weight_score", whole, "score"), row(stress(declared, scenarios), "stress", F.col("scenario_id"), "portfolio_return", state),
+        row(judged, "constraint", F.col("constraint_id"), "value", state), judged.agg(F.max("overall").alias("o")).select(F.lit("constraints").alias("metric"), whole.alias("subject"), F.lit(None).cast("double").alias("value"), F.col("o").alias("status")),
     ]
     return functools.reduce(DataFrame.unionByName, parts)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causaltape.functions.clock import floor_div
+from causaltape.functions.clock import floor_div, micros
 from causaltape.operators import asof, catalog, context, lifecycle, population, statistics
 from causaltape.plans import fixtures as fx
 from causaltape.plans import market
@@ -45,26 +45,41 @@ def p1_population_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return population.candidate_gate(metrics, gates, ["detector"], "pearson").withColumn("status", status).drop("min_support", "min_abs_metric")
 
 
-@query(f"""WITH {st.DISCOVERY} SELECT CASE WHEN detector = 'view' THEN 'same_domain' ELSE 'cross_domain' END AS domain, count(*) FILTER ({st.OK_PAIR}) AS observations, round(avg(value), 9) AS mean, count(*) FILTER (sign(value) = sign(context_value)) AS concordant FROM disc GROUP BY ALL""", "anchors", "contexts")
+ASKED = {"purchase": ("1h", "positive"), "signup": ("1d", "negative"), "view": ("4h", "bidirectional")}
+ASKED_SQL = ", ".join(f"('{name}', '{scale}', '{direction}')" for name, (scale, direction) in ASKED.items())
+
+
+@query(f"""WITH {st.DISCOVERY}, r AS (SELECT disc.*, q.direction, CASE WHEN anchor_id % 2 = 0 THEN '1h' ELSE '4h' END AS own, q.scale, CASE q.direction WHEN 'positive' THEN sign(value) * sign(context_value) > 0 WHEN 'negative' THEN sign(value) * sign(context_value) < 0 ELSE sign(value) * sign(context_value) <> 0 END AS fits
+    FROM disc JOIN (VALUES {ASKED_SQL}) q(detector, scale, direction) USING (detector)),
+  g AS (SELECT detector, direction, CASE WHEN bool_or(available_time IS NOT NULL AND own = scale) THEN 'same_domain' ELSE 'cross_domain' END AS domain, count(*) AS population, count(*) FILTER ({st.OK_PAIR}) AS observations, round(nullif(corr(value, context_value) FILTER ({st.OK_PAIR}), 'nan'::DOUBLE), 9) AS pearson,
+    count(*) FILTER ({st.OK_PAIR} AND fits) AS c, min(anchor_time - available_time) FILTER ({st.OK_PAIR}) AS low, max(anchor_time - available_time) FILTER ({st.OK_PAIR}) AS high FROM r GROUP BY detector, direction)
+  SELECT detector, direction, domain, population, observations, pearson, CASE WHEN pearson IS NULL THEN 'INCONCLUSIVE' ELSE 'PARTIAL' END AS status, CASE WHEN pearson IS NOT NULL THEN 'candidate-' || substr(sha256(concat_ws('|', detector, direction, population, observations)), 1, 16) END AS candidate,
+    CASE WHEN pearson IS NOT NULL THEN c END AS concordant, CASE WHEN pearson IS NOT NULL THEN observations - c END AS discordant, CASE WHEN pearson IS NOT NULL THEN low END AS min_lag_ns, CASE WHEN pearson IS NOT NULL THEN high END AS max_lag_ns FROM g""", "anchors", "contexts")
 def p3_legacy_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x, y = F.col("value"), F.col("context_value")
-    domain = F.when(F.col("detector") == "view", "same_domain").otherwise("cross_domain")
-    return st.discovery(spark, sf_dir).groupBy(domain.alias("domain")).agg(F.count_if(x.isNotNull() & y.isNotNull()).alias("observations"), F.round(F.avg(x), 9).alias("mean"), F.count_if(F.signum(x) == F.signum(y)).alias("concordant"))
+    """Discoveries of three requested contexts, split by domain, with candidates and their characterisation."""
+    asked = spark.createDataFrame([(name, *of) for name, of in ASKED.items()], "detector string, context_scale string, direction string")
+    joined = st.discovery(spark, sf_dir).join(asked, "detector").withColumn("scale", F.when(F.col("anchor_id") % 2 == 0, "1h").otherwise("4h"))
+    return population.legacy_run(joined, "detector", "direction", "scale", "context_scale")
 
 
 @query("""WITH d AS (SELECT event_type AS name, count(*) AS n FROM events GROUP BY 1), a AS (SELECT name AS anchor, CASE WHEN name = 'click' THEN ['1h', '4h'] ELSE ['1d'] END AS s FROM d),
-  c AS (SELECT name AS context, CASE WHEN name IN ('view', 'click') THEN 'state' ELSE 'event' END AS role, CASE WHEN name = 'error' THEN ['4h'] ELSE ['1h', '1d'] END AS s, name <> 'signup' AS allowed FROM d),
-  o(operator, roles) AS (VALUES ('pearson', ['state']), ('lag', ['state', 'event'])), r(x, y) AS (VALUES ('purchase', 'click'), ('click', 'purchase')),
-  j AS (SELECT anchor, context, operator, CASE WHEN NOT allowed THEN 'PERMISSION_DENIED' WHEN len(list_intersect(a.s, c.s)) = 0 THEN 'NO_ALLOWED_CONTEXT_SCALE' WHEN r.x IS NOT NULL THEN 'LINEAGE_DEPENDENT' WHEN NOT list_contains(roles, role) THEN 'INCOMPATIBLE_OPERATOR' END AS reason
-    FROM a JOIN c ON anchor <> context CROSS JOIN o LEFT JOIN r ON r.x = anchor AND r.y = context)
-  SELECT anchor, context, operator, CASE WHEN reason IS NULL AND row_number() OVER (PARTITION BY reason IS NULL ORDER BY anchor, context, operator) > 8 THEN 'BOUNDED_OUT' ELSE reason END AS reason FROM j""")
+  c AS (SELECT name AS context, CASE WHEN name IN ('view', 'click') THEN 'state' WHEN name = 'purchase' THEN 'zone' ELSE 'event' END AS role, CASE WHEN name = 'error' THEN ['4h'] ELSE ['1h', '1d'] END AS s, name <> 'signup' AS allowed FROM d),
+  o(operator, roles, dirs) AS (VALUES ('pearson', ['state'], ['positive', 'negative', 'bidirectional']), ('lag', ['state', 'event'], ['bidirectional'])),
+  l(x, y) AS (VALUES ('click', 'error'), ('root', 'view'), ('root', 'error')), r AS (SELECT x, y FROM l UNION SELECT y, x FROM l UNION SELECT p.y, q.y FROM l p JOIN l q ON p.x = q.x AND p.y <> q.y),
+  j AS (SELECT anchor, context, role, a.s AS sa, list_intersect(c.s, ['1h', '1d']) AS sc, CASE WHEN NOT allowed THEN 'PERMISSION_DENIED' WHEN len(list_intersect(c.s, ['1h', '1d'])) = 0 THEN 'NO_ALLOWED_CONTEXT_SCALE' WHEN (anchor, context) IN (SELECT (x, y) FROM r) THEN 'LINEAGE_DEPENDENT' WHEN role = 'zone' THEN 'INCOMPATIBLE_OPERATOR' END AS reason
+    FROM a JOIN c ON anchor <> context),
+  g AS (SELECT anchor, context, operator, anchor_scale, context_scale, unnest(dirs) AS direction FROM (SELECT anchor, context, operator, dirs, anchor_scale, unnest(sc) AS context_scale FROM (SELECT j.*, operator, dirs, unnest(sa) AS anchor_scale FROM j JOIN o ON list_contains(roles, role) WHERE reason IS NULL)))
+  SELECT *, anchor_scale = context_scale AS same_scale, CASE WHEN row_number() OVER (PARTITION BY anchor ORDER BY context, operator, anchor_scale, context_scale, direction) > 7 THEN 'BOUNDED_OUT' END AS reason FROM g
+  UNION ALL SELECT anchor, context, NULL, NULL, NULL, NULL, NULL, reason FROM j WHERE reason IS NOT NULL""")
 def p4_comparison_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "events").select(F.col("event_type").alias("name")).distinct()
     scales = lambda *s: F.array(*[F.lit(x) for x in s])
     a = names.select(F.col("name").alias("anchor"), F.when(F.col("name") == "click", scales("1h", "4h")).otherwise(scales("1d")).alias("scales"))
-    c = names.select(F.col("name").alias("context"), F.when(F.col("name").isin("view", "click"), "state").otherwise("event").alias("context_role"), F.when(F.col("name") == "error", scales("4h")).otherwise(scales("1h", "1d")).alias("context_scales"), (F.col("name") != "signup").alias("allowed"))
-    o = spark.createDataFrame([("pearson", ["state"]), ("lag", ["state", "event"])], "operator string, roles array<string>")
-    return population.comparison_grid(a, c, o, spark.createDataFrame([("purchase", "click")], "ancestor string, descendant string"), 8)
+    role = F.when(F.col("name").isin("view", "click"), "state").when(F.col("name") == "purchase", "zone").otherwise("event")
+    c = names.select(F.col("name").alias("context"), role.alias("context_role"), F.when(F.col("name") == "error", scales("4h")).otherwise(scales("1h", "1d")).alias("context_scales"), (F.col("name") != "signup").alias("allowed"))
+    o = spark.createDataFrame([("pearson", ["state"], ["positive", "negative", "bidirectional"]), ("lag", ["state", "event"], ["bidirectional"])], "operator string, roles array<string>, directions array<string>")
+    lineage = spark.createDataFrame([("click", "error"), ("root", "view"), ("root", "error")], "ancestor string, descendant string")
+    return population.comparison_grid(a, c, o, lineage, ["1h", "1d"], 7)
 
 
 EDGES = """edges AS (SELECT DISTINCT 's' || s_suppkey AS child, 'n' || s_nationkey AS parent FROM supplier UNION SELECT DISTINCT 'n' || n_nationkey, 'r' || n_regionkey FROM nation)"""
@@ -97,27 +112,36 @@ def u4_shared_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 KINDS_SQL = "[" + ", ".join(f"'{k}'" for k in population.CHECKS) + "]"
 EVIDENCE = f"""ev AS (SELECT {KINDS_SQL}[1 + user_id % 13] AS kind, * FROM events WHERE user_id % 13 <> 12 UNION ALL SELECT 'lookahead', * FROM events WHERE user_id % 13 = 12 AND event_type = 'error'),
-  per AS (SELECT kind, event_type = 'error' AS late, event_type, count(*) AS c FROM ev GROUP BY ALL),
-  facts AS (SELECT kind, late, CAST(sum(c) AS BIGINT) AS sample_size, count(DISTINCT event_type) AS sources, max(c) / sum(c) AS max_share FROM per GROUP BY kind, late),
-  rest AS (SELECT kind, event_type = 'error' AS late, round(avg(value), 9) AS metric, count(*) FILTER (value > 99.5) AS violations, count(DISTINCT CAST(ts AS DATE)) AS blocks, count(DISTINCT user_id) AS families FROM ev GROUP BY ALL)"""
+  per AS (SELECT kind, event_type = 'error' AS late, event_type, count(*) AS c, sum(value) / count(*) AS m, max(value) AS top FROM ev GROUP BY ALL),
+  facts AS (SELECT kind, late, CAST(sum(c) AS BIGINT) AS sample_size, count(DISTINCT event_type) AS sources, max(c) / sum(c) AS max_share, count(*) FILTER (m > 50) AS alternatives, count(*) FILTER (m <= 50) AS controls FROM per GROUP BY kind, late),
+  rest AS (SELECT kind, event_type = 'error' AS late, round(avg(value), 9) AS metric, count(*) FILTER (value > 99.5) AS violations, count(DISTINCT CAST(ts AS DATE)) AS blocks, count(DISTINCT user_id) AS families,
+    max(epoch_us(ts)) FILTER (event_type = 'view' AND value < 50) AS fit_end, min(epoch_us(ts)) FILTER (event_type = 'click' AND value > 50) AS evaluation_start, count(DISTINCT CASE WHEN value > 90 THEN event_type END) AS perturbations FROM ev GROUP BY ALL)"""
 
 
 @query(f"""WITH {EVIDENCE}, e AS (SELECT * FROM facts JOIN rest USING (kind, late) WHERE NOT late OR kind = 'lookahead'),
-  j AS (SELECT kind, CASE WHEN kind IN ('lookahead', 'population_conditioning', 'denominator_errors') THEN violations = 0 WHEN kind IN ('selection_bias', 'lineage_duplication', 'false_confluence') THEN sources >= 2 WHEN kind = 'bad_controls' THEN true
-    WHEN kind = 'temporal_dependence' THEN blocks >= 2 WHEN kind = 'multiple_testing' THEN families > 0 WHEN kind = 'normalization_leakage' THEN true WHEN kind = 'fragility' THEN violations = 0 AND sources >= 2 WHEN kind = 'sample_concentration' THEN max_share < 0.5 ELSE true END AS ok FROM e),
+  j AS (SELECT kind, coalesce(CASE WHEN kind IN ('lookahead', 'population_conditioning', 'denominator_errors') THEN violations = 0 WHEN kind IN ('selection_bias', 'lineage_duplication', 'false_confluence') THEN sources >= 2 WHEN kind = 'bad_controls' THEN controls > 0
+    WHEN kind = 'temporal_dependence' THEN blocks >= 2 WHEN kind = 'multiple_testing' THEN families > 0 WHEN kind = 'normalization_leakage' THEN fit_end <= evaluation_start WHEN kind = 'fragility' THEN violations = 0 AND perturbations >= 2 WHEN kind = 'sample_concentration' THEN max_share < 0.5 ELSE alternatives > 0 END, false) AS ok FROM e),
   k AS (SELECT unnest({KINDS_SQL}) AS kind), v AS (SELECT kind, count(ok) AS evidence, CASE WHEN count(ok) = 0 THEN 'INCONCLUSIVE' WHEN bool_and(ok) THEN 'PASSED' ELSE 'FAILED' END AS verdict FROM k LEFT JOIN j USING (kind) GROUP BY kind)
   SELECT kind, evidence, verdict, bool_and(evidence = 1) OVER () AS complete FROM v""")
 def p8_challenge_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Thirteen checks on evidence drawn from the events: one has none, one has two records."""
+    """Thirteen checks on evidence drawn from the events: one has none, one has two records. Controls are the event types with
+    a mean of 50 or less and alternatives those above it, fitted are views under 50 and evaluated clicks above it."""
     e = table(spark, sf_dir, "events")
     kind = F.element_at(F.array(*[F.lit(k) for k in population.CHECKS]), (1 + F.col("user_id") % 13).cast("int"))
     rows = e.where("user_id % 13 <> 12").select(kind.alias("kind"), "*").unionByName(e.where("user_id % 13 = 12 and event_type = 'error'").select(F.lit("lookahead").alias("kind"), "*"))
     rows = rows.withColumn("late", F.col("event_type") == "error").withColumn("day", F.to_date("ts"))
     facts = population.challenge_facts(rows, ["kind", "late"], "event_type", "day", "user_id").where("not late or kind = 'lookahead'")
-    metrics = rows.groupBy("kind", "late").agg(F.round(F.avg("value"), 9).alias("metric"), F.count_if(F.col("value") > 99.5).alias("violations"))
-    evidence = facts.join(metrics, ["kind", "late"]).select(
-        "kind", F.concat_ws(":", "kind", "late").alias("evidence_id"), "sample_size", "metric", "violations", F.col("sample_size").alias("denominator"), "source_ids", F.lit("control").alias("control_identity"), "block_count", "family_count",
-        F.lit(1).cast("long").alias("fit_end_ns"), F.lit(2).cast("long").alias("evaluation_start_ns"), F.size("source_ids").cast("long").alias("perturbation_count"), "max_sample_share", F.array(F.lit("chance")).alias("alternatives"),
+    kinds, v, us = F.col("event_type"), F.col("value"), micros(F.col("ts"))
+    means = rows.groupBy("kind", "late", "event_type").agg((F.sum(v) / F.count(v)).alias("m")).groupBy("kind", "late").agg(
+        F.array_sort(F.collect_list(F.when(F.col("m") > 50, kinds))).alias("alternatives"), F.coalesce(F.min(F.when(F.col("m") <= 50, kinds)), F.lit("")).alias("control_identity")
+    )
+    metrics = rows.groupBy("kind", "late").agg(
+        F.round(F.avg("value"), 9).alias("metric"), F.count_if(v > 99.5).alias("violations"), F.max(F.when((kinds == "view") & (v < 50), us)).alias("fit_end_ns"), F.min(F.when((kinds == "click") & (v > 50), us)).alias("evaluation_start_ns"),
+        F.count_distinct(F.when(v > 90, kinds)).alias("perturbation_count"),
+    )
+    evidence = facts.join(metrics, ["kind", "late"]).join(means, ["kind", "late"]).select(
+        "kind", F.concat_ws(":", "kind", "late").alias("evidence_id"), "sample_size", "metric", "violations", F.col("sample_size").alias("denominator"), "source_ids", "control_identity", "block_count", "family_count",
+        (F.col("fit_end_ns") * 1000).alias("fit_end_ns"), (F.col("evaluation_start_ns") * 1000).alias("evaluation_start_ns"), "perturbation_count", "max_sample_share", "alternatives",
     )
     return population.scorecard(evidence)
 
@@ -163,13 +187,27 @@ def k4_append_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.array_join("rejects", ",").alias("rejects"))
 
 
-@query("""SELECT c_custkey, surface, expected, actual FROM (SELECT c_custkey, 'c_mktsegment' AS surface, c_mktsegment AS expected, CASE WHEN c_custkey % 10 = 0 THEN 'NEW' ELSE c_mktsegment END AS actual FROM customer
-  UNION ALL SELECT c_custkey, 'c_nationkey', CASE WHEN c_custkey % 7 <> 0 THEN c_nationkey::VARCHAR END, c_nationkey::VARCHAR FROM customer) WHERE expected IS DISTINCT FROM actual""")
-def k5_version_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
+VERSIONS = """v AS (SELECT c_custkey, c_mktsegment AS segment_a, CASE WHEN c_custkey % 10 = 0 THEN 'NEW' ELSE c_mktsegment END AS segment_b, CASE WHEN c_custkey % 7 <> 0 THEN c_nationkey::VARCHAR END AS nation_a, c_nationkey::VARCHAR AS nation_b,
+    coalesce(CASE WHEN c_custkey % 7 <> 0 THEN c_nationkey::VARCHAR END, '') || ':d' || c_custkey % 3 AS scope_a, c_nationkey || CASE WHEN c_custkey % 11 = 0 THEN ':d9' ELSE ':d' || c_custkey % 3 END AS scope_b FROM customer),
+  delta AS (SELECT c_custkey, surface, expected, actual FROM (SELECT c_custkey, 'c_mktsegment' AS surface, segment_a AS expected, segment_b AS actual FROM v UNION ALL SELECT c_custkey, 'c_nationkey', nation_a, nation_b FROM v UNION ALL SELECT c_custkey, 'instrument_or_dataset_identity', scope_a, scope_b FROM v) WHERE expected IS DISTINCT FROM actual)"""
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, str, list[str], tuple[str, str]]:
+    """Two snapshots of the customers: some segments, nations and data sets differ."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey", F.concat(F.lit("d"), F.col("c_custkey") % 3).alias("dataset"))
     before = c.withColumn("c_nationkey", F.when(F.col("c_custkey") % 7 != 0, F.col("c_nationkey")))
-    after = c.withColumn("c_mktsegment", F.when(F.col("c_custkey") % 10 == 0, "NEW").otherwise(F.col("c_mktsegment")))
-    return catalog.version_delta(before, after, "c_custkey", ["c_mktsegment", "c_nationkey"])
+    after = c.withColumn("c_mktsegment", F.when(F.col("c_custkey") % 10 == 0, "NEW").otherwise(F.col("c_mktsegment"))).withColumn("dataset", F.when(F.col("c_custkey") % 11 == 0, "d9").otherwise(F.col("dataset")))
+    return before, after, "c_custkey", ["c_mktsegment", "c_nationkey"], ("c_nationkey", "dataset")
+
+
+@query(f"WITH {VERSIONS} SELECT * FROM delta")
+def k5_version_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.version_delta(*_versions(spark, sf_dir))
+
+
+@query(f"WITH {VERSIONS} SELECT c_custkey, CASE WHEN count(surface) = 0 THEN 'COMPATIBLE' ELSE 'DELTA_REQUIRED' END AS verdict, coalesce(string_agg(surface, ',' ORDER BY surface), '') AS changed FROM v LEFT JOIN delta USING (c_custkey) GROUP BY c_custkey")
+def k5_compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.compatibility(*_versions(spark, sf_dir)).withColumn("changed", F.array_join("changed", ","))
 
 
 @query("""WITH l AS (SELECT state, lag(state) OVER (PARTITION BY instrument ORDER BY received_ts_ns, source_sequence) AS p FROM snapshots) SELECT p AS from_state, state AS to_state, count(*) AS n FROM l WHERE p IS NOT NULL AND p <> state AND state <> 'IDLE' AND p <> 'IDLE' GROUP BY p, state""", "snapshots")

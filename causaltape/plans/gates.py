@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from causaltape.functions import clock, scalars
-from causaltape.operators import population, quality, statistics
+from causaltape.operators import merge, population, quality, statistics
 from causaltape.operators.asof import carry_sum
 from causaltape.plans import fixtures as fx
 from causaltape.plans import market
@@ -344,7 +344,7 @@ def u2_scale_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("detector", F.array_join(F.array_sort(F.array_intersect("s", F.array(F.lit("1h"), F.lit("1d")))), ",").alias("scales"))
 
 
-@query("SELECT kind, count(*) AS n, min(t) AS first_ns FROM (SELECT 'anchor' AS kind, anchor_time AS t FROM anchors UNION ALL SELECT 'context', available_time FROM contexts) GROUP BY ALL", "anchors", "contexts")
+@query("SELECT kind, t, seq, row_number() OVER (ORDER BY t, seq, kind) AS place FROM (SELECT 'anchor' AS kind, anchor_time AS t, anchor_seq AS seq FROM anchors UNION ALL SELECT 'context', available_time, context_seq FROM contexts)", "anchors", "contexts")
 def u3_ordered_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = fx.anchors(spark, sf_dir).select(F.lit("anchor").alias("kind"), F.col("anchor_time").alias("t"))
-    return a.unionByName(fx.contexts(spark, sf_dir).select(F.lit("context").alias("kind"), F.col("available_time").alias("t"))).groupBy("kind").agg(F.count("*").alias("n"), F.min("t").alias("first_ns"))
+    a = fx.anchors(spark, sf_dir).select(F.col("anchor_time").alias("t"), F.col("anchor_seq").alias("seq"))
+    return merge.ordered({"anchor": a, "context": fx.contexts(spark, sf_dir).select(F.col("available_time").alias("t"), F.col("context_seq").alias("seq"))}, ["t", "seq"])

@@ -131,14 +131,17 @@ LIMITS_SQL = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isin
 SCENARIOS_SQL = ", ".join(f"('{name}', '{strategy}', {r}::DOUBLE)" for name, given in SCENARIOS for strategy, r in given.items())
 
 
-@query(f"""WITH {PAIRED}, {PORTFOLIO}, s(scenario_id, strategy_id, r) AS (VALUES {SCENARIOS_SQL}), sh AS (SELECT strategy_id, capital / sum(capital) OVER () AS f FROM capital), o AS ({OVERLAP.split("FROM p")[0].split(PAIRED)[1]} FROM p GROUP BY a_strategy_id, b_strategy_id),
+CONSTRAINTS = f"""{PAIRED}, {PORTFOLIO}, s(scenario_id, strategy_id, r) AS (VALUES {SCENARIOS_SQL}), sh AS (SELECT strategy_id, capital / sum(capital) OVER () AS f FROM capital), o AS ({OVERLAP.split("FROM p")[0].split(PAIRED)[1]} FROM p GROUP BY a_strategy_id, b_strategy_id),
   m AS (SELECT 'concentration' AS kind, NULL AS subject, sum(f * f) AS value FROM sh UNION ALL SELECT 'capacity', NULL, min(capacity) FROM capital UNION ALL SELECT 'turnover', NULL, sum(turnover) FROM ({TURNOVER})
     UNION ALL SELECT 'drawdown', NULL, max_drawdown FROM ({DRAWDOWN.format(by="", part="1", src="pr", group="")}) UNION ALL SELECT 'stress', NULL, min(x) FROM (SELECT scenario_id, coalesce(sum(f * r), 0) AS x FROM s JOIN sh USING (strategy_id) GROUP BY scenario_id)
     UNION ALL SELECT 'correlation', a_strategy_id || '|' || b_strategy_id, nullif(corr(a_ret, b_ret), 'nan'::DOUBLE) FROM p GROUP BY a_strategy_id, b_strategy_id
     UNION ALL SELECT 'overlap', a_strategy_id || '|' || b_strategy_id, CASE WHEN "union" = 0 THEN 0 ELSE intersection / "union" END FROM o UNION ALL SELECT 'capital_allocation', NULL, sum(capital) FROM capital
     UNION ALL SELECT 'liquidity', NULL, min(liquidity) FROM streams UNION ALL SELECT 'risk_budget', NULL, sum(risk_budget) FROM capital),
   l(constraint_id, kind, subject, most, least) AS (VALUES {LIMITS_SQL}),
-  j AS (SELECT constraint_id, l.kind, l.subject, value, CASE WHEN value <= most OR value >= least THEN 'KNOWN' WHEN value IS NOT NULL AND (most IS NOT NULL OR least IS NOT NULL) THEN 'ABSTAINED' ELSE 'UNKNOWN' END AS status FROM l LEFT JOIN m ON m.kind = l.kind AND m.subject IS NOT DISTINCT FROM l.subject)
+  j AS (SELECT constraint_id, l.kind, l.subject, value, CASE WHEN value <= most OR value >= least THEN 'KNOWN' WHEN value IS NOT NULL AND (most IS NOT NULL OR least IS NOT NULL) THEN 'ABSTAINED' ELSE 'UNKNOWN' END AS status FROM l LEFT JOIN m ON m.kind = l.kind AND m.subject IS NOT DISTINCT FROM l.subject)"""
+
+
+@query(f"""WITH {CONSTRAINTS}
   SELECT constraint_id, kind, subject, round(value, 7) AS value, status, max_by(status, list_position(['KNOWN', 'PARTIAL', 'INCONCLUSIVE', 'UNKNOWN', 'NULL', 'ABSTAINED'], status)) OVER () AS overall FROM j""", "streams", "capital")
 def b15_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     scenarios = spark.createDataFrame(SCENARIOS, "scenario_id string, returns map<string,double>")
@@ -160,17 +163,29 @@ def b17_equal_weight_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(portfolio.equal_weight_score(fx.streams(spark, sf_dir), fx.capital(spark, sf_dir)), "score", digits=8)
 
 
-@query(f"""WITH {PAIRED}, {PORTFOLIO}, sd AS ({DRAWDOWN.format(by="strategy_id, ", part="strategy_id", src="streams", group="GROUP BY strategy_id")}), pd AS ({DRAWDOWN.format(by="", part="1", src="pr", group="")}), tv AS ({TURNOVER})
-  SELECT metric, subject, round(value, 7) AS value FROM (
-  SELECT 'correlation' AS metric, a_strategy_id || '|' || b_strategy_id AS subject, nullif(corr(a_ret, b_ret), 'nan'::DOUBLE) AS value FROM p GROUP BY a_strategy_id, b_strategy_id
-  UNION ALL SELECT 'overlap', a_strategy_id || '|' || b_strategy_id, coalesce(count(*) FILTER (a_signal <> 0 AND b_signal <> 0) / nullif(count(*) FILTER (a_signal IS NOT NULL AND b_signal IS NOT NULL AND (a_signal <> 0 OR b_signal <> 0)), 0), 0) FROM p GROUP BY a_strategy_id, b_strategy_id
-  UNION ALL SELECT 'capital_share', strategy_id, capital / sum(capital) OVER () FROM capital UNION ALL SELECT 'risk_share', strategy_id, risk_budget / sum(risk_budget) OVER () FROM capital
-  UNION ALL SELECT 'turnover', strategy_id, turnover FROM tv UNION ALL SELECT 'liquidity', strategy_id, avg(liquidity) FROM streams GROUP BY strategy_id
-  UNION ALL SELECT 'drawdown', strategy_id, max_drawdown FROM sd UNION ALL SELECT 'drawdown', 'portfolio', max_drawdown FROM pd
-  UNION ALL SELECT 'herfindahl', 'portfolio', sum(f * f) FROM (SELECT capital / sum(capital) OVER () AS f FROM capital) UNION ALL SELECT 'capacity_bottleneck', 'portfolio', min(capacity) FROM capital
-  UNION ALL SELECT 'equal_weight_score', 'portfolio', sum(ret) / (SELECT count(*) FROM capital) FROM streams)""", "streams", "capital")
+SCENARIO_SQL = "SELECT scenario_id, coalesce(sum(f * r), 0) AS portfolio_return, CASE WHEN count(*) = count(r) THEN 'KNOWN' ELSE 'PARTIAL' END AS status FROM (SELECT DISTINCT scenario_id FROM s) CROSS JOIN sh LEFT JOIN s USING (scenario_id, strategy_id) GROUP BY scenario_id"
+BOTH = "count(*) FILTER (a_ret IS NOT NULL AND b_ret IS NOT NULL)"
+
+
+@query(f"""WITH {CONSTRAINTS}, sd AS ({DRAWDOWN.format(by="strategy_id, ", part="strategy_id", src="streams", group="GROUP BY strategy_id")}), pd AS ({DRAWDOWN.format(by="", part="1", src="pr", group="")}), tv AS ({TURNOVER}), lq AS (SELECT strategy_id, avg(liquidity) AS v, min(liquidity) AS least FROM streams GROUP BY strategy_id),
+  co AS (SELECT a_strategy_id || '|' || b_strategy_id AS subject, nullif(corr(a_ret, b_ret), 'nan'::DOUBLE) AS value, {BOTH} AS seen, count(*) AS total FROM p GROUP BY a_strategy_id, b_strategy_id)
+  SELECT metric, subject, round(value, 7) AS value, status FROM (
+  SELECT 'correlation' AS metric, subject, value, CASE WHEN value IS NULL THEN CASE WHEN seen = 0 THEN 'UNKNOWN' ELSE 'FAILED' END WHEN seen < total THEN 'PARTIAL' ELSE 'KNOWN' END AS status FROM co
+  UNION ALL SELECT 'conditional_correlation', concat_ws('|', a_strategy_id, b_strategy_id, a_regime), nullif(corr(a_ret, b_ret), 'nan'::DOUBLE), NULL FROM p WHERE a_regime = b_regime AND a_ret IS NOT NULL AND b_ret IS NOT NULL GROUP BY a_strategy_id, b_strategy_id, a_regime
+  UNION ALL SELECT 'overlap', a_strategy_id || '|' || b_strategy_id, coalesce(count(*) FILTER (a_signal <> 0 AND b_signal <> 0) / nullif(count(*) FILTER (a_signal IS NOT NULL AND b_signal IS NOT NULL AND (a_signal <> 0 OR b_signal <> 0)), 0), 0), NULL FROM p GROUP BY a_strategy_id, b_strategy_id
+  UNION ALL SELECT 'capital_share', strategy_id, f, NULL FROM sh UNION ALL SELECT 'risk_share', strategy_id, risk_budget / sum(risk_budget) OVER (), NULL FROM capital
+  UNION ALL SELECT 'turnover', strategy_id, turnover, NULL FROM tv UNION ALL SELECT 'turnover', 'portfolio', sum(turnover), NULL FROM tv
+  UNION ALL SELECT 'liquidity', strategy_id, v, NULL FROM lq UNION ALL SELECT 'liquidity', 'portfolio', avg(v), NULL FROM lq UNION ALL SELECT 'minimum_liquidity', 'portfolio', min(least), NULL FROM lq
+  UNION ALL SELECT 'drawdown', strategy_id, max_drawdown, NULL FROM sd UNION ALL SELECT 'drawdown', 'portfolio', max_drawdown, NULL FROM pd
+  UNION ALL SELECT 'herfindahl', 'portfolio', sum(f * f), NULL FROM sh UNION ALL SELECT 'largest_share', 'portfolio', max(f), NULL FROM sh
+  UNION ALL SELECT 'capacity_total', 'portfolio', CASE WHEN count(capacity) = count(*) THEN sum(capacity) END, NULL FROM capital UNION ALL SELECT 'capacity_bottleneck', 'portfolio', min(capacity), NULL FROM capital
+  UNION ALL SELECT 'equal_weight_score', 'portfolio', sum(ret) / (SELECT count(*) FROM capital), NULL FROM streams
+  UNION ALL SELECT 'stress', scenario_id, portfolio_return, status FROM ({SCENARIO_SQL}) UNION ALL SELECT 'constraint', constraint_id, value, status FROM j
+  UNION ALL SELECT 'constraints', 'portfolio', NULL, max_by(status, list_position(['KNOWN', 'PARTIAL', 'INCONCLUSIVE', 'UNKNOWN', 'NULL', 'ABSTAINED'], status)) FROM j)""", "streams", "capital")
 def b18_portfolio_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(portfolio.report(fx.streams(spark, sf_dir), fx.capital(spark, sf_dir)), "value", digits=7)
+    scenarios = spark.createDataFrame(SCENARIOS, "scenario_id string, returns map<string,double>")
+    limits = spark.createDataFrame(LIMITS, "constraint_id string, kind string, subject string, most double, least double")
+    return rounded(portfolio.report(fx.streams(spark, sf_dir), fx.capital(spark, sf_dir), scenarios, limits), "value", digits=7)
 
 
 STATES = """st AS (SELECT o_custkey % 7 AS grp, CASE o_orderstatus WHEN 'F' THEN 'KNOWN' WHEN 'O' THEN 'PARTIAL' ELSE 'UNKNOWN' END AS state FROM orders)"""

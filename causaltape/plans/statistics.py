@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causaltape.functions.clock import floor_div
-from causaltape.operators import matching, paths, resampling, statistics
+from causaltape.operators import matching, paths, quantiles, resampling, statistics
 from causaltape.operators.asof import carry_sum
 from causaltape.plans import fixtures as fx
 from causaltape.plans import market
@@ -26,6 +26,7 @@ def query(text: str | None = None, *views: str):
 
 
 rounded = market.rounded
+PRICES = {"q25": 0.25, "q50": 0.5, "q99": 0.99}
 
 
 @query("""SELECT l_returnflag, count(l_discount) AS n, round(avg(l_discount), 9) AS mean, round(coalesce(var_samp(l_discount), 0), 9) AS var_samp, round(var_pop(l_discount), 9) AS var_pop FROM lineitem GROUP BY ALL""")
@@ -35,8 +36,14 @@ def g1_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT l_linestatus, round(quantile_cont(l_extendedprice, 0.25), 6) AS q25, round(quantile_cont(l_extendedprice, 0.5), 6) AS q50, round(quantile_cont(l_extendedprice, 0.99), 6) AS q99 FROM lineitem GROUP BY ALL""")
 def g2_exact_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = lambda p, name: F.round(F.percentile("l_extendedprice", p), 6).alias(name)
-    return table(spark, sf_dir, "lineitem").groupBy("l_linestatus").agg(q(0.25, "q25"), q(0.5, "q50"), q(0.99, "q99"))
+    prices = table(spark, sf_dir, "lineitem").select("l_linestatus", "l_extendedprice")
+    return rounded(quantiles.exact(prices, ["l_linestatus"], "l_extendedprice", PRICES).drop("n"), *PRICES, digits=6)
+
+
+@query()
+def g2_sketched_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same quantiles from one pass, off by a rank of about 0.2 % of the rows; tested against true ranks."""
+    return quantiles.sketched(table(spark, sf_dir, "lineitem"), ["l_linestatus"], "l_extendedprice", PRICES)
 
 
 RECORDS = """records AS (SELECT instrument, event_type AS state, CASE WHEN k % 7 = 0 THEN NULL ELSE value END AS value FROM ticks)"""
