@@ -85,12 +85,12 @@ def r4_streaming_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = replay(spark, fx.ticks(spark, sf_dir))
     c = t.where("event_type = 'purchase'").select("instrument", F.col("received_ts_ns").alias("available_time"), F.col("source_sequence").alias("context_seq"), F.col("value").alias("context_value"))
     a = t.where("event_type = 'click'").select("instrument", F.col("received_ts_ns").alias("anchor_time"), F.col("source_sequence").alias("anchor_seq"))
-    return jobs.drain(jobs.latest_context_stream(a, c), shared(spark, "r4"))
+    return jobs.drain(jobs.latest_context_stream(a, c), shared(spark, "r4")).where("not late").drop("late")
 
 
 @query(f"WITH {market.EPISODES} SELECT instrument, source_sequence, episode FROM rows_ WHERE episode IS NOT NULL", "snapshots")
 def r5_lifecycle_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.drain(jobs.lifecycle_stream(replay(spark, fx.snapshots(spark, sf_dir))), shared(spark, "r5"))
+    return jobs.drain(jobs.lifecycle_stream(replay(spark, fx.snapshots(spark, sf_dir))), shared(spark, "r5")).where("not late").drop("late")
 
 
 @query("""SELECT a.anchor_id, count(*) AS n FROM anchors a JOIN contexts c ON c.instrument = a.instrument AND c.available_time BETWEEN a.anchor_time - 3600000000000 AND a.anchor_time GROUP BY a.anchor_id""", "anchors", "contexts")

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,8 @@ def micros_of(ns: str) -> Column:
 
 
 class _Keyed(StatefulProcessor):
-    """One value of state per key; rows of a micro-batch are taken in the order of `order`."""
+    """One value of state per key. The rows of a key in a micro-batch are ordered by `order` and worked on as whole columns;
+    what is kept of them is one row of state. Rows that come too late for their place are told apart by `late`."""
 
     state_schema, order = "", ()
 
@@ -30,9 +32,8 @@ class _Keyed(StatefulProcessor):
         self.held = handle.getValueState("held", self.state_schema)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(list(self.order), kind="stable")
-        held = self.held.get() if self.held.exists() else None
-        held, out = self.step(key, held, batch)
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(list(self.order), kind="stable", ignore_index=True)
+        held, out = self.step(key, self.held.get() if self.held.exists() else None, batch)
         if held is not None:
             self.held.update(held)
         yield out
@@ -44,64 +45,108 @@ class _Keyed(StatefulProcessor):
         pass
 
 
+def integers(values: np.ndarray, known: np.ndarray | bool = True) -> pd.arrays.IntegerArray:
+    """Whole numbers, null where `known` is not true."""
+    return pd.arrays.IntegerArray(np.asarray(values, np.int64), np.broadcast_to(~np.asarray(known, bool), len(values)).copy())
+
+
 class Availability(_Keyed):
-    """Emits a bucket when a tick of a later bucket arrives; a tick that goes back in time is emitted as a violation."""
+    """Emits a bucket when a tick of a later bucket arrives. A tick whose event time goes back behind that of an accepted
+    one, or whose sequence does not rise, is emitted as a violation and changes nothing."""
 
     state_schema, order = "bucket long, sequence long, event long", ("source_sequence",)
     schema = "instrument long, timeframe string, bar_open_ns long, bar_close_ns long, available_time_ns long, trigger_sequence long, violation boolean"
 
     def step(self, key, held, batch):
-        out = []
-        bucket, sequence, event = held or (None, None, None)
-        for r in batch.itertuples(index=False):
-            bad = bucket is not None and (r.event_ts_ns < event or r.source_sequence <= sequence)
-            if bad:
-                out.append((key[0], key[1], None, None, r.received_ts_ns, r.source_sequence, True))
-                continue
-            if bucket is not None and r.bucket > bucket:
-                out.append((key[0], key[1], bucket, bucket + r.width, r.received_ts_ns, r.source_sequence, False))
-            bucket, sequence, event = int(r.bucket), int(r.source_sequence), int(r.event_ts_ns)
-        frame = pd.DataFrame(out, columns=["instrument", "timeframe", "bar_open_ns", "bar_close_ns", "available_time_ns", "trigger_sequence", "violation"])
-        return (None if bucket is None else (bucket, sequence, event)), frame.astype({c: "Int64" for c in ("instrument", "bar_open_ns", "bar_close_ns", "available_time_ns", "trigger_sequence")} | {"violation": "bool"})
+        event, sequence, bucket = (batch[c].to_numpy(np.int64) for c in ("event_ts_ns", "source_sequence", "bucket"))
+        least = np.iinfo(np.int64).min
+        now, last, top = held or (least, least, least)
+        good = self.accepted(event, sequence, top, last)
+        before = np.concatenate(([now], bucket[good][:-1]))
+        closes = np.zeros(len(batch), bool)
+        opened = np.zeros(len(batch), np.int64)
+        closes[good] = (before != least) & (bucket[good] > before)
+        opened[good] = before
+        rows = np.flatnonzero(closes | ~good)
+        closed, width = closes[rows], batch["width"].to_numpy(np.int64)[rows]
+        frame = pd.DataFrame({
+            "instrument": integers(np.full(len(rows), key[0])), "timeframe": [key[1]] * len(rows), "bar_open_ns": integers(opened[rows], closed), "bar_close_ns": integers(np.where(closed, opened[rows], 0) + width, closed),
+            "available_time_ns": integers(batch["received_ts_ns"].to_numpy(np.int64)[rows]), "trigger_sequence": integers(sequence[rows]), "violation": ~closed,
+        })
+        at = np.flatnonzero(good)
+        return ((int(bucket[at[-1]]), int(sequence[at[-1]]), int(event[at[-1]])) if len(at) else held), frame
+
+    @staticmethod
+    def accepted(event: np.ndarray, sequence: np.ndarray, top: int, last: int) -> np.ndarray:
+        """Which rows are neither back in time nor without a rise of the sequence, in order of sequence. A rejected row never
+        has the greatest event time so far, so the running maximum may include it, unless its sequence number repeats:
+        then whether the first of them counts decides on the next, and rows are taken one by one."""
+        good = sequence > last
+        if (sequence[1:] > sequence[:-1]).all():
+            good[good] = event[good] >= np.maximum.accumulate(np.concatenate(([top], event[good])))[:-1]
+            return good
+        for i in range(len(event)):
+            good[i] = sequence[i] > last and event[i] >= top
+            if good[i]:
+                top, last = event[i], sequence[i]
+        return good
 
 
 class LatestContext(_Keyed):
-    """Holds the latest context of a key and hands it to each anchor."""
+    """Holds the latest context of a key and hands it to each anchor.
 
-    state_schema, order = "available_time long, context_seq long, context_value double", ("t", "kind", "seq")
-    schema = "instrument long, anchor_id long, context_seq long, context_value double, lag_ns long"
+    An anchor older than the context held would be told of its future: it is late and gets none. A context older than an
+    anchor already answered is late too, and a row of its own; of later anchors it is used like any other."""
+
+    state_schema, order = "available_time long, context_seq long, context_value double, answered long", ("t", "kind", "seq")
+    schema = "instrument long, anchor_id long, context_seq long, context_value double, lag_ns long, late boolean"
 
     def step(self, key, held, batch):
-        out = []
-        for r in batch.itertuples(index=False):
-            if r.kind == 0:
-                if held is None or (int(r.t), int(r.seq)) >= (held[0], held[1]):
-                    held = (int(r.t), int(r.seq), float(r.value))
-            else:
-                out.append((key[0], int(r.seq), held[1] if held else None, held[2] if held else None, int(r.t) - held[0] if held else None))
-        frame = pd.DataFrame(out, columns=["instrument", "anchor_id", "context_seq", "context_value", "lag_ns"])
-        return held, frame.astype({"instrument": "Int64", "anchor_id": "Int64", "context_seq": "Int64", "context_value": "float64", "lag_ns": "Int64"})
+        time, seq, value, kind = batch["t"].to_numpy(np.int64), batch["seq"].to_numpy(np.int64), batch["value"].to_numpy(float), batch["kind"].to_numpy()
+        least = np.iinfo(np.int64).min
+        then, number, what, answered = held or (least, least, float("nan"), least)
+        context = kind == 0
+        newer = context & ((time > then) | ((time == then) & (seq >= number)))
+        at = np.maximum.accumulate(np.where(newer, np.arange(len(batch)), -1))
+        pick = lambda new, old: np.where(at >= 0, new[at], old)
+        its_time, its_seq, its_value = pick(time, then), pick(seq, number), pick(value, what)
+        late = np.where(context, time < answered, (at < 0) & (its_time > time))
+        known = ~context & ~late & (its_time != least)
+        rows = np.flatnonzero(~context | late)
+        frame = pd.DataFrame({
+            "instrument": integers(np.full(len(rows), key[0])), "anchor_id": integers(seq[rows], ~context[rows]), "context_seq": integers(np.where(context, seq, np.where(known, its_seq, 0))[rows], (known | context)[rows]),
+            "context_value": np.where(context, value, np.where(known, its_value, np.nan))[rows], "lag_ns": integers((time - np.where(known, its_time, time))[rows], known[rows]), "late": late[rows],
+        })
+        anchors = time[~context]
+        return (int(its_time[-1]), int(its_seq[-1]), float(its_value[-1]), max(answered, int(anchors.max()) if len(anchors) else least)), frame
 
 
 class Lifecycle(_Keyed):
-    """Numbers the episodes of a key: IDLE closes, a new or lost id starts anew, taking on an id continues."""
+    """Numbers the episodes of a key: IDLE closes, a new or lost id starts anew, taking on an id continues.
+
+    A row at or before the last one seen, by time and sequence, is late: it has no episode and changes nothing, so that
+    numbers already handed out stand."""
 
-    state_schema, order = "state string, eid long, episode long", ("received_ts_ns", "source_sequence")
-    schema = "instrument long, source_sequence long, episode long"
+    state_schema, order = "state string, eid string, episode long, time long, sequence long", ("received_ts_ns", "source_sequence")
+    schema = "instrument long, source_sequence long, episode long, late boolean"
 
     def step(self, key, held, batch):
-        out = []
-        before, eid, episode = held or ("", -1, 0)
-        for r in batch.itertuples(index=False):
-            if r.state is None:
-                continue
-            now = -1 if pd.isna(r.eid) else int(r.eid)
-            if r.state != "IDLE":
-                if before in ("", "IDLE") or (eid != -1 and eid != now):
-                    episode += 1
-                out.append((key[0], int(r.source_sequence), episode))
-            before, eid = r.state, now
-        return (before, eid, episode), pd.DataFrame(out, columns=["instrument", "source_sequence", "episode"]).astype("int64")
+        state, eid, episode, then, number = held or ("", "", 0, np.iinfo(np.int64).min, np.iinfo(np.int64).min)
+        time, seq = batch["received_ts_ns"].to_numpy(np.int64), batch["source_sequence"].to_numpy(np.int64)
+        late = (time < then) | ((time == then) & (seq <= number))
+        states, ids = batch["state"].to_numpy(object)[~late], batch["eid"].to_numpy(object)[~late]
+        before, id_before = np.concatenate(([state], states[:-1])), np.concatenate(([eid], ids[:-1]))
+        active = states != "IDLE"
+        starts = active & ((before == "") | (before == "IDLE") | ((id_before != "") & (id_before != ids)))
+        numbers = episode + np.cumsum(starts.astype(np.int64))
+        shown = late.copy()
+        shown[~late] = active
+        episodes = np.zeros(len(batch), np.int64)
+        episodes[~late] = numbers
+        frame = pd.DataFrame({"instrument": integers(np.full(shown.sum(), key[0])), "source_sequence": integers(seq[shown]), "episode": integers(episodes[shown], ~late[shown]), "late": late[shown]})
+        if late.all():
+            return held, frame
+        return (states[-1], ids[-1], int(numbers[-1]), int(time[~late][-1]), int(seq[~late][-1])), frame
 
 
 def _transform(df: DataFrame, keys: list[str], processor: _Keyed) -> DataFrame:
@@ -110,20 +155,25 @@ def _transform(df: DataFrame, keys: list[str], processor: _Keyed) -> DataFrame:
 
 
 def availability_stream(ticks: DataFrame, frames: dict[str, int]) -> DataFrame:
+    """Rows without an event time, time of receipt or sequence are left out."""
+    ticks = ticks.dropna(subset=["event_ts_ns", "received_ts_ns", "source_sequence"])
     every = F.array(*[F.struct(F.lit(n).alias("timeframe"), F.lit(w).cast("long").alias("width")) for n, w in frames.items()])
     cut = ticks.select("instrument", "event_ts_ns", "received_ts_ns", "source_sequence", F.inline(every)).withColumn("bucket", floor_bucket(F.col("event_ts_ns"), F.col("width")))
     return _transform(cut, ["instrument", "timeframe"], Availability())
 
 
 def latest_context_stream(anchors: DataFrame, contexts: DataFrame) -> DataFrame:
-    """anchors (instrument, anchor_time, anchor_seq) and contexts (instrument, available_time, context_seq, value)."""
+    """anchors (instrument, anchor_time, anchor_seq) and contexts (instrument, available_time, context_seq, value). Rows
+    without a time or sequence are left out; late rows are marked (see `LatestContext`)."""
     c = contexts.select("instrument", F.col("available_time").alias("t"), F.lit(0).alias("kind"), F.col("context_seq").alias("seq"), F.col("context_value").alias("value"))
     a = anchors.select("instrument", F.col("anchor_time").alias("t"), F.lit(1).alias("kind"), F.col("anchor_seq").alias("seq"), F.lit(None).cast("double").alias("value"))
-    return _transform(c.unionByName(a), ["instrument"], LatestContext())
+    return _transform(c.unionByName(a).dropna(subset=["t", "seq"]), ["instrument"], LatestContext())
 
 
 def lifecycle_stream(snapshots: DataFrame) -> DataFrame:
-    return _transform(snapshots.select("instrument", "received_ts_ns", "source_sequence", "state", "eid"), ["instrument"], Lifecycle())
+    """Episodes by row, late rows marked (see `Lifecycle`). Rows without a state, time or sequence are left out."""
+    rows = snapshots.select("instrument", "received_ts_ns", "source_sequence", "state", F.coalesce(F.col("eid").cast("string"), F.lit("")).alias("eid"))
+    return _transform(rows.dropna(subset=["received_ts_ns", "source_sequence", "state"]), ["instrument"], Lifecycle())
 
 
 def interval_join_stream(anchors: DataFrame, others: DataFrame, before_ns: int, after_ns: int, late: str = "10 minutes") -> DataFrame:
