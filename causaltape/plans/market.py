@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from causaltape.operators import asof, availability, lifecycle, paths
+from causaltape.operators import asof, availability, lifecycle, paths, payloads
 from causaltape.plans import fixtures as fx
 from causaltape.plans.fixtures import sql
 from causaltape.sources.lake import cut
@@ -120,6 +120,29 @@ def w5_first_entry_anchors_emit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.state_anchors(_episodes(spark, sf_dir), KEY, left_policy="emit")
 
 
+#: Payload texts of the tape: a tenth absent, a tenth malformed.
+NARROW = "struct<drift_burst_state:struct<state:string,event_id:bigint>>"
+FIELDS = {"score": ("$.operational.score", "long"), "efficiency": ("$.operational.efficiency", "double"), "first_weak": ("$.drift_burst_state.emitted_events[0].weak_ts", "long"), "lost": ("$.operational.none", "string")}
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = F.struct("state", F.col("eid").alias("event_id"), F.array(F.struct(F.col("weak_ms").alias("weak_ts"))).alias("emitted_events")).alias("drift_burst_state")
+    whole = F.to_json(F.struct(state, F.struct(F.col("k").alias("score"), F.col("value").alias("efficiency")).alias("operational")))
+    n = F.col("source_sequence") % 10
+    return fx.snapshots(spark, sf_dir).select("instrument", "received_ts_ns", "source_sequence", F.when(n == 1, "{broken").when(n != 0, whole).alias("payload"))
+
+
+@query("WITH tape AS (SELECT * REPLACE (CASE WHEN source_sequence % 10 > 1 THEN state END AS state, CASE WHEN source_sequence % 10 > 1 THEN eid END AS eid) FROM snapshots), " + FIRST_ENTRY.replace("FROM snapshots", "FROM tape")[5:].replace("SELECT instrument, episode, state AS anchor_state", ", first AS (SELECT instrument, episode, state AS anchor_state", 1)
+       + """ HAVING min(ordinal) > 1)
+  SELECT f.instrument, episode, anchor_state, anchor_time, anchor_sequence, event_id, k AS score, round(value, 9) AS efficiency, weak_ms AS first_weak, NULL::VARCHAR AS lost, 'PARSED' AS payload_state FROM first f JOIN snapshots s ON s.source_sequence = anchor_sequence""", "snapshots")
+def w16_anchor_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors of a tape of texts: the narrow state of every row, the whole record of the anchors' rows only."""
+    tape = texts(spark, sf_dir)
+    states = payloads.narrow(tape, "payload", NARROW).select("instrument", "received_ts_ns", "source_sequence", F.col("drift_burst_state.state").alias("state"), F.col("drift_burst_state.event_id").alias("eid"))
+    found = lifecycle.state_anchors(lifecycle.episodes(states, KEY), KEY).withColumn("source_sequence", F.col("anchor_sequence"))
+    return rounded(payloads.records(found, tape, ["instrument", "source_sequence"], "payload", FIELDS).drop("source_sequence"), "efficiency")
+
+
 @query(f"""WITH {EPISODES}, marked AS (SELECT *, CAST(sum(CASE WHEN rn = 1 OR p IS DISTINCT FROM weak_ms THEN 1 ELSE 0 END) OVER (PARTITION BY instrument, episode ORDER BY ordinal) AS BIGINT) AS mrun
     FROM (SELECT *, lag(weak_ms) OVER w AS p, row_number() OVER w AS rn FROM rows_ WHERE episode IS NOT NULL WINDOW w AS (PARTITION BY instrument, episode ORDER BY ordinal))),
   armed AS (SELECT instrument, episode, min(ordinal) AS arm_ordinal, arg_min(mrun, ordinal) AS mrun FROM marked WHERE state = 'BURST' GROUP BY ALL)
