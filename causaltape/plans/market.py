@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from causaltape.operators import asof, availability, lifecycle, paths, payloads
+from causaltape.operators import asof, availability, lifecycle, paths, payloads, quantiles
 from causaltape.plans import fixtures as fx
 from causaltape.plans.fixtures import sql
 from causaltape.sources.lake import cut
@@ -295,5 +295,5 @@ def g12_anchor_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {EPISODES} SELECT state, count(*) AS runs, round(quantile_cont((exit_ns - entry_ns) / 1e9, 0.5), 6) AS median_s, round(quantile_cont((exit_ns - entry_ns) / 1e9, 0.9), 6) AS p90_s FROM runs GROUP BY ALL""", "snapshots")
 def x5_dwell_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = lifecycle.state_runs(_episodes(spark, sf_dir), KEY).withColumn("s", (F.col("exit_ns") - F.col("entry_ns")) / 1e9)
-    return runs.groupBy("state").agg(F.count("*").alias("runs"), F.round(F.percentile("s", 0.5), 6).alias("median_s"), F.round(F.percentile("s", 0.9), 6).alias("p90_s"))
+    runs = lifecycle.state_runs(_episodes(spark, sf_dir), KEY).select("state", ((F.col("exit_ns") - F.col("entry_ns")) / 1e9).alias("s"))
+    return rounded(quantiles.exact(cut(runs, "dwell"), ["state"], "s", {"median_s": 0.5, "p90_s": 0.9}).withColumnRenamed("n", "runs"), "median_s", "p90_s", digits=6)
