@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from causaltape.operators import asof, availability, lifecycle, paths
 
 S = 1_000_000_000
+DAY = 86_400 * S
 
 
 def rows(df, *columns):
@@ -37,6 +38,31 @@ def test_lookback_includes_both_ends(spark):
     assert rows(got, "t", "count") == [(100, 3), (101, 3)]
 
 
+def test_between_counts_without_pairs(spark):
+    c = [("x", t * DAY // 2, n) for n, t in enumerate((1, 1, 3, 4, 4, 9))] + [("y", 0, 7), (None, 0, 8), ("x", None, 9)]
+    spans = [("x", DAY // 2, 0, DAY * 2), ("x", DAY // 2, 1, DAY * 2 - 1), ("x", -1, 0, DAY * 9), ("x", DAY * 3, 0, DAY * 4), ("x", DAY, 0, DAY), ("z", 0, 0, DAY), ("x", -1, 0, DAY * 9)]
+    got = asof.between(spark.createDataFrame(spans, "k string, t long, s long, e long"), spark.createDataFrame(c, "k string, u long, v long"), ["k"], ("t", "s"), "e", ("u", "v"))
+    inside = lambda p: [u for k, u, v in c if k == p[0] and u is not None and (u, v) > p[1:3] and u <= p[3]]
+    assert rows(got, "k", "t", "s", "e", "n", "last_time") == sorted((*p, len(inside(p)), max(inside(p), default=None)) for p in spans)
+
+
+def test_first_after_is_strictly_later_and_near(spark):
+    c = spark.createDataFrame([("x", 10, 1, "a"), ("x", 12, 3, "b"), ("x", 12, 2, "c"), ("x", 40, 4, "d"), ("y", 11, 5, "e")], "k string, u long, v long, d string")
+    a = spark.createDataFrame([("x", 10), ("x", 11), ("x", 12), ("x", 20), ("x", 40), ("y", 0), (None, 0)], "k string, t long")
+    got = asof.first_after(a, c, ["k"], "t", "u", "v", ["d"], 20)
+    assert {(r["k"], r["t"]): (r["ctx_d"], r["ctx_u"]) for r in got.collect()} == {("x", 10): ("c", 12), ("x", 11): ("c", 12), ("x", 12): (None, None), ("x", 20): ("d", 40), ("x", 40): (None, None), ("y", 0): ("e", 11), (None, 0): (None, None)}
+
+
+@pytest.mark.parametrize("name", ["j4_forward_horizon"])
+def test_windows_of_anchors_list_no_pairs(spark, name, monkeypatch):
+    """Neither the pairs nor a join on buckets as wide as the window, whose rows grow with the square of the tape."""
+    from causaltape.plans import registry
+
+    for pairs in ("forward", "lookback"):
+        monkeypatch.setattr(asof, pairs, lambda *_: pytest.fail("pairs"))
+    assert registry.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
 def test_availability_closes_on_a_later_bucket_without_empty_bars(spark):
     t = spark.createDataFrame([(0, 0, 10, 1), (0, 60 * S, 20, 2)], "i long, event_ts_ns long, received_ts_ns long, source_sequence long")
     got = availability.bar_availability(t, {"15s": 15 * S, "30s": 30 * S, "1m": 60 * S}, ["i"])
