@@ -53,7 +53,7 @@ def test_first_after_is_strictly_later_and_near(spark):
     assert {(r["k"], r["t"]): (r["ctx_d"], r["ctx_u"]) for r in got.collect()} == {("x", 10): ("c", 12), ("x", 11): ("c", 12), ("x", 12): (None, None), ("x", 20): ("d", 40), ("x", 40): (None, None), ("y", 0): ("e", 11), (None, 0): (None, None)}
 
 
-@pytest.mark.parametrize("name", ["j4_forward_horizon", "x7_co_evolution"])
+@pytest.mark.parametrize("name", ["j4_forward_horizon", "x7_co_evolution", "x11_antecedent_windows"])
 def test_windows_of_anchors_list_no_pairs(spark, name, monkeypatch):
     """Neither the pairs nor a join on buckets as wide as the window, whose rows grow with the square of the tape."""
     from causaltape.plans import registry
