@@ -46,6 +46,80 @@ def outcome(anchor: tuple, ticks: np.ndarray, horizon: str, width: int, tape_end
     }
 
 
+def ladder(pick: np.ufunc, keys: np.ndarray) -> np.ndarray:
+    """Row k holds `pick` of the 2**k keys from each place on, as far as there are so many."""
+    rows = [keys]
+    while 2 << len(rows) - 1 <= len(keys):
+        step = 1 << len(rows) - 1
+        rows.append(np.concatenate((pick(rows[-1][:-step], rows[-1][step:]), keys[len(keys) - step :])))
+    return np.stack(rows)
+
+
+def outcomes(anchors: list[tuple], ticks: np.ndarray, horizons: dict[str, int], tape_end: int) -> list[list[dict]]:
+    """`outcome` of all anchors and horizons of a key, as whole columns. Sums come from running sums, extremes from spans
+    of powers of two, and first moves by halving, so that the work follows anchors and ticks and not their pairs."""
+    time, number, direction = (np.array([a[i] for a in anchors], np.int64) for i in (1, 2, 4))
+    own, n = np.array([a[3] for a in anchors], float), len(ticks)
+    t, mid = np.ascontiguousarray(ticks["t"]), np.ascontiguousarray(ticks["mid"])
+    if not n:
+        return [[outcome(a, ticks, h, w, tape_end) for h, w in horizons.items()] for a in anchors]
+    # ticks at or before each anchor by time and sequence
+    kind = np.repeat([0, 1], [n, len(anchors)])
+    order = np.lexsort((kind, np.concatenate((ticks["seq"], number)), np.concatenate((t, time))))
+    low = np.zeros(len(anchors), np.int64)
+    low[order[kind[order] == 1] - n] = np.cumsum(kind[order] == 0)[kind[order] == 1]
+
+    levels, rank = np.unique(mid, return_inverse=True)
+    place = np.arange(n)
+    most, least = ladder(np.maximum, rank * n + (n - 1 - place)), ladder(np.minimum, rank * n + place)
+    above, below = np.searchsorted(levels, own, "right") * n, np.searchsorted(levels, own, "left") * n
+    up, down = low.copy(), low.copy()
+    for k in range(len(most) - 1, -1, -1):
+        for at, table, still in ((up, most, lambda v: v < above), (down, least, lambda v: v >= below)):
+            at += np.where((at + (1 << k) <= n) & still(table[k][np.minimum(at, n - 1)]), 1 << k, 0)
+    same = np.sort(rank * n + place)
+    met = np.searchsorted(same, below + low)
+    tie = np.where((met < n) & (above > below), same[np.minimum(met, n - 1)] - below, n)
+
+    steps = np.log(mid[1:] / mid[:-1])
+    moves = np.concatenate(([0.0, 0.0], np.cumsum(np.abs(steps))))
+    second = t // NS_PER_S
+    opens = np.flatnonzero(np.concatenate(([True], second[1:] != second[:-1])))
+    closes = np.concatenate((opens[1:], [n]))
+    unit = np.repeat(np.arange(len(opens)), closes - opens)
+    squares = np.concatenate(([0.0], np.cumsum(np.log(mid[closes - 1] / mid[np.maximum(opens - 1, 0)]) ** 2)))
+
+    columns = []
+    for name, width in horizons.items():
+        high = np.searchsorted(t, time + width, "right")
+        some = high > low
+        first, last = np.where(some, low, 0), np.where(some, high, 1) - 1
+        whole = tape_end >= time + width
+        ret = np.log(mid[last] / own)
+        start = np.log(mid[first] / own)
+        total = np.abs(start) + np.where(last > first, moves[last + 1] - moves[first + 1], 0.0)
+        head = np.log(mid[np.minimum(closes[unit[first]] - 1, last)] / own)
+        tail = np.log(mid[last] / mid[np.maximum(opens[unit[last]] - 1, 0)])
+        later = unit[last] > unit[first]
+        variance = head**2 + np.where(later, tail**2 + squares[unit[last]] - squares[np.minimum(unit[first] + 1, unit[last])], 0.0)
+        k = np.log2(last - first + 1).astype(np.int64)
+        far = last + 1 - (1 << k)
+        top = n - 1 - np.maximum(most[k, first], most[k, far]) % n
+        bottom = np.minimum(least[k, first], least[k, far]) % n
+        best, worst = np.where(direction < 0, bottom, top), np.where(direction < 0, top, bottom)
+        offset = lambda at: (t[np.minimum(at, n - 1)] - time) // NS_PER_MS
+        good, bad = (offset(np.where(direction < 0, x, y)) for x, y in ((down, up), (up, down)))
+        both = some & (up < high) & (down < high)
+        of = lambda values, known=some: [v if k else None for v, k in zip(values.tolist(), known.tolist(), strict=True)]
+        columns.append({
+            "horizon": [name] * len(anchors), "ticks": np.where(some, high - low, 0).tolist(), "endpoint_return": of(ret), "signed_return": of(direction * ret), "mfe": of(np.maximum(direction * np.log(mid[best] / own), 0.0)),
+            "mae": of(np.maximum(-direction * np.log(mid[worst] / own), 0.0)), "mfe_offset_ms": of(offset(best)), "mae_offset_ms": of(offset(worst)), "favorable_first": of(good < bad, both), "adverse_first": of(bad < good, both),
+            "covered_ns": np.where(~some, 0, np.where(whole, width, t[last] - time)).tolist(), "tie": (some & (tie < high)).tolist(), "realized_variance": np.where(some, variance, 0.0).tolist(), "path_efficiency": of(np.divide(ret, total, where=total > 0, out=np.zeros(len(ret))), some & (total > 0)), "complete": whole.tolist(),
+        })
+    rows = [[dict(zip(c, row, strict=True)) for row in zip(*c.values(), strict=True)] for c in columns]
+    return [list(each) for each in zip(*rows, strict=True)]
+
+
 class PendingPaths(StatefulProcessor):
     """State of a key: its open anchors, the ticks since the oldest of them in blocks of time, the greatest tick time and
     the last time that an emitted path reaches to. A block is dropped once no open anchor can look into it."""
@@ -82,7 +156,9 @@ class PendingPaths(StatefulProcessor):
         paths = self.paths(done, new, tape_end)
         reached = max([a[1] + self.longest for a in done], default=reached)
         self.keep(left, new)
-        if left != waiting or added:
+        if not left:
+            self.open.clear()
+        elif done or added:
             self.open.put(left)
         end = max((a[1] for a in left), default=None)
         if timer is not None:
@@ -108,7 +184,7 @@ class PendingPaths(StatefulProcessor):
         low, high = min(a[1] for a in anchors) // self.width, (max(a[1] for a in anchors) + self.longest) // self.width
         held = [np.frombuffer(self.blocks.getValue((b,))[0], TICK) for b in range(low, high + 1) if self.blocks.containsKey((b,))]
         ticks = np.sort(np.concatenate([*held, new]), order=["t", "seq"], kind="stable")
-        return [(a[0], [outcome(a, ticks, h, w, tape_end) for h, w in self.horizons.items()]) for a in anchors]
+        return [(a[0], o) for a, o in zip(anchors, outcomes(anchors, ticks, self.horizons, tape_end), strict=True)]
 
     def keep(self, left: list[tuple], new: np.ndarray) -> None:
         """Adds the batch's ticks to their blocks and drops blocks that end before the oldest open anchor."""
@@ -146,3 +222,83 @@ def pending_paths(ticks: DataFrame, horizons: dict[str, int], late: str = "10 mi
     processor = PendingPaths(horizons, patience_ns)
     seen = ticks.select("instrument", "received_ts_ns", "source_sequence", F.when(F.col("instrument").isNotNull(), F.col("mid")).alias("mid"), "anchor_id", "direction", micros_of("received_ts_ns").alias("ts")).withWatermark("ts", late)
     return seen.groupBy("instrument").transformWithStateInPandas(statefulProcessor=processor, outputStructType=processor.schema, outputMode="Append", timeMode="EventTime")
+
+
+class PendingWindows(StatefulProcessor):
+    """State of a key: open anchors and the times of the rows that an open or a later anchor may count, both as arrays,
+    the greatest time and the last time that a window which has left reaches to."""
+
+    schema = "instrument long, anchor_id long, late_time long, n long, last_time long"
+
+    def __init__(self, before_ns: int, after_ns: int, late_ns: int, patience_ns: int):
+        self.before, self.after, self.late, self.patience = before_ns, after_ns, late_ns, patience_ns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "open binary, times binary, greatest long, reached long, timer_ms long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        batch = pd.concat(list(rows), ignore_index=True)
+        batch = batch[batch["t"].notna()]
+        if not len(batch):
+            return
+        time = batch["t"].to_numpy().astype(np.int64)
+        asked, counted = batch["anchor_id"].notna().to_numpy(), batch["counts"].to_numpy().astype(bool)
+        new = np.stack((batch["anchor_id"].to_numpy()[asked].astype(np.int64), time[asked]), axis=1)
+        open_, times, greatest, reached, timer = self.state()
+        late = time[counted & (time <= reached)] if reached is not None else time[:0]
+        open_, times = np.concatenate((open_, new)), np.sort(np.concatenate((times, time[counted])))
+        greatest = max(int(time.max()), greatest if greatest is not None else int(time.max()))
+        done = open_[:, 1] + self.after + self.late < greatest
+        frame = self.frame(key, open_[done], times, late)
+        if done.any():
+            end = int(open_[done, 1].max()) + self.after
+            reached = end if reached is None else max(reached, end)
+        open_ = open_[~done]
+        # rows of an anchor that is still to come, which may be late itself, stay too
+        oldest = min(int(open_[:, 1].min()) if len(open_) else greatest, greatest - self.late) - self.before
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        timer = (int(open_[:, 1].max()) + self.after + self.late + self.patience) // NS_PER_MS if len(open_) else None
+        if timer is not None:
+            self.handle.registerTimer(timer)
+        self.held.update((open_.tobytes(), times[np.searchsorted(times, oldest) :].tobytes(), greatest, reached, timer))
+        yield frame
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        open_, times, greatest, reached, _ = self.state()
+        end = max(int(open_[:, 1].max()) + self.after, reached if reached is not None else np.iinfo(np.int64).min) if len(open_) else reached
+        self.held.update((b"", times.tobytes(), greatest, end, None))
+        yield self.frame(key, open_, times, times[:0])
+
+    def state(self) -> tuple:
+        open_, times, *rest = self.held.get() if self.held.exists() else (b"", b"", None, None, None)
+        return np.frombuffer(bytes(open_), np.int64).reshape(-1, 2), np.frombuffer(bytes(times), np.int64), *rest
+
+    def frame(self, key: tuple, anchors: np.ndarray, times: np.ndarray, late: np.ndarray) -> pd.DataFrame:
+        low, high = np.searchsorted(times, anchors[:, 1] - self.before, "left"), np.searchsorted(times, anchors[:, 1] + self.after, "right")
+        last = times[np.maximum(high, 1) - 1] if len(times) else high
+        kept = lambda values, fill: pd.array([*values.tolist(), *fill], "Int64")
+        none, m = [None] * len(late), len(anchors)
+        last = [v if k else None for v, k in zip(last.tolist(), (high > low).tolist(), strict=True)]
+        return pd.DataFrame({
+            "instrument": pd.array([key[0]] * (m + len(late)), "Int64"), "anchor_id": kept(anchors[:, 0], none), "late_time": pd.array([None] * m + late.tolist(), "Int64"), "n": kept(high - low, none), "last_time": pd.array([*last, *none], "Int64"),
+        })
+
+    def close(self) -> None:
+        pass
+
+
+def pending_windows(rows: DataFrame, before_ns: int, after_ns: int, late_ns: int = 600 * NS_PER_S, patience_ns: int = 365 * 86_400 * NS_PER_S) -> DataFrame:
+    """One row per anchor, (instrument, anchor_id, n, last_time), from a stream of rows (instrument, t, anchor_id, counts):
+    how many rows with `counts` of its key lie from before_ns before to after_ns after it, both ends included, and the
+    time of the last. An anchor that counts itself is among them.
+
+    No pairs are made. An anchor leaves once a row of its key lies `late_ns` past its window, or, if its key stays silent,
+    once the watermark is `patience_ns` further. Rows may come in any order inside `late_ns`; a counted one that comes after
+    a window it may belong to has left is a row of its own, with its time in late_time. Rows of a null key are left out."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    processor = PendingWindows(before_ns, after_ns, late_ns, patience_ns)
+    timed = rows.select("instrument", F.when(F.col("instrument").isNotNull(), F.col("t")).alias("t"), "anchor_id", F.coalesce("counts", F.lit(False)).alias("counts"), micros_of("t").alias("ts"))
+    timed = timed.withWatermark("ts", f"{late_ns // NS_PER_S} seconds")
+    return timed.groupBy("instrument").transformWithStateInPandas(statefulProcessor=processor, outputStructType=processor.schema, outputMode="Append", timeMode="EventTime")

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,3 +57,42 @@ def test_paths_leave_once_complete_and_equal_the_batch_form(spark, tmp_path):
                 assert at + 60 * S < r["emitted_ns"] <= ends[key]
     assert len({r["emitted_ns"] for r in got if not r["drained"]}) > 1
     assert [r["late_sequence"] for r in got if r["late_sequence"] is not None] == [9002]
+
+
+def test_outcomes_of_whole_columns_equal_those_of_one_anchor():
+    rng = random.Random(6)
+    for n in (0, 1, 2, 3, 7, 64, 400):
+        ticks = np.sort(np.array([(rng.randint(0, 90) * S + rng.choice((0, 1, 10**6, 6 * 10**8)), i, 100 + rng.randint(0, 6) / 4) for i in range(n)], pending.TICK), order=["t", "seq"])
+        anchors = [(k, rng.randint(-5, 95) * S, rng.randint(-1, n), 100 + rng.randint(-1, 13) / 8, rng.choice((-1, 1))) for k in range(60)]
+        got = pending.outcomes(anchors, ticks, HORIZONS, 70 * S)
+        for a, mine in zip(anchors, got, strict=True):
+            for (h, w), o in zip(HORIZONS.items(), mine, strict=True):
+                want = pending.outcome(a, ticks, h, w, 70 * S)
+                assert o.keys() == want.keys() and [o[k] for k in want] == pytest.approx(list(want.values()), abs=1e-12), (n, a, h)
+
+
+def test_a_batch_that_closes_all_anchors_leaves_no_state(spark, tmp_path):
+    rows = [(1, 1000 * S, 1, 100.0, 1, 1)], [(1, 1200 * S, 2, 101.0, None, 1)], [(None, 10**6 * S, 9, None, None, None)]
+    got = streamed(spark, rows, str(tmp_path))
+    assert [(r["anchor_id"], r["drained"]) for r in got] == [(1, False)]
+
+
+def test_windows_count_without_pairs_and_tell_late_rows(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(rng.choice((1, 2)), (1000 + i // 3) * S, i if rng.random() < 0.3 else None, rng.random() < 0.6) for i in range(300)]
+    batches = [[], [], []]
+    for r in rows:
+        batches[min((r[1] // S - 1000 + rng.choice((0, 8))) // 40, 2)].append(r)
+    batches = [*batches, [(1, 1001 * S, None, True), (None, 10**6 * S, None, None)]]
+    schema = "instrument long, t long, anchor_id long, counts boolean"
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = jobs.drain(pending.pending_windows(source, 5 * S, 7 * S, late_ns=10 * S, patience_ns=100 * S), f"{tmp_path}/out").collect()
+    want = {}
+    for k, t, a, _ in rows:
+        if a is not None:
+            seen = [u for j, u, _, c in rows if j == k and c and t - 5 * S <= u <= t + 7 * S]
+            want[a] = (k, len(seen), max(seen, default=None))
+    assert {r["anchor_id"]: (r["instrument"], r["n"], r["last_time"]) for r in got if r["anchor_id"] is not None} == want
+    assert len(got) == len(want) + sum(r["late_time"] is not None for r in got)
