@@ -253,11 +253,18 @@ def across_blocks(placed: DataFrame, links: DataFrame, reps: DataFrame, least: f
     return both.join(reps, "rep").groupBy("component", "block", "guest").applyInArrow(compared(least, shingle, True), "a long, b long")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", also: DataFrame | None = None) -> DataFrame:
     """`docs` without the rows whose component has a smaller id. Rows with a null id stay, and so do all other columns,
-    whatever their names; of rows with one id all stay or go together."""
+    whatever their names; of rows with one id all stay or go together. `also` (doc_id, component_id) are classes of
+    another operator; documents linked by either are of one component."""
     name = "gone"
     while name in docs.columns:
         name += "_"
-    gone = cut(components(docs, shingle, least, id_col, text_col).where("doc_id != component_id").select(F.col("doc_id").alias(name)), "gone")
+    classes = components(docs, shingle, least, id_col, text_col)
+    if also is None:
+        gone = classes.where("doc_id != component_id").select("doc_id")
+    else:
+        links = classes.unionByName(also).where("doc_id != component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
+        gone = connected_components(cut(links, "links")).where("node != component").select("node")
+    gone = cut(gone.toDF(name), "gone")
     return docs.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")

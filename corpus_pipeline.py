@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causaltape.llm import bpe, decontamination, pii, queries, similar_documents, toxicity
+from causaltape.llm import bpe, decontamination, pii, queries, similar_documents, simhash, toxicity
 from causaltape.llm.shared import cut, read
 
 
@@ -20,8 +20,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by a five-word-shingle similarity of 0.8 or more, the smallest id."""
-    return similar_documents.keep_one(docs, shingle=5, least=0.8)
+    """Of each group of documents linked by fingerprints within two bits (three-word shingles) or by a five-word-shingle
+    similarity of 0.8 or more, the smallest id. Fingerprints find copies; the similarity adds edits that move more bits."""
+    near = simhash.near_duplicates(docs, shingle=3, radius=2).select("doc_id", "component_id")
+    return similar_documents.keep_one(docs, shingle=5, least=0.8, also=near)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

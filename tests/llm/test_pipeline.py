@@ -2,8 +2,9 @@
 
 import corpus_pipeline
 import pyarrow.parquet as pq
+import pytest
 
-from causaltape.llm import decontamination, queries, similar_documents, toxicity
+from causaltape.llm import decontamination, queries, similar_documents, simhash, toxicity
 from causaltape.llm.shared import cut
 from tests.llm.test_operators import SF, plain_contaminated, plain_groups
 
@@ -37,6 +38,19 @@ def test_stages_take_empty_documents_and_nulls(spark):
         assert frame.count() == left
 
 
+def test_near_copies_are_linked_by_fingerprints_too(spark):
+    """5 is linked to 4 by fingerprints only, and 4 to 2 by shingles only, so 2 stands for all three."""
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(1, "a b"), (2, " ".join(words)), (3, "A  b"), (4, " ".join([*words, "more"])), (5, "c d"), (6, "")], "doc_id long, text string")
+    near = spark.createDataFrame([(1, 1), (2, 2), (3, 1), (4, 4), (5, 4), (6, 6)], "doc_id long, component_id long")
+    assert sorted(r["doc_id"] for r in similar_documents.keep_one(docs, also=near).collect()) == [1, 2, 6]
+    asked = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(simhash, "near_duplicates", lambda d, **how: asked.append(how) or near)
+        assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()) == [1, 2, 6]
+    assert asked == [{"shingle": 3, "radius": 2}]
+
+
 def test_keep_one_takes_columns_of_any_name(spark):
     rows = [(1, "a b c d e f", 9, "x"), (2, "a b c d e f", 8, "y"), (3, "other words here", 7, "z"), (None, "a b c d e f", 6, "n")]
     kept = similar_documents.keep_one(spark.createDataFrame(rows, "doc_id long, text string, gone long, rep string"))
