@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from causaltape.functions.clock import NS_PER_MS, NS_PER_S
+from causaltape.operators.paths import tick_paths
 from causaltape.streaming.jobs import ROCKS, micros_of
 
 OUTCOME = "struct<horizon:string,ticks:bigint,endpoint_return:double,signed_return:double,mfe:double,mae:double,mfe_offset_ms:bigint,mae_offset_ms:bigint,favorable_first:boolean,adverse_first:boolean,covered_ns:bigint,tie:boolean,realized_variance:double,path_efficiency:double,complete:boolean>"
@@ -46,77 +47,16 @@ def outcome(anchor: tuple, ticks: np.ndarray, horizon: str, width: int, tape_end
     }
 
 
-def ladder(pick: np.ufunc, keys: np.ndarray) -> np.ndarray:
-    """Row k holds `pick` of the 2**k keys from each place on, as far as there are so many."""
-    rows = [keys]
-    while 2 << len(rows) - 1 <= len(keys):
-        step = 1 << len(rows) - 1
-        rows.append(np.concatenate((pick(rows[-1][:-step], rows[-1][step:]), keys[len(keys) - step :])))
-    return np.stack(rows)
-
-
 def outcomes(anchors: list[tuple], ticks: np.ndarray, horizons: dict[str, int], tape_end: int) -> list[list[dict]]:
-    """`outcome` of all anchors and horizons of a key, as whole columns. Sums come from running sums, extremes from spans
-    of powers of two, and first moves by halving, so that the work follows anchors and ticks and not their pairs."""
-    time, number, direction = (np.array([a[i] for a in anchors], np.int64) for i in (1, 2, 4))
-    own, n = np.array([a[3] for a in anchors], float), len(ticks)
-    t, mid = np.ascontiguousarray(ticks["t"]), np.ascontiguousarray(ticks["mid"])
-    if not n:
-        return [[outcome(a, ticks, h, w, tape_end) for h, w in horizons.items()] for a in anchors]
-    # ticks at or before each anchor by time and sequence
-    kind = np.repeat([0, 1], [n, len(anchors)])
-    order = np.lexsort((kind, np.concatenate((ticks["seq"], number)), np.concatenate((t, time))))
-    low = np.zeros(len(anchors), np.int64)
-    low[order[kind[order] == 1] - n] = np.cumsum(kind[order] == 0)[kind[order] == 1]
-
-    levels, rank = np.unique(mid, return_inverse=True)
-    place = np.arange(n)
-    most, least = ladder(np.maximum, rank * n + (n - 1 - place)), ladder(np.minimum, rank * n + place)
-    above, below = np.searchsorted(levels, own, "right") * n, np.searchsorted(levels, own, "left") * n
-    up, down = low.copy(), low.copy()
-    for k in range(len(most) - 1, -1, -1):
-        for at, table, still in ((up, most, lambda v: v < above), (down, least, lambda v: v >= below)):
-            at += np.where((at + (1 << k) <= n) & still(table[k][np.minimum(at, n - 1)]), 1 << k, 0)
-    same = np.sort(rank * n + place)
-    met = np.searchsorted(same, below + low)
-    tie = np.where((met < n) & (above > below), same[np.minimum(met, n - 1)] - below, n)
-
-    steps = np.log(mid[1:] / mid[:-1])
-    moves = np.concatenate(([0.0, 0.0], np.cumsum(np.abs(steps))))
-    second = t // NS_PER_S
-    opens = np.flatnonzero(np.concatenate(([True], second[1:] != second[:-1])))
-    closes = np.concatenate((opens[1:], [n]))
-    unit = np.repeat(np.arange(len(opens)), closes - opens)
-    squares = np.concatenate(([0.0], np.cumsum(np.log(mid[closes - 1] / mid[np.maximum(opens - 1, 0)]) ** 2)))
-
-    columns = []
-    for name, width in horizons.items():
-        high = np.searchsorted(t, time + width, "right")
-        some = high > low
-        first, last = np.where(some, low, 0), np.where(some, high, 1) - 1
-        whole = tape_end >= time + width
-        ret = np.log(mid[last] / own)
-        start = np.log(mid[first] / own)
-        total = np.abs(start) + np.where(last > first, moves[last + 1] - moves[first + 1], 0.0)
-        head = np.log(mid[np.minimum(closes[unit[first]] - 1, last)] / own)
-        tail = np.log(mid[last] / mid[np.maximum(opens[unit[last]] - 1, 0)])
-        later = unit[last] > unit[first]
-        variance = head**2 + np.where(later, tail**2 + squares[unit[last]] - squares[np.minimum(unit[first] + 1, unit[last])], 0.0)
-        k = np.log2(last - first + 1).astype(np.int64)
-        far = last + 1 - (1 << k)
-        top = n - 1 - np.maximum(most[k, first], most[k, far]) % n
-        bottom = np.minimum(least[k, first], least[k, far]) % n
-        best, worst = np.where(direction < 0, bottom, top), np.where(direction < 0, top, bottom)
-        offset = lambda at: (t[np.minimum(at, n - 1)] - time) // NS_PER_MS
-        good, bad = (offset(np.where(direction < 0, x, y)) for x, y in ((down, up), (up, down)))
-        both = some & (up < high) & (down < high)
-        of = lambda values, known=some: [v if k else None for v, k in zip(values.tolist(), known.tolist(), strict=True)]
-        columns.append({
-            "horizon": [name] * len(anchors), "ticks": np.where(some, high - low, 0).tolist(), "endpoint_return": of(ret), "signed_return": of(direction * ret), "mfe": of(np.maximum(direction * np.log(mid[best] / own), 0.0)),
-            "mae": of(np.maximum(-direction * np.log(mid[worst] / own), 0.0)), "mfe_offset_ms": of(offset(best)), "mae_offset_ms": of(offset(worst)), "favorable_first": of(good < bad, both), "adverse_first": of(bad < good, both),
-            "covered_ns": np.where(~some, 0, np.where(whole, width, t[last] - time)).tolist(), "tie": (some & (tie < high)).tolist(), "realized_variance": np.where(some, variance, 0.0).tolist(), "path_efficiency": of(np.divide(ret, total, where=total > 0, out=np.zeros(len(ret))), some & (total > 0)), "complete": whole.tolist(),
-        })
-    rows = [[dict(zip(c, row, strict=True)) for row in zip(*c.values(), strict=True)] for c in columns]
+    """`outcome` of all anchors and horizons of a key, as whole columns (see `tick_paths`)."""
+    time, number = (np.array([a[i] for a in anchors], np.int64) for i in (1, 2))
+    own, direction = (np.array([a[i] for a in anchors], float) for i in (3, 4))
+    with np.errstate(all="ignore"):
+        found = tick_paths(time, number, own, direction, *(np.ascontiguousarray(ticks[c]) for c in ("t", "seq", "mid")), horizons, tape_end)
+    rows = []
+    for name, columns in found.items():
+        shown = [[v if k else None for v, k in zip(values.tolist(), known.tolist(), strict=True)] for values, known in columns.values()]
+        rows.append([{"horizon": name, **dict(zip(columns, row, strict=True))} for row in zip(*shown, strict=True)])
     return [list(each) for each in zip(*rows, strict=True)]
 
 

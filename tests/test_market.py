@@ -169,3 +169,17 @@ def test_paths_equal_a_plain_loop(spark, branch):
             assert r["favorable_first"] == (up[0] < down[0] if up and down else None) and r["tie"] == any(p == m for _, _, p in inside)
             total = sum(map(abs, steps))
             assert r["path_efficiency"] == (pytest.approx(want[0] / total, abs=1e-9) if total > 1e-12 else None)
+
+
+def test_paths_exchange_each_tick_twice_however_many_share_a_second(spark):
+    """Anchors and ticks of one second are not paired, and a tick without a price counts but has no part in prices."""
+    ticks = spark.range(4000).select(F.lit(0).alias("k"), (F.col("id") % 2 * 100 + 10**9).alias("received_ts_ns"), F.col("id").alias("source_sequence"), F.when(F.col("id") != 1, 100.0 + F.col("id") % 5).alias("mid"))
+    a = ticks.select("k", F.col("source_sequence").alias("anchor_id"), F.col("received_ts_ns").alias("anchor_time"), F.col("source_sequence").alias("anchor_seq"), F.lit(102.0).alias("anchor_mid"), F.lit(1).alias("direction"))
+    got = paths.forward_paths(a, ticks, ["k"], {"1s": S})
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString().replace("Join LeftOuter", "", 1)
+    found = {r["anchor_id"]: r for r in got.collect()}
+    assert found[0]["ticks"] == 3999 and found[3999]["ticks"] == 0 and found[3998]["ticks"] == 2000
+    assert (found[3998]["tie"], found[3998]["favorable_first"], found[3998]["complete"]) == (True, False, False)
+    nobody = a.withColumn("anchor_time", F.lit(None).cast("long")).limit(1)
+    row = paths.forward_paths(nobody, ticks, ["k"], {"1s": S}).first()
+    assert (row["ticks"], row["complete"], row["endpoint_return"]) == (0, False, None)
