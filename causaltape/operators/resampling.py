@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,20 @@ VALUES, POSITIONS = 1 << 14, 1 << 14
 LARGEST = 1_000_000_000
 
 
+def one_by_one(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch, of which only one at a time stands in Python objects; arrays of numbers are numpy's."""
+    for i in range(batch.num_rows):
+        row = {}
+        for name, column in zip(batch.schema.names, batch.columns, strict=True):
+            kind = column.type
+            if pa.types.is_list(kind) and pa.types.is_primitive(kind.value_type) and column[i].is_valid:
+                # a null of a list of doubles becomes not a number
+                row[name] = column[i].values.to_numpy(zero_copy_only=False)
+            else:
+                row[name] = column[i].as_py()
+        yield row
+
+
 def totals(df: DataFrame, columns: list[str], replicates: int, work) -> DataFrame:
     """Rows (rep, columns..): for each replicate the sum of what `work` gives for each row of `df`, an array (columns,
     replicates). A task adds its rows up first, so the exchange has one row a task and replicate."""
@@ -25,7 +40,7 @@ def totals(df: DataFrame, columns: list[str], replicates: int, work) -> DataFram
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in one_by_one(batch):
                 got = work(row)
                 held = got if held is None else held + got
         if held is not None:
@@ -101,11 +116,17 @@ def block_permutation_null(values: DataFrame, block: str, group: str, value: str
 SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
 
 
-def correlated(x: np.ndarray, y: np.ndarray, lags: np.ndarray) -> np.ndarray:
-    """Sums of x[i] * y[i + lag] over all i for each lag, zero where they don't overlap, by fast Fourier transforms."""
-    size = 1 << int(len(x) + len(y) - 1).bit_length()
-    got = np.fft.irfft(np.conj(np.fft.rfft(x, size)) * np.fft.rfft(y, size), size)
-    return np.where((lags > -len(x)) & (lags < len(y)), got[lags % size], 0.0)
+def correlated(x: list[np.ndarray], y: list[np.ndarray], pairs: list[tuple[int, int]], lags: list[np.ndarray]) -> np.ndarray:
+    """For each pair (i, j) and every lag the sum of x[i][k] * y[j][k + lag] over all k, zero where they don't overlap, added
+    up over the arrays of lags. Each side is transformed once for all its pairs and lags."""
+    n, m = len(x[0]), len(y[0])
+    size = 1 << int(n + m - 1).bit_length()
+    left, right = ([np.fft.rfft(v, size) for v in side] for side in (x, y))
+    out = []
+    for i, j in pairs:
+        got = np.fft.irfft(np.conj(left[i]) * right[j], size)
+        out.append(sum(np.where((k > -n) & (k < m), got[k % size], 0.0) for k in lags))
+    return np.array(out)
 
 
 def circular_shift_null(values: DataFrame, group: str, position: str, x: str, y: str, replicates: int = 4999, seed: int = 0) -> DataFrame:
@@ -132,13 +153,13 @@ def circular_shift_null(values: DataFrame, group: str, position: str, x: str, y:
     left = packed.join(groups, "g").select("g", F.col("run").alias("a"), F.col("x").alias("ax"), "size", "shifts", F.explode(wanted).alias("run"))
 
     def sums(row: dict) -> np.ndarray:
-        filled = lambda name: np.array([np.nan if v is None else v for v in row[name]])
-        u, v = filled("ax"), filled("y")
+        u, v = (np.asarray(row[name], float) for name in ("ax", "y"))
         here, there = ~np.isnan(u), ~np.isnan(v)
         u, v = np.where(here, u, 0.0), np.where(there, v, 0.0)
-        lag = (row["a"] - row["run"]) * POSITIONS + np.array(row["shifts"])
-        parts = {"n": (here, there), "sx": (u, there), "sy": (here, v), "sxx": (u * u, there), "syy": (here, v * v), "sxy": (u, v)}
-        return np.array([sum(correlated(p.astype(float), q.astype(float), k) for k in (lag, lag - row["size"])) for p, q in parts.values()])
+        lag = (row["a"] - row["run"]) * POSITIONS + np.asarray(row["shifts"])
+        # in order of SUMS
+        pairs = [(0, 0), (1, 0), (0, 1), (2, 0), (0, 2), (1, 1)]
+        return correlated([here.astype(float), u, u * u], [there.astype(float), v, v * v], pairs, [lag, lag - row["size"]])
 
     def of_sums() -> Column:
         n, sx, sy, sxx, syy, sxy = (F.col(c) for c in SUMS)
@@ -146,8 +167,61 @@ def circular_shift_null(values: DataFrame, group: str, position: str, x: str, y:
         return F.when(below > 0, (n * sxy - sx * sy) / F.sqrt(below))
 
     met = left.join(packed.select("g", "run", "y"), ["g", "run"])
+    # a row is two runs and the shifts; a task gets few of them at once
+    values.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     nulls = totals(met, SUMS, replicates, sums)
     r = nulls.select(of_sums().alias("r"))
     observed = values.where(F.col(group).isNotNull()).agg(pearson(F.col(x).cast("double"), F.col(y).cast("double")).alias("observed"))
     out = r.crossJoin(F.broadcast(observed)).agg(F.first("observed").alias("observed"), F.count_if(F.abs("r") >= F.abs("observed") * (1 - 1e-9)).alias("exceedances"))
     return out.select("observed", "exceedances", F.lit(replicates).alias("draws"), p_value(F.col("exceedances"), replicates).alias("p_value"))
+
+
+#: Groups whose sums a task holds at once.
+GROUPS = 256
+
+
+def sign_flip_means(values: DataFrame, group: str, row_id: str, value: str, worlds: int, seed: int = 0) -> DataFrame:
+    """Rows (group, w, stat): the mean of the values of each group in each world, where a row changes its sign if bit w % 32
+    of the draw of (seed, w div 32, row) is set.
+
+    Rows never meet worlds as rows: a task draws the bits of a few rows at once (as `draw` does), multiplies the values of a
+    group with them and hands on one row of sums a group. Null values have no part; a group without values has null."""
+    starts = [f"{seed}:{c}".encode() for c in range(-(-worlds // 32))]
+    # hashing is the work, so few or uneven parts of the input are dealt anew
+    dealt = values.select(group, value, row_id).repartition(4 * values.sparkSession.sparkContext.defaultParallelism)
+    ready = dealt.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"), F.coalesce(F.concat(F.lit(":"), F.col(row_id).cast("string")), F.lit("")).cast("binary").alias("key"))
+    kind = ready.schema["g"].dataType.simpleString()
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+
+        def out() -> pa.RecordBatch:
+            arrays = [pa.array(list(held), key), pa.array([n for n, _ in held.values()], pa.int64()), pa.array([s for _, s in held.values()], pa.list_(pa.float64()))]
+            return pa.RecordBatch.from_arrays(arrays, ["g", "n", "sums"])
+
+        for batch in batches:
+            key = batch.schema.field("g").type
+            groups = batch.column("g").dictionary_encode()
+            number = groups.indices.fill_null(len(groups.dictionary)).to_numpy()
+            names = [*groups.dictionary.to_pylist(), None]
+            v = batch.column("v").fill_null(0.0).to_numpy()
+            known = batch.column("v").is_valid().to_numpy(zero_copy_only=False)
+            texts = batch.column("key").to_pylist()
+            for i in np.unique(number).tolist():
+                at = np.flatnonzero(number == i)
+                n, sums = held.pop(names[i], (0, np.zeros(worlds)))
+                for some in np.split(at, range(1024, len(at), 1024)):
+                    heads = b"".join([md5(start + texts[k]).digest()[:4] for k in some.tolist() for start in starts])
+                    words = np.frombuffer(heads, ">u4").reshape(len(some), -1)
+                    bits = np.unpackbits(words.astype("<u4").view(np.uint8), axis=1, bitorder="little")[:, :worlds]
+                    sums = sums + v[some].sum() - 2 * (v[some] @ bits.astype(float))
+                held[names[i]] = (n + int(known[at].sum()), sums)
+                if len(held) == GROUPS:
+                    yield out()
+                    held.clear()
+        if held:
+            yield out()
+
+    parts = ready.mapInArrow(of, f"g {kind}, n long, sums array<double>")
+    each = parts.select("g", "n", F.posexplode("sums").alias("w", "s")).groupBy("g", "w").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    return each.select(F.col("g").alias(group), "w", F.when(F.col("n") > 0, F.col("s") / F.col("n")).alias("stat"))

@@ -6,8 +6,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from causaltape.operators import resampling
+from causaltape.operators import resampling, statistics
 
 
 @pytest.mark.parametrize("values_a_part", [1 << 14, 2])
@@ -64,3 +65,59 @@ def test_circular_shift_null_equals_a_plain_loop(spark, monkeypatch, run):
         reach += abs(corr(pairs)) >= abs(observed) * (1 - 1e-9)
     got = resampling.circular_shift_null(df, "g", "i", "x", "y", reps, 13).first()
     assert got["observed"] == pytest.approx(observed) and got["exceedances"] == reach and got["p_value"] == (reach + 1) / (reps + 1)
+
+
+def exchanged(spark, work):
+    """Rows that the stages of `work` write to shuffles."""
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def stages():
+        found = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+
+    before = stages()
+    got = work()
+    return got, sum(n for i, n in stages().items() if i not in before)
+
+
+def test_labels_dealt_by_row_exchange_rows_near_the_border_alone(spark):
+    rows = spark.range(30_000).select("id", F.when(F.col("id") < 40, "few").when(F.col("id") < 45, "all").otherwise("many").alias("b"), (F.col("id") * 37 % 101).cast("double").alias("v"), ((F.col("id") % 3 == 0) | F.col("id").between(40, 44)).alias("g"))
+    got, n = exchanged(spark, lambda: statistics.block_permutation(rows, "b", "g", "v", "id", 9, 11).first())
+    assert n < 9 * 30_000 / 3
+    reps = rows.crossJoin(spark.range(9).select(F.col("id").alias("rep"))).withColumn("d", statistics.draw(11, F.col("rep"), F.col("id"))).collect()
+    by, want, over = {}, [], 0
+    for r in reps:
+        by.setdefault(r["rep"], {}).setdefault(r["b"], []).append((r["d"], r["id"], r["v"], r["g"]))
+    for blocks in by.values():
+        one, other = [], []
+        for found in blocks.values():
+            t = sum(x[3] for x in found)
+            found.sort()
+            one += [x[2] for x in found[:t]]
+            other += [x[2] for x in found[t:]]
+        want.append(sum(one) / len(one) - sum(other) / len(other))
+    over = sum(abs(d) >= abs(got["observed"]) for d in want)
+    assert (got["exceedances"], got["draws"], got["p_value"]) == (over, 9, (over + 1) / 10)
+
+
+def test_sign_flips_equal_a_plain_loop(spark):
+    rows = spark.range(500).select("id", F.when(F.col("id") % 7 != 0, F.col("id") % 3).alias("g"), F.when(F.col("id") % 11 != 0, F.col("id") * 0.25 - 40).alias("v"))
+    got = {(r["g"], r["w"]): r["stat"] for r in resampling.sign_flip_means(rows, "g", "id", "v", 70, 5).collect()}
+    assert len(got) == 4 * 70
+    draws = {(r["id"], r["c"]): r["d"] for r in rows.crossJoin(spark.range(3).select(F.col("id").alias("c"))).select("id", "c", statistics.draw(5, F.col("c"), F.col("id")).alias("d")).collect()}
+    kept = [r for r in rows.collect() if r["v"] is not None]
+    for (g, w), stat in got.items():
+        signed = [r["v"] * (-1 if draws[r["id"], w // 32] >> w % 32 & 1 else 1) for r in kept if r["g"] == g]
+        assert abs(stat - sum(signed) / len(signed)) < 1e-9
+
+
+def test_packed_rows_become_objects_one_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([np.arange(16_384.0)] * 100), pa.array(range(100))], ["x", "no"])
+    tracemalloc.start()
+    assert [float(np.sum(r["x"])) for r in resampling.one_by_one(batch)] == [16_384 * 16_383 / 2] * 100
+    assert tracemalloc.get_traced_memory()[1] < 5_000_000
+    tracemalloc.stop()
