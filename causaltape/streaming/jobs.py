@@ -10,11 +10,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from causaltape.functions.clock import floor_bucket
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STORES = "org.apache.spark.sql.execution.streaming.state"
+ROCKS, PLAIN = f"{STORES}.RocksDBStateStoreProvider", f"{STORES}.HDFSBackedStateStoreProvider"
 
 
 def micros_of(ns: str) -> Column:
@@ -22,28 +23,22 @@ def micros_of(ns: str) -> Column:
     return F.timestamp_micros((F.col(ns) / 1000).cast("long"))
 
 
-class _Keyed(StatefulProcessor):
+class _Keyed:
     """One value of state per key. The rows of a key in a micro-batch are ordered by `order` and worked on as whole columns;
     what is kept of them is one row of state. Rows that come too late for their place are told apart by `late`."""
 
     state_schema, order = "", ()
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", self.state_schema)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(list(self.order), kind="stable", ignore_index=True)
-        held, out = self.step(key, self.held.get() if self.held.exists() else None, batch)
+    def rows(self, key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(parts), ignore_index=True).sort_values(list(self.order), kind="stable", ignore_index=True)
+        held, out = self.step(key, state.get if state.exists else None, batch)
         if held is not None:
-            self.held.update(held)
+            state.update(held)
         yield out
 
     def step(self, key: tuple, held: tuple | None, batch: pd.DataFrame) -> tuple[tuple | None, pd.DataFrame]:
         raise NotImplementedError
 
-    def close(self) -> None:
-        pass
-
 
 def integers(values: np.ndarray, known: np.ndarray | bool = True) -> pd.arrays.IntegerArray:
     """Whole numbers, null where `known` is not true."""
@@ -150,8 +145,10 @@ class Lifecycle(_Keyed):
 
 
 def _transform(df: DataFrame, keys: list[str], processor: _Keyed) -> DataFrame:
-    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    return df.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=processor.schema, outputMode="Append", timeMode="None")
+    """The processor's rows. State goes by Arrow with the rows: tasks of keys without rows cost little, where a stateful
+    processor starts a worker of its own and a store's server in every task of every micro-batch."""
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PLAIN)
+    return df.groupBy(*keys).applyInPandasWithState(processor.rows, processor.schema, processor.state_schema, "append", GroupStateTimeout.NoTimeout)
 
 
 def availability_stream(ticks: DataFrame, frames: dict[str, int]) -> DataFrame:
@@ -193,8 +190,17 @@ def incident_stream(firings: DataFrame, by: list[str], time: str, gap: str, late
 
 
 def drain(stream: DataFrame, path: str) -> DataFrame:
-    """Runs a stream over all there is, in micro-batches, into a new table, and reads that."""
+    """Runs a stream over all there is, in micro-batches, into a new table, and reads that.
+
+    A stateful step has as many tasks in every micro-batch as there were shuffle partitions at its start, with keys or
+    without, and each commits files of its own: here no more than twice the cores there are."""
     spark: SparkSession = stream.sparkSession
-    query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/progress").outputMode("append").trigger(availableNow=True).start()
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(min(int(partitions), 2 * spark.sparkContext.defaultParallelism)))
+    try:
+        # a started stream has a session of its own
+        query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/progress").outputMode("append").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")

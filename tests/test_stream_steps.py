@@ -82,3 +82,20 @@ def test_lifecycle_keeps_numbers_once_handed_out(seed):
                 want.append((5, x.source_sequence, episode, False))
             state, eid, seen = x.state, x.eid, (x.received_ts_ns, x.source_sequence)
     assert run(jobs.Lifecycle(), (5,), frames) == want
+
+
+def test_a_stream_of_few_keys_keeps_few_state_partitions(spark, tmp_path):
+    """Each state partition costs a task and a commit in every micro-batch."""
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        for i in range(2):
+            rows = [(k, 10**15 + i * 10**13 + s * 10**11, 10**15 + s, i * 100 + s) for k in range(3) for s in range(5)]
+            spark.createDataFrame(rows, "instrument long, event_ts_ns long, received_ts_ns long, source_sequence long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        ticks = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        got = jobs.drain(jobs.availability_stream(ticks, {"1s": 10**9}), str(tmp_path / "out"))
+        assert got.where("not violation").count() == 27 and got.where("violation").count() == 0
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "64"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    parts = [d for d in (tmp_path / "out" / "progress" / "state" / "0").iterdir() if d.name.isdigit()]
+    assert 0 < len(parts) <= 2 * spark.sparkContext.defaultParallelism
