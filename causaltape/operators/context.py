@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from causaltape.operators import quantiles
+
 
 def support_by_month(cells: DataFrame, by: list[str], month: str, value: str, half: str | None = None) -> DataFrame:
     """Per cell: size, months, support label, dominance of one month, and whether the months' medians share a sign.
@@ -12,16 +14,21 @@ def support_by_month(cells: DataFrame, by: list[str], month: str, value: str, ha
     300 and more are supported; 150 to 299 are a fallback if at least three months have 50 each. With `half` (two values,
     which side of the leaf's midpoint a row falls on) also `halves_agree`, both halves' medians having one sign, and
     `stable`: months' signs consistent over at least three of them and the halves agreeing."""
-    per = cells.groupBy(*by, month).agg(F.count("*").alias("n"), F.percentile(value, 0.5).alias("m"))
+    seen = cells.where(F.col(value).isNotNull())
+    per, *rest = quantiles.medians(seen, [[*by, month], *([[*by, half]] if half else [])], value)
+    return _support(per.withColumnRenamed("median", "m"), rest[0] if rest else None, by)
+
+
+def _support(per: DataFrame, halves: DataFrame | None, by: list[str]) -> DataFrame:
     got = per.groupBy(*by).agg(
         F.sum("n").alias("n"), F.count("*").alias("months"), F.count_if(F.col("n") >= 50).alias("full_months"), (F.max("n") / F.sum("n")).alias("largest_share"),
         (F.greatest(F.count_if(F.col("m") > 0), F.count_if(F.col("m") < 0)) == F.count("*")).alias("consistent"),
     )
     label = F.when(F.col("n") >= 300, "SUPPORTED").when((F.col("n") >= 150) & (F.col("full_months") >= 3), "LOW_SUPPORT_FALLBACK").otherwise("INSUFFICIENT_SUPPORT")
     out = got.withColumn("support", label).withColumn("dominated", F.col("largest_share") > 0.5)
-    if half is None:
+    if halves is None:
         return out
-    sides = cells.groupBy(*by, half).agg(F.percentile(value, 0.5).alias("m")).groupBy(*by).agg((F.abs(F.sum(F.signum("m"))) == 2).alias("__agree"))
+    sides = halves.groupBy(*by).agg((F.abs(F.sum(F.signum("median"))) == 2).alias("__agree"))
     return null_safe_join(out, sides, by).withColumn("halves_agree", F.coalesce("__agree", F.lit(False))).drop("__agree").withColumn("stable", F.col("consistent") & (F.col("months") >= 3) & F.col("halves_agree"))
 
 
@@ -40,8 +47,8 @@ def conditioning(rows: DataFrame, cell: list[str], outcome: str, value: str, mon
     value are outside; a cell whose outcome has no reference has null effect and null `material`."""
     seen = rows.where(F.col(value).isNotNull())
     by = [*cell, outcome]
-    support = support_by_month(seen, by, month, value, half)
-    medians = seen.groupBy(*by).agg(F.percentile(value, 0.5).alias("median"))
+    months, halves, whole = quantiles.medians(seen, [[*by, month], [*by, half], by], value)
+    support, medians = _support(months.withColumnRenamed("median", "m"), halves, by), whole.drop("n")
     ref = reference.select(outcome, F.col("median").alias("__m"), F.col("iqr").alias("__iqr"))
     out = null_safe_join(support, medians, by).join(ref, outcome, "left").withColumn("effect", F.col("median") - F.col("__m"))
     return out.withColumn("material", F.abs("effect") >= 0.1 * F.col("__iqr")).drop("__m", "__iqr")
@@ -49,7 +56,7 @@ def conditioning(rows: DataFrame, cell: list[str], outcome: str, value: str, mon
 
 def month_blocks(rows: DataFrame, cell: list[str], outcome: str, value: str, month: str) -> DataFrame:
     """The block table under `conditioning`: size and median per cell, outcome and month."""
-    return rows.where(F.col(value).isNotNull()).groupBy(*cell, outcome, month).agg(F.count("*").alias("n"), F.percentile(value, 0.5).alias("median"))
+    return quantiles.medians(rows, [[*cell, outcome, month]], value)[0]
 
 
 def event_sequences(events: DataFrame, anchor: str, order: list[str], label: str, month: str, time: str, longest: int = 4, block: int = 10_000) -> DataFrame:

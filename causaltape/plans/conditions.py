@@ -90,13 +90,18 @@ def _cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     marks = cut(marks, "marks")
     done = paths.forward_paths(marks, ticks, ["instrument"], fx.HORIZONS).where("complete")
     every = F.array(*[F.struct(F.concat_ws("_", F.lit(n), "horizon").alias("outcome"), F.round(c, 9).alias("v")) for n, c in (("return", "signed_return"), ("mfe", "mfe"), ("mae", "mae"))])
-    outs = cut(done.select("anchor_id", F.inline(every)).where("v is not null").join(marks.select("anchor_id", "anchor_state"), "anchor_id"), "outcomes")
-    ref = statistics.nearest_rank(outs.where("anchor_state = 'BASELINE'"), ["outcome"], "v", {"q25": 25, "median": 50, "q75": 75}).withColumn("iqr", F.col("q75") - F.col("q25"))
+    # a row per anchor until both reads of the cells
+    outs = cut(done.groupBy("anchor_id").agg(F.flatten(F.collect_list(every)).alias("outs")), "outcomes")
+    base = outs.join(marks.where("anchor_state = 'BASELINE'").select("anchor_id"), "anchor_id").select(F.inline("outs")).where("v is not null")
+    ref = statistics.nearest_rank(base, ["outcome"], "v", {"q25": 25, "median": 50, "q75": 75}).withColumn("iqr", F.col("q75") - F.col("q25"))
     real = marks.where("anchor_state <> 'BASELINE'").select("instrument", "anchor_id", "anchor_state", "anchor_time", "anchor_seq")
     ctx = asof.asof_families(real, fx.contexts(spark, sf_dir), ["instrument"], "detector", TICK_FAMILIES, "anchor_time", "available_time", "anchor_seq", "context_seq", ["context_value"])
-    ctx = cut(ctx.withColumnRenamed("detector", "family"), "families")
-    banded = statistics.bands(ctx, "ctx_context_value", by=["family"]).select("anchor_id", "family", "band")
-    full = ctx.join(banded, ["anchor_id", "family"], "left").join(outs.drop("anchor_state"), "anchor_id")
+    ctx = cut(ctx.select("anchor_id", F.col("detector").alias("family"), "ctx_context_value"), "families")
+    banded = statistics.bands(ctx.where("ctx_context_value is not null"), "ctx_context_value", by=["family"]).select("anchor_id", "family", "band")
+    banded = banded.unionByName(ctx.where("ctx_context_value is null").select("anchor_id", "family", F.lit(None).cast("int").alias("band")))
+    families = banded.groupBy("anchor_id").agg(F.collect_list(F.struct("family", "band")).alias("families"))
+    full = cut(families.join(real.select("anchor_id", "anchor_state", "anchor_time"), "anchor_id").join(outs, "anchor_id"), "cells")
+    full = full.select("anchor_state", "anchor_time", "outs", F.inline("families")).select("family", "anchor_state", "band", "anchor_time", F.inline("outs")).where("v is not null")
     month, half = floor_div(F.col("anchor_time"), MONTH), (F.col("anchor_time") >= MIDDLE).cast("int")
     return full.select("family", "anchor_state", "band", "outcome", "v", month.alias("month"), half.alias("half")), ref
 

@@ -61,3 +61,28 @@ def test_sketch_stays_within_its_rank_error(spark):
             assert abs(rank - p) < 0.005
     empty = spark.createDataFrame([("a", None), ("a", float("nan"))], "g string, v double")
     assert quantiles.sketched(empty, ["g"], "v", {"m": 0.5}).first().asDict() == {"g": "a", "n": 0, "m": None}
+
+
+def test_medians_of_several_groupings_equal_sorted_lists(spark):
+    r = random.Random(8)
+    values = {"hot": lambda: r.lognormvariate(0, 9) * r.choice([1, -1]), "near": lambda: 1000 + r.random() / 1e6, "ties": lambda: float(r.randrange(-1, 2)), "edges": lambda: r.choice([-1e300, 1e300, 0.0, -0.0, 5e-324, -5e-324, float("inf")]), None: lambda: r.choice([None, 3.5, 4.25])}
+    rows = [(g, m, v()) for g, v in values.items() for m in (1, 2, None) for _ in range(r.randrange(40, 90))] + [("none", 1, None), ("one", 1, 2.0)]
+    df = spark.createDataFrame(rows, "g string, m int, v double").repartition(7)
+    for by, got in zip(([0, 1], [0], [1]), quantiles.medians(df, [["g", "m"], ["g"], ["m"]], "v"), strict=True):
+        want = {}
+        for row in rows:
+            if row[2] is not None:
+                want.setdefault(tuple(row[i] for i in by), []).append(row[2])
+        seen = {tuple(x[:-2]): (x["n"], x["median"]) for x in got.collect()}
+        assert seen == {g: (len(x), plain(x, 0.5) if plain(x, 0.5) in x else 0.5 * sorted(x)[(len(x) - 1) // 2] + 0.5 * sorted(x)[len(x) // 2]) for g, x in want.items()}
+    assert [x.count() for x in quantiles.medians(df.where("false"), [["g"], []], "v")][0] == 0
+
+
+def test_medians_hand_on_few_values_twice(spark):
+    """`percentile` exchanged every value of a group; only those of the bins that hold a middle are."""
+    rows = spark.range(100_000).select((F.col("id") % 3).alias("g"), F.expr("pow(1.0001, id)").alias("v"))
+    (got,) = quantiles.medians(rows, [["g"]], "v")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan
+    files = {f for f in got.inputFiles() if "/middles-" in f}
+    assert 0 < spark.read.parquet(*files).count() < 2_000
