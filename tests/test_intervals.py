@@ -37,3 +37,15 @@ def test_exposures_by_their_turn(spark):
         1: (f"a-{c}", "ACCEPTED", None), 2: (f"a-{s}", "CONTAMINATED", 1), 3: (f"a-{s}", "ACCEPTED", None), 4: (f"a-{p}", "CONTAMINATED", 1), 5: (f"a-{p}", "ACCEPTED", None),
         6: (None, "NO_LEAF", None), 7: (f"a-{s}", "ACCEPTED", None), 8: (None, "NO_LEAF", None), 0: (f"a-{s}", "ACCEPTED", None), 9: (f"a-{c}", "ACCEPTED", None),
     }
+
+
+def test_pairs_within_a_table_equal_a_plain_loop(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("xy"), rng.randrange(400), t := rng.randint(-50, 50), t + rng.choice((0, -3, 1, 2, 9, rng.randint(1, 90)))) for _ in range(300)]
+    rows += [(None, 1, 0, 9), ("x", None, 0, 9), ("x", 3, None, 9), ("x", 4, 0, None)]
+    df = spark.createDataFrame(rows, "k string, id long, s long, e long")
+    meets = lambda p, q: None not in p + q and p[0] == q[0] and p[1] < q[1] and p[2] < p[3] and q[2] < q[3] and p[2] < q[3] and q[2] < p[3]
+    want = sorted((p[0], p[1], q[1]) for p in rows for q in rows if meets(p, q))
+    for block in (1, 7, 2048):
+        assert sorted(tuple(r) for r in intervals.pairs_within(df, ["k"], "id", "s", "e", block).collect()) == want
+    assert intervals.pairs_within(df.where("false"), ["k"], "id", "s", "e").count() == 0
