@@ -16,6 +16,7 @@ from causaltape.streaming.jobs import ROCKS, micros_of
 
 OUTCOME = "struct<horizon:string,ticks:bigint,endpoint_return:double,signed_return:double,mfe:double,mae:double,mfe_offset_ms:bigint,mae_offset_ms:bigint,favorable_first:boolean,adverse_first:boolean,covered_ns:bigint,tie:boolean,realized_variance:double,path_efficiency:double,complete:boolean>"
 TICK = np.dtype([("t", "<i8"), ("seq", "<i8"), ("mid", "<f8")])
+HELD = np.dtype([("anchor_id", "<i8"), ("anchor_time", "<i8"), ("anchor_seq", "<i8"), ("anchor_mid", "<f8"), ("direction", "<i4")])
 ANCHOR = ["anchor_id", "anchor_time", "anchor_seq", "anchor_mid", "direction"]
 
 
@@ -73,7 +74,7 @@ class PendingPaths(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", "anchor_id long, anchor_time long, anchor_seq long, anchor_mid double, direction int")
+        self.open = handle.getValueState("open", "anchors binary")
         self.blocks = handle.getMapState("blocks", "block long", "ticks binary")
         self.clock = handle.getValueState("clock", "tape_end long, reached long, timer_ms long")
 
@@ -86,7 +87,7 @@ class PendingPaths(StatefulProcessor):
         new = np.zeros(len(batch), TICK)
         new["t"], new["seq"], new["mid"] = (batch[c].to_numpy() for c in ("received_ts_ns", "source_sequence", "mid"))
         late = new[new["t"] <= reached] if reached is not None else new[:0]
-        waiting = [tuple(a) for a in self.open.get()] if self.open.exists() else []
+        waiting = np.frombuffer(bytes(self.open.get()[0]), HELD).tolist() if self.open.exists() else []
         fresh = batch[batch["anchor_id"].notna()]
         added = list(zip(fresh["anchor_id"].astype("int64").tolist(), fresh["received_ts_ns"].tolist(), fresh["source_sequence"].tolist(), fresh["mid"].tolist(), fresh["direction"].astype("int64").tolist(), strict=True))
         tape_end = max(int(new["t"].max()), tape_end if tape_end is not None else int(new["t"].max()))
@@ -99,7 +100,7 @@ class PendingPaths(StatefulProcessor):
         if not left:
             self.open.clear()
         elif done or added:
-            self.open.put(left)
+            self.open.update((np.array(left, HELD).tobytes(),))
         end = max((a[1] for a in left), default=None)
         if timer is not None:
             self.handle.deleteTimer(timer)
@@ -111,7 +112,7 @@ class PendingPaths(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         tape_end, reached, _ = self.clock.get()
-        waiting = [tuple(a) for a in self.open.get()] if self.open.exists() else []
+        waiting = np.frombuffer(bytes(self.open.get()[0]), HELD).tolist() if self.open.exists() else []
         paths = self.paths(waiting, np.zeros(0, TICK), tape_end)
         self.open.clear()
         self.blocks.clear()
