@@ -25,13 +25,15 @@ def micros_of(ns: str) -> Column:
 
 class _Keyed:
     """One value of state per key. The rows of a key in a micro-batch are ordered by `order` and worked on as whole columns;
-    what is kept of them is one row of state. Rows that come too late for their place are told apart by `late`."""
+    what is kept of them is one row of state. Rows that come too late for their place are told apart by `late`. Rows of a
+    null key are a key of their own, which `step` gets as None."""
 
     state_schema, order = "", ()
 
     def rows(self, key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(parts), ignore_index=True).sort_values(list(self.order), kind="stable", ignore_index=True)
-        held, out = self.step(key, state.get if state.exists else None, batch)
+        instrument, *others, known = key
+        held, out = self.step((instrument if known else None, *others), state.get if state.exists else None, batch)
         if held is not None:
             state.update(held)
         yield out
@@ -45,6 +47,11 @@ def integers(values: np.ndarray, known: np.ndarray | bool = True) -> pd.arrays.I
     return pd.arrays.IntegerArray(np.asarray(values, np.int64), np.broadcast_to(~np.asarray(known, bool), len(values)).copy())
 
 
+def named(key: tuple, n: int) -> pd.arrays.IntegerArray:
+    """The key's instrument n times."""
+    return integers(np.full(n, 0 if key[0] is None else key[0]), key[0] is not None)
+
+
 class Availability(_Keyed):
     """Emits a bucket when a tick of a later bucket arrives. A tick whose event time goes back behind that of an accepted
     one, or whose sequence does not rise, is emitted as a violation and changes nothing."""
@@ -65,7 +72,7 @@ class Availability(_Keyed):
         rows = np.flatnonzero(closes | ~good)
         closed, width = closes[rows], batch["width"].to_numpy(np.int64)[rows]
         frame = pd.DataFrame({
-            "instrument": integers(np.full(len(rows), key[0])), "timeframe": [key[1]] * len(rows), "bar_open_ns": integers(opened[rows], closed), "bar_close_ns": integers(np.where(closed, opened[rows], 0) + width, closed),
+            "instrument": named(key, len(rows)), "timeframe": [key[1]] * len(rows), "bar_open_ns": integers(opened[rows], closed), "bar_close_ns": integers(np.where(closed, opened[rows], 0) + width, closed),
             "available_time_ns": integers(batch["received_ts_ns"].to_numpy(np.int64)[rows]), "trigger_sequence": integers(sequence[rows]), "violation": ~closed,
         })
         at = np.flatnonzero(good)
@@ -109,7 +116,7 @@ class LatestContext(_Keyed):
         known = ~context & ~late & (its_time != least)
         rows = np.flatnonzero(~context | late)
         frame = pd.DataFrame({
-            "instrument": integers(np.full(len(rows), key[0])), "anchor_id": integers(seq[rows], ~context[rows]), "context_seq": integers(np.where(context, seq, np.where(known, its_seq, 0))[rows], (known | context)[rows]),
+            "instrument": named(key, len(rows)), "anchor_id": integers(seq[rows], ~context[rows]), "context_seq": integers(np.where(context, seq, np.where(known, its_seq, 0))[rows], (known | context)[rows]),
             "context_value": np.where(context, value, np.where(known, its_value, np.nan))[rows], "lag_ns": integers((time - np.where(known, its_time, time))[rows], known[rows]), "late": late[rows],
         })
         anchors = time[~context]
@@ -138,7 +145,7 @@ class Lifecycle(_Keyed):
         shown[~late] = active
         episodes = np.zeros(len(batch), np.int64)
         episodes[~late] = numbers
-        frame = pd.DataFrame({"instrument": integers(np.full(shown.sum(), key[0])), "source_sequence": integers(seq[shown]), "episode": integers(episodes[shown], ~late[shown]), "late": late[shown]})
+        frame = pd.DataFrame({"instrument": named(key, shown.sum()), "source_sequence": integers(seq[shown]), "episode": integers(episodes[shown], ~late[shown]), "late": late[shown]})
         if late.all():
             return held, frame
         return (states[-1], ids[-1], int(numbers[-1]), int(time[~late][-1]), int(seq[~late][-1])), frame
@@ -148,7 +155,9 @@ def _transform(df: DataFrame, keys: list[str], processor: _Keyed) -> DataFrame:
     """The processor's rows. State goes by Arrow with the rows: tasks of keys without rows cost little, where a stateful
     processor starts a worker of its own and a store's server in every task of every micro-batch."""
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PLAIN)
-    return df.groupBy(*keys).applyInPandasWithState(processor.rows, processor.schema, processor.state_schema, "append", GroupStateTimeout.NoTimeout)
+    # pandas would turn the whole numbers beside a null into floats
+    df = df.withColumn("known", F.col("instrument").isNotNull()).withColumn("instrument", F.coalesce("instrument", F.lit(0)))
+    return df.groupBy(*keys, "known").applyInPandasWithState(processor.rows, processor.schema, processor.state_schema, "append", GroupStateTimeout.NoTimeout)
 
 
 def availability_stream(ticks: DataFrame, frames: dict[str, int]) -> DataFrame:
@@ -161,8 +170,9 @@ def availability_stream(ticks: DataFrame, frames: dict[str, int]) -> DataFrame:
 
 def latest_context_stream(anchors: DataFrame, contexts: DataFrame) -> DataFrame:
     """anchors (instrument, anchor_time, anchor_seq) and contexts (instrument, available_time, context_seq, value). Rows
-    without a time or sequence are left out; late rows are marked (see `LatestContext`)."""
-    c = contexts.select("instrument", F.col("available_time").alias("t"), F.lit(0).alias("kind"), F.col("context_seq").alias("seq"), F.col("context_value").alias("value"))
+    without a time or sequence are left out, as are contexts of a null instrument, which no anchor equals; late rows are
+    marked (see `LatestContext`)."""
+    c = contexts.select("instrument", F.col("available_time").alias("t"), F.lit(0).alias("kind"), F.col("context_seq").alias("seq"), F.col("context_value").alias("value")).dropna(subset=["instrument"])
     a = anchors.select("instrument", F.col("anchor_time").alias("t"), F.lit(1).alias("kind"), F.col("anchor_seq").alias("seq"), F.lit(None).cast("double").alias("value"))
     return _transform(c.unionByName(a).dropna(subset=["t", "seq"]), ["instrument"], LatestContext())
 

@@ -4,6 +4,7 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from causaltape.streaming import jobs
 
@@ -99,3 +100,19 @@ def test_a_stream_of_few_keys_keeps_few_state_partitions(spark, tmp_path):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     parts = [d for d in (tmp_path / "out" / "progress" / "state" / "0").iterdir() if d.name.isdigit()]
     assert 0 < len(parts) <= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_rows_of_a_null_key_are_a_key_of_their_own(spark, tmp_path):
+    big = 2**60 + 1
+    rows = [(k, 10**15 + s * 10**11, 10**15 + s, s, "BURST", None, ["click", "view"][s % 2]) for k in (None, big, 3) for s in range(5)]
+    spark.createDataFrame(rows, "instrument long, event_ts_ns long, received_ts_ns long, source_sequence long, state string, eid long, kind string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    read = lambda: spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in"))
+    got = jobs.drain(jobs.availability_stream(read(), {"1s": 10**9}), str(tmp_path / "bars"))
+    assert {tuple(x) for x in got.select("instrument", "trigger_sequence", "violation").collect()} == {(k, s, False) for k in (None, big, 3) for s in range(1, 5)}
+    got = jobs.drain(jobs.lifecycle_stream(read()), str(tmp_path / "episodes"))
+    assert {tuple(x) for x in got.collect()} == {(k, s, 1, False) for k in (None, big, 3) for s in range(5)}
+    t = read()
+    anchors = t.where("kind = 'click'").select("instrument", F.col("received_ts_ns").alias("anchor_time"), F.col("source_sequence").alias("anchor_seq"))
+    contexts = t.where("kind = 'view'").select("instrument", F.col("received_ts_ns").alias("available_time"), F.col("source_sequence").alias("context_seq"), F.lit(1.0).alias("context_value"))
+    got = jobs.drain(jobs.latest_context_stream(anchors, contexts), str(tmp_path / "contexts"))
+    assert {tuple(x) for x in got.select("instrument", "anchor_id", "context_seq").collect()} == {(k, s, s - 1 if k and s else None) for k in (None, big, 3) for s in (0, 2, 4)}
