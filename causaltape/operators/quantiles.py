@@ -12,6 +12,8 @@ K = 2048
 #: Marks that a sketch is read at, and the neighbours of a rank's mark that a round keeps between its pivots: one mark is
 #: more than the error of the sketch.
 MARKS = 512
+#: So many groups' bins go to all tasks at once; rows that meet more of them are exchanged.
+FEW = 50_000
 
 
 def same(left: list[str], right: list[str]) -> Column:
@@ -127,7 +129,7 @@ def medians(rows: DataFrame, groupings: list[list[str]], value: str) -> list[Dat
     names = list(dict.fromkeys(c for by in groupings for c in by))
     data = rows.select(*names, F.col(value).cast("double").alias("__x")).where("__x is not null").withColumn("__bin", _bin(F.col("__x")))
     counts = cut(data.groupBy(*names, "__bin").agg(F.count("*").alias("__n")), "bins")
-    wanted, kept = [], data
+    wanted, near = [], data
     for i, by in enumerate(groupings):
         per = counts.groupBy(*by, "__bin").agg(F.sum("__n").alias("__n"))
         along = Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
@@ -136,10 +138,15 @@ def medians(rows: DataFrame, groupings: list[list[str]], value: str) -> list[Dat
         middle = middle.where((F.col("__rank") >= F.col("__base")) & (F.col("__rank") < F.col("__base") + F.col("__n")))
         middle = cut(middle.select(*by, "__bin", "n", (F.col("__rank") - F.col("__base")).alias("__at")), "middle")
         wanted.append(middle)
-        held = [f"__h{j}" for j in range(len(by))]
-        asked = middle.select(*[F.col(c).alias(h) for c, h in zip(by, held, strict=True)], F.col("__bin").alias("__hbin"), F.lit(True).alias(f"__in{i}")).distinct()
-        kept = kept.join(asked, same(by, held) & (F.col("__bin") == F.col("__hbin")), "left").drop(*held, "__hbin")
+        # most rows are told off by one number; the few that are left, by all columns
+        hashed = middle.select(F.xxhash64(*by, "__bin").alias("__hash"), F.lit(True).alias(f"__near{i}")).distinct()
+        near = near.join(F.broadcast(hashed) if middle.count() <= FEW else hashed, F.xxhash64(*by, "__bin") == F.col("__hash"), "left").drop("__hash")
     flags = [f"__in{i}" for i in range(len(groupings))]
+    kept = near.where(F.coalesce(*[f"__near{i}" for i in range(len(groupings))], F.lit(False)))
+    for by, flag, middle in zip(groupings, flags, wanted, strict=True):
+        held = [f"__h{j}" for j in range(len(by))]
+        asked = middle.select(*[F.col(c).alias(h) for c, h in zip(by, held, strict=True)], F.col("__bin").alias("__hbin"), F.lit(True).alias(flag)).distinct()
+        kept = kept.join(F.broadcast(asked) if middle.count() <= FEW else asked, same(by, held) & (F.col("__bin") == F.col("__hbin")), "left").drop(*held, "__hbin")
     kept = cut(kept.where(F.coalesce(*flags, F.lit(False))).groupBy(*names, "__bin", "__x", *flags).agg(F.count("*").alias("__n")), "middles")
     out = []
     for by, flag, middle in zip(groupings, flags, wanted, strict=True):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causaltape.functions.clock import floor_div
@@ -78,9 +78,28 @@ OUTCOMES = f"""{market.EPISODES}, first AS ({market.FIRST_ENTRY.split(f"WITH {ma
   cells AS (SELECT c.family, c.anchor_state, b.band, o.outcome, o.v, c.anchor_time // {MONTH} AS month, (c.anchor_time >= {MIDDLE})::INT AS half FROM ctx c LEFT JOIN banded b USING (anchor_id, family) JOIN outs o USING (anchor_id))"""
 
 
+#: Bands are 0 to 4; an absent value has the number behind them. Cells and outcomes go by their numbers until they are counted.
+ABSENT = 5
+MEASURED = [(f"{name}_{h}", column, h) for h in fx.HORIZONS for name, column in (("return", "signed_return"), ("mfe", "mfe"), ("mae", "mae"))]
+
+
+def _place(column: str, names: list[str]) -> Column:
+    """The place of a name in a list, from 0."""
+    return (F.array_position(F.array(*map(F.lit, names)), F.col(column)) - 1).cast("int")
+
+
+def _told(df: DataFrame) -> DataFrame:
+    """Family, state, band and outcome in place of the numbers of `_cells`."""
+    cell, at = F.col("cell"), lambda names, i: F.element_at(F.array(*map(F.lit, names)), (i + 1).cast("int"))
+    band, family, state = cell % (ABSENT + 1), F.floor(cell / (ABSENT + 1)) % len(TICK_FAMILIES), F.floor(cell / ((ABSENT + 1) * len(TICK_FAMILIES)))
+    names = [at(TICK_FAMILIES, family).alias("family"), at(lifecycle.ACTIVE, state).alias("anchor_state"), F.when(band < ABSENT, band.cast("int")).alias("band"), at([m[0] for m in MEASURED], F.col("outcome")).alias("outcome")]
+    return df.select(*names, *[c for c in df.columns if c not in ("cell", "outcome")])
+
+
 def _cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Outcomes of state anchors under the band of each family's last value (null: absent), and the reference of each
-    outcome over every 50th row of the tape. Both kinds of anchors go through one run of paths."""
+    outcome over every 50th row of the tape. Both kinds of anchors go through one run of paths. Cells and outcomes are numbers
+    (`_told` has their names), as each anchor is in as many rows as there are families and outcomes."""
     rows = market._episodes(spark, sf_dir)
     first = lifecycle.state_anchors(rows, ["instrument"]).select(F.col("anchor_sequence").alias("q"), "anchor_state")
     base = paths.baseline_anchors(fx.snapshots(spark, sf_dir), ["instrument"], every=50).select(F.col("source_sequence").alias("q"), F.lit("BASELINE").alias("anchor_state"))
@@ -88,22 +107,24 @@ def _cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     t = ticks.select("instrument", F.col("source_sequence").alias("q"), F.col("received_ts_ns").alias("anchor_time"), F.col("source_sequence").alias("anchor_seq"), F.col("mid").alias("anchor_mid"), F.when(F.col("k") % 2 == 0, 1).otherwise(-1).alias("direction"))
     marks = first.unionByName(base).join(t, "q").withColumn("anchor_id", F.col("q") * 2 + (F.col("anchor_state") == "BASELINE").cast("long"))
     marks = cut(marks, "marks")
-    done = paths.forward_paths(marks, ticks, ["instrument"], fx.HORIZONS).where("complete")
-    every = F.array(*[F.struct(F.concat_ws("_", F.lit(n), "horizon").alias("outcome"), F.round(c, 9).alias("v")) for n, c in (("return", "signed_return"), ("mfe", "mfe"), ("mae", "mae"))])
+    done = paths.wide_paths(marks, ticks, ["instrument"], fx.HORIZONS, ["signed_return", "mfe", "mae", "complete"])
     # a row per anchor until both reads of the cells
-    outs = cut(done.groupBy("anchor_id").agg(F.flatten(F.collect_list(every)).alias("outs")), "outcomes")
-    base = outs.join(marks.where("anchor_state = 'BASELINE'").select("anchor_id"), "anchor_id").select(F.inline("outs")).where("v is not null")
+    outs = cut(done.select("anchor_id", F.array(*[F.when(F.col(f"complete_{h}"), F.round(f"{column}_{h}", 9)) for _, column, h in MEASURED]).alias("outs")), "outcomes")
+    base = outs.join(marks.where("anchor_state = 'BASELINE'").select("anchor_id"), "anchor_id").select(F.posexplode("outs").alias("outcome", "v")).where("v is not null")
     ref = statistics.nearest_rank(base, ["outcome"], "v", {"q25": 25, "median": 50, "q75": 75}).withColumn("iqr", F.col("q75") - F.col("q25"))
     real = marks.where("anchor_state <> 'BASELINE'").select("instrument", "anchor_id", "anchor_state", "anchor_time", "anchor_seq")
     ctx = asof.asof_families(real, fx.contexts(spark, sf_dir), ["instrument"], "detector", TICK_FAMILIES, "anchor_time", "available_time", "anchor_seq", "context_seq", ["context_value"])
     ctx = cut(ctx.select("anchor_id", F.col("detector").alias("family"), "ctx_context_value"), "families")
     banded = statistics.bands(ctx.where("ctx_context_value is not null"), "ctx_context_value", by=["family"]).select("anchor_id", "family", "band")
     banded = banded.unionByName(ctx.where("ctx_context_value is null").select("anchor_id", "family", F.lit(None).cast("int").alias("band")))
-    families = banded.groupBy("anchor_id").agg(F.collect_list(F.struct("family", "band")).alias("families"))
-    full = cut(families.join(real.select("anchor_id", "anchor_state", "anchor_time"), "anchor_id").join(outs, "anchor_id"), "cells")
-    full = full.select("anchor_state", "anchor_time", "outs", F.inline("families")).select("family", "anchor_state", "band", "anchor_time", F.inline("outs")).where("v is not null")
+    place = _place("family", TICK_FAMILIES) * (ABSENT + 1) + F.coalesce("band", F.lit(ABSENT))
+    families = banded.groupBy("anchor_id").agg(F.collect_list(place).alias("families"))
     month, half = floor_div(F.col("anchor_time"), MONTH), (F.col("anchor_time") >= MIDDLE).cast("int")
-    return full.select("family", "anchor_state", "band", "outcome", "v", month.alias("month"), half.alias("half")), ref
+    state = _place("anchor_state", lifecycle.ACTIVE) * ((ABSENT + 1) * len(TICK_FAMILIES))
+    full = families.join(real.select("anchor_id", state.alias("state"), month.alias("month"), half.alias("half")), "anchor_id").join(outs, "anchor_id")
+    full = cut(full.select("month", "half", F.transform("families", lambda f: f + F.col("state")).alias("cells"), "outs"), "cells")
+    full = full.select("month", "half", "cells", F.posexplode("outs").alias("outcome", "v")).where("v is not null")
+    return full.select("month", "half", "outcome", "v", F.explode("cells").alias("cell")), ref
 
 
 @query(f"""WITH {OUTCOMES}, per AS (SELECT family, anchor_state, band, outcome, month, count(*) AS n, median(v) AS m FROM cells GROUP BY ALL), sides AS (SELECT family, anchor_state, band, outcome, abs(sum(sign(m))) = 2 AS agree FROM (SELECT family, anchor_state, band, outcome, half, median(v) AS m FROM cells GROUP BY ALL) GROUP BY ALL),
@@ -114,7 +135,7 @@ def _cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
   JOIN sides s ON g.family = s.family AND g.anchor_state = s.anchor_state AND g.band IS NOT DISTINCT FROM s.band AND g.outcome = s.outcome JOIN whole w ON g.family = w.family AND g.anchor_state = w.anchor_state AND g.band IS NOT DISTINCT FROM w.band AND g.outcome = w.outcome LEFT JOIN reference r ON r.outcome = g.outcome""", "snapshots", "horizons", "contexts")
 def x6_family_conditioning(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells, ref = _cells(spark, sf_dir)
-    got = context.conditioning(cells, ["family", "anchor_state", "band"], "outcome", "v", "month", "half", ref)
+    got = _told(context.conditioning(cells, ["cell"], "outcome", "v", "month", "half", ref))
     # a median of values of nine digits has ten
     return rounded(rounded(got.drop("full_months"), "largest_share"), "median", "effect", digits=10)
 
@@ -122,7 +143,7 @@ def x6_family_conditioning(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {OUTCOMES} SELECT family, anchor_state, band, outcome, month, count(*) AS n, round(median(v), 10) AS median FROM cells GROUP BY ALL""", "snapshots", "horizons", "contexts")
 def x6_month_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells, _ = _cells(spark, sf_dir)
-    return rounded(context.month_blocks(cells, ["family", "anchor_state", "band"], "outcome", "v", "month"), "median", digits=10)
+    return rounded(_told(context.month_blocks(cells, ["cell"], "outcome", "v", "month")), "median", digits=10)
 
 
 @query(f"""WITH c AS (SELECT instrument, event_type AS cell, received_ts_ns // {MONTH} AS month, (received_ts_ns >= {MIDDLE})::INT AS half, value - 50 AS v FROM ticks), per AS (SELECT instrument, cell, month, median(v) AS m FROM c GROUP BY ALL),

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from causaltape.operators import asof, availability, lifecycle, paths
+from causaltape.plans import conditions
 
 S = 1_000_000_000
 DAY = 86_400 * S
@@ -183,3 +184,22 @@ def test_paths_exchange_each_tick_twice_however_many_share_a_second(spark):
     nobody = a.withColumn("anchor_time", F.lit(None).cast("long")).limit(1)
     row = paths.forward_paths(nobody, ticks, ["k"], {"1s": S}).first()
     assert (row["ticks"], row["complete"], row["endpoint_return"]) == (0, False, None)
+
+
+def test_wide_paths_have_the_measures_of_forward_paths(spark):
+    """Also without ticks after the anchor, without a price, and for keys without ticks."""
+    ticks = spark.createDataFrame([(k, i * S, i, 100.0 + (i * 7 + k) % 5 if i % 6 else None) for k in range(2) for i in range(40)], "instrument long, received_ts_ns long, source_sequence long, mid double")
+    rows = [(k, 100 * k + i, i * S, i, 100.0 + i % 3 if i % 5 else None, 1 if i % 2 else -1) for k in range(3) for i in range(0, 60, 3)]
+    anchors = spark.createDataFrame(rows, "instrument long, anchor_id long, anchor_time long, anchor_seq long, anchor_mid double, direction int")
+    horizons, measures = {"5s": 5 * S, "60s": 60 * S}, ["mfe", "ticks", "signed_return", "complete"]
+    want = {(r["anchor_id"], r["horizon"]): tuple(r[m] for m in measures) for r in paths.forward_paths(anchors, ticks, ["instrument"], horizons).collect()}
+    got = paths.wide_paths(anchors, ticks, ["instrument"], horizons, measures).collect()
+    assert len(got) == len(rows) and {(r["anchor_id"], h): tuple(r[f"{m}_{h}"] for m in measures) for r in got for h in horizons} == want
+
+
+def test_cells_go_by_numbers_until_they_are_counted(spark):
+    cells, _ = conditions._cells(spark, "/root/testdata/sf0.001")
+    assert {c: cells.schema[c].dataType.simpleString() for c in ("cell", "outcome")} == {"cell": "int", "outcome": "int"}
+    names = conditions._told(cells).drop("month", "half", "v").distinct()
+    assert names.where("family is null or anchor_state is null or outcome is null or band not between 0 and 4").count() == 0
+    assert names.select("outcome").distinct().count() == 9 and names.where("band is not null").count() > 0
