@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from hashlib import md5
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +15,8 @@ from pyspark.sql import functions as F
 from causaltape.operators.statistics import draw, p_value, pearson
 from causaltape.sources.lake import cut
 
-#: Distinct values that one row of packed counts holds about, and positions of a group in one packed row.
-VALUES, POSITIONS = 1 << 14, 1 << 14
+#: Distinct values that one row of packed counts holds about, and numbers of a series that one part holds about.
+VALUES, POSITIONS = 1 << 14, 1 << 18
 #: The most rows of a block that numpy's hypergeometric draws allow.
 LARGEST = 1_000_000_000
 
@@ -113,20 +115,41 @@ def block_permutation_null(values: DataFrame, block: str, group: str, value: str
     return out.select(F.lit(observed).alias("observed"), F.lit(mean).alias("null_mean"), F.lit(sd).alias("null_sd"), "drawn_mean", "drawn_sd", "exceedances", F.lit(replicates).alias("draws"), p_value(F.col("exceedances"), replicates).alias("p_value"))
 
 
-SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+#: Sums over pairs, each with the powers of x and y in it.
+SUMS = {"n": (0, 0), "sx": (1, 0), "sy": (0, 1), "sxx": (2, 0), "syy": (0, 2), "sxy": (1, 1)}
+#: Rows that a task packs at once.
+ROWS = 1 << 20
 
 
-def correlated(x: list[np.ndarray], y: list[np.ndarray], pairs: list[tuple[int, int]], lags: list[np.ndarray]) -> np.ndarray:
-    """For each pair (i, j) and every lag the sum of x[i][k] * y[j][k + lag] over all k, zero where they don't overlap, added
-    up over the arrays of lags. Each side is transformed once for all its pairs and lags."""
-    n, m = len(x[0]), len(y[0])
-    size = 1 << int(n + m - 1).bit_length()
-    left, right = ([np.fft.rfft(v, size) for v in side] for side in (x, y))
-    out = []
-    for i, j in pairs:
-        got = np.fft.irfft(np.conj(left[i]) * right[j], size)
-        out.append(sum(np.where((k > -n) & (k < m), got[k % size], 0.0) for k in lags))
-    return np.array(out)
+def smooth(n: int) -> int:
+    """The least number from `n` on whose bits are all zero but the first four; its Fourier transforms are quick."""
+    low = max(0, n.bit_length() - 4)
+    return -(-n >> low) << low
+
+
+def grid(size: int, block: int) -> tuple[int, int, int, int]:
+    """Rows and columns of a table for twice `size` numbers, row by row; and how many of its columns, and how many rows, make
+    a part of about `block` numbers."""
+    columns = 1 if 2 * size <= block else smooth(math.isqrt(2 * size) + 1)
+    rows = smooth(-(-2 * size // columns))
+    return rows, columns, max(1, block // rows), max(1, block // columns)
+
+
+def turning(gaps: int) -> list[tuple[int, int]]:
+    """Those of SUMS that turning y can change, where bits of `gaps` say whether x (1) and y (2) have nulls."""
+    return [(i, j) for i, j in SUMS.values() if (i or gaps & 1) and (j or gaps & 2)]
+
+
+def series(gaps: int) -> list[tuple[int, int]]:
+    """Side (0: x, 1: y) and power of the series that `turning` needs."""
+    return sorted({(0, i) for i, _ in turning(gaps)} | {(1, j) for _, j in turning(gaps)})
+
+
+def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The rows of each part of a group, which stand one after the other."""
+    rows = (row for batch in batches for row in one_by_one(batch))
+    for _, of in groupby(rows, key=lambda row: (row["gid"], row["part"])):
+        yield list(of)
 
 
 def circular_shift_null(values: DataFrame, group: str, position: str, x: str, y: str, replicates: int = 4999, seed: int = 0) -> DataFrame:
@@ -134,44 +157,159 @@ def circular_shift_null(values: DataFrame, group: str, position: str, x: str, y:
     when y turns by a random step inside groups.
 
     `position` counts from 0 in each group. The row at a position meets y of (position + shift) mod size, where the shift
-    of a group and replicate is the stateless draw of (seed, replicate, group) mod size. All sums of a replicate come from
-    cross-correlations of packed runs of POSITIONS rows, by Fourier transforms; a long group is several runs, and only
-    those pairs of runs are joined that some shift brings together. Null x or y leave their pairs out."""
-    known = values.agg(F.avg(x).alias("mx"), F.avg(y).alias("my")).first()
+    of a group and replicate is the stateless draw of (seed, replicate, group) mod size. All sums of all shifts come from one
+    Fourier cross-correlation of each group, over twice its size so that nothing wraps. A group is a table, row by row: tasks transform some of its
+    columns, are dealt anew to transform and multiply some of its rows, and once more to transform the columns back. So a number is
+    exchanged three times however many shifts there are and however long a group is, and a task holds parts of about POSITIONS numbers of a
+    series. Sums that no shift changes, as one side has no nulls, are plain totals. Null x or y leave their pairs out. Writes two small
+    tables and one of the rows."""
+    spark, block = values.sparkSession, POSITIONS
+    values = cut(values.select(F.col(group).alias("g"), F.col(position).alias("p"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")), "positions")
+    known = values.agg(F.avg("x").alias("mx"), F.avg("y").alias("my")).first()
     # shifts of origin leave a correlation as it is and keep its sums small
-    run = F.floor(F.col(position) / POSITIONS)
-    cells = F.struct(F.col(position).alias("p"), (F.col(x) - F.lit(known["mx"] or 0.0)).cast("double").alias("x"), (F.col(y) - F.lit(known["my"] or 0.0)).cast("double").alias("y"))
-    packed = values.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("g"), run.alias("run")).agg(F.sort_array(F.collect_list(cells)).alias("cells"))
-    packed = cut(packed.select("g", "run", F.size("cells").cast("long").alias("len"), F.col("cells.x").alias("x"), F.col("cells.y").alias("y")), "runs")
-    groups = packed.groupBy("g").agg(F.sum("len").alias("size"), F.count("*").alias("runs"))
+    centred = values.where("g is not null").select("g", F.col("p").cast("long").alias("p"), *[F.nanvl(F.col(c) - F.lit(known[f"m{c}"] or 0.0), F.lit(None).cast("double")).alias(c) for c in "xy"])
+    totals_of = [f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("n", F.count), ("s", F.sum), ("ss", lambda c: F.sum(F.col(c) * F.col(c))))]
+    groups = centred.groupBy("g").agg(F.count("*").alias("size"), *totals_of)
     turned = F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda r: draw(seed, r, F.col("g")) % F.col("size"))
-    groups = cut(groups.withColumn("shifts", turned), "shifts")
-    start = F.col("run") * POSITIONS
-    meets = F.transform("shifts", lambda s: F.array(*[F.floor(F.pmod(start + s + k, F.col("size")) / POSITIONS) for k in (F.lit(0), F.col("len") - 1)]))
-    # an interval of ends m may hold a short last run between them
-    wanted = F.array_distinct(F.flatten(F.transform(F.array_distinct(meets), lambda m: F.array(m[0], F.pmod(m[0] + 1, F.col("runs")), m[1]))))
-    left = packed.join(groups, "g").select("g", F.col("run").alias("a"), F.col("x").alias("ax"), "size", "shifts", F.explode(wanted).alias("run"))
-
-    def sums(row: dict) -> np.ndarray:
-        u, v = (np.asarray(row[name], float) for name in ("ax", "y"))
-        here, there = ~np.isnan(u), ~np.isnan(v)
-        u, v = np.where(here, u, 0.0), np.where(there, v, 0.0)
-        lag = (row["a"] - row["run"]) * POSITIONS + np.asarray(row["shifts"])
-        # in order of SUMS
-        pairs = [(0, 0), (1, 0), (0, 1), (2, 0), (0, 2), (1, 1)]
-        return correlated([here.astype(float), u, u * u], [there.astype(float), v, v * v], pairs, [lag, lag - row["size"]])
+    gap = lambda c: F.col(f"n{c}") < F.col("size")
+    gaps = (F.when(gap("x"), 1).otherwise(0) + F.when(gap("y"), 2).otherwise(0)).cast("long")
+    groups = cut(groups.select("*", F.monotonically_increasing_id().alias("gid"), gaps.alias("gaps"), turned.alias("shifts")), "shifts")
+
+    def fixed(i: int, j: int) -> Column:
+        """What a group adds to a sum in every replicate: all of one side where the other has no nulls."""
+        total = lambda c, power: F.col(("n", "s", "ss")[power] + c)
+        whole = ([F.when(~gap("y"), total("x", i))] if not j else []) + ([F.when(~gap("x"), total("y", j))] if not i else [])
+        return F.coalesce(*whole, F.lit(0)).cast("double")
+
+    added = groups.agg(*[F.coalesce(F.sum(fixed(i, j)), F.lit(0.0)).alias(name) for name, (i, j) in SUMS.items()]).first()
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a part of columns as one row a task, or a few."""
+        names = ["gid", "size", "gaps", "p", "x", "y"]
+        held: list = []
+
+        def out() -> pa.RecordBatch:
+            of = {c: np.concatenate([h[k] for h in held]) for k, c in enumerate(names)}
+            held.clear()
+            _, first, number = np.unique(of["gid"], return_index=True, return_inverse=True)
+            _, columns, width, _ = np.array([grid(n, block) for n in of["size"][first].tolist()]).T
+            part = of["p"] % columns[number] // width[number]
+            order = np.lexsort((part, of["gid"]))
+            ends = np.flatnonzero((np.diff(of["gid"][order]) != 0) | (np.diff(part[order]) != 0)) + 1
+            runs = np.split(order, ends)
+            heads = np.array([r[0] for r in runs])
+            arrays = [of["gid"][heads], part[heads], of["size"][heads], of["gaps"][heads], *[[of[c][r].tobytes() for r in runs] for c in "pxy"]]
+            return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["gid", "part", "size", "gaps", *"pxy"])
+
+        rows = 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
+                rows += batch.num_rows
+            if rows >= ROWS:
+                yield out()
+                rows = 0
+        if held:
+            yield out()
+
+    def told(row: dict, to: list[int], whence: int, data: list[np.ndarray]) -> pa.RecordBatch:
+        some = {"gid": [row["gid"]] * len(to), "part": to, "size": [row["size"]] * len(to), "gaps": [row["gaps"]] * len(to), "whence": [whence] * len(to), "data": [d.tobytes() for d in data]}
+        return pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if c == "data" else pa.int64()) for c, v in some.items()], list(some))
+
+    def turn(rows: np.ndarray, columns: np.ndarray, size: int, sign: int) -> np.ndarray:
+        """What a number of the table turns by between the transforms of columns and of rows; whole numbers keep it exact."""
+        return np.exp(sign * 2j * np.pi * (rows[:, None] * columns[None, :] % size / size))
+
+    def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Columns of the series transformed, dealt to parts of rows. Those past the half mirror the others."""
+        for of in by_part(batches):
+            row = of[0]
+            n1, n2, width, height = grid(row["size"], block)
+            at = np.arange(row["part"] * width, min((row["part"] + 1) * width, n2))
+            sides = np.full((2, n1, len(at)), np.nan)
+            for some in of:
+                p, *xy = (np.frombuffer(some[c], t) for c, t in (("p", "<i8"), ("x", "<f8"), ("y", "<f8")))
+                sides[:, p // n2, p % n2 - at[0]] = xy
+            here = ~np.isnan(sides)
+            sides = np.where(here, sides, 0.0)
+            spectra = np.fft.rfft(np.array([sides[s] ** i if i else here[s].astype(float) for s, i in series(row["gaps"])]), axis=1)
+            spectra *= turn(np.arange(spectra.shape[1]), at, n1 * n2, -1)
+            starts = range(0, spectra.shape[1], height)
+            # a few at once
+            for some in (starts[k : k + 16] for k in range(0, len(starts), 16)):
+                yield told(row, [k // height for k in some], row["part"], [spectra[:, k : k + height] for k in some])
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows transformed, multiplied and transformed back, dealt to parts of columns."""
+        for of in by_part(batches):
+            row, wanted = of[0], series(of[0]["gaps"])
+            n1, n2, width, height = grid(row["size"], block)
+            at = np.arange(row["part"] * height, min((row["part"] + 1) * height, n1 // 2 + 1))
+            full = np.empty((len(wanted), len(at), n2), complex)
+            for some in of:
+                got = np.frombuffer(some["data"], complex).reshape(*full.shape[:2], -1)
+                full[:, :, some["whence"] * width :][:, :, : got.shape[2]] = got
+            full = dict(zip(wanted, np.fft.fft(full, axis=2), strict=True))
+            back = np.fft.ifft(np.array([np.conj(full[0, i]) * full[1, j] for i, j in turning(row["gaps"])]), axis=2)
+            back *= turn(at, np.arange(n2), n1 * n2, 1)
+            starts = range(0, n2, width)
+            for some in (starts[k : k + 16] for k in range(0, len(starts), 16)):
+                yield told(row, [k // width for k in some], row["part"], [back[:, :, k : k + width] for k in some])
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The shifts of a group for each of its parts of columns."""
+        for batch in batches:
+            for row in one_by_one(batch):
+                _, n2, width, _ = grid(row["size"], block)
+                parts = list(range(-(-n2 // width)))
+                shifts = np.asarray(row["shifts"], "<i8")
+                for some in (parts[k : k + 16] for k in range(0, len(parts), 16)):
+                    yield told(row, some, -1, [shifts] * len(some))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of each replicate over all parts of a task."""
+        held = None
+        for of in by_part(batches):
+            row, wanted = of[0], turning(of[0]["gaps"])
+            n1, n2, width, height = grid(row["size"], block)
+            first = row["part"] * width
+            full = np.empty((len(wanted), n1 // 2 + 1, min(width, n2 - first)), complex)
+            for some in of:
+                if some["whence"] < 0:
+                    shifts = np.frombuffer(some["data"], "<i8")
+                    continue
+                got = np.frombuffer(some["data"], complex).reshape(len(wanted), -1, full.shape[2])
+                full[:, some["whence"] * height :][:, : got.shape[1]] = got
+            sums = np.fft.irfft(full, n1, axis=1)
+            held = np.zeros((len(SUMS), replicates)) if held is None else held
+            names = list(SUMS.values())
+            # a row meets y further on, or y from the start once it is past the end
+            for lag in (shifts, n1 * n2 + shifts - row["size"]):
+                column = lag % n2 - first
+                some = np.flatnonzero((column >= 0) & (column < full.shape[2]))
+                for k, name in enumerate(wanted):
+                    held[names.index(name), some] += sums[k, lag[some] // n2, column[some]]
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates)), *[pa.array(c) for c in held]], ["rep", *SUMS])
 
     def of_sums() -> Column:
         n, sx, sy, sxx, syy, sxy = (F.col(c) for c in SUMS)
         below = (n * sxx - sx * sx) * (n * syy - sy * sy)
         return F.when(below > 0, (n * sxy - sx * sy) / F.sqrt(below))
 
-    met = left.join(packed.select("g", "run", "y"), ["g", "run"])
-    # a row is two runs and the shifts; a task gets few of them at once
-    values.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
-    nulls = totals(met, SUMS, replicates, sums)
+    # a row is part of a table; a task gets few of them at once
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    ids, piece = "gid long, part long, size long, gaps long", "whence long, data binary"
+    dealt = lambda df: df.repartition("gid", "part").sortWithinPartitions("gid", "part")
+    rows = centred.join(groups.select("g", "gid", "size", "gaps"), "g").select("gid", "size", "gaps", "p", "x", "y")
+    parts = rows.mapInArrow(packed, f"{ids}, p binary, x binary, y binary")
+    there = dealt(parts).mapInArrow(forward, f"{ids}, {piece}")
+    back = dealt(there).mapInArrow(across, f"{ids}, {piece}")
+    back = back.unionByName(groups.select("gid", "size", "gaps", "shifts").mapInArrow(asked, f"{ids}, {piece}"))
+    each = dealt(back).mapInArrow(summed, ", ".join(["rep long", *[f"{c} double" for c in SUMS]]))
+    nulls = each.groupBy("rep").agg(*[(F.sum(c) + F.lit(added[c])).alias(c) for c in SUMS])
     r = nulls.select(of_sums().alias("r"))
-    observed = values.where(F.col(group).isNotNull()).agg(pearson(F.col(x).cast("double"), F.col(y).cast("double")).alias("observed"))
+    observed = values.where("g is not null").agg(pearson(F.col("x"), F.col("y")).alias("observed"))
     out = r.crossJoin(F.broadcast(observed)).agg(F.first("observed").alias("observed"), F.count_if(F.abs("r") >= F.abs("observed") * (1 - 1e-9)).alias("exceedances"))
     return out.select("observed", "exceedances", F.lit(replicates).alias("draws"), p_value(F.col("exceedances"), replicates).alias("p_value"))
 

@@ -121,3 +121,43 @@ def test_packed_rows_become_objects_one_at_a_time():
     assert [float(np.sum(r["x"])) for r in resampling.one_by_one(batch)] == [16_384 * 16_383 / 2] * 100
     assert tracemalloc.get_traced_memory()[1] < 5_000_000
     tracemalloc.stop()
+
+
+def test_circular_shifts_exchange_bytes_in_proportion(spark, monkeypatch):
+    monkeypatch.setattr(resampling, "POSITIONS", 2048)
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def written():
+        found = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+        return sum(found.apply(i).shuffleWriteBytes() for i in range(found.size()))
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    mb = []
+    for n in (8_000, 64_000):
+        before = written()
+        noise = [(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1 << 30)) / (1 << 30)).alias("xy"[k]) for k in (0, 1)]
+        resampling.circular_shift_null(spark.range(n).select(F.lit("g").alias("g"), "id", *noise), "g", "id", "x", "y", 199, 13).collect()
+        mb.append((written() - before) / 2**20)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert mb[1] < 12 * mb[0]
+
+
+def test_circular_shifts_with_nulls_on_either_side(spark, monkeypatch):
+    """Groups of which no side, x, y or all of x has nulls; rows of a null group take no part."""
+    monkeypatch.setattr(resampling, "POSITIONS", 16)
+    rng = random.Random(5)
+    pick = lambda share, v: None if rng.random() < share else v
+    rows = {g: [(pick(a, rng.gauss(7, 3)), pick(b, rng.gauss(-5, 9))) for _ in range(n)] for g, n, a, b in ((1, 60, 0, 0), (2, 41, 0.3, 0), (3, 37, 0, 0.3), (4, 9, 1, 0))}
+    df = spark.createDataFrame([(g, i, x, y) for g, of in rows.items() for i, (x, y) in enumerate(of)] + [(None, i, 99.0 * i, 1.0) for i in range(9)], "g long, i long, x double, y double")
+    corr = lambda pairs: np.corrcoef(*zip(*[p for p in pairs if None not in p], strict=True))[0, 1]
+    observed, reach = corr([p for of in rows.values() for p in of]), 0
+    for rep in range(99):
+        pairs = []
+        for g, of in rows.items():
+            shift = int(hashlib.md5(f"13:{rep}:{g}".encode()).hexdigest()[:8], 16) % len(of)
+            pairs += [(x, of[(i + shift) % len(of)][1]) for i, (x, _) in enumerate(of)]
+        reach += abs(corr(pairs)) >= abs(observed) * (1 - 1e-9)
+    got = resampling.circular_shift_null(df, "g", "i", "x", "y", 99, 13).first()
+    assert got["observed"] == pytest.approx(observed) and got["exceedances"] == reach
+    assert resampling.circular_shift_null(df.where("false"), "g", "i", "x", "y", 99, 13).first()["exceedances"] == 0
