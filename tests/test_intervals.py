@@ -49,3 +49,15 @@ def test_pairs_within_a_table_equal_a_plain_loop(spark):
     for block in (1, 7, 2048):
         assert sorted(tuple(r) for r in intervals.pairs_within(df, ["k"], "id", "s", "e", block).collect()) == want
     assert intervals.pairs_within(df.where("false"), ["k"], "id", "s", "e").count() == 0
+
+
+def test_pairs_of_unique_names_are_not_compared_one_by_one(spark):
+    rows = [("x", i, i % 7, i % 7 + i % 5) for i in range(60)]
+    df = spark.createDataFrame(rows, "k string, id long, s long, e long")
+    meets = sorted((p[0], p[1], q[1]) for p in rows for q in rows if p[1] < q[1] and p[2] < p[3] and q[2] < q[3] and p[2] < q[3] and q[2] < p[3])
+    for spans, compared in ((df, False), (df.unionByName(df.where("id < 9")), True)):
+        pairs = intervals.pairs_within(spans, ["k"], "id", "s", "e", 4)
+        assert sorted({tuple(r) for r in pairs.collect()}) == meets
+        counted = pairs.groupBy().count()
+        assert counted.first()[0] == pairs.count() >= len(meets)
+        assert ("least(__name" in counted._jdf.queryExecution().optimizedPlan().toString()) == compared
